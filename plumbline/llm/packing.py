@@ -23,15 +23,15 @@ FILL_GROUP = 16
 #: Rows of one rank window, on average, if a single length held them all.
 GROUP_ROWS = 200_000
 #: The linear program ends when its value is so near to the lower bound.
-GAP = 2e-4
+GAP = 2e-3
 _PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, kind int, slot long, ids binary"
 
 
 def top_length(length: int) -> int:
-    """Largest length of a histogram bin: exact up to 64, then 32 bins to each doubling."""
-    if length <= 64:
+    """Largest length of a histogram bin: exact up to 32, then 16 bins to each doubling."""
+    if length <= 32:
         return length
-    width = 1 << ((length - 1).bit_length() - 6)
+    width = 1 << ((length - 1).bit_length() - 5)
     return -(-length // width) * width
 
 
@@ -63,25 +63,24 @@ def pieces_of(rows: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
 
 def best_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """Unbounded knapsack by dynamic programming over capacities: the dearest pattern at these prices, as counts."""
-    held = prices > 1e-12
-    order = np.flatnonzero(held)[np.argsort(sizes[held], kind="stable")]
-    weight, value = sizes[order], prices[order]
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fits = np.searchsorted(weight, np.arange(capacity + 1), side="right")
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        if n := fits[room]:
-            worth = best[room - weight[:n]] + value[:n]
-            i = int(worth.argmax())
-            if worth[i] > best[room] + 1e-12:
-                best[room], choice[room] = worth[i], i
+    best = np.zeros(capacity + 1)
+    order = np.flatnonzero(prices > 1e-12)
+    for i in order:
+        weight, value = int(sizes[i]), prices[i]
+        while weight <= capacity:  # one, two, four ... more of this size: any number of them
+            np.maximum(best[weight:], best[:-weight] + value, out=best[weight:])
+            weight, value = weight * 2, value * 2
     counts, room = np.zeros(len(sizes), np.int64), capacity
+    weights, values = sizes[order], prices[order]
     while room > 0:
-        if choice[room] < 0:
+        fits = weights <= room
+        worth = np.where(fits, best[np.where(fits, room - weights, 0)] + values, -1.0)
+        i = int(worth.argmax()) if len(worth) else 0
+        if not len(worth) or worth[i] < best[room] - 1e-9 or worth[i] <= 0:
             room -= 1
         else:
-            counts[order[choice[room]]] += 1
-            room -= weight[choice[room]]
+            counts[order[i]] += 1
+            room -= weights[i]
     return float(best[capacity]), counts
 
 
@@ -89,7 +88,7 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[
     """Patterns ``(times, counts by size)`` that hold ``demand[i]`` items of each size exactly.
 
     Column generation: a revised simplex over the patterns, whose duals price sizes; the knapsack gives the next
-    pattern until the value is within GAP of Farley's bound. The solution is rounded down, and what is left over (a
+    pattern until the value is within GAP of Farley's bound; a surplus column lets a size be held too often, which rounding cuts. The solution is rounded down, and what is left over (a
     few items of each size) goes into patterns of its own by first fit on the histogram.
     """
     m = len(sizes)
@@ -97,13 +96,17 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[
         return []
     columns = [np.eye(m, dtype=np.int64)[i] * (capacity // sizes[i]) for i in range(m)]
     inverse = np.diag([1.0 / columns[i][i] for i in range(m)])
-    basis = list(range(m))
+    basis, cost = list(range(m)), np.ones(m)
     x = inverse @ demand
     for _ in range(50 * m):
-        prices = np.maximum(inverse.sum(0), 0.0)
-        worth, pattern = best_pattern(sizes, prices, capacity)
-        if worth <= 1 + 1e-9 or x.sum() * (1 - 1 / worth) <= GAP * x.sum():
-            break
+        prices = cost @ inverse
+        enters = 1.0
+        if prices.min() < -1e-9:  # holding one item too many of a size costs nothing
+            pattern, enters = -np.eye(m, dtype=np.int64)[int(prices.argmin())], 0.0
+        else:
+            worth, pattern = best_pattern(sizes, np.maximum(prices, 0.0), capacity)
+            if worth <= 1 + 1e-9 or 1 - 1 / worth <= GAP:
+                break
         direction = inverse @ pattern
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(direction > 1e-10, x / direction, np.inf)
@@ -115,10 +118,12 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[
         others = np.arange(m) != row
         inverse[others] -= np.outer(direction[others], inverse[row])
         columns.append(pattern)
-        basis[row] = len(columns) - 1
+        basis[row], cost[row] = len(columns) - 1, enters
     left, out = demand.astype(np.int64).copy(), []
     for row, times in zip(basis, x):
         pattern = columns[row]
+        if pattern.min() < 0:
+            continue
         times = int(min([np.floor(times + 1e-9), *(left[pattern > 0] // pattern[pattern > 0])]))
         if times > 0:
             out.append((times, pattern))
@@ -202,7 +207,7 @@ def pack(documents: DataFrame, path: str | None = None, size: int = 2048, end_id
 
     ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``. A document is its ids and ``end_id``; it is cut
     into full sequences and a remainder. The remainders' lengths, in bins, are a cutting-stock problem, solved by
-    column generation over at most 32 bins per doubling, so the driver's work doesn't grow with the input. The
+    column generation over 16 bins per doubling, so the driver's work doesn't grow with the input. The
     rounded patterns take the ranked documents of each bin. One remainder in FILLER stays out of the patterns and
     is cut freely instead: it fills the gaps that bins and rounding leave, and the rest of it makes sequences whose
     lengths are ``size`` or powers of two, which need no padding.
