@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import licenses, mixing, packing, secrets, token_counts, topk, url_filter
+from plumbline.llm import embeddings, licenses, mixing, packing, secrets, simhash, token_counts, topk, url_filter
 from plumbline.llm.common import session
 
 #: The rules (verdict, host, path).
@@ -34,6 +34,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -47,6 +51,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_digest(table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = r"""
 WITH u AS (
   SELECT page_id, url, strpos(url, '://') AS sep, substr(url, strpos(url, '://') + 3) AS rest FROM pages),
@@ -65,9 +73,9 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_token_counts, op3_secret_scan, op4_source_mix, op6_exact_topk, op7_url_filter, op8_license_scan]
+    found = [op1_packing, op2_token_counts, op3_secret_scan, op4_source_mix, op5_embedding_groups, op6_exact_topk, op7_url_filter, op8_license_scan, op10_simhash]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": mixing.SQL, "op6_exact_topk": topk.SQL, "op7_url_filter": OP7_SQL}
+    return {"op4_source_mix": mixing.SQL, "op5_embedding_groups": embeddings.SQL, "op6_exact_topk": topk.SQL, "op7_url_filter": OP7_SQL}
