@@ -1,8 +1,81 @@
-"""Corpus pipeline."""
+"""From raw documents to packed sequences: quality, near-duplicates, secrets, mixing, packing.
 
-STAGES = []
+``STAGES`` lists ``(name, function)``; each function takes ``(spark, docs, sf_dir)`` and works on all rows that the stage
+before it kept. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm import mixing, packing, quality, secrets, simhash
+from plumbline.llm.common import session, written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject; it learns from the labelled ones that aren't held out."""
+    model = quality.fit(docs, session(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.select(*COLUMNS).where(quality.score(model, F.col("text"), spark) >= 0.5)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-copies: the one with the smallest id.
+
+    Of rows that repeat an id and text one stays. Rows without an id stay once per text.
+    """
+    docs = docs.select(*COLUMNS)
+    first = written(simhash.simhash_groups(session_docs(spark, docs)).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    kept = docs.hint("merge").join(first.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
+    repeated = first.where("n > 1").select("doc_id")
+    if not repeated.isEmpty():
+        once = kept.hint("merge").join(repeated.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.hint("merge").join(repeated.hint("merge"), "doc_id", "left_anti").select(*COLUMNS).unionByName(once)
+    nameless = docs.where("doc_id IS NULL")
+    return kept if nameless.isEmpty() else kept.unionByName(nameless.dropDuplicates(["text"]))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret span replaced by a mark, and their new length."""
+
+    @F.pandas_udf("string")
+    def redacted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([t if t is None else secrets.redact(t, secrets.find_secrets(t)) for t in part], dtype=object)
+
+    clean = session_docs(spark, docs).select("doc_id", redacted("text").alias("text"), "lang", "source", "n_chars")
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    mixed = mixing.mix(session_docs(spark, docs), keep=("text", "lang", "n_chars")).where("copies > 0")
+    return mixed.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).select(*COLUMNS)
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of the documents' tokens."""
+    return packing.pack(session_docs(spark, docs))
+
+
+def session_docs(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    session(spark)
+    return docs
+
+
+STAGES = [("quality", keep_quality), ("near_duplicates", drop_near_duplicates), ("secrets", redact_secrets), ("mix", mix_sources), ("pack", pack_documents)]
+#: Not expressible in SQL: a fitted model, XXH64 fingerprints and a tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to ``documents``; each one's result is written and read again by the next."""
+    docs = session(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

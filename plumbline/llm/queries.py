@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import embeddings, licenses, mixing, packing, secrets, simhash, token_counts, topk, url_filter
+from plumbline.llm import embeddings, licenses, mixing, packing, quality, secrets, simhash, token_counts, topk, url_filter
 from plumbline.llm.common import session
 
 #: The rules (verdict, host, path).
@@ -51,6 +51,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
 
@@ -73,7 +77,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_token_counts, op3_secret_scan, op4_source_mix, op5_embedding_groups, op6_exact_topk, op7_url_filter, op8_license_scan, op10_simhash]
+    found = [op1_packing, op2_token_counts, op3_secret_scan, op4_source_mix, op5_embedding_groups, op6_exact_topk, op7_url_filter, op8_license_scan, op9_quality_classifier, op10_simhash]
     return {f.__name__: f for f in found}
 
 
