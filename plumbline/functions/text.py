@@ -1,0 +1,219 @@
+"""Text cleaning, normalisation, HTML reduction and URL parts, as column expressions."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from plumbline.functions.spans import find_spans
+
+#: Limits and character sets that results depend on.
+MIN_CHARS, MAX_CHARS, MIN_MEANINGFUL, LONGEST_RUN = 30, 20_000, 20, 200
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\x{200b}-\x{200d}\x{202a}-\x{202e}\x{2066}-\x{2069}\x{feff}]"
+INVISIBLE = r"[\x{a0}\x{200b}-\x{200d}\x{feff}\x{2060}]"
+REDACTION = r"#(?:EMAIL|URL|PHONE)_[0-9a-fA-F]+#"
+DROPPED = ("script", "style", "nav", "header", "footer", "aside", "form", "noscript", "svg", "iframe")
+PAGE_MIN, PAGE_MAX, LINE_MIN = 200, 8000, 15
+SUFFIXES = ("co.id", "or.id", "go.id", "ac.id", "sch.id", "web.id", "my.id", "net.id", "biz.id", "desa.id", "ponpes.id", "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "com.sg", "com.my", "co.jp", "com.br")
+ABBREVIATIONS = (
+    "min", "maks", "max", "no", "hal", "dll", "dsb", "dkk", "yth", "sdr", "sdri", "tgl", "jl", "pt", "cv", "ud", "tlp", "telp", "hp", "wa",
+    "a.n", "u.p", "mr", "mrs", "ms", "dr", "prof", "inc", "ltd", "co", "vs", "etc", "e.g", "i.e",
+)
+EXCERPT = 220
+#: CamelCase terms that are words, not fused ones; a parameter of ``desegment``.
+PROTECTED = ("JavaScript", "TypeScript", "PostgreSQL", "MySQL", "NoSQL", "MongoDB", "GraphQL", "PowerPoint", "SharePoint", "WordPress", "PayPal", "GitHub", "LinkedIn", "YouTube", "AutoCAD", "iPhone", "iPad", "iOS", "macOS", "DevOps", "PhD", "WiFi")
+
+
+def meaningful_chars(text: Column) -> Column:
+    """Letters and digits of a text."""
+    return F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
+
+
+@F.pandas_udf(StringType())
+def nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Canonical composition, which Spark has no function for; use it behind a test for other than ASCII."""
+    import unicodedata
+
+    for part in parts:
+        yield part.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+@F.pandas_udf(StringType())
+def unescaped(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """All HTML entities decoded; use it behind a test for an ampersand."""
+    import html
+
+    for part in parts:
+        yield part.map(lambda t: None if t is None else html.unescape(t))
+
+
+def xml_entities(text: Column) -> Column:
+    """The five entities of XML, decoded by replacement."""
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
+def sanitize(df: DataFrame, text: str, compose: bool = False) -> DataFrame:
+    """Adds ``sanitized``, ``removed``, ``meaningful``, ``runs`` and ``analysable``; the text keeps its length.
+
+    Control, bidirectional and zero-width characters become blanks, and of longer runs of one character LONGEST_RUN
+    stay, then blanks. With ``compose``, texts that hold other than ASCII are composed first, and offsets refer to that.
+    """
+    raw = F.coalesce(F.col(text), F.lit(""))
+    if compose:
+        raw = F.when(F.regexp_like(raw, F.lit(r"[^\x00-\x7f]")), nfc(raw)).otherwise(raw)
+    plain = F.regexp_replace(raw, CONTROL, " ")
+    long_run = rf"(?s)([^\s])\1{{{LONGEST_RUN},}}"
+    hits = F.regexp_extract_all(plain, F.lit(long_run), F.lit(0))
+    cut = F.transform(hits, lambda h: F.rpad(F.substring(h, 1, LONGEST_RUN), F.length(h), F.lit(" ")))
+    gaps = F.split(plain, long_run, -1)
+    woven = F.array_join(F.concat(F.flatten(F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), cut, lambda g, c: F.array(g, c))), F.array(F.element_at(gaps, -1))), "")
+    whole = F.when(F.size(hits) > 0, woven).otherwise(plain)
+    out = df.withColumns({"sanitized": whole, "removed": F.length(raw) - F.length(F.regexp_replace(raw, CONTROL, "")), "runs": F.size(hits)})
+    return out.withColumn("meaningful", meaningful_chars(F.col("sanitized"))).withColumn("analysable", F.col("meaningful") >= MIN_MEANINGFUL)
+
+
+def reject_reason(text: Column, url: Column | None = None) -> Column:
+    """Why an input can't be scored, or null: exactly one of text and URL, and the length limits."""
+    has_url = F.lit(False) if url is None else url.isNotNull()
+    return F.when(text.isNull() & ~has_url, "nothing_given").when(text.isNotNull() & has_url, "text_and_url").when(F.length(text) < MIN_CHARS, "too_short").when(F.length(text) > MAX_CHARS, "too_long")
+
+
+def desegment(text: Column, protected: tuple[str, ...] = PROTECTED) -> Column:
+    """Parts fused words at lower-to-Upper-lower and letter-to-digit seams, outside protected terms and markers."""
+    kept = "|".join([REDACTION, *(f"(?i:{p})" for p in sorted(protected, key=len, reverse=True))])
+    seams = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?<=[a-z])(?=[A-Z][a-z])", " "), r"(?<=[a-z])(?=\d)|(?<=\d)(?=[A-Z][a-z])", " ")
+    hits = F.regexp_extract_all(text, F.lit(f"({kept})"), F.lit(0))
+    pieces = F.transform(F.split(text, kept, -1), seams)
+    woven = F.flatten(F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda p, h: F.array(p, h)))
+    return F.array_join(F.concat(woven, F.array(F.element_at(pieces, -1))), "")
+
+
+def clean_text(text: Column, entities: str = "xml", fused: bool = True) -> Column:
+    """The corpus cleaner: entities (twice), tags, broken apostrophes, invisible characters, seams, blanks, lines."""
+    text = F.coalesce(text, F.lit(""))
+    if entities == "all":
+        text = F.when(F.contains(text, F.lit("&")), unescaped(unescaped(text))).otherwise(text)
+    elif entities == "xml":
+        text = xml_entities(xml_entities(text))
+    text = F.regexp_replace(text, r"<[^>]{1,200}>", " ")
+    text = F.regexp_replace(text, r"(?<=[A-Za-z])\x{fffd}(?=[a-z])", "'")
+    text = F.regexp_replace(F.replace(text, F.lit("�"), F.lit(" ")), INVISIBLE, " ")
+    text = F.regexp_replace(text, r"\r\n?", "\n")
+    if fused:
+        text = desegment(text)
+    text = F.regexp_replace(F.regexp_replace(text, r"[ \t\f\x0b]+", " "), r"\n{3,}", "\n\n")
+    return F.trim(F.regexp_replace(text, r"(?m)^ +| +$", ""), F.lit(" \n"))
+
+
+def build_document(fields: list[Column]) -> Column:
+    """The fields, cleaned, without empty ones, one to a line."""
+    return F.array_join(F.filter(F.array(*map(clean_text, fields)), lambda x: x != ""), "\n")
+
+
+def word_count(text: Column) -> Column:
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+", -1), lambda w: w != ""))
+
+
+def html_to_text(html: Column, entities: str = "xml") -> Column:
+    """A page as text: some elements go with their content, an article is preferred, blocks end in new lines."""
+    body = F.coalesce(html, F.lit(""))
+    body = F.regexp_replace(body, rf"(?is)<({'|'.join(DROPPED)})[^>]*>.*?</\1>", " ")
+    body = F.coalesce(F.nullif(F.regexp_extract(body, r"(?is)<(article|main)[^>]*>(.*?)</\1>", 2), F.lit("")), body)
+    body = F.regexp_replace(body, r"(?i)</(p|div|li|tr|h[1-6]|br|section|article)>|<br\s*/?>", "\n")
+    body = F.regexp_replace(body, r"(?s)<[^>]+>", " ")
+    body = F.when(F.contains(body, F.lit("&")), unescaped(body)).otherwise(body) if entities == "all" else xml_entities(body)
+    body = F.regexp_replace(body, r"[ \t\x{a0}]+", " ")
+    lines = F.filter(F.transform(F.split(body, "\n", -1), lambda x: F.trim(x, F.lit(" \r"))), lambda x: x != "")
+    return F.array_join(lines, "\n")
+
+
+def page_gate(text: Column, markers: list[str]) -> Column:
+    """Why a page's text isn't one advertisement, or an empty string."""
+    low = F.lower(text)
+    found = F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(low, m))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x != "")
+    short = F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x)) < F.size(lines) * LINE_MIN
+    return F.when(F.length(text) < PAGE_MIN, "too_short").when(F.length(text) > PAGE_MAX, "too_long_for_one_ad").when(~found, "no_job_ad_markers").when(short, "looks_like_navigation").otherwise("")
+
+
+def url_path(url: Column) -> Column:
+    return F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+
+
+def redirected_to_root(requested: Column, final: Column) -> Column:
+    """True where a deep link ended at the site's front page."""
+    return (F.trim(url_path(requested), F.lit("/")) != "") & (F.trim(url_path(final), F.lit("/")) == "")
+
+
+def text_key(text: Column) -> Column:
+    """Texts that differ only in case and white space have one key."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")))
+
+
+def excerpt(text: Column, size: int = EXCERPT) -> Column:
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(flat) > size, F.concat(F.substring(flat, 1, size), F.lit("…"))).otherwise(flat)
+
+
+def url_host(url: Column) -> Column:
+    """Host of a URL, with or without a scheme: no user, port, path or query."""
+    bare = F.regexp_replace(F.lower(url), r"^[a-z][a-z0-9+.-]*://", "")
+    bare = F.regexp_extract(bare, r"^[^/?#]*", 0)
+    return F.regexp_replace(F.regexp_replace(bare, r"^.*@", ""), r":\d*$", "")
+
+
+def email_domain(address: Column) -> Column:
+    return F.lower(F.substring_index(address, "@", -1))
+
+
+def registrable_label(domain: Column) -> Column:
+    """The label that someone registered: the last but one, or but two before a suffix of two parts."""
+    suffix = "|".join(s.replace(".", r"\.") for s in SUFFIXES)
+    low = F.lower(domain)
+    rest = F.when(F.regexp_like(low, F.lit(rf"\.({suffix})$")), F.regexp_replace(low, rf"\.({suffix})$", "")).otherwise(F.regexp_replace(low, r"\.[^.]*$", ""))
+    return F.element_at(F.split(rest, r"\.", -1), -1)
+
+
+def match_form(value: Column) -> Column:
+    return F.regexp_replace(F.lower(value), "[^a-z0-9]", "")
+
+
+def acronym(value: Column) -> Column:
+    words = F.filter(F.split(F.lower(value), "[^a-z0-9]+", -1), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
+
+
+def sentence_boundary(abbreviations: tuple[str, ...] = ABBREVIATIONS) -> str:
+    guards = "".join(rf"(?<!\b{a.replace('.', chr(92) + '.')}\.)" for a in abbreviations)
+    return rf"(?i)(?:{guards}(?<=[.!?])\s+(?!\d))|\n+"
+
+
+def sentences(text: Column) -> Column:
+    """``array<struct<text,start,end>>`` of trimmed sentences, with offsets into the text."""
+    boundary = sentence_boundary()
+    pieces = F.split(text, boundary, -1)
+    breaks = F.concat(F.transform(F.regexp_extract_all(text, F.lit(boundary), F.lit(0)), F.length), F.array(F.lit(0)))
+    pairs = F.zip_with(pieces, breaks, lambda p, b: F.struct(p.alias("piece"), F.coalesce(b, F.lit(0)).alias("gap")))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<text:string,start:int,end:int>>)").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        body = F.regexp_replace(x["piece"], r"^\s+|\s+$", "")
+        begin = acc["at"] + F.length(x["piece"]) - F.length(F.regexp_replace(x["piece"], r"^\s+", ""))
+        held = F.struct(body.alias("text"), begin.alias("start"), (begin + F.length(body)).alias("end"))
+        return F.struct((acc["at"] + F.length(x["piece"]) + x["gap"]).alias("at"), F.when(body != "", F.concat(acc["out"], F.array(held))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+
+def has_redaction(text: Column) -> Column:
+    return F.regexp_like(text, F.lit(REDACTION))
+
+
+def redactions(text: Column) -> Column:
+    return find_spans(text, REDACTION)
