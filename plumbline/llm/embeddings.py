@@ -53,7 +53,8 @@ def dual_traversal(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.n
     ua, ub = a / lengths[0][:, None], b / lengths[1][:, None]
     reach = float(np.sqrt(max(2.0 - 2.0 * threshold, 0.0))) + SLACK
     trees = [Node(u, np.arange(len(u)), 2.0) for u in (ua, ub)]
-    out_a, out_b, todo = [], [], [tuple(trees)]
+    none = np.zeros(0, np.int64)
+    out_a, out_b, todo = [none], [none], [tuple(trees)]
     while todo:
         x, y = todo.pop()
         if not x.children and not y.children:
