@@ -178,3 +178,44 @@ def deltas(metrics: DataFrame, baseline: str) -> DataFrame:
 
 def rank_in(df: DataFrame, key: str, *order: Column) -> Column:
     return F.row_number().over(Window.partitionBy(key).orderBy(*order))
+
+
+def confound(df: DataFrame, length: str, y: str, limit: float = 0.10) -> DataFrame:
+    """How far length alone ranks above chance; sound while that is under the limit."""
+    points = curve(df, length, y)
+    base = points.agg((F.max("total_pos") / F.max("total")).alias("base"))
+    out = ranking(points).crossJoin(F.broadcast(base)).withColumn("excess", F.col("average_precision") - F.col("base"))  # one row each
+    return out.select("excess", (F.col("excess") < limit).alias("sound"))
+
+
+def at_half(long: DataFrame) -> DataFrame:
+    """Counts at 0.5 for each model; null where scores are constant or only one class is there."""
+    bounds = long.groupBy("model").agg(((F.max("score") == F.min("score")) | (F.max("y") == F.min("y"))).alias("flat"))
+    out = confusion(long, F.col("score"), F.col("y"), 0.5, ["model"]).join(bounds, "model")
+    return out.select("model", *(F.when(~F.col("flat"), F.col(c)).alias(c) for c in ("tp", "fp", "fn", "tn", "precision", "recall", "f1")))
+
+
+def calibration_report(df: DataFrame, p: str, y: str, gate: float = 0.05) -> DataFrame:
+    """Brier score and calibration error before and after a Platt fit; passed if the error is small and no worse."""
+    rows = df.select(F.col(p).alias("raw"), F.col(y).alias("y"), to_margin(F.col(p)).alias("m"))
+    a, b = platt_fit(rows, "m", "y")
+    parts = []
+    for stage, c in (("before", F.col("raw")), ("after", platt_apply(F.col("m"), a, b))):
+        held = rows.select(c.alias("p"), "y")
+        parts.append(calibration_error(calibration_bins(held, "p", "y")).crossJoin(F.broadcast(held.agg(brier(F.col("p"), F.col("y")).alias("brier")))).withColumn("stage", F.lit(stage)))  # one row each
+    both = parts[0].unionByName(parts[1])
+    before = F.max(F.when(F.col("stage") == "before", F.col("ece"))).over(Window.partitionBy(F.lit("all")))  # two rows
+    return both.withColumn("passed", (F.col("ece") <= gate) & (F.col("ece") <= before))
+
+
+def recalibrated(df: DataFrame, margin: str, y: str, a: float, b: float) -> DataFrame:
+    """Mean and range of probabilities under given parameters and under ones refitted on this data."""
+    a2, b2 = platt_fit(df, margin, y)
+    rows = F.array(*(F.struct(F.lit(n).alias("fit"), platt_apply(F.col(margin), x, z).alias("p")) for n, x, z in (("given", a, b), ("refit", a2, b2))))
+    return df.select(F.inline(rows)).groupBy("fit").agg(F.avg("p").alias("mean_p"), F.min("p").alias("min_p"), F.max("p").alias("max_p"))
+
+
+def evaluated_once(ledger: DataFrame, checksum: str, force: bool = False) -> None:
+    """Raises if a test split with this checksum is in the ledger already."""
+    if not force and not ledger.where(F.col("split_checksum") == checksum).isEmpty():
+        raise ValueError("this test split was evaluated before")

@@ -646,6 +646,120 @@ def a2_review_queue(spark, d):
     return evalset.review_queue(read(spark, d, "events"), "event_type", F.col("value") <= 50)
 
 
+@query("SELECT count(*) AS n, coalesce(bool_or(contains(text, '###')), false) AS blocked FROM documents")
+def v5_taint(spark, d):
+    rows = docs(spark, d).withColumn("synthetic", F.contains("text", F.lit("###")))
+    return evalset.taint(rows, "synthetic").crossJoin(F.broadcast(rows.agg(F.count("*").alias("n")))).select("n", "blocked")
+
+
+@query("""WITH a AS (SELECT count(*) AS n, avg(quality::DOUBLE) AS rate FROM labels)
+SELECT n, round(rate, 6) AS rate, array_to_string(list_filter([CASE WHEN n < 100000000 THEN 'too few items' END, CASE WHEN abs(rate - 0.5) > 0.15 THEN 'unbalanced' END], lambda x: x IS NOT NULL), ';') AS advice FROM a""")
+def v8_advice(spark, d):
+    return evalset.advice(read(spark, d, "labels"), "quality", 100_000_000, 0.5).select("n", r6("rate").alias("rate"), F.array_join("advice", ";").alias("advice"))
+
+
+@query(r"""SELECT doc_id, length(text) AS n, substr(text, 1, 2000) AS comment, nullif(trim(substr(source, 1, 200)), '') AS contact, false AS reviewed FROM documents""")
+def a1_appeals(spark, d):
+    raw = docs(spark, d).select("doc_id", F.col("text").alias("body"), F.col("text").alias("comment"), F.col("source").alias("contact"))
+    out = evalset.appeals(raw, "body", "comment", "contact", "v1")
+    return out.select("doc_id", F.length("body").cast("bigint").alias("n"), "comment", "contact", "reviewed")
+
+
+@query("""WITH m(locale) AS (SELECT DISTINCT lang FROM documents), x(locale) AS (VALUES ('en'))
+SELECT m.locale, x.locale IS NOT NULL AS usable, CASE WHEN x.locale IS NULL THEN 'lexicon,wages' ELSE 'wages' END AS missing FROM m LEFT JOIN x USING (locale)""")
+def l3_capabilities(spark, d):
+    langs = docs(spark, d).select("lang").distinct()
+    none = spark.createDataFrame([], "locale string, amount int")
+    return dims.capabilities(langs, dims.lexicon(spark), none).select("locale", "usable", F.array_join("missing", ",").alias("missing"))
+
+
+@query("WITH f AS (SELECT 9 AS n_features) SELECT doc_id, n_features::BIGINT AS n_features FROM documents, f")
+def l9_one_outcome_per_feature(spark, d):
+    return rules.outcomes(_evaluated(spark, d), "doc_id").groupBy("doc_id").agg(F.count_distinct("feature_id").alias("n_features"))
+
+
+@query(LABELLED + """, t AS (SELECT p AS score, sum(y) AS pos, count(*) AS n FROM l GROUP BY p), c AS (SELECT pos, sum(pos) OVER w / sum(n) OVER w AS prec, sum(pos) OVER () AS tot, sum(n) OVER () AS n FROM t WINDOW w AS (ORDER BY score DESC))
+SELECT round(sum(pos * prec) / max(tot) - max(tot) / max(n), 6) AS excess, sum(pos * prec) / max(tot) - max(tot) / max(n) < 0.10 AS sound FROM c""")
+def m10_confound(spark, d):
+    return metrics.confound(labelled(spark, d), "p", "y").select(r6("excess").alias("excess"), "sound")
+
+
+@query(LABELLED + """, s AS (SELECT 'length' AS model, p AS score, y FROM l UNION ALL SELECT 'constant', 0.3::DOUBLE, y FROM l)
+SELECT model, CASE WHEN max(score) = min(score) OR max(y) = min(y) THEN NULL ELSE count_if(score >= 0.5 AND y = 1) END::DOUBLE AS tp, CASE WHEN max(score) = min(score) OR max(y) = min(y) THEN NULL ELSE count_if(score >= 0.5 AND y = 0) END::DOUBLE AS fp FROM s GROUP BY model""")
+def m12_before_after(spark, d):
+    rows = labelled(spark, d)
+    long = rows.select(F.lit("length").alias("model"), F.col("p").alias("score"), "y").union(rows.select(F.lit("constant"), F.lit(0.3), "y"))
+    return metrics.at_half(long).select("model", *(F.col(c).cast("double").alias(c) for c in ("tp", "fp")))
+
+
+@query(LABELLED + """, m AS (SELECT 'length' AS model, p AS score, y FROM l UNION ALL SELECT 'constant', 0.5::DOUBLE, y FROM l),
+t AS (SELECT model, score, sum(y) AS pos, count(*) AS n FROM m GROUP BY ALL), c AS (SELECT model, pos, sum(pos) OVER w / sum(n) OVER w AS prec, sum(pos) OVER (PARTITION BY model) AS tot FROM t WINDOW w AS (PARTITION BY model ORDER BY score DESC)),
+a AS (SELECT model, sum(pos * prec) / max(tot) AS ap FROM c GROUP BY model) SELECT model, round(ap - (SELECT ap FROM a WHERE model = 'constant'), 6) AS delta FROM a""")
+def m15_deltas(spark, d):
+    rows = labelled(spark, d).select("y", F.col("p").alias("length"), F.lit(0.5).alias("constant"))
+    return metrics.deltas(metrics.ablation(rows, "y", ["length", "constant"]), "constant").select("model", r6("delta").alias("delta"))
+
+
+@query(LABELLED + """, b AS (SELECT CASE WHEN p = 0 THEN 0 ELSE ceil(p * 10)::INTEGER - 1 END AS bin, avg(p) AS mp, avg(y::DOUBLE) AS r, count(*) AS n FROM l GROUP BY 1)
+SELECT round(sum(abs(mp - r) * n) / sum(n), 4) AS ece, round(max(abs(mp - r)), 4) AS mce FROM b""")
+def k5_calibration_error(spark, d):
+    return metrics.calibration_error(metrics.calibration_bins(labelled(spark, d), "p", "y")).select(F.round("ece", 4).alias("ece"), F.round("mce", 4).alias("mce"))
+
+
+@query()
+def k6_calibration_report(spark, d):
+    out = metrics.calibration_report(labelled(spark, d).select("p", "y"), "p", "y")
+    return out.select("stage", r6("brier").alias("brier"), r6("ece").alias("ece"), "passed")
+
+
+@query(LABELLED + " SELECT doc_id, round(ln(greatest(least(p, 1 - 1e-7::DOUBLE), 1e-7::DOUBLE) / (1 - greatest(least(p, 1 - 1e-7::DOUBLE), 1e-7::DOUBLE))), 6) AS margin FROM l")
+def k3_margin(spark, d):
+    return labelled(spark, d).select("doc_id", r6(metrics.to_margin(F.col("p"))).alias("margin"))
+
+
+@query("SELECT doc_id, least(greatest(n_chars / 1000.0::DOUBLE - 1, -0.45::DOUBLE), 0.45::DOUBLE) AS shift, round(n_chars / 128.0::DOUBLE * 100, 2) AS points FROM documents")
+def c3_c5_points_and_shift(spark, d):
+    return docs(spark, d).select("doc_id", scoring.clip_shift(F.col("n_chars") / 1000.0 - 1).alias("shift"), scoring.points(F.col("n_chars") / 128.0, advisory=False).alias("points"))
+
+
+@query(_lexicon_sql() + """, g AS (SELECT doc_id, string_agg(DISTINCT grp, '; ' ORDER BY grp) AS hits FROM h GROUP BY doc_id)
+SELECT doc_id, CASE WHEN hits IS NULL THEN 'Assessed as ' || lang || '; no rule fired.' ELSE 'Assessed as ' || lang || ': ' || hits || '.' END AS summary FROM documents LEFT JOIN g USING (doc_id)""")
+def c6_summary(spark, d):
+    hits = phrases.match_phrases(docs(spark, d), "doc_id", "text", dims.lexicon(spark), framing=False).groupBy("doc_id").agg(F.sort_array(F.collect_set("grp")).alias("hits"))
+    rows = docs(spark, d).select("doc_id", "lang").join(hits.hint("shuffle_hash"), "doc_id", "left")
+    return rows.select("doc_id", scoring.summary(F.col("lang"), F.coalesce("hits", F.array().cast("array<string>"))).alias("summary"))
+
+
+@query()
+def e4_top_terms(spark, d):
+    train, _ = _model_rows(spark, d)
+    scorer = models.fit_logistic(train, "text", "y", 500)
+    return explain.top_terms(scorer.model.stages[0].vocabulary, scorer.model.stages[-1].coefficients.toArray().tolist(), spark, 20)
+
+
+@query()
+def s9_metrics_table(spark, d):
+    from plumbline.sources.readers import metrics_table
+
+    rows = labelled(spark, d).select("y", F.col("p").alias("length"), F.lit(0.5).alias("constant"))
+    return metrics_table(metrics.ablation(rows, "y", ["length", "constant"]))
+
+
+@query()
+def s3_manifest(spark, d):
+    from plumbline.sources.readers import manifest
+
+    split = _split(spark, d).withColumn("words", F.lit(1))
+    return manifest(split, corpus.split_report(split, "quality", "words"), corpus.split_checksum(split, "doc_id"), 42)
+
+
+@query("SELECT doc_id, quality FROM documents JOIN labels USING (doc_id)")
+def s11_aligned(spark, d):
+    from plumbline.sources.readers import aligned
+
+    return aligned(docs(spark, d).select("doc_id"), read(spark, d, "labels").select("doc_id", "quality"), "doc_id")[0]
+
+
 # --- streaming --------------------------------------------------------------------------------------------------
 
 
