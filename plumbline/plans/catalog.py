@@ -216,9 +216,9 @@ def x9_url_host(spark, d):
 
 
 @query(r"""SELECT doc_id, regexp_replace(lower(source), '[^a-z0-9]', '', 'g') AS form,
-array_to_string(list_transform(list_filter(string_split_regex(lower(substr(text, 1, 80)), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: w[1]), '') AS acronym FROM documents""")
+array_to_string(list_transform(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: w[1]), '') AS acronym FROM documents""")
 def x10_match_form(spark, d):
-    return docs(spark, d).select("doc_id", tx.match_form(F.col("source")).alias("form"), tx.acronym(F.substring("text", 1, 80)).alias("acronym"))
+    return docs(spark, d).select("doc_id", tx.match_form(F.col("source")).alias("form"), tx.acronym(F.col("text")).alias("acronym"))
 
 
 @query()
@@ -307,10 +307,10 @@ def r3_domain_mismatch(spark, d):
     return _evaluated(spark, d).select("doc_id", F.col("email_domain_mismatch.severity").alias("severity"))
 
 
-@query("""SELECT doc_id, CASE WHEN contains(lower(text), 'telegram') OR contains(lower(text), 't.me') THEN 0.75::DOUBLE WHEN contains(lower(text), 'whatsapp') OR contains(lower(text), 'wa.me') THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END AS severity FROM documents
-WHERE NOT regexp_matches(text, '@')""")
+@query(rf"""SELECT doc_id, CASE WHEN regexp_matches(text, '{extract.EMAIL}') OR regexp_matches(text, '(?i)(?:https?://|www\.)[^\s]') THEN 0.0::DOUBLE
+WHEN contains(lower(text), 'telegram') OR contains(lower(text), 't.me') THEN 0.75::DOUBLE WHEN contains(lower(text), 'whatsapp') OR contains(lower(text), 'wa.me') THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END AS severity FROM documents""")
 def r4_messaging_only(spark, d):
-    return _evaluated(spark, d).where("NOT contains(text, '@')").select("doc_id", F.col("contact_messaging_only.severity").alias("severity"))
+    return _evaluated(spark, d).select("doc_id", F.col("contact_messaging_only.severity").alias("severity"))
 
 
 @query(rf"""WITH h AS (SELECT page_id, {HOST_SQL} AS host FROM pages) SELECT page_id, CASE WHEN ends_with(host, '.example.net') OR host = 'example.net' THEN 0.65::DOUBLE ELSE 0.0::DOUBLE END AS severity FROM h""")
