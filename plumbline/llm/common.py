@@ -85,7 +85,8 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
         if large:
             pairs = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        joined = pairs.hint("merge").join(least.hint("merge"), "u")
+        # Dealt anew, both sides of the join are plain exchanges, and Spark can split a hub's rows among tasks.
+        joined = pairs.hint("merge").join(least.hint("rebalance").hint("merge"), "u")
         if large:
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
