@@ -21,19 +21,22 @@ class Node:
 
     __slots__ = ("centre", "radius", "points", "children", "centres", "radii")
 
-    def __init__(self, unit: np.ndarray, points: np.ndarray, cover: float):
-        """``points`` begin with the centre; the children's points lie within ``cover / 2`` of their own centres."""
+    def __init__(self, unit: np.ndarray, points: np.ndarray, cover: float, finest: float = 0.0):
+        """``points`` begin with the centre; the children's points lie within ``cover / 2`` of their own centres.
+
+        A node no wider than ``finest`` is a leaf: bounds between its parts would rule nothing out.
+        """
         self.centre, self.points, self.children = points[0], points, []
         away = distance(unit[points], unit[points[:1]])[:, 0]
         self.radius = float(away.max())
-        if len(points) <= LEAF or self.radius == 0:
+        if len(points) <= LEAF or self.radius <= finest:
             return
         cover = min(cover, self.radius) / 2
         left = points
         while len(left):
             near = distance(unit[left], unit[left[:1]])[:, 0] <= cover
             near[0] = True
-            self.children.append(Node(unit, left[near], cover))
+            self.children.append(Node(unit, left[near], cover, finest))
             left = left[~near]
         self.centres = np.array([c.centre for c in self.children])
         self.radii = np.array([c.radius for c in self.children])
@@ -52,7 +55,7 @@ def dual_traversal(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.n
     lengths = [np.sqrt((m * m).sum(1)) for m in (a, b)]
     ua, ub = a / lengths[0][:, None], b / lengths[1][:, None]
     reach = float(np.sqrt(max(2.0 - 2.0 * threshold, 0.0))) + SLACK
-    trees = [Node(u, np.arange(len(u)), 2.0) for u in (ua, ub)]
+    trees = [Node(u, np.arange(len(u)), 2.0, reach / 2) for u in (ua, ub)]
     none = np.zeros(0, np.int64)
     out_a, out_b, todo = [none], [none], [tuple(trees)]
     while todo:
