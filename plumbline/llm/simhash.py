@@ -48,25 +48,24 @@ def fingerprints(documents: DataFrame, shingle: int = 3, id_col: str = "doc_id",
 def near_pairs(codes: DataFrame, distance: int = 3) -> DataFrame:
     """Pairs ``u < v`` of distinct fingerprints in ``codes(fp)`` that differ in ``distance`` bits or fewer.
 
-    Multi-index hashing over two segments of 32 bits: of two such fingerprints one segment differs in at most
-    ``distance // 2`` bits, so each probes the Hamming ball of that radius around its segments in the table of
-    segments, and full distances are checked on what is found. Fingerprints are distinct, so a group of copies is
-    one of them, and no fingerprint has more partners than its ball of ``distance`` bits has codes.
+    Multi-index hashing: the 64 bits are cut into so many segments that of two such fingerprints one segment differs in
+    at most one bit (two segments of 32 bits for 3 bits, three for 5). Each fingerprint probes the Hamming balls of
+    radius one around its segments in the table of segments, and full distances are checked on what is found. Fingerprints are
+    distinct, so a group of copies is one of them, and none has more partners than its ball of ``distance`` bits has codes.
     """
-    masks = {0}
-    for _ in range(distance // 2):
-        masks |= {m ^ (1 << b) for m in masks for b in range(32)}
-    masks = F.array(*map(F.lit, sorted(masks))).cast("array<long>")
-    low, high = F.col("fp").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("fp", 32)
+    count = distance // 2 + 1
+    edges = [64 * i // count for i in range(count + 1)]
     entry = lambda n, key: F.struct(F.lit(n).alias("segment"), key.alias("key"))
+    keys = [F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1 if hi - lo < 64 else -1) for lo, hi in zip(edges, edges[1:])]
 
     def ball(n: int, key: Column) -> Column:
-        # At radius 1 only the side without the differing bit probes: it meets the other's entry in the table.
-        probed = F.filter(masks, lambda m: key.bitwiseAND(m) == 0) if distance // 2 == 1 else masks
-        return F.transform(probed, lambda m: entry(n, key.bitwiseXOR(m)))
+        # Only the side without the differing bit probes: it meets the other's entry in the table.
+        bits = range(edges[n + 1] - edges[n])
+        masks = F.array(*map(F.lit, [0, *((1 << b) - (1 << 64 if b == 63 else 0) for b in bits)])).cast("array<long>")
+        return F.transform(F.filter(masks, lambda m: key.bitwiseAND(m) == 0), lambda m: entry(n, key.bitwiseXOR(m)))
 
-    table = codes.select("fp", F.inline(F.array(entry(0, low), entry(1, high))))
-    probes = codes.select(F.col("fp").alias("other"), F.inline(F.concat(ball(0, low), ball(1, high))))
+    table = codes.select("fp", F.inline(F.array(*(entry(n, k) for n, k in enumerate(keys)))))
+    probes = codes.select(F.col("fp").alias("other"), F.inline(F.concat(*(ball(n, k) for n, k in enumerate(keys)))))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance
     joined = table.hint("merge").join(probes.hint("merge"), ["segment", "key"]).where((F.col("fp") != F.col("other")) & near)
     return joined.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
@@ -83,7 +82,7 @@ def groups(found: DataFrame, distance: int = 3) -> DataFrame:
     reached = components(pairs, "near")
     parts = nodes.join(reached.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
     least = parts.groupBy("part").agg(F.min("least").alias("component"))
-    return parts.select("fp", "part").hint("merge").join(least.hint("merge"), "part").select("fp", "component")
+    return parts.select("fp", "part").hint("merge").join(least.hint("rebalance").hint("merge"), "part").select("fp", "component")
 
 
 def simhash_groups(documents: DataFrame, distance: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -120,7 +120,7 @@ def test_fingerprint_by_hand():
     assert simhash.fingerprint("") == simhash.fingerprint(" \n") == 0
 
 
-@pytest.mark.parametrize("distance", [1, 3, 5])
+@pytest.mark.parametrize("distance", [1, 3, 5, 7])
 def test_near_pairs(spark, distance):
     rng = np.random.default_rng(distance)
     codes = {int(x) for x in rng.integers(-(2**63), 2**63, 25)} | {0, -1}
@@ -184,7 +184,7 @@ def test_pipeline(spark):
         if name == "near_duplicates":
             assert docs.count() < before.count() and docs.groupBy("doc_id").count().where("count > 1").isEmpty()
             kept = {r.doc_id for r in docs.collect()}
-            assert kept == {r.doc_id for r in simhash.simhash_groups(before).collect() if r.doc_id == r.component_id} | (kept & {None})
+            assert kept == {r.doc_id for r in simhash.simhash_groups(before, corpus_pipeline.DISTANCE).collect() if r.doc_id == r.component_id} | (kept & {None})
         if name == "secrets":
             assert docs.count() == before.count()
             assert not [r for r in docs.collect() if r.text and "g7Kq" in r.text]
