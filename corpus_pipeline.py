@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from plumbline.llm import mixing, packing, quality, secrets, simhash
 from plumbline.llm.common import session, written
 
-#: Fingerprints of near-copies differ in up to so many bits here: more than the three of the registered query, which find
-#: few of the copies at a similarity of 0.8, and few enough for the index's segments to stay long.
-DISTANCE = 5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -28,12 +25,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies: the one with the smallest id.
+    """One document of each group of near-copies (0.8 of their five-word shingles or more): the one with the smallest id.
 
     Of rows that repeat an id and text one stays. Rows without an id stay once per text.
     """
     docs = docs.select(*COLUMNS)
-    first = written(simhash.simhash_groups(session_docs(spark, docs), DISTANCE).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    first = written(simhash.similar_groups(session_docs(spark, docs)).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     kept = docs.hint("merge").join(first.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
     repeated = first.where("n > 1").select("doc_id")
     if not repeated.isEmpty():

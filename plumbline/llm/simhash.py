@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,59 +18,83 @@ _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 SEED = 42
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """64 bits, each set where it is set in over half the hashes of the text's shingles, repeats included."""
-    import xxhash
-
+def shingles(text: str, size: int) -> list[bytes]:
+    """The text's shingles of ``size`` words, A-Z in lower case; its whole sequence if it has fewer, none without words."""
     words = _WORDS.findall(text.translate(_LOWER) if not text.isascii() else text.lower())
     if not words:
-        return 0
+        return []
     data = " ".join(words).encode("utf-8", "surrogatepass")
-    if len(words) <= shingle:
-        parts = [data]
-    else:
-        ends = [*np.flatnonzero(np.frombuffer(data, np.uint8) == 32).tolist(), len(data)]
-        starts = [0, *(e + 1 for e in ends)]
-        parts = [data[a:b] for a, b in zip(starts, ends[shingle - 1 :])]
+    if len(words) <= size:
+        return [data]
+    ends = [*np.flatnonzero(np.frombuffer(data, np.uint8) == 32).tolist(), len(data)]
+    starts = [0, *(e + 1 for e in ends)]
+    return [data[a:b] for a, b in zip(starts, ends[size - 1 :])]
+
+
+def majority(parts: Collection[bytes], seed: int = SEED) -> int:
+    """64 bits, each set where it is set in over half the hashes of ``parts``; 0 if there are none."""
+    import xxhash
+
+    if not parts:
+        return 0
     hashed = xxhash.xxh64_intdigest
-    values = np.fromiter((hashed(p, SEED) for p in parts), np.uint64, len(parts))
+    values = np.fromiter((hashed(p, seed) for p in parts), np.uint64, len(parts))
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(values), 1 << 16):
         set_bits += np.unpackbits(values[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int((np.packbits(set_bits * 2 > len(values), bitorder="little")).view("<u8")[0])
 
 
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """The fingerprint of a text's shingles, repeats included."""
+    return majority(shingles(text, shingle))
+
+
+def _signed(v: int) -> int:
+    return v - (1 << 64) if v >> 63 else v
+
+
 def fingerprints(documents: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp``: the fingerprint of every whole text as a signed long; null and empty texts have 0."""
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
-    run = lambda rows: {"doc_id": rows["doc_id"], "fp": [signed(fingerprint(t, shingle)) for t in rows["text"]]}
+    run = lambda rows: {"doc_id": rows["doc_id"], "fp": [_signed(fingerprint(t, shingle)) for t in rows["text"]]}
     return batches(texts(documents, id_col, text_col), run, "doc_id long, fp long")
 
 
 def near_pairs(codes: DataFrame, distance: int = 3) -> DataFrame:
     """Pairs ``u < v`` of distinct fingerprints in ``codes(fp)`` that differ in ``distance`` bits or fewer.
 
-    Multi-index hashing: the 64 bits are cut into so many segments that of two such fingerprints one segment differs in
-    at most one bit (two segments of 32 bits for 3 bits, three for 5). Each fingerprint probes the Hamming balls of
-    radius one around its segments in the table of segments, and full distances are checked on what is found. Fingerprints are
-    distinct, so a group of copies is one of them, and none has more partners than its ball of ``distance`` bits has codes.
+    Fingerprints are distinct, so a group of copies is one of them, and none has more partners than its ball of
+    ``distance`` bits has codes.
+    """
+    return meetings(codes.select(F.col("fp").alias("node"), F.array("fp").alias("fps")), 1, distance, named=False).distinct()
+
+
+def meetings(nodes: DataFrame, tables: int, distance: int, segments: int | None = None, named: bool = True) -> DataFrame:
+    """``u, v`` (u <= v, repeats possible) of ``nodes(node, fps)``, of which one of the fingerprints is near the other's.
+
+    Multi-index hashing: the 64 bits are cut into so many segments that of two fingerprints within ``distance`` one segment
+    differs in at most one bit (two segments of 32 bits for 3 bits, three for 5). Each fingerprint probes the Hamming balls
+    of radius one around its segments in the table of segments, and full distances are checked on what is found. With fewer
+    ``segments`` than that, pairs of larger distances are found only where their bits fall so. Nodes that are not ``named``
+    are their own one fingerprint, which the index then needn't hold besides.
     """
-    count = distance // 2 + 1
+    count = segments or distance // 2 + 1
     edges = [64 * i // count for i in range(count + 1)]
-    entry = lambda n, key: F.struct(F.lit(n).alias("segment"), key.alias("key"))
-    keys = [F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1 if hi - lo < 64 else -1) for lo, hi in zip(edges, edges[1:])]
+    entry = lambda t, n, key, fp: F.struct(F.lit(t * count + n).alias("segment"), key.alias("key"), *([fp.alias("fp")] if named else []))
+    parts = [(t, n, F.get("fps", F.lit(t)), lo, hi) for t in range(tables) for n, (lo, hi) in enumerate(zip(edges, edges[1:]))]
+    key = lambda fp, lo, hi: F.shiftrightunsigned(fp, lo).bitwiseAND((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)
 
-    def ball(n: int, key: Column) -> Column:
+    def ball(t: int, n: int, fp: Column, lo: int, hi: int) -> Column:
         # Only the side without the differing bit probes: it meets the other's entry in the table.
-        bits = range(edges[n + 1] - edges[n])
-        masks = F.array(*map(F.lit, [0, *((1 << b) - (1 << 64 if b == 63 else 0) for b in bits)])).cast("array<long>")
-        return F.transform(F.filter(masks, lambda m: key.bitwiseAND(m) == 0), lambda m: entry(n, key.bitwiseXOR(m)))
+        masks = F.array(*map(F.lit, [0, *((1 << b) - (1 << 64 if b == 63 else 0) for b in range(hi - lo))])).cast("array<long>")
+        own = key(fp, lo, hi)
+        return F.transform(F.filter(masks, lambda m: own.bitwiseAND(m) == 0), lambda m: entry(t, n, own.bitwiseXOR(m), fp))
 
-    table = codes.select("fp", F.inline(F.array(*(entry(n, k) for n, k in enumerate(keys)))))
-    probes = codes.select(F.col("fp").alias("other"), F.inline(F.concat(*(ball(n, k) for n, k in enumerate(keys)))))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance
-    joined = table.hint("merge").join(probes.hint("merge"), ["segment", "key"]).where((F.col("fp") != F.col("other")) & near)
-    return joined.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
+    table = nodes.select("node", F.inline(F.array(*(entry(t, n, key(fp, lo, hi), fp) for t, n, fp, lo, hi in parts))))
+    probes = nodes.select(F.col("node").alias("other"), F.inline(F.concat(*(ball(*part) for part in parts)))).withColumnRenamed("fp", "code")
+    near = F.bit_count(F.col("fp" if named else "node").bitwiseXOR(F.col("code" if named else "other"))) <= distance
+    joined = table.hint("merge").join(probes.hint("merge"), ["segment", "key"]).where((F.col("node") != F.col("other")) & near)
+    return joined.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
 
 
 def groups(found: DataFrame, distance: int = 3) -> DataFrame:
@@ -98,6 +124,60 @@ def simhash_groups(documents: DataFrame, distance: int = 3, shingle: int = 3, id
     return found.hint("merge").join(named.hint("merge"), "fp").select("doc_id", "fp", F.col("component").alias("component_id"))
 
 
+def similar_groups(documents: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = 4, distance: int = 8, segments: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id``: groups of documents whose sets of ``shingle``-word shingles have so high a Jaccard similarity.
+
+    One fingerprint of 64 bits is too coarse for such a similarity, so ``tables`` of them (of distinct three-word shingles,
+    under seeds of their own) are indexed side by side. What is within ``distance`` bits in one of them and meets in one of its
+    ``segments`` is a candidate (surely so within ``2 * segments - 1`` bits), and the exact similarity of each candidate pair decides. Texts with equal fingerprints in all tables are one node, so copies
+    don't multiply; the texts of nodes without a candidate aren't read again. Sets are hashed to 32 bits.
+
+    Null and empty texts are alike; ids may repeat (each row keeps its own text); a null id never names a group unless all
+    its ids are null, and a node all of whose ids are null has no links beyond it. An empty table gives an empty result.
+    """
+    rows = texts(documents, id_col, text_col)
+
+    def prints(rows: dict) -> dict:
+        sets = [set(shingles(t, 3)) for t in rows["text"]]
+        return {"doc_id": rows["doc_id"], "fps": [[_signed(majority(s, SEED + t)) for t in range(tables)] for s in sets]}
+
+    def hashed(rows: dict) -> dict:
+        import xxhash
+
+        out = [np.unique(np.fromiter((xxhash.xxh32_intdigest(p, SEED) for p in shingles(t, shingle)), np.uint32)).tobytes() for t in rows["text"]]
+        return prints(rows) | {"hashes": out}
+
+    def alike(rows: dict) -> dict:
+        held = []
+        for a, b in zip(rows["left"], rows["right"]):
+            a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+            # Both are sorted sets: the smaller one is looked up in the larger.
+            a, b = (a, b) if len(a) <= len(b) else (b, a)
+            at = np.searchsorted(b, a)
+            same = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(a) else 0
+            held.append(same >= similarity * (len(a) + len(b) - same))
+        keep = np.array(held, bool)
+        return {c: pa.array(rows[c], pa.int64()).filter(pa.array(keep)) for c in ("u", "v")}
+
+    found = written(batches(rows, prints, "doc_id long, fps array<long>"), "simhashes")
+    nodes = written(found.groupBy("fps").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "fingerprints")
+    pairs = written(meetings(nodes.select("node", "fps"), tables, distance, segments).distinct(), "candidates")
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    asked = nodes.hint("merge").join(asked.hint("merge"), "node", "left_semi").where("least IS NOT NULL")
+    again = rows.hint("merge").join(asked.select(F.col("least").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    # A repeated id may bring texts of other nodes; the fingerprints tell them apart.
+    own = batches(again, hashed, "doc_id long, fps array<long>, hashes binary")
+    named = asked.select("node", F.col("least").alias("doc_id"), "fps")
+    sets = written(own.hint("merge").join(named.hint("merge"), ["doc_id", "fps"]).groupBy("node").agg(F.min("hashes").alias("hashes")), "shingles")
+    left, right = (sets.select(F.col("node").alias(n), F.col("hashes").alias(side)) for n, side in (("u", "left"), ("v", "right")))
+    both = pairs.hint("merge").join(left.hint("merge"), "u").hint("merge").join(right.hint("merge"), "v").select("u", "v", "left", "right")
+    reached = components(batches(both, alike, "u long, v long"), "near")
+    parts = nodes.hint("merge").join(reached.hint("merge"), "node", "left").select("fps", "least", F.coalesce("component", "node").alias("part"))
+    least = parts.groupBy("part").agg(F.min("least").alias("component_id"))
+    groups_of = parts.select("fps", "part").hint("merge").join(least.hint("rebalance").hint("merge"), "part").select("fps", "component_id")
+    return found.hint("merge").join(groups_of.hint("merge"), "fps").select("doc_id", "component_id")
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 

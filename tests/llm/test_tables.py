@@ -148,6 +148,49 @@ def test_simhash_groups(spark):
     assert simhash.simhash_digest(df.limit(0)).count() == 0
 
 
+def shingle_sets(texts, size=5):
+    words = [t.lower().split() for t in texts]
+    return [{tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set() for w in words]
+
+
+def test_similar_groups(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, 150)) for _ in range(25)]
+    for t in texts[:20]:
+        words = t.split()
+        texts.append(" ".join([*words[:60], "other", *words[61:]]))  # similar: 5 shingles of 146 differ
+        texts.append(" ".join([*words[:90], *(f"n{x}" for x in range(60))]))  # half of it: not similar
+    texts += [t.upper() for t in texts[:4]] + texts[5:8] + ["", " ", None, "two words", "two other"]
+    ids = [*range(500, 500 + len(texts) - 2), 500, None]
+    got = simhash.similar_groups(spark.createDataFrame(list(zip(ids, texts, ["x"] * len(ids))), "doc_id long, text string, node string")).collect()
+    sets = shingle_sets([t or "" for t in texts])
+    similar = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    root = groups_of(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if similar(sets[i], sets[j])])
+    assert len(set(root)) < len(texts) - 20
+    want = sorted((str(i), str(ids[r])) for i, r in zip(ids, root))
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == want
+    assert simhash.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_similar_groups_recall(spark):
+    """Against brute force on whole tables: no pair below the similarity, and at least nine in ten of those above it."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()
+    sets = dict(zip((r.doc_id for r in rows), shingle_sets([r.text for r in rows])))
+    holders = {}
+    for i, s in sets.items():
+        for h in s:
+            holders.setdefault(h, []).append(i)
+    shared = Counter((a, b) for held in holders.values() for n, b in enumerate(held) for a in held[:n])
+    linked = {(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)}
+    empty = [i for i, s in sets.items() if not s]
+    index = {i: n for n, i in enumerate(sorted(sets))}
+    back = sorted(sets)
+    root = groups_of(len(back), [(index[a], index[b]) for a, b in linked] + [(index[empty[0]], index[i]) for i in empty])
+    part = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    assert all(root[index[i]] == root[index[c]] for i, c in part.items())
+    assert sum(part[a] == part[b] for a, b in linked) >= 0.9 * len(linked)
+
+
 def test_machine_uses_the_identity():
     m = quality.Machine(seed=3)
     m.w[:] = np.random.default_rng(0).normal(size=m.w.shape)
@@ -184,7 +227,7 @@ def test_pipeline(spark):
         if name == "near_duplicates":
             assert docs.count() < before.count() and docs.groupBy("doc_id").count().where("count > 1").isEmpty()
             kept = {r.doc_id for r in docs.collect()}
-            assert kept == {r.doc_id for r in simhash.simhash_groups(before, corpus_pipeline.DISTANCE).collect() if r.doc_id == r.component_id} | (kept & {None})
+            assert kept == {r.doc_id for r in simhash.similar_groups(before).collect() if r.doc_id == r.component_id} | (kept & {None})
         if name == "secrets":
             assert docs.count() == before.count()
             assert not [r for r in docs.collect() if r.text and "g7Kq" in r.text]
