@@ -187,6 +187,11 @@ def x1_mentions(spark, d):
     return found.select("doc_id", F.size("emails").alias("n_emails"), F.size("urls").alias("n_urls"))
 
 
+@query(_spans_sql(tx.REDACTION))
+def x5_redaction_spans(spark, d):
+    return _spans(spark, d, tx.REDACTION)
+
+
 @query()
 def x4_companies(spark, d):
     found = extract.extract_mentions(docs(spark, d), "text", extract.Patterns(company=r"\bThe[ \t]+[A-Z][A-Za-z]*"))
@@ -337,6 +342,11 @@ def r8_phrase_group(spark, d):
     return phrases.group_scores(hits, "doc_id").select("doc_id", "grp", r6("score").alias("score"), "n")
 
 
+@query()
+def r9_risk_phrases(spark, d):
+    return _evaluated(spark, d).select("doc_id", r6("risk_phrase_score.severity").alias("severity"))
+
+
 @query()
 def r11_rule_vector(spark, d):
     vector = rules.rule_vector(rules.outcomes(_evaluated(spark, d), "doc_id"), "doc_id")
@@ -455,6 +465,11 @@ c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
 v AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM c GROUP BY term HAVING count(*) >= 3 ORDER BY cf DESC, term LIMIT 2000)"""
 
 
+@query(TERMS + " SELECT doc_id, term, tf FROM c")
+def f1_term_counts(spark, d):
+    return features.term_counts(docs(spark, d), "doc_id", "text", 1).select("doc_id", "term", "tf")
+
+
 @query(TERMS + " SELECT term, df, cf FROM v")
 def f2_vocabulary(spark, d):
     counts = features.term_counts(docs(spark, d), "doc_id", "text", 1)
