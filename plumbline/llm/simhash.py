@@ -124,33 +124,62 @@ def simhash_groups(documents: DataFrame, distance: int = 3, shingle: int = 3, id
     return found.hint("merge").join(named.hint("merge"), "fp").select("doc_id", "fp", F.col("component").alias("component_id"))
 
 
-def similar_groups(documents: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = 4, distance: int = 8, segments: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the text's distinct shingles, as in ``shingles``: each word is hashed once, and a shingle mixes its words' hashes."""
+    import xxhash
+
+    words = _WORDS.findall(text.translate(_LOWER) if not text.isascii() else text.lower())
+    if not words:
+        return np.zeros(0, np.uint64)
+    of = {w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) for w in set(words)}
+    values = np.fromiter(map(of.__getitem__, words), np.uint64, len(words))
+    width = min(size, len(values))
+    mixed = np.full(len(values) - width + 1, width, np.uint64)
+    for i in range(width):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + values[i : i + len(mixed)]
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(mixed ^ (mixed >> np.uint64(32)))
+
+
+def similar_groups(documents: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id``: groups of documents whose sets of ``shingle``-word shingles have so high a Jaccard similarity.
 
-    One fingerprint of 64 bits is too coarse for such a similarity, so ``tables`` of them (of distinct three-word shingles,
-    under seeds of their own) are indexed side by side. What is within ``distance`` bits in one of them and meets in one of its
-    ``segments`` is a candidate (surely so within ``2 * segments - 1`` bits), and the exact similarity of each candidate pair decides. Texts with equal fingerprints in all tables are one node, so copies
-    don't multiply; the texts of nodes without a candidate aren't read again. Sets are hashed to 32 bits.
+    An exact join, up to collisions of 64-bit hashes. Texts with equal sets are one node, so copies don't multiply. A set that is
+    similar to another lacks at most ``(1 - similarity)`` of its shingles there; so nodes of which more shingles (counted on those
+    that a fixed three eighths of all hashes pick) stand in no other row have no partner, and only the texts of the rest are read again.
+    Among these, shingles are ordered by frequency, rarest first: similar sets share one in their prefixes of
+    ``size - ceil(similarity * size) + 1``, and the sizes and places of the first that they share bound what they can have in common.
+    Nodes meet two leaders of each shingle first, and what that links is not compared again; then all pairs of a shingle that
+    no link joins yet. The exact similarity decides on every pair.
 
-    Null and empty texts are alike; ids may repeat (each row keeps its own text); a null id never names a group unless all
-    its ids are null, and a node all of whose ids are null has no links beyond it. An empty table gives an empty result.
+    Null and empty texts are alike; ids may repeat (each row keeps its own text) or be null (a null id never names a group unless all
+    its ids are null). An empty table gives an empty result.
     """
     rows = texts(documents, id_col, text_col)
+    least_shared = F.ceil(F.col("size") * similarity - 1e-9)
 
-    def prints(rows: dict) -> dict:
-        sets = [set(shingles(t, 3)) for t in rows["text"]]
-        return {"doc_id": rows["doc_id"], "fps": [[_signed(majority(s, SEED + t)) for t in range(tables)] for s in sets]}
+    def marked(rows: dict) -> dict:
+        import xxhash
+
+        sets = [shingle_set(t, shingle) for t in rows["text"]]
+        nodes = [_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets]
+        # 40 bits do here: a collision only makes a shingle seem shared.
+        return {"doc_id": rows["doc_id"], "node": nodes, "size": [len(s) for s in sets], "sample": [(s[s & np.uint64(7) < 3] >> np.uint64(24)).astype(np.int64) for s in sets]}
 
     def hashed(rows: dict) -> dict:
         import xxhash
 
-        out = [np.unique(np.fromiter((xxhash.xxh32_intdigest(p, SEED) for p in shingles(t, shingle)), np.uint32)).tobytes() for t in rows["text"]]
-        return prints(rows) | {"hashes": out}
+        sets = [shingle_set(t, shingle).tobytes() for t in rows["text"]]
+        return {"node": [_signed(xxhash.xxh64_intdigest(s, SEED)) for s in sets], "hashes": sets}
+
+    def spread(rows: dict) -> dict:
+        sets = [np.frombuffer(h, np.int64) for h in rows["hashes"]]
+        return {"node": np.repeat(np.array(rows["node"], np.int64), [len(s) for s in sets]), "h": np.concatenate([np.zeros(0, np.int64), *sets])}
 
     def alike(rows: dict) -> dict:
         held = []
         for a, b in zip(rows["left"], rows["right"]):
-            a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
             # Both are sorted sets: the smaller one is looked up in the larger.
             a, b = (a, b) if len(a) <= len(b) else (b, a)
             at = np.searchsorted(b, a)
@@ -159,23 +188,55 @@ def similar_groups(documents: DataFrame, similarity: float = 0.8, shingle: int =
         keep = np.array(held, bool)
         return {c: pa.array(rows[c], pa.int64()).filter(pa.array(keep)) for c in ("u", "v")}
 
-    found = written(batches(rows, prints, "doc_id long, fps array<long>"), "simhashes")
-    nodes = written(found.groupBy("fps").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "fingerprints")
-    pairs = written(meetings(nodes.select("node", "fps"), tables, distance, segments).distinct(), "candidates")
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    asked = nodes.hint("merge").join(asked.hint("merge"), "node", "left_semi").where("least IS NOT NULL")
-    again = rows.hint("merge").join(asked.select(F.col("least").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
-    # A repeated id may bring texts of other nodes; the fingerprints tell them apart.
-    own = batches(again, hashed, "doc_id long, fps array<long>, hashes binary")
-    named = asked.select("node", F.col("least").alias("doc_id"), "fps")
-    sets = written(own.hint("merge").join(named.hint("merge"), ["doc_id", "fps"]).groupBy("node").agg(F.min("hashes").alias("hashes")), "shingles")
-    left, right = (sets.select(F.col("node").alias(n), F.col("hashes").alias(side)) for n, side in (("u", "left"), ("v", "right")))
-    both = pairs.hint("merge").join(left.hint("merge"), "u").hint("merge").join(right.hint("merge"), "v").select("u", "v", "left", "right")
-    reached = components(batches(both, alike, "u long, v long"), "near")
-    parts = nodes.hint("merge").join(reached.hint("merge"), "node", "left").select("fps", "least", F.coalesce("component", "node").alias("part"))
+    found = written(batches(rows, marked, "doc_id long, node long, size long, sample array<long>"), "marked")
+    once = found.select("node", F.explode("sample").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    lone = once.groupBy("node").agg(F.count("*").alias("lone"))
+    nodes = found.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("size").alias("size"))
+    nodes = written(nodes.hint("merge").join(lone.hint("merge"), "node", "left"), "nodes")
+    asked = nodes.where((F.col("size") > 0) & (F.coalesce("lone", F.lit(0)) <= F.col("size") - least_shared))
+    named = rows.where("doc_id IS NOT NULL").hint("merge").join(asked.select(F.col("least").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    # A repeated id may bring texts of other nodes, and rows without an id are all read; the nodes tell them apart.
+    own = batches(named.unionByName(rows.where("doc_id IS NULL")), hashed, "node long, hashes binary")
+    sets = written(own.hint("merge").join(asked.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.min("hashes").alias("hashes")), "shingles")
+
+    tokens = batches(sets, spread, "node long, h long")
+    shared = tokens.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    held = tokens.hint("merge").join(shared.hint("rebalance").hint("merge"), "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("held"))
+    held = held.hint("merge").join(sets.select("node", (F.length("hashes") / 8).cast("long").alias("size")).hint("merge"), "node")
+    # Shingles of one node alone come first in the order.
+    held = held.withColumn("alone", F.col("size") - F.size("held")).withColumn("prefix", F.col("size") - least_shared + 1 - F.col("alone")).where("prefix > 0")
+    entries = held.select("node", "size", "alone", F.posexplode(F.slice("held", F.lit(1), F.col("prefix").cast("int"))).alias("place", "token"))
+    entries = written(entries.select(F.col("token.h").alias("h"), "node", "size", (F.col("size") - F.col("alone") - F.col("place")).alias("room")), "prefixes")
+
+    def possible(size: str, room: str, of: str, room_of: str) -> Column:
+        sizes = F.least(size, of) + 1e-9 >= similarity * F.greatest(size, of)
+        return sizes & (F.least(room, room_of) * (1 + similarity) + 1e-6 >= similarity * (F.col(size) + F.col(of)))
+
+    def linked(pairs: DataFrame, label: str) -> DataFrame:
+        pairs = written(pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct(), "candidates")
+        left, right = (sets.select(F.col("node").alias(n), F.col("hashes").alias(side)) for n, side in (("u", "left"), ("v", "right")))
+        both = pairs.hint("merge").join(left.hint("merge"), "u").hint("merge").join(right.hint("merge"), "v").select("u", "v", "left", "right")
+        return written(batches(both, alike, "u long, v long"), label)
+
+    leaders = [F.min_by(F.struct(F.col("node").alias("other"), F.col("size").alias("of"), F.col("room").alias("room_of")), F.xxhash64("node", F.lit(r))) for r in range(2)]
+    led = entries.groupBy("h").agg(F.array(*leaders).alias("leaders"), F.count("*").alias("n")).where("n > 1").select("h", "leaders")
+    led = entries.hint("merge").join(led.hint("rebalance").hint("merge"), "h").select("node", "size", "room", F.inline("leaders"))
+    links = linked(led.where((F.col("node") != F.col("other")) & possible("size", "room", "of", "room_of")), "led")
+
+    reached = components(links, "near")
+    parted = entries.hint("merge").join(reached.hint("merge"), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    parted = written(parted, "parted")
+    mixed = parted.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("h")
+    parted = parted.hint("merge").join(mixed.hint("merge"), "h", "left_semi")
+    others = parted.select("h", F.col("node").alias("other"), F.col("size").alias("of"), F.col("room").alias("room_of"), F.col("part").alias("part_of"))
+    apart = (F.col("node") < F.col("other")) & (F.col("part") != F.col("part_of"))
+    rest = parted.hint("merge").join(others.hint("merge"), "h").where(apart & possible("size", "room", "of", "room_of"))
+    reached = components(links.union(linked(rest, "rest")), "near")
+
+    parts = nodes.hint("merge").join(reached.hint("merge"), "node", "left").select("node", "least", F.coalesce("component", "node").alias("part"))
     least = parts.groupBy("part").agg(F.min("least").alias("component_id"))
-    groups_of = parts.select("fps", "part").hint("merge").join(least.hint("rebalance").hint("merge"), "part").select("fps", "component_id")
-    return found.hint("merge").join(groups_of.hint("merge"), "fps").select("doc_id", "component_id")
+    groups_of = parts.select("node", "part").hint("merge").join(least.hint("rebalance").hint("merge"), "part").select("node", "component_id")
+    return found.select("doc_id", "node").hint("merge").join(groups_of.hint("merge"), "node").select("doc_id", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:

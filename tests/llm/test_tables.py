@@ -191,6 +191,31 @@ def test_similar_groups_recall(spark):
     assert sum(part[a] == part[b] for a, b in linked) >= 0.9 * len(linked)
 
 
+@pytest.mark.parametrize("edit", ["appended", "truncated", "replaced"])
+def test_similar_groups_finds_every_pair(spark, edit):
+    """Copies at a similarity of 0.8 to 0.9, by kind of edit: all are linked to their originals, with ids or without, and no others."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for n in [50] * 60 + [200] * 60 + [1000] * 20:
+        words = [f"w{x}" for x in rng.integers(0, 5000, n)]
+        cut = int((n - 4) * rng.uniform(0.12, 0.2))
+        if edit == "appended":
+            copy = words + [f"x{x}" for x in rng.integers(0, 5000, int(cut * 1.2))]
+        elif edit == "truncated":
+            copy = words[:-cut]
+        else:
+            copy = list(words)
+            for at in range(2, 2 + 5 * max(1, cut // 11), 5):
+                copy[at] = "x"
+        texts += [" ".join(words), " ".join(copy)]
+    sets = shingle_sets(texts)
+    similar = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert sum(similar) > 80
+    rows = [(n, t) for n, t in enumerate(texts)]
+    part = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [part[2 * n + 1] == 2 * n for n in range(len(similar))] == similar
+
+
 def test_machine_uses_the_identity():
     m = quality.Machine(seed=3)
     m.w[:] = np.random.default_rng(0).normal(size=m.w.shape)
