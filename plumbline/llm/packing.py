@@ -179,7 +179,8 @@ def fill(gaps: DataFrame, fillers: DataFrame, size: int) -> DataFrame:
                 break
             places.append((sequence, used, gap))
             over -= gap
-        fresh = int(stock["slot"].min()) * 4 + 2 if len(stock) else 0
+        # Numbered by group: a group may make more sequences than lie between its slots and another group's.
+        fresh = (int(stock["deal"].iloc[0]) << 24) * 4 + 2 if len(stock) else 0
         while over:
             room = size if over >= size else 1 << (over.bit_length() - 1)
             places.append((fresh, 0, room))

@@ -203,6 +203,23 @@ def test_packing_wastes_little(spark, library):
     assert check_packing(rows, want) < 0.01
 
 
+def test_fillers_of_groups_share_no_sequence(spark):
+    """Two groups whose slots lie 16 apart, with more fresh sequences each than that."""
+    row = lambda slot, deal: (slot, 0, 2000, 2000, slot, bytearray(8000), deal)
+    stock = [row(16 * n, 0 if n % 2 else 1) for n in range(80)]
+    fillers = spark.createDataFrame(stock, "doc_id long, start long, length int, doc_tokens long, slot long, ids binary, deal long")
+    gaps = spark.createDataFrame([], "sequence_id long, used long, gap long, deal long")
+    by_sequence = {}
+    for r in packing.fill(gaps, fillers, 2048).collect():
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in by_sequence.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_cutting_stock_is_exact_and_near_the_bound(seed):
     rng = np.random.default_rng(seed)
