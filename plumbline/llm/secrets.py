@@ -18,7 +18,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Where a credential may stand: a name, a separator, then a value without blanks or quotes.
 CONTEXT = re.compile(r"""(?ai)(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|secret|auth)[_-]?(?:key|token)|client[_-]?secret|bearer)["']?\s{0,4}(?:[:=]{1,2}|=>)\s{0,4}["']?([^\s"'<>]{8,})""")
-USERINFO = re.compile(r"(?a)://[^\s/:@]{1,256}:([^\s/@]{8,256})@")
+#: A password before a host, of any length, with or without a user. Both stretches end at a slash at the latest, so that scanning is linear.
+USERINFO = re.compile(r"(?a)://[^\s/:@]*+:([^\s/@]{8,}+)@")
 #: Guesses, as a power of ten, from which a value counts as a secret.
 THRESHOLD = 10.0
 #: Frequent words of passwords, most frequent first.

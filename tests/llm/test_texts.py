@@ -106,6 +106,19 @@ def brute_license(text):
     return len(words), len(places), min(starts, default=None), max(starts, default=None), sorted({label for _, label in places})
 
 
+@pytest.mark.parametrize("user, password", [("user", "eyJhbGciOi9." + "aB3xQ9zK7m" * 40), ("", "g7KqX2vLw9pTz4Rb"), ("u" * 300, "g7KqX2vLw9pTz4Rb")])
+def test_passwords_in_urls(user, password):
+    text = f"see redis://{user}:{password}@host/0 and http://a:b/c"
+    start = text.index(password)
+    assert (start, 3, start + len(password)) in secrets.find_secrets(text)
+    assert password not in secrets.redact(text, secrets.find_secrets(text))
+
+
+def test_urls_are_scanned_in_linear_time():
+    for text in ("://" * 200_000, "://" + ":" * 400_000, "://a:" + "b" * 400_000):
+        assert not secrets.USERINFO.search(text)
+
+
 @given(st.lists(st.sampled_from(["gnu", "General", "public", "license", "apache", "CC", "by", "mit", "MIT License", "é", "😀", "1.0"]), max_size=25), st.sampled_from([" ", "-", "\n", ". "]))
 @settings(max_examples=200, deadline=None)
 def test_license_base(words, glue):
