@@ -13,15 +13,18 @@ from pyspark.sql import types as T
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, so that a batch of long texts fits beside the others in a Python worker."""
+    """Small Arrow batches, in rows and in bytes, so that a batch of long texts fits beside the others in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return spark
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``; on one machine, one of our own where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/plumbline-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return root
@@ -76,9 +79,9 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
 
     ``edges`` has columns ``u`` and ``v`` of one orderable type; loops and nulls are ignored. Alternates the
     large-star and small-star steps of Kiveris et al. (2014): each round sends every node's larger neighbours, and
-    then its smaller ones, to the smallest node it knows, until nothing changes. The minimum is a map-side
+    then its smaller ones, to the smallest node it knows, until only stars are left. The minimum is a map-side
     aggregate joined back, so that a hub's neighbours aren't gathered into one task. Every round is written to the
-    shared folder; nothing but two counts reaches the driver.
+    shared folder; nothing but the test for stars, one row, reaches the driver.
     """
 
     def stars(pairs: DataFrame, large: bool) -> DataFrame:
@@ -93,14 +96,16 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
             out = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.where("u <> m").select("u", F.col("m").alias("v")))
         return out.where("u <> v").distinct()
 
+    def settled(pairs: DataFrame) -> bool:
+        """True for a forest of stars: no node has two centres, and none with a centre is one. A further round changes nothing then."""
+        ends = pairs.select("u", F.lit(1).alias("held"), F.lit(0).alias("centre")).union(pairs.select("v", F.lit(0), F.lit(1)))
+        per = ends.groupBy("u").agg(F.sum("held").alias("held"), F.max("centre").alias("centre"))
+        return per.where("held > 1 OR held = 1 AND centre = 1").isEmpty()
+
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     now = written(now, label)
-    before = None
-    while True:
-        mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0))).first()
-        if mark == before or mark[0] == 0:
-            break
-        last, before = now, mark
+    while not settled(now):
+        last = now
         now = written(stars(stars(last, True), False), label)
         discard(last)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

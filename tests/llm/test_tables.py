@@ -169,6 +169,7 @@ def test_similar_groups(spark):
     assert len(set(root)) < len(texts) - 20
     want = sorted((str(i), str(ids[r])) for i, r in zip(ids, root))
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == want
+    assert {r.component_id for r in got} == {r.doc_id for r in got if r.kept}
     assert simhash.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -216,6 +217,29 @@ def test_similar_groups_finds_every_pair(spark, edit):
     assert [part[2 * n + 1] == 2 * n for n in range(len(similar))] == similar
 
 
+@pytest.mark.parametrize("base", [True, False])
+def test_similar_groups_of_many_edits(spark, base):
+    """Copies of one text with two edits each: all like the text, few like one another; ids null, repeated or given."""
+    rng = np.random.default_rng(11)
+    words = [f"w{x}" for x in rng.integers(0, 9000, 150)]
+    texts = [" ".join(words)] * base
+    for i in range(60):
+        copy = list(words)
+        for at in rng.choice(150, 2 if i % 3 else 3, replace=False):
+            copy[at] = f"e{rng.integers(1 << 30)}"
+        texts.append(" ".join(copy))
+    ids = [None if i % 7 == 3 else 40 if i % 11 == 5 else 100 + i for i in range(len(texts))]
+    sets = shingle_sets(texts)
+    root = groups_of(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    order = lambda i: (ids[i] is None, ids[i] or 0)
+    least = {r: min((i for i in range(len(texts)) if root[i] == r), key=order) for r in set(root)}
+    got = simhash.similar_groups(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted((str(ids[i]), str(ids[least[root[i]]])) for i in range(len(texts)))
+    assert sum(r.kept for r in got) == len(set(root))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in zip(ids, texts)] + [(None, texts[0], "en", "s", 1)] * 3, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, SF).count() == len(set(root))
+
+
 def test_machine_uses_the_identity():
     m = quality.Machine(seed=3)
     m.w[:] = np.random.default_rng(0).normal(size=m.w.shape)
@@ -252,7 +276,8 @@ def test_pipeline(spark):
         if name == "near_duplicates":
             assert docs.count() < before.count() and docs.groupBy("doc_id").count().where("count > 1").isEmpty()
             kept = {r.doc_id for r in docs.collect()}
-            assert kept == {r.doc_id for r in simhash.similar_groups(before).collect() if r.doc_id == r.component_id} | (kept & {None})
+            groups = simhash.similar_groups(before).collect()
+            assert kept == {r.doc_id for r in groups if r.kept} and docs.count() == len({r.component_id if r.component_id is not None else r.text_hash for r in groups})
         if name == "secrets":
             assert docs.count() == before.count()
             assert not [r for r in docs.collect() if r.text and "g7Kq" in r.text]
