@@ -27,21 +27,27 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies (0.8 of their five-word shingles or more): the one with the smallest id.
 
-    Of rows that repeat an id and text one stays. Rows without an id stay once per text.
+    Rows without an id are linked like others, and one of them stays where its group has no id. Rows are told apart by id and text;
+    of rows that repeat both one stays.
     """
     docs = docs.select(*COLUMNS)
-    first = written(simhash.similar_groups(session_docs(spark, docs)).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    kept = docs.hint("merge").join(first.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
-    repeated = first.where("n > 1").select("doc_id")
-    if not repeated.isEmpty():
-        once = kept.hint("merge").join(repeated.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.hint("merge").join(repeated.hint("merge"), "doc_id", "left_anti").select(*COLUMNS).unionByName(once)
-    nameless = docs.where("doc_id IS NULL")
-    return kept if nameless.isEmpty() else kept.unionByName(nameless.dropDuplicates(["text"]))
+    first = written(simhash.similar_groups(session_docs(spark, docs)).where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")), "kept")
+    keyed = docs.withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+    def of(keys: DataFrame) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("id"), "text_hash").hint("merge")
+        return keyed.hint("merge").join(keys, (F.col("hash") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+
+    kept = of(first.where("n = 1")).select(*COLUMNS)
+    repeated = first.where("n > 1")
+    return kept if repeated.isEmpty() else kept.unionByName(of(repeated).dropDuplicates(["doc_id", "hash"]).select(*COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret span replaced by a mark, and their new length."""
+    """All documents, with every secret span replaced by a mark, and their new length.
+
+    A null text stays null and keeps its ``n_chars``; other columns are as they were, null or not.
+    """
 
     @F.pandas_udf("string")
     def redacted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -53,13 +59,16 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Null sources are one source, the last; null and empty texts have size 0 and are taken at their source's rate.
+    """
     mixed = mixing.mix(session_docs(spark, docs), keep=("text", "lang", "n_chars")).where("copies > 0")
     return mixed.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).select(*COLUMNS)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of the documents' tokens."""
+    """Sequences of the documents' tokens; a null text is the end mark alone, and ids may be null."""
     return packing.pack(session_docs(spark, docs))
 
 
@@ -69,7 +78,7 @@ def session_docs(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 STAGES = [("quality", keep_quality), ("near_duplicates", drop_near_duplicates), ("secrets", redact_secrets), ("mix", mix_sources), ("pack", pack_documents)]
-#: Not expressible in SQL: a fitted model, XXH64 fingerprints and a tokenizer.
+#: Not expressible in SQL: a fitted model, shingle sets and a tokenizer.
 ORACLE_SQL = None
 
 
