@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+from bisect import bisect_right
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import batches, texts
@@ -16,20 +16,21 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Where a credential may stand: a name, a separator, then a value without blanks or quotes.
-CONTEXT = re.compile(r"""(?ai)(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|secret|auth)[_-]?(?:key|token)|client[_-]?secret|bearer)["']?\s{0,4}(?:[:=]{1,2}|=>)\s{0,4}["']?([^\s"'<>]{8,})""")
+_NAMES = r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|secret|auth)[_-]?(?:key|token)|client[_-]?secret|bearer)["']?\s{0,4}(?:[:=]{1,2}|=>)\s{0,4}["']?"""
+#: Where a credential may stand: a name, a separator, then a value without blanks or quotes that isn't a variable's name.
+CONTEXT = re.compile(rf"""(?ai)(?<![a-z0-9]){_NAMES}((?![$%{{])[^\s"'<>]{{8,}})""")
 #: A password before a host, of any length, with or without a user. Both stretches end at a slash at the latest, so that scanning is linear.
 USERINFO = re.compile(r"(?a)://[^\s/:@]*+:([^\s/@]{8,}+)@")
 #: Guesses, as a power of ten, from which a value counts as a secret.
 THRESHOLD = 10.0
-#: Frequent words of passwords, most frequent first.
-WORDS = (
+#: Frequent words of passwords, most frequent first: they come before a dictionary's words.
+PASSWORDS = (
     "password admin welcome login letmein secret master dragon monkey shadow sunshine princess football baseball superman batman "
     "test user guest root default change changeme temp pass hello love summer winter spring autumn monday friday january march "
     "example sample demo your here token key value string none null true false dummy placeholder redacted xxxx company office"
 ).split()
-_RANKS = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+#: Words of a dictionary at most (it is broadcast), and the lengths of words that it may hold.
+MAX_WORDS, SHORTEST, LONGEST = 100_000, 3, 20
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
 _NEXT = {(row[i], row[j]) for row in _ROWS for i in range(len(row)) for j in (i - 1, i + 1) if 0 <= j < len(row)}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._](?:0[1-9]|1[0-2])[-/._](?:19|20)\d\d")
@@ -37,12 +38,35 @@ _LEET = str.maketrans("430157$@", "aeoistsa")
 _SWITCH = math.log10(2)
 
 
+def frequent_words(documents: DataFrame, n: int = MAX_WORDS, text_col: str = "text") -> list[str]:
+    """The ``n`` most frequent words of all ``documents``, most frequent first, but for values that stand in credential contexts.
+
+    A word that people write often is guessed early, whatever the language. Counting is a map-side aggregate over all texts;
+    ``n`` bounds what reaches the driver. Null texts have no words.
+    """
+    bare = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), rf"""(?i){_NAMES}[^\s"'<>]+""", " ")
+    words = documents.select(F.explode(F.split(F.lower(bare), r"[^\p{L}]+", -1)).alias("word")).where(F.length("word").between(SHORTEST, LONGEST))
+    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(n)
+    return [r["word"] for r in top.select("word").collect()]
+
+
+def dictionary(words: list[str]) -> dict[str, float]:
+    """Powers of ten of guesses by word: those of passwords first, then ``words``, most frequent first."""
+    if len(words) > MAX_WORDS:
+        raise ValueError(f"{len(words)} words; a broadcast dictionary takes {MAX_WORDS} at most")
+    known = dict.fromkeys([*PASSWORDS, *(w for w in map(str.lower, words) if SHORTEST <= len(w) <= LONGEST)])
+    return {w: math.log10(i + 1) for i, w in enumerate(known)}
+
+
+_OWN = dictionary([])
+
+
 def _cardinality(value: str) -> int:
     sizes = ((str.isdigit, 10), (str.islower, 26), (str.isupper, 26))
     return sum(n for test, n in sizes if any(map(test, value))) + 33 * any(not c.isalnum() for c in value)
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+def guess_cost(value: str, words: dict[str, float] = _OWN) -> tuple[float, list[tuple[str, int, int]]]:
     """Least power of ten of guesses over all segmentations of ``value``, and the segments ``(kind, start, end)``.
 
     Dynamic programming over end positions. A segment is a known word (also with digits for letters), a date, a
@@ -50,7 +74,10 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     ones are merged); each change of segment costs a factor of two. Time is linear in the length of the value.
     """
     n, low = len(value), value.lower()
+    if len(low) != n:  # a letter whose lower case is longer: such letters stay as they are
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(_LEET)
+    forms = ((low, 0.0),) if plain == low else ((low, 0.0), (plain, 0.5))
     each = math.log10(max(2, _cardinality(value)))
     best = [0.0] + [math.inf] * n
     back: list[tuple[str, int]] = [("", 0)] * (n + 1)
@@ -68,10 +95,10 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
                 dates.setdefault(end, []).append(i)
     for end in range(1, n + 1):
         offer("brute", end - 1, end, each)
-        for start in range(max(0, end - _LONGEST), end - 3):
-            for form, extra in ((low, 0.0), (plain, 0.5)):
-                if rank := _RANKS.get(form[start:end]):
-                    offer("word", start, end, math.log10(rank) + extra + (0.5 if value[start:end] != low[start:end] else 0.0))
+        for start in range(max(0, end - LONGEST), end - SHORTEST + 1):
+            for form, extra in forms:
+                if (rank := words.get(form[start:end])) is not None:
+                    offer("word", start, end, rank + extra + (0.5 if value[start:end] != low[start:end] else 0.0))
         for start in dates.get(end, ()):
             offer("date", start, end, math.log10(365 * 100))
         if end > 1:
@@ -94,25 +121,22 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     return best[n], out[::-1]
 
 
-def unguessable(value: str) -> bool:
-    """Costly to guess, and with a brute-force span of mixed kinds of characters (a plain unknown word is no secret)."""
-    cost, segments = guess_cost(value)
-    mixed = lambda s: any(c.isdigit() for c in s) + any(c.islower() for c in s) + any(c.isupper() for c in s) + any(not c.isalnum() for c in s) > 1
-    return cost >= THRESHOLD and any(kind == "brute" and end - start >= 4 and mixed(value[start:end].strip(".,;:!?*#%&$")) for kind, start, end in segments)
+def find_secrets(text: str, words: dict[str, float] = _OWN) -> list[tuple[int, int, int]]:
+    """``(start, kind number, end)`` in code points, sorted; kinds as in KINDS. Time is linear in the length of the text.
 
-
-def find_secrets(text: str) -> list[tuple[int, int, int]]:
-    """``(start, kind number, end)`` in code points, sorted; kinds as in KINDS."""
+    A value in a credential context that no fixed pattern holds is a secret if guessing it costs THRESHOLD or more.
+    """
     found = []
     if ":" in text or "=" in text:
-        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
-        held = {(m[0], m[2]) for m in found}
-        taken = sorted(held)
+        taken = [(m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+        found += [(a, 0, b) for a, b in taken]
+        starts = [a for a, _ in taken]  # ascending, and the spans don't overlap
         for pattern in (CONTEXT, USERINFO):
             for m in pattern.finditer(text):
                 value = m[1].rstrip(".,;:!?)]}")
                 start, end = m.start(1), m.start(1) + len(value)
-                if len(value) >= 8 and unguessable(value) and not any(a <= start and end <= b for a, b in taken):
+                before = bisect_right(starts, start) - 1
+                if len(value) >= 8 and not (before >= 0 and end <= taken[before][1]) and guess_cost(value, words)[0] >= THRESHOLD:
                     found.append((start, 3, end))
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
@@ -135,25 +159,27 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]")
     return "".join(out) + text[at:]
 
 
-def secret_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", redacted: bool = False) -> DataFrame:
+def secret_spans(documents: DataFrame, words: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", redacted: bool = False) -> DataFrame:
     """Secrets of every whole text as ``spans array<struct<kind,start,end>>``, in one narrow pass.
 
-    Offsets are code points, end exclusive. With ``redacted``, also the text without them. Null and empty texts have
-    no spans. Ids may be null or repeat; extra columns are not read.
+    ``words`` is a ranked dictionary, most frequent first (``frequent_words`` if not given); it is broadcast, and more than
+    MAX_WORDS raise. Offsets are code points, end exclusive. With ``redacted``, also the text without them. Null and empty texts have
+    no spans. Ids may be null or repeat; extra columns are not read; an empty table gives an empty result.
     """
     schema = "doc_id long, spans array<struct<kind: string, start: long, end: long>>" + ", text string" * redacted
+    known = documents.sparkSession.sparkContext.broadcast(dictionary(frequent_words(documents, text_col=text_col) if words is None else words))
 
     def run(rows: dict) -> dict:
-        found = [find_secrets(t) for t in rows["text"]]
+        found = [find_secrets(t, known.value) for t in rows["text"]]
         out = {"doc_id": rows["doc_id"], "spans": [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans] for spans in found]}
         return out | ({"text": [redact(t, spans) for t, spans in zip(rows["text"], found)]} if redacted else {})
 
     return batches(texts(documents, id_col, text_col), run, schema)
 
 
-def secret_digest(documents: DataFrame) -> DataFrame:
+def secret_digest(documents: DataFrame, words: list[str] | None = None) -> DataFrame:
     """Counts by kind, the hash of the fixed patterns' spans, and all spans as text."""
-    spans = secret_spans(documents)
+    spans = secret_spans(documents, words)
     kind = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     return spans.select("doc_id", kind("assign").alias("n_assign"), kind("access").alias("n_access"), kind("hex").alias("n_hex"), F.sha2(said(F.filter("spans", lambda s: s["kind"] != "guess")), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))

@@ -64,8 +64,8 @@ def brute_cost(value):
                 if all((a, b) in secrets._NEXT for a, b in zip(part, part[1:])):
                     cost = min(cost, math.log10(47 * len(part)) + secrets._SWITCH)
             for form, extra in ((part, 0.0), (part.translate(secrets._LEET), 0.5)):
-                if len(form) >= 4 and form in secrets._RANKS:
-                    cost = min(cost, math.log10(secrets._RANKS[form]) + extra + (0.5 if value[start:end] != part else 0.0) + secrets._SWITCH)
+                if form in secrets._OWN:
+                    cost = min(cost, secrets._OWN[form] + extra + (0.5 if value[start:end] != part else 0.0) + secrets._SWITCH)
             if re.fullmatch(secrets._DATE, value[start:end]) and (end - start == 4 or end == secrets._DATE.match(value, start).end()):
                 cost = min(cost, math.log10(36500) + secrets._SWITCH)
             best[end] = min(best[end], best[start] + cost)
@@ -91,9 +91,34 @@ def test_secrets_table(docs):
     assert secrets.secret_digest(docs.limit(0)).count() == 0
 
 
-def test_method_finds_more_and_spares_plain_words():
-    assert secrets.spelled(secrets.find_secrets('pwd: "g7Kq-99zL!pw3"')) == "guess:6:19"
-    assert secrets.find_secrets("the password is simple; pass: thereheing, pwd=password2019") == []
+def test_cost_alone_decides():
+    words = secrets.dictionary(["there", "hering", "contraseña", "biblioteca"])
+    found = lambda text: secrets.spelled(secrets.find_secrets(text, words))
+    assert found('pwd: "g7Kq-99zL!pw3"') == "guess:6:19"
+    assert found("the password is simple; pass: therehering, pwd=password2019") == ""
+    assert found("pwd: contraseña, pwd: Bibl1oteca, pwd: ${PASSWORD_OF_THE_SERVICE}") == ""
+    letters = "qkzvwxjmrtbnlpdhgfscyeaouiqkzvwxjmrtbnlp"
+    assert found(f"pwd: {letters}") == "guess:5:45" and secrets.guess_cost(letters, words)[0] > 30
+    assert found("pwd: İİİİ" + letters) == "guess:5:49"
+    with pytest.raises(ValueError):
+        secrets.dictionary(["word"] * (secrets.MAX_WORDS + 1))
+
+
+def test_secrets_of_long_texts_take_linear_time():
+    import time
+
+    took = time.time()
+    assert len(secrets.find_secrets("password=abcdefghij " * 50_000)) == 50_000
+    assert len(secrets.find_secrets("pwd: " + "aB3x" * 25_000)) == 1
+    assert time.time() - took < 8
+
+
+def test_frequent_words(spark):
+    rows = spark.createDataFrame([("the cat sat; pwd: zzzzqqqq zzzzqqqq",), ("The cat. password=\"zzzzqqqq\" pwd: zzzzqqqq",), (None,), ("",)], "text string")
+    assert secrets.frequent_words(rows, 3) == ["cat", "the", "sat"]
+
+
+def test_redaction():
     text = "x password=b7db7aa4a5fcc78305 y"
     assert secrets.redact(text, secrets.find_secrets(text)) == "x [SECRET] y"
 
