@@ -49,10 +49,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null text stays null and keeps its ``n_chars``; other columns are as they were, null or not.
     """
 
+    known = spark.sparkContext.broadcast(secrets.dictionary(secrets.frequent_words(session_docs(spark, docs))))
+
     @F.pandas_udf("string")
     def redacted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series([t if t is None else secrets.redact(t, secrets.find_secrets(t)) for t in part], dtype=object)
+            yield pd.Series([t if t is None else secrets.redact(t, secrets.find_secrets(t, known.value)) for t in part], dtype=object)
 
     clean = session_docs(spark, docs).select("doc_id", redacted("text").alias("text"), "lang", "source", "n_chars")
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
