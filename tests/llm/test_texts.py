@@ -123,6 +123,9 @@ def test_redaction():
     assert secrets.redact(text, secrets.find_secrets(text)) == "x [SECRET] y"
 
 
+LICENCES = licenses.Licences()
+
+
 def brute_license(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
@@ -148,17 +151,103 @@ def test_urls_are_scanned_in_linear_time():
 @settings(max_examples=200, deadline=None)
 def test_license_base(words, glue):
     text = glue.join(words)
-    got = licenses.scan(text)
+    got = LICENCES.scan(text)
     assert (got["n_words"], got["n_base"], got["first_word"], got["last_word"], got["base_labels"]) == brute_license(text)
     assert set(got["base_labels"]) <= set(got["labels"]) and 0 <= got["score"] <= 1
 
 
-@pytest.mark.parametrize(("text", "names", "value"), [("MIT", {"mit"}, 1.0), ("MIT OR GPL-3.0-only", {"mit", "gpl"}, 1.0), ("MIT AND GPL-3.0-only", {"mit", "gpl"}, 0.2), ("GPL-2.0 WITH Classpath-exception-2.0 AND (MIT OR X-1)", {"gpl", "mit", "x-1"}, 0.4), ("AND", set(), 0.0), ("MIT and more words here", {"mit", "more"}, 0.3)])
+@pytest.mark.parametrize(("text", "names", "value"), [("MIT", {"mit"}, 1.0), ("MIT OR GPL-3.0-only", {"mit", "gpl"}, 1.0), ("MIT AND GPL-3.0-only", {"mit", "gpl"}, 0.2), ("GPL-2.0 WITH Classpath-exception-2.0 AND (MIT OR ISC)", {"gpl", "mit", "isc"}, 0.4),
+    ("AND", set(), 0.0), ("MIT and more words here", {"mit"}, 1.0), ("Strange-1.0 OR MIT", {"other", "mit"}, 1.0), ("MIT OR (GPL-2.0 AND", {"mit"}, 1.0), ("(MIT AND GPL-2.0+) OR ISC)", {"mit", "gpl", "isc"}, 1.0),
+    ("MIT OR GPL-2.0 AND ISC WITH x", {"mit", "gpl", "isc"}, 1.0), ("GPL-2.0 WITH (x)", {"gpl"}, 0.2), ("(MIT", set(), 0.0), ("CC-BY-SA-4.0", {"cc-by-sa"}, 0.6)])
 def test_expressions(text, names, value):
-    got = licenses.evaluate(text)
+    got = LICENCES.evaluate(text)
     assert got[0] == names and got[1] == pytest.approx(value)
 
 
+def brute_expression(text):
+    """The longest leading run of tokens that a recursive-descent parser takes whole."""
+    tokens = re.findall(r"[()]|[A-Za-z0-9.+-]+", text)
+
+    def parse(end):
+        at = 0
+
+        def level(ops, below, join):
+            nonlocal at
+            value, names = below()
+            while at < end and tokens[at].lower() == ops:
+                at += 1
+                other, more = below()
+                value, names = join(value, other), names | more
+            return value, names
+
+        def atom():
+            nonlocal at
+            if at >= end:
+                raise ValueError
+            token, at = tokens[at], at + 1
+            if token == "(":
+                value, names = either()
+                if at >= end or tokens[at] != ")":
+                    raise ValueError
+                at += 1
+            elif token == ")" or token.lower() in ("and", "or", "with"):
+                raise ValueError
+            else:
+                name = LICENCES.family(token)
+                if name is None:
+                    raise ValueError
+                value, names = LICENCES.freedom[name], {name}
+            while at < end and tokens[at].lower() == "with":
+                if at + 1 >= end or tokens[at + 1] in "()" or tokens[at + 1].lower() in ("and", "or", "with"):
+                    raise ValueError
+                at, value = at + 2, min(1.0, value + licenses.EXCEPTION_BONUS)
+            return value, names
+
+        both = lambda: level("and", atom, min)
+        either = lambda: level("or", both, max)
+        out = either()
+        if at != end:
+            raise ValueError
+        return out
+
+    for end in range(len(tokens), 0, -1):
+        try:
+            value, names = parse(end)
+            return names, value
+        except ValueError:
+            pass
+    return set(), 0.0
+
+
+@given(st.lists(st.sampled_from(["MIT", "GPL-2.0", "ISC", "cc-by-4.0", "AND", "or", "WITH", "(", ")", "AND", "OR"]), max_size=12).map(" ".join))
+@settings(max_examples=500, deadline=None)
+def test_expressions_by_brute_force(text):
+    got, want = LICENCES.evaluate(text), brute_expression(text)
+    assert got[0] == want[0] and got[1] == pytest.approx(want[1])
+
+
+def test_long_licences_and_urls_take_linear_time():
+    import time
+
+    took = time.time()
+    for tail in ("(" * 100_000, "MIT OR " * 100_000, "(MIT OR " * 50_000, "MIT WITH x " * 50_000, "MIT SPDX-License-Identifier: " * 20_000, "word " * 200_000):
+        LICENCES.scan("SPDX-License-Identifier: " + tail)
+    assert LICENCES.evaluate("(" * 50_000 + "MIT" + ")" * 50_000) == ({"mit"}, 1.0)
+    trie = url_filter.UrlTrie(RULES)
+    for url in ("http://example.org/en/" + "1" * 1_000_000, "http://example.org/" + "a/" * 500_000, "http://" + "a." * 300_000 + "example.org/es/x", "http://example.org/es/" + "://" * 300_000):
+        assert trie.match(*url_filter.parts(url))[1] in ("allow", "block")
+    assert time.time() - took < 8
+
+
+def test_tables_of_licences():
+    with pytest.raises(ValueError):
+        licenses.Licences({"a notice": "nameless"})
+    with pytest.raises(ValueError):
+        licenses.Licences({str(i): "mit" for i in range(licenses.MAX_PHRASES)})
+    own = licenses.Licences({"house rules": "house"}, licenses.FREEDOM | {"house": 0.7})
+    assert own.scan("Under House-Rules; SPDX-License-Identifier: house-2 OR gpl-3.0")["labels"] == ["gpl", "house"]
+
+
 def test_license_table(docs):
     rows = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
     assert rows[4].base_labels == ["cc-by", "gpl", "mit"] and "apache" in rows[4].labels
