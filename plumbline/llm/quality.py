@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,16 +20,26 @@ SAMPLE = 12_000
 BUCKETS, FACTORS, PASSES, STEP_ROWS, RATE = 1 << 15, 8, 6, 128, 0.1
 # Bytes of letters and digits become one class each; all others stay.
 _SHAPE = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
-_RUNS = re.compile(rb"(a|A|0)\1+")
 STATISTICS = 16
+#: Features of the rows that are scored at once.
+TOGETHER = 16_000
+#: Words whose buckets a worker remembers; then it begins anew.
+REMEMBERED = 200_000
+_BUCKETS: dict[str, int] = {}
 
 
 def words_and_shapes(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text's words and word shapes, and their weights (logarithmic counts, of length one)."""
-    data = text.encode("utf-8", "surrogatepass")
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_SHAPE), np.uint8)
     found = Counter(text.lower().split())
-    shapes = Counter(_RUNS.sub(rb"\1", data.translate(_SHAPE)).split())
-    keys = [zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in found] + [zlib.crc32(b"shape " + s) % BUCKETS for s in shapes]
+    # Runs of one class of letters or of digits become one.
+    runs = (data[1:] == data[:-1]) & ((data[1:] == 97) | (data[1:] == 65) | (data[1:] == 48))
+    shapes = Counter(np.concatenate([data[:1], data[1:][~runs]]).tobytes().split())
+    if len(_BUCKETS) > REMEMBERED:
+        _BUCKETS.clear()
+    for w in found.keys() - _BUCKETS.keys():
+        _BUCKETS[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS
+    keys = [_BUCKETS[w] for w in found] + [zlib.crc32(b"shape " + s) % BUCKETS for s in shapes]
     if not keys:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     weights = 1 + np.log(np.fromiter((*found.values(), *shapes.values()), np.float64, len(keys)))
@@ -72,13 +81,27 @@ class Machine:
         scaled = np.clip((np.asarray(stats, np.float64) - self.mean) / self.scale, -3, 3) * 0.3
         return np.concatenate([keys, np.arange(BUCKETS, BUCKETS + STATISTICS)]), np.concatenate([weights, scaled])
 
-    def margin(self, i: np.ndarray, x: np.ndarray) -> float:
+    def margins(self, i: np.ndarray, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Margins of rows whose features lie end to end from ``starts``, and the terms that gradients need."""
         vx = self.v[i] * x[:, None]
-        total = vx.sum(0)
-        return float(self.bias[0] + self.w[i] @ x + 0.5 * (total @ total - (vx * vx).sum()))
-
-    def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.margin(*self.row(*words_and_shapes(text), statistics(text))), -35, 35))))
+        total = np.add.reduceat(vx, starts, axis=0)
+        return self.bias[0] + np.add.reduceat(self.w[i] * x, starts) + 0.5 * ((total**2).sum(1) - np.add.reduceat((vx**2).sum(1), starts)), vx, total
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Scores of many texts, some of them at a time, so that memory is bounded by TOGETHER and one text."""
+        out: list[np.ndarray] = [np.zeros(0)]
+        rows: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for n, text in enumerate(texts):
+            rows.append(self.row(*words_and_shapes(text), statistics(text)))
+            held += len(rows[-1][0])
+            if held >= TOGETHER or n == len(texts) - 1:
+                ends = np.cumsum([len(i) for i, _ in rows])
+                starts = np.concatenate([[0], ends[:-1]])
+                margin = self.margins(np.concatenate([i for i, _ in rows]), np.concatenate([x for _, x in rows]), starts)[0]
+                out.append(1 / (1 + np.exp(-np.clip(margin, -35, 35))))
+                rows, held = [], 0
+        return np.concatenate(out)
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 42) -> None:
         """Logistic loss by adaptive gradient steps over small batches, in an order that the seed fixes."""
@@ -96,9 +119,7 @@ class Machine:
                 starts = np.cumsum(sizes) - sizes
                 i, x = np.concatenate([data[r][0] for r in chosen]), np.concatenate([data[r][1] for r in chosen])
                 owner = np.repeat(np.arange(len(chosen)), sizes)
-                vx = self.v[i] * x[:, None]
-                total = np.add.reduceat(vx, starts, axis=0)
-                margin = self.bias[0] + np.add.reduceat(self.w[i] * x, starts) + 0.5 * ((total**2).sum(1) - np.add.reduceat((vx**2).sum(1), starts))
+                margin, vx, total = self.margins(i, x, starts)
                 error = 1 / (1 + np.exp(-np.clip(margin, -35, 35))) - y[chosen]
                 slope = error[owner] / len(chosen)
                 touched, place = np.unique(i, return_inverse=True)
@@ -131,22 +152,24 @@ def held_out(doc_id: Column) -> Column:
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
     """A fitted machine from ``labels.quality`` (0 or 1) of at most ``sample`` rows, none of them held out.
 
-    The sample's ids come from the labels alone, by hash order, and are broadcast (their number is the bound); features
-    are made where the texts are. One task fits the machine on these bounded rows and only its weights reach the driver.
+    The sample's ids come from the labels alone, by hash order, and are broadcast (their number is the bound). An id gives one row,
+    however often it is repeated: the least of its texts, by a map-side minimum, so no task gathers more than ``sample`` rows. One task
+    fits the machine on these and only its weights reach the driver.
     Ids with several labels count with the largest; null ids, and labels other than 0 and 1, are left out. Without labels of
     both classes, the machine's scores are their share (0.5 if there are none).
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", F.col("y").cast("int"))
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").cast("int").alias("y")).select("text", "y")
 
     def features(rows: dict) -> dict:
         made = [words_and_shapes(t) for t in rows["text"]]
         return {"keys": [k for k, _ in made], "weights": [w for _, w in made], "stats": [statistics(t) for t in rows["text"]], "y": rows["y"]}
 
     def train(made: pd.DataFrame) -> pd.DataFrame:
-        # Repeated ids may bring more rows than ids were drawn; the order makes reruns agree.
-        made = made.assign(order=[zlib.crc32(np.asarray(k).tobytes()) for k in made["keys"]]).sort_values(["order", "y"]).head(2 * sample)
+        # The order makes reruns agree.
+        made = made.assign(order=[zlib.crc32(np.asarray(k).tobytes()) for k in made["keys"]]).sort_values(["order", "y"])
         y = made["y"].to_numpy(np.float64)
         machine = Machine()
         if 0 < y.mean() < 1:
@@ -168,7 +191,7 @@ def score(model: bytes, text: Column, spark) -> Column:
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = Machine.load(held.value)
         for part in parts:
-            yield pd.Series([machine.score(t) for t in part], dtype="float64")
+            yield pd.Series(machine.scores(part.tolist()), dtype="float64")
 
     return scored(F.coalesce(text, F.lit("")))
 

@@ -245,10 +245,69 @@ def test_machine_uses_the_identity():
     m.w[:] = np.random.default_rng(0).normal(size=m.w.shape)
     i, x = np.array([3, 9, 40, quality.BUCKETS]), np.array([0.5, -1.0, 2.0, 0.3])
     slow = m.bias[0] + sum(m.w[a] * b for a, b in zip(i, x)) + sum(m.v[i[a]] @ m.v[i[b]] * x[a] * x[b] for a in range(4) for b in range(a))
-    assert m.margin(i, x) == pytest.approx(slow)
+    margin = lambda m: m.margins(i, x, np.array([0]))[0][0]
+    assert margin(m) == pytest.approx(slow)
     again = quality.Machine.load(m.dump())
-    assert again.margin(i, x) == pytest.approx(slow, abs=1e-4)
-
+    assert margin(again) == pytest.approx(slow, abs=1e-4)
+
+
+def test_scores_of_many_texts_are_those_of_each(monkeypatch):
+    texts = ["", "one", "Two words! " * 40, "x" * 10_000, "a 1 | b\n" * 30, " \n", "é😀 ÀB"] * 3
+    m = quality.Machine(seed=5)
+    m.w[:] = np.random.default_rng(1).normal(size=m.w.shape)
+    each = [float(m.scores([t])[0]) for t in texts]
+    for together in (1, 50, 10**6):
+        monkeypatch.setattr(quality, "TOGETHER", together)
+        assert m.scores(texts).tolist() == pytest.approx(each)
+    assert m.scores([]).tolist() == []
+
+
+def brute_fit(rows, y, seed=42):
+    """The machine's fit, row by row and pair by pair of features."""
+    m = quality.Machine()
+    stats = np.array([r[2] for r in rows])
+    m.mean, m.scale = stats.mean(0), np.maximum(stats.std(0), 1e-6)
+    share = np.clip(y.mean(), 0.01, 0.99)
+    m.bias[0] = math.log(share / (1 - share))
+    rng, past_w, past_v = np.random.default_rng(seed), np.full(m.w.shape, 1e-4), np.full(m.v.shape, 1e-4)
+    for _ in range(quality.PASSES):
+        order = rng.permutation(len(rows))
+        for at in range(0, len(order), quality.STEP_ROWS):
+            chosen, errors = order[at : at + quality.STEP_ROWS], []
+            gw, gv = np.zeros(m.w.shape), np.zeros(m.v.shape)
+            touched = set()
+            for r in chosen:
+                i, x = m.row(*rows[r])
+                margin = m.bias[0] + m.w[i] @ x + sum(m.v[i[a]] @ m.v[i[b]] * x[a] * x[b] for a in range(len(i)) for b in range(a))
+                errors.append(1 / (1 + math.exp(-margin)) - y[r])
+                for a in range(len(i)):
+                    gw[i[a]] += errors[-1] / len(chosen) * x[a]
+                    gv[i[a]] += errors[-1] / len(chosen) * x[a] * sum(m.v[i[b]] * x[b] for b in range(len(i)) if b != a)
+                    touched.add(int(i[a]))
+            t = sorted(touched)
+            gw[t] += 1e-6 * m.w[t]
+            gv[t] += 1e-5 * m.v[t]
+            past_w[t] += gw[t] ** 2
+            past_v[t] += gv[t] ** 2
+            m.w[t] -= quality.RATE * gw[t] / np.sqrt(past_w[t])
+            m.v[t] -= quality.RATE / 5 * gv[t] / np.sqrt(past_v[t])
+            m.bias[0] -= quality.RATE * 0.1 * np.mean(errors)
+    return m
+
+
+def test_fit_equals_pairs_of_features():
+    texts = ["good words here", "bad! bad! 99", "calm plain text of words", "!!! $$ 7 7 7", "more good words"]
+    rows = [(*quality.words_and_shapes(t), quality.statistics(t)) for t in texts]
+    y = np.array([1.0, 0.0, 1.0, 0.0, 1.0])
+    fast, slow = quality.Machine(), brute_fit(rows, y)
+    fast.fit(rows, y)
+    assert fast.w == pytest.approx(slow.w, abs=1e-9) and fast.v == pytest.approx(slow.v, abs=1e-9) and fast.bias[0] == pytest.approx(slow.bias[0])
+
+
+def test_quality_takes_one_row_of_a_repeated_id(spark):
+    docs = spark.createDataFrame([(0, f"text {i}", "x") for i in range(50)] + [(i, "good text" if i % 2 else "!! 99", "x") for i in range(2, 20)], "doc_id long, text string, y string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)] * 2, "doc_id long, quality int, toxic int")
+    assert quality.quality_scores(docs, labels).count() == 68
 
 def test_quality_on_held_out_rows(spark):
     sf = SF.replace("sf0.001", "sf0.01")
