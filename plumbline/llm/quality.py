@@ -37,8 +37,9 @@ def words_and_shapes(text: str) -> tuple[np.ndarray, np.ndarray]:
     shapes = Counter(np.concatenate([data[:1], data[1:][~runs]]).tobytes().split())
     if len(_BUCKETS) > REMEMBERED:
         _BUCKETS.clear()
-    for w in found.keys() - _BUCKETS.keys():
-        _BUCKETS[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS
+    for w in found:
+        if w not in _BUCKETS:
+            _BUCKETS[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS
     keys = [_BUCKETS[w] for w in found] + [zlib.crc32(b"shape " + s) % BUCKETS for s in shapes]
     if not keys:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
