@@ -45,31 +45,40 @@ def mix(documents: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), cap: float
     prefix sum of these, plus one random offset of the source, crosses an integer boundary once for each copy. The
     order within a source is by size class first, so that the words taken come near the target whatever the sizes.
 
-    A source may hold any share of the rows: ranks come from (source, size class, salt) groups of bounded size, whose
-    counts are summed over the groups before, and the number of salts follows the number of rows. The offset and salts are
-    MD5 hashes of the seed, source and id, so reruns agree. Null texts and those without words have size 0 and
-    take part; null sources form one source, the last; repeated rows are documents of their own; an empty table gives
-    an empty result. Columns of other names are not read.
+    A source, an id and a group of equal rows may hold any share of the rows: rows are dealt to (source, size class, salt), and
+    within these counted by (size, id, lot), a row of a written table each where they differ, and lots of equal rows where they don't.
+    Windows run over these counts, in groups of bounded size, and then over the rows of one lot. The number of salts and lots follows the
+    number of rows. The offset and salts are MD5 hashes of the seed, source and id, so reruns agree but for which of equal rows is taken.
+    Null texts and those without words have size 0 and take part; null sources form one source, the last; repeated rows and
+    ids are documents of their own; an empty table gives an empty result. Columns of other names are not read.
     """
     sized = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), *(F.col(c).alias(f"kept_{c}") for c in keep))
-    sized = written(sized, "sized")
+    sized = written(sized.withColumn("lot", F.monotonically_increasing_id()), "sized")
     totals = written(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sources")
     rows = totals.agg(F.sum("n")).first()[0] or 0
     salts = max(64, -(-rows // GROUP_ROWS))
     goals = written(targets(totals.select("source", "source_size"), list(weights), cap), "targets")
     discard(totals)
     # Size classes: four to a doubling, so sizes in a class differ by a fifth at most.
-    grouped = sized.withColumns({"class": F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 4)).otherwise(F.lit(-1)).cast("long"), "salt": F.pmod(unit_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(salts)), "source_key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))})
-    counts = grouped.groupBy("source_key", "class", "salt").agg(F.count("*").alias("n"), F.first("source").alias("source"))
+    id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    grouped = sized.withColumns({
+        "class": F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 4)).otherwise(F.lit(-1)).cast("long"), "salt": F.pmod(unit_hash(id_key), F.lit(salts)), "lot": F.pmod(F.xxhash64("lot"), F.lit(salts)),
+        "source_key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), "id_key": F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n")),
+    })
+    lots = grouped.groupBy("source_key", "class", "salt", "size", "id_key", "lot").agg(F.count("*").alias("n"), F.min("doc_id").alias("id"))
+    inside = Window.partitionBy("source_key", "class", "salt").orderBy("size", "id", "lot").rowsBetween(Window.unboundedPreceding, -1)
+    lots = lots.select("source_key", "class", "salt", "size", "id_key", "lot", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("within"))
+    counts = grouped.groupBy("source_key", "class", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source_key").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.pmod(unit_hash(F.concat(F.lit(f"{seed}:"), F.col("source_key"))), F.lit(65536)) / F.lit(65536.0)
     goals = goals.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("source_key"), "source_size", "target")
-    counts = counts.select("source_key", "class", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), offset.alias("offset")).join(goals.hint("shuffle_hash"), "source_key")
-    own = Window.partitionBy("source_key", "class", "salt").orderBy("size", "doc_id")
-    ranked = grouped.withColumn("rank", F.row_number().over(own)).join(counts.hint("merge"), ["source_key", "class", "salt"])
+    counts = counts.select("source_key", "class", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), offset.alias("offset")).hint("merge").join(goals.hint("merge"), "source_key")
+    lots = lots.hint("merge").join(counts.hint("merge"), ["source_key", "class", "salt"])
+    key = ["source_key", "class", "salt", "size", "id_key", "lot"]
+    ranked = grouped.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))).hint("merge").join(lots.hint("merge"), key)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = lambda k: F.floor(rate * k.cast("double") + F.col("offset"))
-    k = F.col("before") + F.col("rank")
+    k = F.col("before") + F.col("within") + F.col("rank")
     copies = F.least(crossed(k) - crossed(k - 1), F.ceil(F.lit(float(cap)))).cast("long")
     return ranked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *(F.col(f"kept_{c}").alias(c) for c in keep))
 

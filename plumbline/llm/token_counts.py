@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from plumbline.llm.common import arrow_schema, texts, written
 from plumbline.llm.tokens import default_path, encoder
 
-#: Characters of text from which a block of documents is closed.
-BLOCK_CHARS = 16_000_000
+#: Characters of text from which a block of documents is closed, and blocks whose rows of one pre-token meet in one task, on average.
+BLOCK_CHARS, MET_BLOCKS = 16_000_000, 2048
 _BLOCKS = "block long, pretokens array<string>, doc_id array<long>, n_bytes array<long>, sizes array<long>, places binary, counts binary"
 
 
@@ -65,10 +65,11 @@ def frequencies(rows: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> D
     return rows.mapInArrow(run, struct)
 
 
-def count_pieces(pretokens: DataFrame, path: str) -> DataFrame:
-    """Adds ``n``, the tokens of each row's pre-token, to rows ``(pretoken, block, place)`` dealt out by pre-token.
+def count_pieces(pretokens: DataFrame, path: str, lots: int = 1) -> DataFrame:
+    """Adds ``n``, the tokens of each row's pre-token, to rows ``(pretoken, block, place)`` dealt out by pre-token and lot of blocks.
 
-    Rows are sorted by pre-token within their partition, so equal ones meet, and the library sees each only once.
+    Rows are sorted by pre-token within their partition, so equal ones meet, and the library sees each only once in each lot. A
+    pre-token that every block holds has ``lots`` tasks.
     """
     struct = T._parse_datatype_string("block long, place int, n int")
     schema = arrow_schema(struct)
@@ -85,7 +86,7 @@ def count_pieces(pretokens: DataFrame, path: str) -> DataFrame:
                 last = (names[-1], int(n[-1]))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(n, type=pa.int32())], schema=schema)
 
-    dealt = pretokens.select("pretoken", "block", "place").repartition("pretoken").sortWithinPartitions("pretoken")
+    dealt = pretokens.select("pretoken", "block", "place").repartition("pretoken", F.pmod(F.xxhash64("block"), F.lit(lots))).sortWithinPartitions("pretoken")
     return dealt.mapInArrow(run, struct)
 
 
@@ -102,7 +103,7 @@ def token_counts(documents: DataFrame, path: str | None = None, limit: int = 204
     path = path or default_path()
     blocks = written(frequencies(texts(documents, id_col, text_col), path), "pretokens")
     pretokens = blocks.select("block", F.posexplode("pretokens").alias("place", "pretoken"))
-    counted = count_pieces(pretokens, path)
+    counted = count_pieces(pretokens, path, max(1, -(-blocks.count() // MET_BLOCKS)))
 
     def sums(sizes: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -55,6 +55,20 @@ def test_mix_is_near_its_targets(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_mix_of_repeated_ids_and_clashing_columns(spark):
+    rows = [(None, None, "a", 1, 2, "x", 0)] * 300 + [(7, "one two", "a", 1, 2, "x", 0)] * 300 + [(8, "three", "b", 1, 2, "x", 0)] * 10 + [(9, "four", None, 1, 2, "x", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, rank int, lot string, source_key int")
+    out = mixing.mix(df, keep=("text", "rank", "lot")).collect()
+    assert len(out) == len(rows) and Counter((r.doc_id, r.text, r["rank"], r.lot) for r in out) == Counter((r[0], r[1], r[4], r[5]) for r in rows)
+    for source in "ab":
+        mine = [r for r in out if r.source == source]
+        assert abs(sum(r.copies * r.size for r in mine) - mine[0].target) <= 3 and {r.source_size for r in mine} == {sum(r.size for r in mine)}
+    seven = Counter(r.copies for r in out if r.doc_id == 7)
+    rate = next(r.target / r.source_size for r in out if r.doc_id == 7)
+    assert set(seven) <= {math.floor(rate), math.ceil(rate)}
+    assert Counter((r.doc_id, r.copies) for r in mixing.mix(df).collect()) == Counter((r.doc_id, r.copies) for r in out)
+
+
 VECTOR = "vec_id long, embedding array<float>, label int, v string, least long"
 
 

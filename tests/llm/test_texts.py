@@ -290,6 +290,15 @@ def test_token_counts(docs, library):
     assert token_counts.token_counts(docs.limit(0)).count() == 0
 
 
+def test_token_counts_in_lots(spark, library, monkeypatch):
+    """Many small blocks, and few blocks to a lot: a common pre-token is counted in several tasks."""
+    monkeypatch.setattr(token_counts, "MET_BLOCKS", 2)
+    texts = [f"the same words and {i} more" for i in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(rows).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def check_packing(rows, want, size=2048):
     by, seqs = defaultdict(list), defaultdict(list)
     for r in rows:
