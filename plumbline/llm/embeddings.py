@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import components, discard, written
@@ -12,6 +14,8 @@ from plumbline.llm.topk import finite
 
 #: Vectors from which a cell is split, pivots of one split at most, and points from which a node is a leaf.
 CELL, FAN, LEAF = 2048, 16, 24
+#: Rounds without a change of the large cells after which splitting gives up, loudly.
+STUCK = 8
 #: Rounding that bounds allow for.
 SLACK = 1e-9
 
@@ -92,46 +96,111 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 
 def cells(points: DataFrame) -> DataFrame:
-    """Adds ``cell`` to ``(uid, root, v)``: within its root, nested cells of the nearest of some pivots, until none is large."""
+    """Adds ``cell`` to ``(uid, root, v, n_rows)``: a path of nested cells of the nearest of some pivots, until none is large.
+
+    Pivots of a round are joined to the points of their cell; their side is dealt anew, so that Spark can split the points of a
+    large cell among tasks. Points that are as near to several pivots fall to one of them by hash, so that even points of one
+    direction come apart.
+    """
     points = written(points.withColumn("cell", F.col("root")), "cells")
-    for depth in range(64):
+    columns = ["uid", "root", "v", "n_rows", "cell"]
+    largest, stuck, depth = None, 0, 0
+    while True:
         sizes = points.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
-        if sizes.isEmpty():
-            break
+        now = tuple(sizes.agg(F.max("n"), F.count("*")).first())
+        if not now[1]:
+            return points
+        stuck = stuck + 1 if largest == now else 0
+        if stuck >= STUCK:
+            raise RuntimeError(f"{now[1]} cells of up to {now[0]} vectors don't come apart")
+        largest = now
         share = F.least(F.lit(FAN), F.ceil(F.col("n") * 2 / CELL)) / F.col("n")
         drawn = F.pmod(F.xxhash64("uid", F.lit(depth)), F.lit(1 << 30)) < share * (1 << 30)
-        pivots = points.hint("merge").join(sizes.hint("merge"), "cell").where(drawn).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("uid", "v"))).alias("pivots"))
+        pivots = points.hint("merge").join(sizes.hint("rebalance").hint("merge"), "cell").where(drawn).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("uid", "v"))).alias("pivots"))
 
-        def nearest(source):
+        def nearest(source, depth=depth):
             for batch in source:
-                at = []
-                for v, pivots in zip(batch["v"], batch["pivots"]):
-                    if pivots is None or len(pivots) < 2:
-                        at.append("")
+                batch["cell"] = batch["cell"] + pd.Series("", index=batch.index)
+                for _, rows in batch[batch["pivots"].notna()].groupby("cell", sort=False):
+                    held = rows["pivots"].iloc[0]
+                    if len(held) < 2:
                         continue
-                    m = np.array([np.asarray(p["v"], np.float64) for p in pivots])
-                    at.append(f".{int((m @ np.asarray(v, np.float64) / np.sqrt((m * m).sum(1))).argmax())}")
-                batch["cell"] = batch["cell"] + pd.Series(at, index=batch.index, dtype=object)
-                yield batch[["uid", "root", "v", "n_rows", "cell"]]
+                    m = _matrix(pd.Series([p["v"] for p in held]))
+                    close = (_matrix(rows["v"]) / np.sqrt((_matrix(rows["v"]) ** 2).sum(1))[:, None]) @ (m / np.sqrt((m * m).sum(1))[:, None]).T
+                    tied = close >= close.max(1)[:, None] - SLACK
+                    turn = (rows["uid"].to_numpy(np.int64) * 0x9E3779B1 >> 7) + depth
+                    pick = turn % tied.sum(1)
+                    at = (np.cumsum(tied, 1) > pick[:, None]).argmax(1)
+                    batch.loc[rows.index, "cell"] = rows["cell"] + pd.Series([f".{i}" for i in at], index=rows.index)
+                yield batch[columns]
 
         last = points
-        joined = last.hint("merge").join(pivots.hint("merge"), "cell", "left")
-        points = written(joined.select("uid", "root", "v", "n_rows", "cell", "pivots").mapInPandas(nearest, last.select("uid", "root", "v", "n_rows", "cell").schema), "cells")
+        joined = last.hint("merge").join(pivots.hint("rebalance").hint("merge"), "cell", "left")
+        points = written(joined.select(*columns, "pivots").mapInPandas(nearest, last.select(*columns).schema), "cells")
+        discard(last)
+        depth += 1
+
+
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """Distance of two vectors' directions."""
+    return F.sqrt(F.greatest(2.0 - 2.0 * _dot(x, y) / F.sqrt(_dot(x, x) * _dot(y, y)), F.lit(0.0)))
+
+
+def tree(points: DataFrame) -> tuple[DataFrame, int]:
+    """``node, parent, centre, radius, leaf`` of all cells and those around them, and the depth of the deepest.
+
+    Cells' radii are taken over their points. Further up, a node's centre is that of one of its cells, and its radius the
+    largest of their distances and radii together, so no level but the lowest looks at points. There is a row per cell: a
+    two-thousandth of the points, or thereabouts.
+    """
+    centres = points.groupBy("root", "cell").agg(F.min_by("v", "uid").alias("centre"))
+    held = points.hint("merge").join(centres.hint("rebalance").hint("merge"), ["root", "cell"])
+    level = held.groupBy("root", "cell").agg(F.max(_apart(F.col("v"), F.col("centre"))).alias("radius"), F.first("centre").alias("centre"))
+    depth = F.size(F.split("cell", r"\.", -1)) - 1
+    leaves = written(level.select(F.col("cell").alias("node"), "centre", "radius", depth.alias("depth")), "leaves")
+    deepest = leaves.agg(F.max("depth")).first()[0] or 0
+    parent = F.regexp_replace("node", r"\.[^.]*$", "")
+    every, below = [leaves.withColumn("leaf", F.lit(True))], None
+    for at in range(deepest, 0, -1):
+        own = leaves.where(F.col("depth") == at)
+        below = (own if below is None else own.unionByName(below)).withColumn("parent", parent)
+        middle = below.groupBy("parent").agg(F.min_by("centre", "node").alias("middle"))
+        wide = below.hint("merge").join(middle.hint("merge"), "parent").groupBy("parent").agg(F.first("middle").alias("centre"), F.max(_apart(F.col("centre"), F.col("middle")) + F.col("radius")).alias("radius"))
+        below = written(wide.select(F.col("parent").alias("node"), "centre", "radius", F.lit(at - 1).alias("depth")), "level")
+        every.append(below.withColumn("leaf", F.lit(False)))
+    nodes = reduce(DataFrame.unionByName, every)
+    return written(nodes.withColumn("parent", F.when(F.col("depth") > 0, parent)), "tree"), deepest
+
+
+def cell_pairs(nodes: DataFrame, deepest: int, threshold: float) -> DataFrame:
+    """``left, right`` (left <= right) of cells that may hold a link: the tree is descended pair by pair, from each root with itself.
+
+    A pair of nodes is dropped where the distance of the centres exceeds both radii and the distance that the threshold stands for, and
+    only pairs that are left look at their children.
+    """
+    reach = float(np.sqrt(max(2.0 - 2.0 * threshold, 0.0))) + 1e-6
+    side = lambda n, of: nodes.where(of).select(F.col("parent").alias(n), F.col("node").alias(f"{n}_kid"), F.col("centre").alias(f"{n}_c"), F.col("radius").alias(f"{n}_r"))
+    stay = lambda n: nodes.where("leaf").select(F.col("node").alias(n), F.col("node").alias(f"{n}_kid"), F.col("centre").alias(f"{n}_c"), F.col("radius").alias(f"{n}_r"))
+    kids = {n: side(n, F.col("parent").isNotNull()).unionByName(stay(n)) for n in ("left", "right")}
+    pairs = written(nodes.where("depth = 0").select(F.col("node").alias("left"), F.col("node").alias("right")), "cellpairs")
+    for _ in range(deepest):
+        last = pairs
+        both = last.hint("merge").join(kids["left"].hint("merge"), "left").hint("merge").join(kids["right"].hint("merge"), "right")
+        once = (F.col("left") != F.col("right")) | (F.col("left_kid") <= F.col("right_kid"))
+        both = both.where(once & (_apart(F.col("left_c"), F.col("right_c")) <= F.col("left_r") + F.col("right_r") + reach))
+        pairs = written(both.select(F.least("left_kid", "right_kid").alias("left"), F.greatest("left_kid", "right_kid").alias("right")), "cellpairs")
         discard(last)
-    return points
+    return pairs
 
 
 def links(points: DataFrame, threshold: float) -> DataFrame:
     """``uid, n, other``: for points with links, how many rows each pair of cells links them with, and their least partner."""
-    unit_dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    apart = lambda x, y: F.sqrt(F.greatest(2.0 - 2.0 * unit_dot(x, y) / F.sqrt(unit_dot(x, x) * unit_dot(y, y)), F.lit(0.0)))
-    centres = points.groupBy("root", "cell").agg(F.min_by("v", "uid").alias("centre"))
-    radii = points.hint("merge").join(centres.hint("merge"), ["root", "cell"]).groupBy("root", "cell").agg(F.max(apart(F.col("v"), F.col("centre"))).alias("radius"), F.first("centre").alias("centre"))
-    nodes = written(radii, "centres")
-    far = nodes.select("root", F.col("cell").alias("right"), F.col("centre").alias("c2"), F.col("radius").alias("r2"))
-    reach = float(np.sqrt(2.0 - 2.0 * threshold)) + 1e-6
-    pairs = nodes.hint("merge").join(far.hint("merge"), "root").where((F.col("cell") <= F.col("right")) & (apart(F.col("centre"), F.col("c2")) <= F.col("radius") + F.col("r2") + reach))
-    pairs = written(pairs.select(F.col("cell").alias("left"), "right"), "cellpairs")
+    nodes, deepest = tree(points)
+    pairs = cell_pairs(nodes, deepest, threshold)
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
@@ -158,9 +227,9 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.93, id_col: str =
     """``vec_id, n_links, component_id, kept`` of every row; rows link where labels are equal and cosine >= threshold.
 
     Equal vectors of one label are one point that counts for all its rows. Points of one label (and length) fall
-    into nested cells, split at pivots until none is large, with a centre and a covering radius each. Only pairs of cells that
-    the triangle inequality can't rule out meet, in groups of bounded size, where two cover trees with halving radii
-    are traversed together and what is left is compared exactly. A group sends back counts and one link per point, never
+    into nested cells, split at pivots until none is large, with a centre and a covering radius each. The nested cells are descended
+    pair by pair, level by level, as tables; only cells that the triangle inequality can't rule out on the way meet, in groups of
+    bounded size, where two cover trees with halving radii are traversed together and what is left is compared exactly. A group sends back counts and one link per point, never
     its pairs. Where vectors have no metric structure, pruning at the cells is weak, and the work is that of all pairs
     of a label, as it must be for an exact result; memory stays bounded.
 
@@ -179,10 +248,10 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.93, id_col: str =
     reached = components(found.select(F.col("uid").alias("u"), F.col("other").alias("v")), "veclinks")
     parts = classes.select("uid", "least").hint("merge").join(reached.withColumnRenamed("node", "uid").hint("merge"), "uid", "left").select("uid", "least", F.coalesce("component", "uid").alias("part"))
     least = parts.groupBy("part").agg(F.min("least").alias("component_id"))
-    named = parts.select("uid", "part").hint("merge").join(least.hint("merge"), "part").hint("merge").join(counts.hint("merge"), "uid", "left")
+    named = parts.select("uid", "part").hint("merge").join(least.hint("rebalance").hint("merge"), "part").hint("merge").join(counts.hint("merge"), "uid", "left")
     named = classes.select("uid", "label", "v", "n_rows").hint("merge").join(named.select("uid", "component_id", "n").hint("merge"), "uid")
     named = named.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("n_rows") - 1).alias("n_links"), "component_id")
-    linked = rows.where("valid").select("vec_id", "v", "label").hint("merge").join(named.hint("merge"), ["label", "v"]).select("vec_id", "n_links", "component_id")
+    linked = rows.where("valid").select("vec_id", "v", "label").hint("merge").join(named.hint("rebalance").hint("merge"), ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.col("valid")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

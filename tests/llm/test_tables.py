@@ -94,6 +94,32 @@ def test_embedding_links(spark, monkeypatch, cell):
     assert embeddings.embedding_groups(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_one_direction_come_apart(spark, monkeypatch):
+    """Different vectors of one direction, more than a cell holds: all link with all."""
+    monkeypatch.setattr(embeddings, "CELL", 8)
+    rows = [(i, [1.0 * i, 2.0 * i, -1.0 * i], 1) for i in range(1, 61)] + [(100 + i, [1.0, 0.0, float(i)], 1) for i in range(3)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[i] == (59, 1) for i in range(1, 61)) and got[100] == (0, 100)
+
+
+def test_nested_cells_cover_their_points(spark, monkeypatch):
+    """Radii cover all points below a node, and the descent drops no pair of cells that holds a link."""
+    monkeypatch.setattr(embeddings, "CELL", 6)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(10, 5))
+    rows = [(i, "r", [float(x) for x in base[rng.integers(10)] + rng.normal(0, 0.1, 5)], 1) for i in range(300)]
+    points = embeddings.cells(spark.createDataFrame(rows, "uid long, root string, v array<double>, n_rows long"))
+    nodes, deepest = embeddings.tree(points)
+    held = [(r.cell, np.array(r.v) / np.linalg.norm(r.v)) for r in points.collect()]
+    assert max(Counter(c for c, _ in held).values()) <= 6 and deepest > 1
+    for n in nodes.collect():
+        centre = np.array(n.centre) / np.linalg.norm(n.centre)
+        assert all(np.linalg.norm(v - centre) <= n.radius + 1e-7 for c, v in held if c == n.node or c.startswith(n.node + "."))
+    pairs = {(r.left, r.right) for r in embeddings.cell_pairs(nodes, deepest, 0.93).collect()}
+    assert all((min(a, b), max(a, b)) in pairs for a, x in held for b, y in held if x @ y >= 0.93)
+    assert len(pairs) < len({c for c, _ in held}) ** 2 / 4
+
+
 @given(st.integers(0, 10_000), st.integers(1, 60), st.integers(1, 60))
 @settings(max_examples=40, deadline=None)
 def test_dual_traversal_is_exact(seed, n, m):
