@@ -9,7 +9,7 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import batches, texts
+from plumbline.llm.common import batches, discard, texts, written
 
 #: The kinds in their order, and their patterns.
 KINDS = ("assign", "access", "hex", "guess")
@@ -39,15 +39,24 @@ _SWITCH = math.log10(2)
 
 
 def frequent_words(documents: DataFrame, n: int = MAX_WORDS, text_col: str = "text") -> list[str]:
-    """The ``n`` most frequent words of all ``documents``, most frequent first, but for values that stand in credential contexts.
+    """The most frequent words of all ``documents``, ``n`` at most, most frequent first, but for values that stand in credential contexts.
 
-    A word that people write often is guessed early, whatever the language. Counting is a map-side aggregate over all texts;
-    ``n`` bounds what reaches the driver. Null texts have no words.
+    A word that people write often is guessed early, whatever the language. Counting is a map-side aggregate over all texts. Words are
+    taken by classes of frequency, sixteen to a doubling, and a class that would exceed ``n`` isn't begun; so what reaches the
+    driver is bounded by ``n`` and by the number of classes, whatever the number of tasks. Null texts have no words.
     """
     bare = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), rf"""(?i){_NAMES}[^\s"'<>]+""", " ")
     words = documents.select(F.explode(F.split(F.lower(bare), r"[^\p{L}]+", -1)).alias("word")).where(F.length("word").between(SHORTEST, LONGEST))
-    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(n)
-    return [r["word"] for r in top.select("word").collect()]
+    counts = written(words.groupBy("word").agg(F.count("*").alias("n")).withColumn("class", F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")), "words")
+    least, held = None, 0
+    for row in sorted(counts.groupBy("class").agg(F.count("*").alias("words")).collect(), reverse=True):
+        held += row["words"]
+        if held > n:
+            break
+        least = row["class"]
+    found = [] if least is None else [(-r["n"], r["word"]) for r in counts.where(F.col("class") >= least).select("word", "n").collect()]
+    discard(counts)
+    return [word for _, word in sorted(found)]
 
 
 def dictionary(words: list[str]) -> dict[str, float]:

@@ -115,7 +115,8 @@ def test_secrets_of_long_texts_take_linear_time():
 
 def test_frequent_words(spark):
     rows = spark.createDataFrame([("the cat sat; pwd: zzzzqqqq zzzzqqqq",), ("The cat. password=\"zzzzqqqq\" pwd: zzzzqqqq",), (None,), ("",)], "text string")
-    assert secrets.frequent_words(rows, 3) == ["cat", "the", "sat"]
+    assert secrets.frequent_words(rows, 4) == ["cat", "the", "sat", "zzzzqqqq"]
+    assert secrets.frequent_words(rows, 3) == secrets.frequent_words(rows, 2) == ["cat", "the"] and secrets.frequent_words(rows, 1) == []
 
 
 def test_redaction():
