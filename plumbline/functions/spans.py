@@ -6,14 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def find_spans(text: Column, regex: str) -> Column:
+_EMPTY = "cast(array() as array<struct<text:string,start:int,end:int>>)"
+
+
+def find_spans(text: Column, regex: str, needs: Column | None = None) -> Column:
     """``array<struct<text,start,end>>`` of all matches; the pattern must not match the empty string.
 
-    Matches and the pieces between them are laid end to end, and one fold carries the position.
+    Matches and the pieces between them are laid end to end, and one fold carries the position. ``needs`` is a cheap test
+    that every text with a match passes: others aren't searched.
     """
     hits = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
     gaps = F.slice(F.split(text, regex, -1), F.lit(1), F.size(hits))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<text:string,start:int,end:int>>)").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.expr(_EMPTY).alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
         begin = acc["at"] + F.length(pair["gap"])
@@ -21,7 +25,9 @@ def find_spans(text: Column, regex: str) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(pair["hit"].alias("text"), begin.alias("start"), end.alias("end")))).alias("out"))
 
     pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.coalesce(F.aggregate(pairs, start, step, lambda acc: acc["out"]), start["out"])
+    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    found = found if needs is None else F.when(needs, found)
+    return F.coalesce(found, F.expr(_EMPTY))
 
 
 def inside(span: Column, outers: Column) -> Column:

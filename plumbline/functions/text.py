@@ -24,8 +24,16 @@ ABBREVIATIONS = (
     "a.n", "u.p", "mr", "mrs", "ms", "dr", "prof", "inc", "ltd", "co", "vs", "etc", "e.g", "i.e",
 )
 EXCERPT = 220
-#: CamelCase terms that are words, not fused ones; a parameter of ``desegment``.
-PROTECTED = ("JavaScript", "TypeScript", "PostgreSQL", "MySQL", "NoSQL", "MongoDB", "GraphQL", "PowerPoint", "SharePoint", "WordPress", "PayPal", "GitHub", "LinkedIn", "YouTube", "AutoCAD", "iPhone", "iPad", "iOS", "macOS", "DevOps", "PhD", "WiFi")
+#: CamelCase terms that are words, not fused ones; a parameter of ``desegment``.
+PROTECTED = (
+    "JavaScript", "TypeScript", "CoffeeScript", "ActionScript", "VBScript", "NodeJS", "AngularJS", "BackboneJS", "EmberJS", "ReactJS", "jQuery", "ASPNet", "DotNet", "JavaBeans",
+    "JavaServer", "JavaFX",
+    "PostgreSQL", "MySQL", "NoSQL", "MongoDB", "SQLite", "MariaDB", "DynamoDB", "BigQuery", "GraphQL", "RabbitMQ", "ElasticSearch", "OpenStack", "VMware",
+    "PowerPoint", "SharePoint", "QuickBooks", "WordPress", "WooCommerce", "SalesForce", "NetSuite", "MailChimp", "HubSpot", "ZenDesk", "PayPal", "GitHub", "GitLab", "BitBucket",
+    "StackOverflow", "LinkedIn", "YouTube", "FaceBook", "InDesign", "PhotoShop", "AutoCAD", "SolidWorks", "MatLab",
+    "iPhone", "iPad", "iPod", "iOS", "iMac", "MacBook", "macOS", "iTunes", "iCloud",
+    "eCommerce", "eBay", "eLearning", "eMail", "DevOps", "PhD", "MBA", "CPA", "JavaScripts", "WiFi", "PowerShell", "TensorFlow", "PyTorch",
+)
 
 
 def meaningful_chars(text: Column) -> Column:
@@ -111,9 +119,9 @@ def clean_text(text: Column, entities: str = "xml", fused: bool = True) -> Colum
     return F.trim(F.regexp_replace(text, r"(?m)^ +| +$", ""), F.lit(" \n"))
 
 
-def build_document(fields: list[Column]) -> Column:
+def build_document(fields: list[Column], fused: bool = True) -> Column:
     """The fields, cleaned, without empty ones, one to a line."""
-    return F.array_join(F.filter(F.array(*map(clean_text, fields)), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.array(*(clean_text(f, fused=fused) for f in fields)), lambda x: x != ""), "\n")
 
 
 def word_count(text: Column) -> Column:
@@ -185,8 +193,9 @@ def match_form(value: Column) -> Column:
 
 
 def acronym(value: Column) -> Column:
-    words = F.filter(F.split(F.lower(value), "[^a-z0-9]+", -1), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
+    """The first letters of a name's words, in lower case; words that begin otherwise give none."""
+    words = F.split(F.lower(value), r"\s+", -1)
+    return F.array_join(F.transform(words, lambda w: F.regexp_extract(w, r"^\p{L}", 0)), "")
 
 
 def sentence_boundary(abbreviations: tuple[str, ...] = ABBREVIATIONS) -> str:
@@ -216,4 +225,4 @@ def has_redaction(text: Column) -> Column:
 
 
 def redactions(text: Column) -> Column:
-    return find_spans(text, REDACTION)
+    return find_spans(text, REDACTION, F.contains(text, F.lit("_")) & F.contains(text, F.lit("#")))

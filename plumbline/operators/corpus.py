@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import build_document, word_count
+from plumbline.operators.dims import check_columns
+from plumbline.operators.metrics import percentiles
 from plumbline.operators.prefix import grouped_rank
 
 #: Shares of the splits, and how far a split's rate may be from the corpus's.
 SPLITS = (("train", 0.7), ("val", 0.1), ("calib", 0.1), ("test", 0.1))
 RATE_TOLERANCE = 0.005
-TOKENS_PER_WORD = 1.35
+TOKENS_PER_WORD, MIN_WORDS = 1.35, 5
 
 
 def validate_source(df: DataFrame, columns: list[str], label: str, rows: int | None = None, positives: int | None = None) -> DataFrame:
@@ -35,14 +38,13 @@ def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42, splits
     The rank within a label comes from groups of bounded size (labels are few, and one may hold nearly all rows).
     """
     ranked = grouped_rank(df.withColumn("_h", seeded(F.col(key), seed)), [label], F.col("_h"), F.col(key))
-    share = (F.col("rank") - 1) / F.col("of")
     total, rule = 0.0, None
     for name, size in splits[:-1]:
         total += size
         # Cuts are compared as whole rows, so that no rounding of shares matters.
         test = F.col("rank") <= F.bround(F.col("of") * F.lit(round(total, 6)), 0)
         rule = F.when(test, name) if rule is None else rule.when(test, name)
-    return ranked.withColumn("split", rule.otherwise(splits[-1][0])).drop("rank", "of", "_h") if share is not None else ranked
+    return ranked.withColumn("split", rule.otherwise(splits[-1][0])).drop("rank", "of", "_h")
 
 
 def split_soundness(df: DataFrame, key: str, label: str, tolerance: float = RATE_TOLERANCE) -> DataFrame:
@@ -54,28 +56,47 @@ def split_soundness(df: DataFrame, key: str, label: str, tolerance: float = RATE
 
 
 def split_checksum(df: DataFrame, key: str) -> DataFrame:
-    """``split, n, checksum``: the hash of ascending ids, 16 digits; gathers a split's ids, so for manifests of moderate size."""
+    """``split, n, checksum``: the hash of ascending ids, 16 digits.
+
+    One hash over all ids of a split can't be parted, so a split's ids meet in one row: for manifests, whose ids fit there.
+    ``split_fingerprint`` tells splits apart at any size.
+    """
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.col(key).cast("bigint"))), lambda x: x.cast("string")), ",")
     return df.groupBy("split").agg(F.count("*").alias("n"), F.substring(F.sha2(ids, 256), 1, 16).alias("checksum"))
 
 
 def split_fingerprint(df: DataFrame, key: str) -> DataFrame:
-    """Like the checksum, for any size: ids are hashed one by one, without an order."""
-    return df.groupBy("split").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(key)).alias("fingerprint"))
+    """``split, n, fingerprint``: like the checksum, for any size: the MD5 hashes of ids are combined without an order, map-side."""
+    part = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 15), 16, 10).cast("bigint")
+    return df.groupBy("split").agg(F.count("*").alias("n"), F.bit_xor(part).alias("fingerprint"))
+
+
+def model_frame(df: DataFrame, key: str, fields: list[str], label: str, forbidden: set[str], fused: bool = True, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """``key, text, label, n_words`` of the rows that a model may learn from, and of those with fewer than ``min_words`` words.
+
+    Raises before any job if a field is forbidden, and again if a forbidden column were to reach the result.
+    """
+    check_columns(fields, forbidden)
+    text = build_document([F.col(f) for f in fields], fused)
+    out = df.select(key, text.alias("text"), F.col(label).cast("int").alias(label)).withColumn("n_words", word_count(F.col("text")))
+    check_columns([c for c in out.columns if c not in (key, "text", label, "n_words")], forbidden)
+    return out.where(F.col("n_words") >= min_words), out.where(F.col("n_words") < min_words)
 
 
 def split_report(df: DataFrame, label: str, words: str) -> DataFrame:
     """Rows, positives and word percentiles by split."""
-    q = F.percentile(words, F.array(F.lit(0.5), F.lit(0.95)))
-    return df.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("positives"), q[0].cast("int").alias("median_words"), q[1].cast("int").alias("p95_words"))
+    q = percentiles(df, words, ["split"], (0.5, 0.95)).select(F.col("split").alias("_s"), F.col("p50").cast("int").alias("median_words"), F.col("p95").cast("int").alias("p95_words"))
+    per = df.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("positives"))
+    return per.join(F.broadcast(q), F.col("split") == F.col("_s")).drop("_s")  # a row per split
 
 
 def prep_report(df: DataFrame, label: str, words: str) -> DataFrame:
     """Word percentiles, estimated tokens, and the weight of a positive."""
-    q = F.percentile(words, F.array(*(F.lit(p) for p in (0.5, 0.9, 0.95, 0.99))))
-    rate = F.avg(F.col(label).cast("double"))
-    out = df.agg(F.count("*").alias("n"), rate.alias("rate"), q.alias("q"))
-    return out.select("n", "rate", *(F.floor(F.col("q")[i]).cast("bigint").alias(f"p{p}_words") for i, p in enumerate((50, 90, 95, 99))), *(F.floor(F.col("q")[i] * TOKENS_PER_WORD).cast("bigint").alias(f"p{p}_tokens") for i, p in enumerate((50, 90, 95, 99))), ((1 - F.col("rate")) / F.col("rate")).alias("pos_weight"))
+    shares = (0.5, 0.9, 0.95, 0.99)
+    q = percentiles(df, words, [], shares).drop("mean")
+    out = df.agg(F.count("*").alias("n"), F.avg(F.col(label).cast("double")).alias("rate")).crossJoin(F.broadcast(q))  # one row each
+    names = [f"p{round(p * 100)}" for p in shares]
+    return out.select("n", "rate", *(F.floor(c).cast("bigint").alias(f"{c}_words") for c in names), *(F.floor(F.col(c) * TOKENS_PER_WORD).cast("bigint").alias(f"{c}_tokens") for c in names), ((1 - F.col("rate")) / F.col("rate")).alias("pos_weight"))
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

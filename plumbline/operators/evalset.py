@@ -9,6 +9,8 @@ from plumbline.functions.text import sanitize, text_key
 
 MIN_TEXT, COMMENT_CHARS, CONTACT_CHARS = 30, 2000, 200
 TARGET_GAP = 0.15
+#: Columns that only appeals have.
+APPEAL_COLUMNS = frozenset({"report_id", "correction", "reported_label", "reported_score", "reviewed", "review_note"})
 
 
 def row_problems(id_: Column, text: Column, label: Column, source: Column, provenance: Column, sources: list[str]) -> Column:
@@ -74,10 +76,15 @@ def advice(df: DataFrame, label: str, rows: int, rate: float) -> DataFrame:
 
 
 def next_ids(new: DataFrame, order: str, existing: DataFrame, key: str, prefix: str) -> DataFrame:
-    """Adds sequential ids after the largest one; new rows are few (an annotator's batch)."""
+    """Adds sequential ids after the largest one, in the order of ``order``, then of its hash; ranks come from parts of bounded size."""
     top = existing.agg(F.coalesce(F.max(F.regexp_extract(key, r"(\d+)$", 1).try_cast("int")), F.lit(0)).alias("top"))
-    numbered = new.withColumn("_n", F.row_number().over(Window.orderBy(order))).crossJoin(F.broadcast(top))  # one row
-    return numbered.withColumn(key, F.concat(F.lit(prefix), F.lpad((F.col("_n") + F.col("top")).cast("string"), 4, "0"))).drop("_n", "top")
+    counts = new.groupBy(F.col(order).alias("_o")).agg(F.count("*").alias("_n"))
+    codes = counts.select(F.substring(F.hex(F.col("_o").cast("string").cast("binary")), 1, 4).alias("_b"), "_n").groupBy("_b").agg(F.sum("_n").alias("_n"))
+    before = codes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per two leading bytes
+    parted = new.withColumn("_b", F.substring(F.hex(F.col(order).cast("string").cast("binary")), 1, 4))
+    own = F.row_number().over(Window.partitionBy("_b").orderBy(F.col(order).cast("string").cast("binary")))
+    numbered = parted.withColumn("_own", own).alias("l").join(F.broadcast(before).alias("r"), F.col("l._b").eqNullSafe(F.col("r._b"))).crossJoin(F.broadcast(top))  # 65,536 rows at most, and one
+    return numbered.select("l.*", F.concat(F.lit(prefix), F.lpad((F.col("_own") + F.col("_before") + F.col("top")).cast("string"), 4, "0")).alias(key)).drop("_b", "_own")
 
 
 def appeals(df: DataFrame, text: str, comment: str, contact: str, version: str) -> DataFrame:
@@ -91,3 +98,10 @@ def review_queue(df: DataFrame, correction: str, reviewed: Column | None = None)
     """``correction, n, unreviewed``."""
     open_ = F.lit(True) if reviewed is None else ~F.coalesce(reviewed, F.lit(False))
     return df.groupBy(F.coalesce(correction, F.lit("unknown")).alias("correction")).agg(F.count("*").alias("n"), F.count_if(open_).alias("unreviewed"))
+
+
+def not_for_training(df: DataFrame) -> DataFrame:
+    """The frame itself, unless it holds appeals: these are reports about the model and must never teach it. Raises before any job."""
+    if held := sorted(APPEAL_COLUMNS & set(df.columns)):
+        raise ValueError(f"appeals never train a model: {held}")
+    return df

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import sentences
@@ -19,21 +19,33 @@ def variant(text: Column, start: Column, end: Column) -> Column:
     return F.trim(F.regexp_replace(cut, r"[ \t]+", " "))
 
 
-def occlusion(df: DataFrame, key: str, text: str, margin: Callable[[Column], Column], top: int = TOP, cap: int = CAP, split: Callable[[Column], Column] = sentences) -> DataFrame:
+def occlusion(df: DataFrame, key: str, text: str, margin: Callable[[Column], Column], top: int = TOP, cap: int = CAP, split: Callable[[Column], Column] = sentences, native: bool = True) -> DataFrame:
     """``key, sent_no, text, start, end, delta, polarity`` of the ``top`` sentences by effect.
 
-    Texts of one sentence have no evidence. The first ``cap`` sentences of SHORTEST characters or more are scored, in one
-    pass over all variants; the others are neutral. ``margin`` maps a text column to a number.
+    Texts of one sentence have no evidence, nor have sentences under SHORTEST characters. The first ``cap`` of the others are scored by leaving
+    each out; those after them are neutral. ``margin`` maps a text column to a number. If it is ``native``, an expression of Spark's own,
+    all happens inside the row's array; a Python scorer gets the variants as rows, in one pass, and their deltas are put together by key.
     """
-    base = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("whole")).withColumn("parts", split(F.col("whole"))).where(F.size("parts") >= 2).withColumn("base", margin(F.col("whole")))
-    # Scorable sentences are numbered inside the array, so the cap needs no window.
-    scorable = F.filter(F.transform("parts", lambda s, i: F.when(F.length(s["text"]) >= SHORTEST, i)), lambda i: i.isNotNull())
-    long = base.withColumn("scored", F.slice(scorable, 1, cap)).select(key, "whole", "base", "scored", F.posexplode("parts").alias("sent_no", "s"))
-    hit = F.array_contains("scored", F.col("sent_no"))
-    long = long.withColumn("delta", F.when(hit, F.round(F.col("base") - margin(variant(F.col("whole"), F.col("s")["start"], F.col("s")["end"])), 4)).otherwise(0.0))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.abs("delta")), "sent_no"))
-    kept = long.drop("whole", "base", "scored").withColumn("rank", rank).where(F.col("rank") <= top)
-    return kept.select(key, F.col("sent_no").cast("int"), F.col("s")["text"].alias("text"), F.col("s")["start"].alias("start"), F.col("s")["end"].alias("end"), "delta", F.when(F.col("delta") > 0, "risk").otherwise("safe").alias("polarity"))
+    base = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("whole")).withColumn("parts", split(F.col("whole"))).where(F.size("parts") >= 2)
+    numbered = F.filter(F.transform("parts", lambda s, i: F.struct(i.alias("sent_no"), s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end"))), lambda s: F.length(s["text"]) >= SHORTEST)
+    base = base.select(key, "whole", numbered.alias("parts")).where(F.size("parts") > 0)
+    shown = lambda s, delta: F.struct((-F.abs(delta)).alias("order"), s["sent_no"].alias("sent_no"), s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end"), delta.alias("delta"))
+    rest = F.transform(F.slice("parts", F.lit(cap + 1), F.greatest(F.size("parts") - cap, F.lit(0))), lambda s: shown(s, F.lit(0.0).cast("double")))
+    without = lambda s, whole: variant(whole, s["start"], s["end"])
+    if native:
+        base = base.withColumn("base", margin(F.col("whole")))
+        scored = F.transform(F.slice("parts", 1, cap), lambda s: shown(s, F.round(F.col("base") - margin(without(s, F.col("whole"))), 4).cast("double")))
+        evidence = base.select(key, F.slice(F.array_sort(F.concat(scored, rest)), 1, top).alias("e"))
+    else:
+        base = base.select(key, "whole", F.slice("parts", 1, cap).alias("parts"), rest.alias("rest"))
+        # A row for the whole text (null) and for each variant; only these carry a text.
+        forms = F.concat(F.array(F.struct(F.lit(None).cast("int").alias("n"), F.col("whole").alias("form"))), F.transform("parts", lambda s, n: F.struct(n.alias("n"), without(s, F.col("whole")).alias("form"))))
+        rows = base.select(key, "parts", "rest", F.inline(forms))
+        rows = rows.select(key, "n", margin(F.col("form")).cast("double").alias("m"), F.when(F.col("n").isNull(), F.col("parts")).alias("parts"), F.when(F.col("n").isNull(), F.col("rest")).alias("rest"))
+        per = rows.groupBy(key).agg(F.max(F.when(F.col("n").isNull(), F.col("m"))).alias("base"), F.sort_array(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "m")))).alias("ms"), F.first("parts", True).alias("parts"), F.first("rest", True).alias("rest"))
+        scored = F.zip_with("parts", "ms", lambda s, m: shown(s, F.round(F.col("base") - m["m"], 4)))
+        evidence = per.select(key, F.slice(F.array_sort(F.concat(scored, F.col("rest"))), 1, top).alias("e"))
+    return evidence.select(key, F.inline("e")).select(key, F.col("sent_no").cast("int"), "text", "start", "end", "delta", F.when(F.col("delta") > 0, "risk").otherwise("safe").alias("polarity"))
 
 
 def top_terms(vocabulary: list[str], coefficients: list[float], spark, k: int = 20) -> DataFrame:

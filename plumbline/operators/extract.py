@@ -9,32 +9,34 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
 from plumbline.functions.spans import find_spans, outside_of
-
-#: What a mention looks like.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-URL = r"(?i)(?:https?://|www\.)[^\s<>\"'\[\]{}|\\^`]+"
-TITLE_CHARS = 120
+from plumbline.operators.fixed import COMPANY, EMAIL, PHONE, TITLE_CHARS, URL
 
 
 @dataclass(frozen=True)
 class Patterns:
-    """Patterns that depend on the locale."""
+    """Patterns that depend on the country."""
 
-    phone: str = r"(?<![\d.])\+?\d{1,3}[\s-]?\(?\d{3}\)?[\s-]\d{3}-\d{4}(?![\d.])"
-    company: str = r"(?U)\b(?:PT|CV|Ltd|Inc|GmbH|Firma)\.?[ \t]+[A-Z][A-Za-z0-9&]*(?:[ \t]+[A-Z][A-Za-z0-9&]*){0,4}"
+    phone: str = PHONE
+    company: str = COMPANY
 
 
 def urls(text: Column) -> Column:
     """Links, without the punctuation that ends a sentence."""
     trimmed = lambda s: F.regexp_replace(s["text"], r"[.,;:!?)]+$", "")
-    return F.transform(find_spans(text, URL), lambda s: F.struct(trimmed(s).alias("text"), s["start"].alias("start"), (s["start"] + F.length(trimmed(s))).alias("end")))
+    low = F.lower(text)
+    found = find_spans(text, URL, F.contains(low, F.lit("://")) | F.contains(low, F.lit("www.")))
+    return F.transform(found, lambda s: F.struct(trimmed(s).alias("text"), s["start"].alias("start"), (s["start"] + F.length(trimmed(s))).alias("end")))
+
+
+def emails(text: Column) -> Column:
+    return find_spans(text, EMAIL, F.contains(text, F.lit("@")))
 
 
 def extract_mentions(df: DataFrame, text: str, patterns: Patterns = Patterns()) -> DataFrame:
     """Adds ``urls, emails, phones, companies, redactions, title, company`` and ``has_redaction``."""
     raw = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumn("urls", urls(raw))
-    out = out.withColumn("emails", outside_of(find_spans(raw, EMAIL), F.col("urls")))
+    out = out.withColumn("emails", outside_of(emails(raw), F.col("urls")))
     out = out.withColumn("phones", outside_of(outside_of(find_spans(raw, patterns.phone), F.col("urls")), F.col("emails")))
     out = out.withColumns({"companies": find_spans(raw, patterns.company), "redactions": tx.redactions(raw), "title": title(raw)})
     return out.withColumns({"company": F.get("companies", F.lit(0))["text"], "has_redaction": F.size("redactions") > 0})

@@ -30,10 +30,10 @@ def vocabulary(counts: DataFrame, key: str, min_df: int = MIN_DF, max_terms: int
     return per.orderBy(F.desc("cf"), "term").limit(max_terms)
 
 
-def tfidf(df: DataFrame, key: str, text: str, ngrams: int = 1, min_df: int = MIN_DF, max_terms: int = MAX_TERMS) -> DataFrame:
+def tfidf(df: DataFrame, key: str, text: str, ngrams: int = 2, min_df: int = MIN_DF, max_terms: int = MAX_TERMS) -> DataFrame:
     """``key, term, weight``: (1 + ln tf) times (ln((1 + n) / (1 + df)) + 1), each document of length one."""
     counts = term_counts(df, key, text, ngrams)
-    vocab = vocabulary(counts, key, min_df, max_terms).hint("broadcast")  # at most max_terms rows
+    vocab = F.broadcast(vocabulary(counts, key, min_df, max_terms))  # at most max_terms rows
     n = df.agg(F.count("*").alias("docs"))
     raw = counts.join(vocab, "term").crossJoin(F.broadcast(n))  # one row
     raw = raw.select(key, "term", ((1 + F.ln(F.col("tf").cast("double"))) * (F.ln((1 + F.col("docs")) / (1 + F.col("df")).cast("double")) + 1)).alias("w"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,13 @@ def confusion(df: DataFrame, score: Column, y: Column, threshold: Column | float
     })
 
 
+def stats_at(df: DataFrame, score: Column, y: Column, threshold: float) -> DataFrame:
+    """Counts, precision and recall at one threshold, in four decimals; a ratio without cases is 0."""
+    out = confusion(df, score, y, threshold)
+    ratio = lambda a, b: F.round(F.col(a) / F.greatest(F.col(a) + F.col(b), F.lit(1)), 4)
+    return out.select(F.lit(threshold).alias("threshold"), "tp", "fp", "fn", "tn", ratio("tp", "fp").alias("precision"), ratio("tp", "fn").alias("recall"))
+
+
 def evaluate_models(long: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Ranking metrics of ``(model, score, y)``, best average precision first."""
     keys = keys or ["model"]
@@ -82,9 +91,26 @@ def top_errors(df: DataFrame, key: str, score: str, y: str, threshold: float, k:
     return fp.union(fn).select("kind", key, score)
 
 
-def percentiles(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return df.groupBy(*keys).agg(q.alias("q"), F.avg(value).alias("mean")).select(*keys, *(F.col("q")[i].alias(p) for i, p in enumerate(("p50", "p95", "p99"))), "mean")
+def percentiles(df: DataFrame, value: str, keys: list[str], shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """``keys, p50, p95, p99, mean`` (names follow ``shares``), exact and interpolated between neighbours; nulls are left out.
+
+    Equal values are counted first, running counts are taken in quantile buckets, and each share asks for the two values around its
+    place: no group's values meet in one task.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_all", F.lit(1))
+    named = {c: f"_k{i}" for i, c in enumerate(keys)}
+    sums = running_sums(counts.withColumnsRenamed(named), [*named.values(), "_all"], "_v", ["_n"])
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean")).withColumnsRenamed(named)
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in named.values()]
+    held = sums.alias("l").hint("merge").join(totals.alias("r").hint("merge"), same).select("r.*", "_v", "_n", "cum__n") if keys else sums.crossJoin(F.broadcast(totals))  # one row
+    first, last = F.col("_total") - F.col("cum__n"), F.col("_total") - F.col("cum__n") + F.col("_n") - 1  # ascending places of a value, from 0
+    at = lambda p: F.lit(p) * (F.col("_total") - 1)
+    around = lambda place: F.max(F.when((first <= place) & (place <= last), F.col("_v")))
+    wanted = [f(F.floor(at(p)) if low else F.ceil(at(p))).alias(f"_{'lo' if low else 'hi'}{i}") for i, p in enumerate(shares) for low in (True, False) for f in (around,)]
+    out = held.groupBy(*named.values()).agg(*wanted, F.max("_total").alias("_total"), F.max("mean").alias("mean"))
+    mixed = [(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (at(p) - F.floor(at(p)))).alias(f"p{round(p * 100)}") for i, p in enumerate(shares)]
+    return out.select(*(F.col(v).alias(k) for k, v in named.items()), *mixed, "mean")
 
 
 def calibration_bins(df: DataFrame, p: str, y: str, n: int = BINS) -> DataFrame:
@@ -119,26 +145,49 @@ def platt_apply(margin: Column, a: float, b: float) -> Column:
     return 1 / (1 + F.exp(-(a * margin + b)))
 
 
-def platt_fit(df: DataFrame, margin: str, y: str, steps: int = 50, tol: float = 1e-10) -> tuple[float, float]:
-    """Unregularised logistic fit of one margin, by Newton steps of one aggregate each."""
-    m, t = F.col(margin), F.col(y).cast("double")
-    first = df.agg(F.sum(t), F.count("*")).first()
-    if not first[1] or first[0] in (0, first[1]):
+def platt_fit(df: DataFrame, margin: str, y: str, steps: int = 100, tol: float = 1e-10) -> tuple[float, float]:
+    """Unregularised logistic fit of one margin, ``(a, b)``: Newton steps of one aggregate each, halved while they don't lower the loss.
+
+    Margins are centred and scaled first. Raises without both classes; where classes are apart, it stops after ``steps``.
+    """
+    m, t = F.col(margin).cast("double"), F.col(y).cast("double")
+    rows = df.where(m.isNotNull() & t.isNotNull())
+    n, positives, mean, spread = rows.agg(F.count("*"), F.sum(t), F.avg(m), F.stddev_pop(m)).first()
+    if not n or positives in (0, n):
         raise ValueError("both classes are needed")
-    a, b = 1.0, 0.0
-    for _ in range(steps):
-        p = platt_apply(m, a, b)
+    scale = spread if spread and spread > 0 else 1.0
+    x = (m - mean) / scale
+
+    def at(a: float, b: float) -> tuple:
+        z = a * x + b
+        p = 1 / (1 + F.exp(-z))
         w = p * (1 - p)
-        g = df.agg(F.sum((p - t) * m), F.sum(p - t), F.sum(w * m * m), F.sum(w * m), F.sum(w)).first()
-        det = g[2] * g[4] - g[3] * g[3]
-        if abs(det) < 1e-300:
+        # ln(1 + e^z) - t z, so that large margins don't overflow.
+        loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - t * z
+        return tuple(rows.agg(F.avg(loss), F.avg((p - t) * x), F.avg(p - t), F.avg(w * x * x), F.avg(w * x), F.avg(w)).first())
+
+    share = positives / n
+    a, b = 0.0, math.log(share / (1 - share))
+    now = at(a, b)
+    for _ in range(steps):
+        loss, ga, gb, haa, hab, hbb = now
+        if abs(ga) + abs(gb) < tol:
             break
-        da, db = (g[4] * g[0] - g[3] * g[1]) / det, (g[2] * g[1] - g[3] * g[0]) / det
-        size = max(1.0, abs(da) / 10, abs(db) / 10)
-        a, b = a - da / size, b - db / size
-        if abs(da) + abs(db) < tol:
+        det = haa * hbb - hab * hab
+        if det <= 1e-14 * max(haa * hbb, 1e-300):  # a flat direction: margins are constant, or classes far apart
+            da, db = (0.0, gb / hbb) if hbb > 1e-12 else (ga, gb)
+        else:
+            da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        step = 1.0
+        while True:
+            now = at(a - step * da, b - step * db)
+            if now[0] <= loss or step < 1e-6:
+                break
+            step /= 2
+        if now[0] > loss:
             break
-    return a, b
+        a, b = a - step * da, b - step * db
+    return a / scale, b - a * mean / scale
 
 
 def bands(df: DataFrame, p: str, y: str, t_high: float, t_low: float) -> DataFrame:
@@ -156,9 +205,16 @@ def ablation(df: DataFrame, y: str, scores: list[str]) -> DataFrame:
 
 
 def rule_behaviour(outcomes: DataFrame, labels: DataFrame, key: str, y: str) -> DataFrame:
-    """``feature_id, fired, fired_pos, precision`` of each rule alone."""
-    held = outcomes.where("available AND severity > 0").select(key, "feature_id").hint("merge").join(labels.select(key, F.col(y).alias("y")).hint("merge"), key)
-    return held.groupBy("feature_id").agg(F.count("*").alias("fired"), F.sum(F.col("y").cast("bigint")).alias("fired_pos")).withColumn("precision", F.col("fired_pos") / F.col("fired"))
+    """``feature_id, fired, fired_pos, precision`` of each rule alone; rules that never fire have a row, too."""
+    held = outcomes.select(key, "feature_id", (F.col("available") & (F.col("severity") > 0)).alias("hit")).hint("merge").join(labels.select(key, F.col(y).alias("y")).hint("merge"), key)
+    per = held.groupBy("feature_id").agg(F.count_if("hit").alias("fired"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("y").cast("bigint"))), F.lit(0)).alias("fired_pos"))
+    return per.withColumn("precision", F.try_divide(F.col("fired_pos"), F.col("fired")))
+
+
+def class_behaviour(rows: DataFrame, labels: DataFrame, key: str, y: str) -> DataFrame:
+    """``y, n, mean_fired, any_fired, mean_shift`` by class, from ``rows(key, n_fired, shift)``."""
+    held = rows.select(key, "n_fired", "shift").hint("merge").join(labels.select(key, F.col(y).alias("y")).hint("merge"), key)
+    return held.groupBy("y").agg(F.count("*").alias("n"), F.avg(F.col("n_fired").cast("double")).alias("mean_fired"), F.count_if(F.col("n_fired") > 0).alias("any_fired"), F.avg("shift").alias("mean_shift"))
 
 
 def learnability(outcomes: DataFrame, labels: DataFrame, key: str, y: str) -> DataFrame:
@@ -219,3 +275,9 @@ def evaluated_once(ledger: DataFrame, checksum: str, force: bool = False) -> Non
     """Raises if a test split with this checksum is in the ledger already."""
     if not force and not ledger.where(F.col("split_checksum") == checksum).isEmpty():
         raise ValueError("this test split was evaluated before")
+
+
+def refused(splits: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``split, refused`` of ``splits(split, checksum)``: whether the ledger holds an evaluation of just these rows."""
+    known = ledger.select(F.col("split_checksum").alias("checksum"), F.lit(True).alias("_known")).distinct()
+    return splits.join(known.hint("merge"), "checksum", "left").select("split", F.coalesce("_known", F.lit(False)).alias("refused"))

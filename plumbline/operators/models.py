@@ -1,106 +1,234 @@
-"""Baseline classifiers on hashed TF-IDF, and scorers that rules and explanations plug in."""
+"""Baseline classifiers on TF-IDF terms, oversampling, and the scorers that rules, explanations and comparisons plug in."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.corpus import class_weights
-from plumbline.operators.features import tokens
-from plumbline.operators.metrics import evaluate_models, platt_apply, platt_fit
+from plumbline.operators.evalset import not_for_training
+from plumbline.operators.features import MAX_TERMS, MIN_DF, tokens
+from plumbline.operators.metrics import evaluate_models, platt_apply, platt_fit, to_margin
+from plumbline.operators.prefix import grouped_rank
 
+#: The baselines, the terms and rounds of boosting, neighbours of a synthetic row, folds of a calibration, and the gate.
 NAMES = ("logistic", "svm", "boosting", "oversampled")
+BOOSTING_TERMS, ROUNDS, NEIGHBOURS, FOLDS, GATE = 3_000, 300, 5, 3, 0.80
+#: Rows of a block where nearest rows are looked for.
+BLOCK = 256
+
+
+class Scorer(Protocol):
+    """Adds ``margin`` (a logit) and ``p`` (a probability) to rows with a text."""
+
+    def transform(self, df: DataFrame) -> DataFrame: ...
 
 
 @dataclass
-class Scorer:
-    """A fitted pipeline; ``margin`` and ``p`` are added to rows with a text."""
+class FittedScorer:
+    """A fitted pipeline on the terms of a text column."""
 
     model: PipelineModel
     text: str
+    ngrams: int = 2
     a: float = 1.0
     b: float = 0.0
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(df.withColumn("_terms", tokens(F.col(self.text), 1)))
-        raw = vector_to_array("rawPrediction")
-        margin = raw[1] - raw[0] if "probability" in out.columns else raw[1]
-        return out.withColumn("margin", margin).withColumn("p", platt_apply(F.col("margin"), self.a, self.b)).drop("_terms", "_tf", "_idf", "_x", "rawPrediction", "probability", "prediction")
+        out = self.model.transform(df.withColumn("_terms", tokens(F.col(self.text), self.ngrams)))
+        out = out.withColumn("margin", self.a * vector_to_array("rawPrediction")[1] + self.b)
+        return out.withColumn("p", platt_apply(F.col("margin"), 1.0, 0.0)).drop("_terms", "_tf", "_idf", "_x", "rawPrediction", "probability", "prediction")
+
+
+@dataclass
+class AveragedScorer:
+    """The mean probability of several scorers, each of which was calibrated on rows of its own."""
+
+    parts: list[FittedScorer]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = df
+        for i, part in enumerate(self.parts):
+            out = part.transform(out).withColumnRenamed("p", f"_p{i}").drop("margin")
+        names = [f"_p{i}" for i in range(len(self.parts))]
+        out = out.withColumn("p", reduce(lambda x, y: x + y, map(F.col, names)) / len(names)).drop(*names)
+        return out.withColumn("margin", to_margin(F.col("p")))
+
+
+@dataclass
+class BatchScorer:
+    """Any model of one's own: ``load`` is called once in each Python worker and gives a function from texts to margins."""
+
+    load: Callable[[], Callable[[list[str]], list[float]]]
+    text: str
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        load, text = self.load, self.text
+
+        def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            model = load()
+            for batch in batches:
+                margin = np.asarray(model(["" if t is None else t for t in batch[text]]), float)
+                yield batch.assign(margin=margin, p=1 / (1 + np.exp(-margin)))
+
+        schema = df.withColumns({"margin": F.lit(0.0), "p": F.lit(0.0)}).schema
+        for field in schema:
+            field.nullable = True
+        return df.mapInPandas(scored, schema)
 
 
 def weighted(df: DataFrame, label: str) -> DataFrame:
     per = class_weights(df, label).select(F.col("label").alias(label), F.col("balanced").alias("_w"))
-    return df.join(F.broadcast(per), label)  # a row per class
-
+    return df.join(F.broadcast(per.limit(100)), label)  # a row per class
 
-def features(terms: int) -> list:
-    return [CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=3, vocabSize=terms), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_x")]
 
+def vectors(terms: int, min_df: int = MIN_DF) -> list:
+    return [CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=min_df, vocabSize=terms), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_x")]
 
-def fit_logistic(train: DataFrame, text: str, label: str, terms: int = 3000) -> Scorer:
-    """Balanced logistic regression; margins are logits already."""
-    rows = weighted(train.withColumn("_terms", tokens(F.col(text), 1)), label)
-    n = max(1, rows.count())
-    return Scorer(Pipeline(stages=[*features(terms), LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_w", regParam=1 / n, standardization=False, maxIter=25)]).fit(rows), text)
 
+def prepared(train: DataFrame, text: str, label: str, ngrams: int) -> DataFrame:
+    return weighted(not_for_training(train).withColumn("_terms", tokens(F.col(text), ngrams)), label)
 
-def fit_svm(train: DataFrame, text: str, label: str, terms: int = 3000, folds: int = 3) -> Scorer:
-    """Balanced linear SVM; its margins are calibrated on out-of-fold margins."""
-    rows = weighted(train.withColumn("_terms", tokens(F.col(text), 1)), label)
-    svm = LinearSVC(featuresCol="_x", labelCol=label, weightCol="_w", regParam=1e-3, maxIter=10, standardization=False)
-    fold = F.pmod(F.xxhash64(text), F.lit(folds))
-    parts = None
-    for i in range(folds):
-        model = Scorer(Pipeline(stages=[*features(terms), svm]).fit(rows.where(fold != i)), text)
-        out = model.transform(rows.where(fold == i).drop("_terms", "_w")).select("margin", label)
-        parts = out if parts is None else parts.union(out)
-    a, b = platt_fit(parts.cache(), "margin", label)
-    return Scorer(Pipeline(stages=[*features(terms), svm]).fit(rows), text, a, b)
 
+def regression(label: str, n: int, weight: bool = True) -> LogisticRegression:
+    out = LogisticRegression(featuresCol="_x", labelCol=label, regParam=1 / max(1, n), standardization=False, maxIter=100)
+    return out.setWeightCol("_w") if weight else out
 
-def fit_boosting(train: DataFrame, text: str, label: str, terms: int = 300, rounds: int = 20) -> Scorer:
-    rows = weighted(train.withColumn("_terms", tokens(F.col(text), 1)), label)
-    return Scorer(Pipeline(stages=[*features(terms), GBTClassifier(featuresCol="_x", labelCol=label, weightCol="_w", maxIter=rounds, stepSize=0.1, maxDepth=3, seed=42)]).fit(rows), text)
 
+def fit_logistic(train: DataFrame, text: str, label: str, terms: int = MAX_TERMS, ngrams: int = 2) -> FittedScorer:
+    """Balanced logistic regression on words and pairs of words; margins are logits already."""
+    rows = prepared(train, text, label, ngrams)
+    return FittedScorer(Pipeline(stages=[*vectors(terms), regression(label, rows.count())]).fit(rows), text, ngrams)
 
-def oversample(vectors: DataFrame, key: str, vector: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Synthetic minority rows: each minority row meets one of its ``k`` nearest, and a seeded point between is taken.
 
-    ``vector`` is an array; neighbours come from equal leading signs of seeded projections, so no row meets all others.
+def fit_svm(train: DataFrame, text: str, label: str, terms: int = MAX_TERMS, ngrams: int = 2, folds: int = FOLDS) -> AveragedScorer:
+    """Balanced linear SVM: for each fold one fitted on the others and calibrated on the fold; their probabilities are averaged."""
+    rows = prepared(train, text, label, ngrams)
+    svm = LinearSVC(featuresCol="_x", labelCol=label, weightCol="_w", regParam=1e-3, maxIter=30, standardization=False)
+    fold, parts = F.pmod(F.xxhash64(text), F.lit(folds)), []
+    for i in range(folds):
+        part = FittedScorer(Pipeline(stages=[*vectors(terms), svm]).fit(rows.where(fold != i)), text, ngrams)
+        part.a, part.b = platt_fit(part.transform(rows.where(fold == i).drop("_terms", "_w")), "margin", label)
+        parts.append(part)
+    return AveragedScorer(parts)
+
+
+def fit_boosting(train: DataFrame, text: str, label: str, terms: int = BOOSTING_TERMS, rounds: int = ROUNDS) -> FittedScorer:
+    """Balanced boosted trees on single words; Spark's margins are half logits."""
+    rows = prepared(train, text, label, 1)
+    trees = GBTClassifier(featuresCol="_x", labelCol=label, weightCol="_w", maxIter=rounds, stepSize=0.1, maxDepth=3, seed=42)
+    return FittedScorer(Pipeline(stages=[*vectors(terms), trees]).fit(rows), text, 1, 2.0)
+
+
+def fit_oversampled(train: DataFrame, text: str, label: str, terms: int = MAX_TERMS, ngrams: int = 2, k: int = NEIGHBOURS) -> FittedScorer:
+    """Logistic regression on rows to which synthetic ones of the smaller class were added until classes are equal."""
+    rows = prepared(train, text, label, ngrams).drop("_w")
+    made = Pipeline(stages=vectors(terms)).fit(rows)
+    parts = F.unwrap_udt(F.col("_x"))
+    keyed = made.transform(rows).select(F.md5(F.coalesce(text, F.lit(""))).alias("_key"), F.col(label).cast("int").alias(label), parts["size"].alias("_n"), parts["indices"].alias("_i"), parts["values"].alias("_v"), "_x")
+    extra = synthetic(keyed.select("_key", "_i", "_v", label), "_key", label, k)
+    width = len(made.stages[0].vocabulary)
+    vector = F.udf(lambda i, v: SparseVector(width, dict(zip(i, v))), VectorUDT())
+    both = keyed.select("_x", F.col(label)).unionByName(extra.select(vector("_i", "_v").alias("_x"), F.col(label)))
+    model = regression(label, both.count(), weight=False).fit(both)
+    return FittedScorer(PipelineModel(stages=[*made.stages, model]), text, ngrams)
+
+
+def nearest(rows: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+    """``a, b, rank``: the ``k`` nearest others of each of ``rows(a, i, v)``, sparse vectors, by Euclidean distance, ties to the smaller key.
+
+    Blocks of rows meet blocks in groups of bounded size, each of which keeps the ``k`` best of its own; a window merges these. Every pair of
+    blocks is looked at, so the result is exact; the work is that of all pairs of the rows given.
+    """
+    blocks = max(1, -(-rows.count() // BLOCK))
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    # Both sides are of one table, so each gets columns of its own.
+    left = placed.select(*(F.col(c).alias(c) for c in ("a", "i", "v")), F.col("block").alias("mine"), every.alias("other"))
+    right = placed.select(*(F.col(c).alias(c) for c in ("a", "i", "v")), F.col("block").alias("other"), every.alias("mine"))
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": [], "d": []})
+        terms = np.unique(np.concatenate([*map(np.asarray, x["i"]), *map(np.asarray, y["i"])]))
+
+        def dense(side: pd.DataFrame) -> np.ndarray:
+            out = np.zeros((len(side), len(terms)))
+            for n, (i, v) in enumerate(zip(side["i"], side["v"])):
+                out[n, np.searchsorted(terms, np.asarray(i))] = np.asarray(v, float)
+            return out
+
+        y = y.sort_values("a")
+        p, q = dense(x), dense(y)
+        away = np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * p @ q.T, 0.0)
+        keys, out = y["a"].to_numpy(), []
+        for n, key in enumerate(x["a"]):
+            order = [j for j in np.argsort(away[n], kind="stable")[: k + 1] if keys[j] != key][:k]
+            out.append(pd.DataFrame({"a": [key] * len(order), "b": keys[order], "d": away[n][order]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "d": []})
+
+    kind = dict(rows.dtypes)["a"]
+    found = left.groupBy("mine", "other").cogroup(right.groupBy("mine", "other")).applyInPandas(best, f"a {kind}, b {kind}, d double")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("a", "b", "rank")
+
+
+def synthetic(vectors: DataFrame, key: str, label: str, k: int = NEIGHBOURS, seed: int = 42) -> DataFrame:
+    """``key, label, _i, _v``: synthetic rows of the smaller class, as many as the larger has more, from ``vectors(key, _i, _v, label)``.
+
+    Each lies on the line from a row to one of its ``k`` nearest, at a seeded place. Rows of the class give as many each, but for one, in
+    seeded order; neighbours take turns. One row per key counts. With fewer than two rows in a class there are none.
     """
-    per = class_weights(vectors, label).collect()  # a row per class
-    if len(per) < 2:
-        return vectors.limit(0).select(key, vector, label)
-    small, large = sorted(per, key=lambda r: r["n"])[0], sorted(per, key=lambda r: r["n"])[-1]
-    minority = vectors.where(F.col(label) == small["label"]).select(F.col(key).alias("a"), F.col(vector).alias("va"))
-    sign = lambda v, t: F.when(F.aggregate(F.transform(v, lambda x, i: x.cast("double") * F.sin((i + 1) * F.lit(12.9898 * (t + 1) + seed))), F.lit(0.0), lambda s, x: s + x) >= 0, "1").otherwise("0")
-    keyed = minority.withColumn("bucket", F.concat(*(sign(F.col("va"), t) for t in range(3))))
-    other = keyed.select(F.col("a").alias("b"), F.col("va").alias("vb"), "bucket")
-    away = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x.cast("double"))
-    near = keyed.hint("merge").join(other.hint("merge"), "bucket").where("a <> b").withColumn("d", away)
-    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("rank") <= k)
-    copies = max(1, round(large["n"] / max(1, small["n"])) - 1)
-    near = near.where(F.col("rank") <= copies)
-    t = F.pmod(F.xxhash64("a", "b", F.lit(seed)), F.lit(1000)) / 1000.0
-    return near.select(F.col("a").alias(key), F.zip_with("va", "vb", lambda x, y: x + (y - x) * t).alias(vector), F.lit(small["label"]).alias(label))
-
-
-def fit_baselines(train: DataFrame, text: str, label: str, names: tuple[str, ...] = ("logistic", "svm", "boosting")) -> dict[str, Scorer]:
-    fits: dict[str, Callable] = {"logistic": fit_logistic, "svm": fit_svm, "boosting": fit_boosting}
-    return {n: fits[n](train, text, label) for n in names}
-
-
-def compare(scorers: dict[str, Scorer], val: DataFrame, label: str) -> DataFrame:
-    """Ranking metrics of every scorer on one table, best first."""
+    per = {r["label"]: r["n"] for r in class_weights(vectors, label).collect()}  # a row per class
+    least = min(per, key=per.get, default=None)
+    once = vectors.where(F.col(label) == least).groupBy(F.col(key).alias("a")).agg(F.min(F.struct("_i", "_v")).alias("x")).select("a", F.col("x._i").alias("i"), F.col("x._v").alias("v"))
+    rows, wanted = once.count(), max(per.values(), default=0) - per.get(least, 0)
+    if len(per) < 2 or rows < 2 or wanted <= 0:
+        return vectors.limit(0).select(key, label, "_i", "_v")
+    ranked = grouped_rank(once.withColumn("_all", F.lit(1)).withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("a").cast("string")))), ["_all"], F.col("_h"), F.col("a"))
+    copies = F.floor(F.col("rank") * wanted / rows) - F.floor((F.col("rank") - 1) * wanted / rows)
+    near = nearest(once, k).groupBy("a").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "b"))), lambda n: n["b"]).alias("near"))
+    drawn = ranked.select("a", "i", "v", copies.alias("copies")).where("copies > 0").hint("merge").join(near.hint("merge"), "a")
+    drawn = drawn.select("a", "i", "v", "near", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("turn"))
+    turn = F.pmod(F.col("turn") - 1 + F.pmod(F.xxhash64("a", F.lit(seed)), F.size("near")), F.size("near")).cast("int")
+    drawn = drawn.select("a", "i", "v", F.get("near", turn).alias("b"), (F.pmod(F.xxhash64("a", "turn", F.lit(seed)), F.lit(10_000)) / 10_000.0).alias("t"))
+    ends = once.select(F.col("a").alias("b"), F.col("i").alias("j"), F.col("v").alias("u"))
+    met = drawn.hint("merge").join(ends.hint("merge"), "b")
+    whole = F.array_sort(F.array_union("i", "j"))
+    at = lambda i, v, x: F.coalesce(F.try_element_at(F.map_from_arrays(i, v), x), F.lit(0.0))
+    mixed = F.transform(whole, lambda x: at(F.col("i"), F.col("v"), x) + (at(F.col("j"), F.col("u"), x) - at(F.col("i"), F.col("v"), x)) * F.col("t"))
+    return met.select(F.col("a").alias(key), F.lit(least).alias(label), whole.alias("_i"), mixed.alias("_v"))
+
+
+def oversample(vectors: DataFrame, key: str, vector: str, label: str, k: int = NEIGHBOURS, seed: int = 42) -> DataFrame:
+    """Synthetic rows ``(key, vector, label)`` of the smaller class for dense arrays of one length; see ``synthetic``."""
+    places = F.sequence(F.lit(0), F.size(vector) - 1)
+    rows = vectors.where(F.size(vector) > 0).select(key, places.alias("_i"), F.col(vector).cast("array<double>").alias("_v"), label)
+    return synthetic(rows, key, label, k, seed).select(key, F.col("_v").alias(vector), label)
+
+
+FITS: dict[str, Callable] = {"logistic": fit_logistic, "svm": fit_svm, "boosting": fit_boosting, "oversampled": fit_oversampled}
+
+
+def fit_baselines(train: DataFrame, text: str, label: str, names: tuple[str, ...] = NAMES) -> dict[str, Scorer]:
+    return {n: FITS[n](train, text, label) for n in names}
+
+
+def compare(scorers: dict[str, Scorer], val: DataFrame, label: str, gate: float = GATE) -> DataFrame:
+    """Ranking metrics of every scorer on one table, best average precision first, with ``best`` and ``passed`` (the gate)."""
     parts = [s.transform(val).select(F.lit(n).alias("model"), F.col("p").alias("score"), F.col(label).alias("y")) for n, s in scorers.items()]
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.union(p)
-    return evaluate_models(long)
+    metrics = evaluate_models(reduce(DataFrame.union, parts))
+    first = metrics.agg(F.max_by("model", F.struct("average_precision", "model")).alias("_best"))
+    return metrics.crossJoin(F.broadcast(first)).select(*metrics.columns, (F.col("model") == F.col("_best")).alias("best"), (F.col("average_precision") >= gate).alias("passed"))  # one row

@@ -38,5 +38,6 @@ def running_sums(df: DataFrame, keys: list[str], order: str, sums: list[str], bu
     above = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, "_b", *(F.coalesce(F.sum(f"_t_{c}").over(above), F.lit(0)).alias(f"_a_{c}") for c in sums))
     own = Window.partitionBy(*keys, "_b").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    joined = parted.hint("merge").join(totals.hint("merge"), [*keys, "_b"])
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*keys, "_b")]
+    joined = parted.alias("l").hint("merge").join(totals.alias("r").hint("merge"), same).select("l.*", *(F.col(f"r._a_{c}") for c in sums))
     return joined.select(*df.columns, *((F.sum(c).over(own) + F.col(f"_a_{c}")).alias(f"cum_{c}") for c in sums))

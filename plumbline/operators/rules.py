@@ -1,225 +1,310 @@
-"""Deterministic rules over mentions and phrases; each feature fires, is clean, or isn't assessed."""
+"""Deterministic rules over mentions and phrases; each feature fires, is clean, or isn't assessed. All are expressions on the row."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
-from plumbline.operators.dims import FEATURES, HOST_CLASSES, WEIGHTS
-from plumbline.operators.phrases import group_scores, match_phrases
-
-#: Fixed values of the rules.
-TELEGRAM, WHATSAPP, CHAT_BOOST, ANONYMOUS_BOOST = 0.75, 0.35, 0.15, 0.10
-ENTRY_MULTIPLE, GENERAL_MULTIPLE = 2.5, 6.0
-HOURS, DAYS, WEEKS, MONTHS = 173.33, 22, 4, 12
-AMOUNT = r"(?i)(?<![\w.,])(?:[$€£]|rp\.?)?\s?\d+(?:[.,]\d+)*\s?(?:million|juta|ribu|jt|rb|mn|k|m)?(?!\w)"
-UNITS = {"million": 1e6, "mn": 1e6, "m": 1e6, "juta": 1e6, "jt": 1e6, "ribu": 1e3, "rb": 1e3, "k": 1e3}
+from plumbline.functions.spans import find_spans
+from plumbline.operators import fixed
+from plumbline.operators.dims import minimum_wage
+from plumbline.operators.fixed import FEATURES, PLACEHOLDER_POINTS
+from plumbline.operators.phrases import group_scores, match_phrases, saturated, with_hits
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Inputs of the rules that depend on locale."""
-
-    classes: dict[str, str] = field(default_factory=lambda: dict(HOST_CLASSES))
-    telegram: tuple[str, ...] = ("t.me", "telegram")
-    whatsapp: tuple[str, ...] = ("wa.me", "whatsapp")
-    chat_hiring: tuple[str, ...] = ("interview by chat", "chat only")
-    anonymous: tuple[str, ...] = ("hr team", "recruiter")
-    no_experience: tuple[str, ...] = ("no experience", "without experience", "entry level")
-    years: str = r"(?i)(\d{1,2})\s*\+?\s*years?\s*(?:of\s*)?(?:\w+\s+)?experience"
-    salary_words: str = r"(?i)\b(?:salary|wage|pay|income|earn(?:ings?)?|compensation)\b"
-    cost_words: str = r"(?i)\b(?:cost|charge|deposit|refundable|fee\s+of)\b"
-    senior: tuple[str, ...] = ("senior", "director", "head of")
-    entry: tuple[str, ...] = ("entry level", "no experience", "trainee", "intern")
-    decimal_comma: bool = False
-    floor: int = 100
-    ceiling: int = 1_000_000
+    """Inputs of the rules. Those of salaries depend on the locale: ``SETTINGS`` has one for each."""
+
+    free: tuple[str, ...] = fixed.FREE_PROVIDERS
+    disposable: tuple[str, ...] = fixed.DISPOSABLE_PROVIDERS
+    shorteners: tuple[str, ...] = fixed.SHORTENERS
+    aggregators: tuple[str, ...] = fixed.AGGREGATORS
+    telegram_hosts: tuple[str, ...] = fixed.TELEGRAM_HOSTS
+    whatsapp_hosts: tuple[str, ...] = fixed.WHATSAPP_HOSTS
+    telegram: tuple[str, ...] = fixed.TELEGRAM_PHRASES
+    whatsapp: tuple[str, ...] = fixed.WHATSAPP_PHRASES
+    chat_hiring: tuple[str, ...] = fixed.CHAT_HIRING
+    anonymous: tuple[str, ...] = fixed.ANONYMOUS
+    no_experience: tuple[str, ...] = fixed.NO_EXPERIENCE
+    years: str = fixed.YEARS
+    salary_words: str = fixed.SALARY_WORDS
+    cost_words: str = fixed.COST_WORDS
+    senior: tuple[str, ...] = fixed.LOCALES["en"]["senior"]
+    entry: tuple[str, ...] = fixed.LOCALES["en"]["entry"] + fixed.LOCALES["en"]["roles"]
+    currency: tuple[str, ...] = fixed.LOCALES["en"]["currency"]
+    dot_is_thousands: bool = False
+    floor: int = fixed.LOCALES["en"]["floor"]
+    ceiling: int = fixed.LOCALES["en"]["ceiling"]
     payment_group: str = "payment"
 
 
+def settings_of(code: str, base: Settings = Settings()) -> Settings:
+    """Settings with the salary inputs of one locale."""
+    known = fixed.LOCALES[code]
+    return replace(base, senior=known["senior"], entry=known["entry"] + known["roles"], **{k: known[k] for k in ("currency", "dot_is_thousands", "floor", "ceiling")})
+
+
+SETTINGS = {code: settings_of(code) for code in fixed.LOCALES}
+#: What only the salary rule reads.
+_PLAIN = {k: getattr(Settings(), k) for k in ("salary_words", "cost_words", "senior", "entry", "currency", "dot_is_thousands", "floor", "ceiling")}
+
+
+def listed(value: Column, names: tuple[str, ...]) -> Column:
+    return F.coalesce(value.isin(*names), F.lit(False)) if names else F.lit(False)
+
+
 def any_in(low: Column, phrases: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(low, p))
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(p)) for p in phrases), F.lit(False))
 
 
-def outcome(severity: Column, evidence: Column, available: Column) -> Column:
-    """A rule's result; what isn't available has severity 0 and no evidence."""
+def outcome(severity: Column, evidence: Column, available: Column, start: Column | None = None, end: Column | None = None) -> Column:
+    """A rule's result; what isn't available has severity 0, no evidence and no span."""
     ok = F.coalesce(available, F.lit(False))
-    return F.struct(F.when(ok, F.coalesce(severity, F.lit(0.0))).otherwise(0.0).alias("severity"), ok.alias("available"), F.when(ok & (severity > 0), evidence).alias("evidence"))
+    fired = ok & (severity > 0)
+    place = [F.when(fired, c).cast("int").alias(n) for n, c in (("start", F.lit(None) if start is None else start), ("end", F.lit(None) if end is None else end))]
+    return F.struct(F.when(ok, F.coalesce(severity, F.lit(0.0))).otherwise(0.0).alias("severity"), ok.alias("available"), F.when(fired, evidence).alias("evidence"), *place)
+
 
+def spanned(severity: Column, span: Column, available: Column) -> Column:
+    return outcome(severity, span["text"], available, span["start"], span["end"])
 
-def domain_class(domain: Column, s: Settings) -> Column:
+
+def domain_class(domain: Column, classes: dict[str, str]) -> Column:
     """Class of a host or of a parent domain of it."""
     parts = F.split(domain, r"\.", -1)
     parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    table = F.create_map(*(F.lit(x) for kv in s.classes.items() for x in kv))
+    table = F.create_map(*(F.lit(x) for kv in classes.items() for x in kv))
     return F.get(F.filter(F.transform(parents, lambda p: F.try_element_at(table, p)), lambda c: c.isNotNull()), F.lit(0))
 
 
+def provider(email: Column) -> Column:
+    return tx.registrable_label(tx.email_domain(email["text"]))
+
+
+def corporate(s: Settings) -> Column:
+    return F.filter("emails", lambda e: ~listed(provider(e), s.free + s.disposable))
+
+
 def email_free_provider(s: Settings) -> Column:
     """0.95 for a disposable provider, 0.55 for a free one; the first such address in the text counts."""
-    classed = F.transform("emails", lambda e: F.struct(domain_class(tx.email_domain(e["text"]), s).alias("class"), e["text"].alias("text")))
-    first = F.get(F.filter(classed, lambda e: e["class"].isin("free", "disposable")), F.lit(0))
-    return outcome(F.when(first["class"] == "disposable", 0.95).when(first["class"] == "free", 0.55).otherwise(0.0), first["text"], ~F.col("has_redaction"))
+    first = F.get(F.filter("emails", lambda e: listed(provider(e), s.free + s.disposable)), F.lit(0))
+    return spanned(F.when(listed(provider(first), s.disposable), fixed.DISPOSABLE).when(first.isNotNull(), fixed.FREE).otherwise(0.0), first, ~F.col("has_redaction"))
 
 
 def shortened(url: Column, s: Settings) -> Column:
-    return F.coalesce(domain_class(tx.url_host(url), s) == "shortener", F.lit(False))
+    return listed(tx.url_host(url["text"]), s.shorteners)
 
 
 def email_absent(s: Settings) -> Column:
-    """0.35 without an address or an ordinary link but with some other route, 0.55 with none."""
-    ordinary = F.exists("urls", lambda u: ~shortened(u["text"], s))
+    """0.35 without an address or an ordinary link but with some other route, 0.55 with none. An aggregator is an ordinary link here."""
+    ordinary = F.exists("urls", lambda u: ~shortened(u, s))
     route = (F.size("urls") > 0) | (F.size("phones") > 0)
-    return outcome(F.when((F.size("emails") > 0) | ordinary, 0.0).when(route, 0.35).otherwise(0.55), F.lit("no address"), ~F.col("has_redaction"))
+    return outcome(F.when((F.size("emails") > 0) | ordinary, 0.0).when(route, fixed.NO_ADDRESS).otherwise(fixed.NO_ROUTE), F.lit("no address"), ~F.col("has_redaction"))
 
 
 def email_domain_mismatch(s: Settings) -> Column:
     """0.60 where a corporate address fits none of the companies named; fits are generous."""
-    corporate = F.filter("emails", lambda e: domain_class(tx.email_domain(e["text"]), s).isNull())
 
     def fits(e: Column, c: Column) -> Column:
-        label, name = tx.match_form(tx.registrable_label(tx.email_domain(e["text"]))), tx.match_form(c["text"])
-        words = F.filter(F.split(F.lower(c["text"]), "[^a-z0-9]+", -1), lambda w: F.length(w) >= 4)
-        return F.contains(name, label) | F.contains(label, name) | (label == tx.acronym(c["text"])) | F.exists(words, lambda w: F.contains(label, w))
-
-    strangers = F.filter(corporate, lambda e: ~F.exists("companies", lambda c: fits(e, c)))
+        label = F.lower(provider(e))
+        # The legal form, the first word, is no part of the name.
+        bare = F.when(F.contains(c["text"], F.lit(" ")), F.regexp_replace(c["text"], r"^\s*\S+\s+", "")).otherwise(c["text"])
+        name = tx.match_form(bare)
+        words = F.filter(F.transform(F.split(bare, r"\s+", -1), tx.match_form), lambda w: F.length(w) >= 4)
+        return (name == "") | (label == "") | F.contains(name, label) | F.contains(label, name) | (label == tx.acronym(bare)) | F.exists(words, lambda w: F.contains(label, w))
+
+    strangers = F.filter(corporate(s), lambda e: ~F.exists("companies", lambda c: fits(e, c)))
     hit = (F.size("companies") > 0) & (F.size(strangers) > 0)
-    return outcome(F.when(hit, 0.60).otherwise(0.0), F.get(strangers, F.lit(0))["text"], ~F.col("has_redaction"))
+    return spanned(F.when(hit, fixed.MISMATCH).otherwise(0.0), F.get(strangers, F.lit(0)), ~F.col("has_redaction"))
+
+
+def channel(hosts: tuple[str, ...], phrases: tuple[str, ...]) -> Column:
+    """Where a text leads to a chat: a link to one of the hosts before the first of the phrases it holds; null if it doesn't."""
+    link = F.get(F.filter("urls", lambda u: listed(tx.url_host(u["text"]), hosts)), F.lit(0))
+    low = F.col("low")
+    said = F.get(F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(low, p)), F.lit(0))
+    start = F.instr(low, said) - 1
+    phrase = F.when(said.isNotNull(), F.struct(said.alias("text"), start.alias("start"), (start + F.length(said)).alias("end")))
+    return F.coalesce(link, phrase)
 
 
 def contact_messaging_only(s: Settings) -> Column:
     """Chat as the only route: Telegram before WhatsApp, more with chat hiring or a recruiter without a name."""
     low = F.col("low")
-    formal = (F.size("emails") > 0) | F.exists("urls", lambda u: ~any_in(F.lower(u["text"]), s.telegram + s.whatsapp) & ~shortened(u["text"], s))
-    telegram, whatsapp = any_in(low, s.telegram), any_in(low, s.whatsapp)
-    base = F.when(telegram, TELEGRAM).when(whatsapp, WHATSAPP).otherwise(0.0)
-    more = F.when(any_in(low, s.chat_hiring), CHAT_BOOST).otherwise(0.0) + F.when(any_in(low, s.anonymous), ANONYMOUS_BOOST).otherwise(0.0)
-    return outcome(F.when(formal | (base == 0), 0.0).otherwise(F.least(base + more, F.lit(1.0))), F.when(telegram, "telegram").otherwise("whatsapp"), ~F.col("has_redaction"))
+    informal = s.shorteners + s.aggregators + s.whatsapp_hosts + s.telegram_hosts
+    formal = (F.size(corporate(s)) > 0) | F.exists("urls", lambda u: ~listed(tx.url_host(u["text"]), informal))
+    telegram, whatsapp = channel(s.telegram_hosts, s.telegram), channel(s.whatsapp_hosts, s.whatsapp)
+    base = F.when(telegram.isNotNull(), fixed.TELEGRAM).when(whatsapp.isNotNull(), fixed.WHATSAPP).otherwise(0.0)
+    more = F.when(any_in(low, s.chat_hiring), fixed.CHAT_BOOST).otherwise(0.0) + F.when(any_in(low, s.anonymous), fixed.ANONYMOUS_BOOST).otherwise(0.0)
+    return spanned(F.when(formal | (base == 0), 0.0).otherwise(F.least(base + more, F.lit(1.0))), F.coalesce(telegram, whatsapp), ~F.col("has_redaction"))
 
 
 def url_shortener(s: Settings) -> Column:
-    """0.45 for a shortened link beside an ordinary one, 0.65 without."""
-    short = F.exists("urls", lambda u: shortened(u["text"], s))
-    ordinary = F.exists("urls", lambda u: ~shortened(u["text"], s))
-    first = F.get(F.filter("urls", lambda u: shortened(u["text"], s)), F.lit(0))["text"]
-    return outcome(F.when(short & ordinary, 0.45).when(short, 0.65).otherwise(0.0), first, ~F.col("has_redaction"))
+    """0.45 for a shortened link beside an ordinary one, 0.65 without; an aggregator is neither."""
+    first = F.get(F.filter("urls", lambda u: shortened(u, s)), F.lit(0))
+    ordinary = F.exists("urls", lambda u: ~listed(tx.url_host(u["text"]), s.shorteners + s.aggregators))
+    return spanned(F.when(first.isNotNull() & ordinary, fixed.SHORT_AND_OTHER).when(first.isNotNull(), fixed.SHORT_ONLY).otherwise(0.0), first, ~F.col("has_redaction"))
 
 
 def qualification_conflict(s: Settings) -> Column:
     """No experience asked for, and years of it: min(0.35 + 0.10 (years - 2), 0.85) from two years on."""
     low = F.col("low")
-    negated = lambda p: F.regexp_like(F.substring(low, F.greatest(F.instr(low, p) - 41, F.lit(0)) + 1, F.least(F.instr(low, p) - 1, F.lit(40))), F.lit(r"\b(?:not|non)\s*$"))
-    free = F.filter(F.array(*map(F.lit, s.no_experience)), lambda p: F.contains(low, p) & ~negated(p))
-    years = F.array_max(F.transform(F.regexp_extract_all(low, F.lit(s.years), F.lit(1)), lambda y: y.cast("int")))
-    hit = (F.size(free) > 0) & (years >= 2)
-    return outcome(F.when(hit, F.least(0.35 + 0.10 * (years - 2), F.lit(0.85))).otherwise(0.0), F.get(free, F.lit(0)), F.lit(True))
-
-
-def amount(fragment: Column, decimal_comma: bool) -> Column:
-    """A written amount as a number: separators by locale, units of thousands and millions, cut to a whole."""
-    low = F.lower(fragment)
-    digits = F.regexp_extract(low, r"\d+(?:[.,]\d+)*", 0)
-    group, point = (r"\.", ",") if decimal_comma else (",", ".")
-    plain = F.replace(F.regexp_replace(digits, group, ""), F.lit(point), F.lit("."))
-    unit = F.regexp_extract(low, r"(million|juta|ribu|jt|rb|mn|k|m)$", 1)
-    table = F.create_map(*(F.lit(x) for kv in UNITS.items() for x in kv))
+    at = lambda p: F.instr(low, p) - 1
+    before = lambda p: F.substring(low, F.greatest(at(p) - fixed.NEGATION_WINDOW, F.lit(0)) + 1, F.least(at(p), F.lit(fixed.NEGATION_WINDOW)))
+    free = F.filter(F.array(*map(F.lit, s.no_experience)), lambda p: F.contains(low, p) & ~F.regexp_like(before(p), F.lit(fixed.NEGATION)))
+    asked = find_spans(low, s.years, F.size(free) > 0)
+    counted = F.transform(asked, lambda m: F.struct(F.regexp_extract(m["text"], r"\d{1,2}", 0).cast("int").alias("years"), (-m["start"]).alias("first"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text")))
+    most = F.array_max(F.filter(counted, lambda m: m["years"] >= fixed.MIN_YEARS))
+    hit = (F.size(free) > 0) & most.isNotNull()
+    said = F.when(F.size(free) > 0, most)
+    return outcome(F.when(hit, F.round(F.least(0.35 + 0.10 * (said["years"] - fixed.MIN_YEARS), F.lit(0.85)), 4)).otherwise(0.0), F.concat_ws(" / ", F.get(free, F.lit(0)), said["text"]), F.lit(True), said["start"], said["end"])
+
+
+def amount_pattern(s: Settings) -> str:
+    """Amounts by the locale's separators: with a unit, grouped, after a currency, or of four digits and more, in this order."""
+    quoted = "|".join(rf"\Q{t}\E" for t in s.currency) or "rp"
+    units = "|".join(sorted(fixed.UNITS, key=len, reverse=True))
+    group, point = (r"\.", ",") if s.dot_is_thousands else (",", r"\.")
+    grouped, bare = rf"\d{{1,3}}(?:{group}\d{{3}})+(?:{point}\d{{1,2}})?", rf"\d{{1,4}}(?:{point}\d{{1,3}})?"
+    money = rf"(?:(?:{quoted})\s*)?"
+    return rf"(?iU)(?:{money}(?:{grouped}|{bare})\s*(?:{units})\b|{money}{grouped}|(?:{quoted})\s*\d{{1,4}}(?:[.,]\d{{1,2}})?|\d{{4,}})"
+
+
+def amount(fragment: Column, dot_is_thousands: bool) -> Column:
+    """A written amount as a number: separators by locale, units of thousands and millions, cut to a whole; null if it is none."""
+    units = "|".join(sorted(fixed.UNITS, key=len, reverse=True))
+    low = F.lower(F.trim(fragment))
+    unit = F.regexp_extract(low, rf"({units})\s*$", 1)
+    digits = F.trim(F.regexp_replace(F.regexp_replace(low, rf"({units})\s*$", ""), r"[^\d.,]", ""), F.lit(" .,"))
+    plain = F.replace(F.replace(digits, F.lit("."), F.lit("")), F.lit(","), F.lit(".")) if dot_is_thousands else F.replace(digits, F.lit(","), F.lit(""))
+    table = F.create_map(*(F.lit(x) for kv in fixed.UNITS.items() for x in kv))
     return (plain.try_cast("double") * F.coalesce(F.try_element_at(table, unit), F.lit(1.0))).cast("bigint")
 
 
 def monthly(value: Column, tail: Column) -> Column:
     """An amount per month, by the first of hour, day, week and year that the text after it names."""
     has = lambda regex: F.regexp_like(tail, F.lit(regex))
-    return F.when(has(r"/\s*(?:h|hr|hour)\b|per\s+hour|hourly"), (value * HOURS).cast("bigint")).when(has(r"/\s*day|per\s+day|daily"), value * DAYS).when(has(r"/\s*(?:week|wk)\b|per\s+week|weekly"), value * WEEKS).when(has(r"/\s*(?:year|yr|annum)\b|per\s+(?:year|annum)\b|\b(?:annually|annual|pa|p\.a\.)\b"), F.floor(value / MONTHS)).otherwise(value)
+    per = F.when(has(fixed.PER_HOUR), (value * fixed.HOURS).cast("bigint")).when(has(fixed.PER_DAY), value * fixed.DAYS).when(has(fixed.PER_WEEK), value * fixed.WEEKS)
+    return per.when(has(fixed.PER_YEAR), (value / fixed.MONTHS).cast("bigint")).otherwise(value)
 
 
 def salaries(s: Settings) -> Column:
-    """Candidate salaries ``(amount, start, end)`` per month: near a salary word, no later cost word, within bounds."""
-    from plumbline.functions.spans import find_spans
-
+    """Candidate salaries ``(amount, start, end)`` per month: a salary word near, no cost word after it, within bounds."""
     low = F.col("low")
 
     def candidate(m: Column) -> Column:
-        window = F.substring(low, F.greatest(m["start"] - 60, F.lit(0)) + 1, m["end"] - F.greatest(m["start"] - 60, F.lit(0)))
-        last = lambda regex: F.aggregate(F.transform(F.slice(F.split(window, regex, -1), F.lit(1), F.size(F.split(window, regex, -1)) - 1), F.length), F.lit(0), lambda a, x: a + x)
-        salary, cost = F.regexp_like(window, F.lit(s.salary_words)), F.regexp_like(window, F.lit(s.cost_words))
-        value = monthly(amount(m["text"], s.decimal_comma), F.substring(low, m["start"] + 1, m["end"] - m["start"] + 25))
-        return F.struct(F.when(salary & ~(cost & (last(s.cost_words) > last(s.salary_words))), value).alias("amount"), m["start"].alias("start"), m["end"].alias("end"))
+        from_ = F.greatest(m["start"] - fixed.SALARY_WINDOW, F.lit(0))
+        window = F.substring(low, from_ + 1, m["end"] - from_)
+        salary, cost = F.regexp_instr(window, F.lit(s.salary_words)), F.regexp_instr(window, F.lit(s.cost_words))
+        value = monthly(amount(m["text"], s.dot_is_thousands), F.substring(low, m["start"] + 1, m["end"] - m["start"] + fixed.SALARY_TAIL))
+        return F.struct(F.when((salary > 0) & (cost <= salary), value).alias("amount"), m["start"].alias("start"), m["end"].alias("end"))
 
-    found = F.when(F.regexp_like(low, F.lit(s.salary_words)), F.transform(find_spans(low, AMOUNT), candidate))
+    found = F.when(F.regexp_like(low, F.lit(s.salary_words)), F.transform(find_spans(low, amount_pattern(s)), candidate))
     return F.filter(F.coalesce(found, F.expr("cast(array() as array<struct<amount:bigint,start:int,end:int>>)")), lambda c: c["amount"].between(s.floor, s.ceiling))
 
 
-def salary_implausible(s: Settings) -> Column:
-    """How far the lowest salary found exceeds a multiple of the region's ``minimum``; without a minimum, not assessed."""
-    lowest = F.array_min(salaries(s))
-    entry = ~any_in(F.col("low"), s.senior) & any_in(F.col("low"), s.entry)
-    limit = F.when(entry, ENTRY_MULTIPLE).otherwise(GENERAL_MULTIPLE)
-    multiple = lowest["amount"] / F.col("minimum")
-    return outcome(F.when(multiple > limit, F.least(0.4 + 0.6 * (multiple - limit) / limit, F.lit(1.0))).otherwise(0.0), lowest["amount"].cast("string"), F.col("minimum").isNotNull())
-
+def entry_level(s: Settings) -> Column:
+    """Said to need no experience, or by nature; a senior's word rules it out."""
+    return ~any_in(F.col("low"), s.senior) & any_in(F.col("low"), s.entry)
 
-def payment_request(s: Settings) -> Column:
-    return outcome(F.col("payment_score"), F.col("payment_phrase"), F.col("has_lexicon"))
 
+def salary_implausible_vs_umk(s: Settings) -> Column:
+    """How far the lowest salary found reaches a multiple of the region's ``minimum``; without a minimum, not assessed."""
+    lowest = F.array_min(salaries(s))
+    limit = F.when(entry_level(s), fixed.ENTRY_MULTIPLE).otherwise(fixed.GENERAL_MULTIPLE)
+    multiple = F.when(F.col("minimum") > 0, lowest["amount"] / F.col("minimum")).otherwise(0.0)
+    severity = F.when(lowest.isNotNull() & (multiple >= limit), F.round(F.least(0.4 + 0.6 * (multiple - limit) / limit, F.lit(1.0)), 4)).otherwise(0.0)
+    return outcome(severity, lowest["amount"].cast("string"), F.col("minimum").isNotNull(), lowest["start"], lowest["end"])
 
-def risk_phrase_score(s: Settings) -> Column:
-    return outcome(F.col("other_score"), F.col("other_phrases"), F.col("has_lexicon"))
 
+def phrase_rule(mine: Column) -> Column:
+    """The saturating score of hits; evidence is the three heaviest and how many more, and the span that of the heaviest."""
+    heavy = F.array_sort(F.transform(mine, lambda h: F.struct((-h["weight"]).alias("w"), h["start"].alias("start"), h["phrase"].alias("phrase"), h["end"].alias("end"))))
+    top = F.array_join(F.transform(F.slice(heavy, 1, 3), lambda h: h["phrase"]), ", ")
+    first = F.get(heavy, F.lit(0))
+    more = F.when(F.size(heavy) > 3, F.concat(F.lit(" +"), F.size(heavy) - 3)).otherwise("")
+    return outcome(F.round(saturated(F.transform(mine, lambda h: h["weight"])), 4), F.concat(top, more), F.col("has_lexicon"), first["start"], first["end"])
 
-#: One owner for each feature; more can be given to ``evaluate_rules``.
-RULES: dict[str, Callable[[Settings], Column]] = {
-    f.__name__: f for f in (email_free_provider, email_absent, email_domain_mismatch, contact_messaging_only, url_shortener, qualification_conflict, salary_implausible, payment_request, risk_phrase_score)
-}
 
+def payment_request_id(s: Settings) -> Column:
+    return phrase_rule(F.filter("hits", lambda h: h["grp"] == s.payment_group))
 
-def with_phrases(df: DataFrame, key: str, text: str, lexicon: DataFrame, s: Settings) -> DataFrame:
-    """Adds the scores of the payment group and of all others, and their evidence."""
-    hits = match_phrases(df, key, text, lexicon)
-    from plumbline.operators.phrases import saturating
 
-    pay = F.col("grp") == s.payment_group
-    named = F.sort_array(F.collect_list(F.when(~pay, F.struct((-F.col("weight")).alias("w"), "phrase"))))
-    top = F.array_join(F.transform(F.slice(named, 1, 3), lambda x: x["phrase"]), ", ")
-    scores = hits.groupBy(key).agg(saturating(F.when(pay, F.col("weight")).otherwise(0.0)).alias("payment_score"), saturating(F.when(~pay, F.col("weight")).otherwise(0.0)).alias("other_score"), F.max_by(F.when(pay, F.col("phrase")), F.when(pay, F.struct("weight", "phrase"))).alias("payment_phrase"), F.concat(top, F.when(F.size(named) > 3, F.concat(F.lit(" +"), F.size(named) - 3)).otherwise("")).alias("other_phrases"))
-    out = df.join(scores.hint("shuffle_hash"), key, "left").withColumn("has_lexicon", F.lit(not lexicon.isEmpty()))
-    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("payment_score", "other_score")})
+def risk_phrase_score_id(s: Settings) -> Column:
+    return phrase_rule(F.filter("hits", lambda h: h["grp"] != s.payment_group))
 
 
-def evaluate_rules(df: DataFrame, key: str, text: str, lexicon: DataFrame, settings: Settings = Settings(), rules: dict[str, Callable[[Settings], Column]] | None = None) -> DataFrame:
-    """Adds one struct ``(severity, available, evidence)`` per feature to documents with mentions; ``minimum`` may be null."""
-    rules = rules or RULES
-    out = with_phrases(df, key, text, lexicon, settings).withColumn("low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+#: One owner for each feature; more can be given to ``evaluate_rules``.
+RULES: dict[str, Callable[[Settings], Column]] = {
+    f.__name__: f
+    for f in (email_free_provider, email_absent, email_domain_mismatch, contact_messaging_only, qualification_conflict, url_shortener, salary_implausible_vs_umk, risk_phrase_score_id, payment_request_id)
+}
+
+
+def evaluate_rules(
+    df: DataFrame, key: str, text: str, lexicon: DataFrame, settings: Settings | dict[str, Settings] = Settings(), rules: dict[str, Callable[[Settings], Column]] | None = None, locale: str | None = None, wages: DataFrame | None = None
+) -> DataFrame:
+    """Adds one struct ``(severity, available, evidence, start, end)`` per feature to documents with mentions.
+
+    With ``locale``, a column, phrases are those of the row's locale, ``settings`` may differ by locale, and ``wages`` gives each row its
+    minimum; without, all phrases count, and a ``minimum`` column is used if there is one. Rows are extended in place: no shuffle.
+    """
+    out = with_hits(df, text, lexicon, locale=locale, key=key).withColumn("low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    if wages is not None:
+        if locale is None:
+            raise ValueError("wages are looked up by locale")
+        out = minimum_wage(out, text, wages, locale)
     if "minimum" not in out.columns:
         out = out.withColumn("minimum", F.lit(None).cast("bigint"))
-    return out.withColumns({name: rule(settings) for name, rule in rules.items()})
+
+    def applied(rule: Callable[[Settings], Column]) -> Column:
+        if isinstance(settings, Settings):
+            return rule(settings)
+        if rule is not salary_implausible_vs_umk and len({replace(s, **_PLAIN) for s in settings.values()}) == 1:
+            return rule(next(iter(settings.values())))  # the locale makes no difference to this rule
+        made = {code: rule(s) for code, s in settings.items()}
+        cases = reduce(lambda c, kv: c.when(F.col(locale) == kv[0], kv[1]), list(made.items())[1:], F.when(F.col(locale) == next(iter(made)), next(iter(made.values()))))
+        return cases.otherwise(outcome(F.lit(0.0), F.lit(None).cast("string"), F.lit(False)))
+
+    return out.withColumns({name: applied(rule) for name, rule in (rules or RULES).items()})
 
 
 def outcomes(wide: DataFrame, key: str, order: tuple[str, ...] = FEATURES) -> DataFrame:
-    """Long form: ``key, ord, feature_id, severity, available, evidence``."""
-    rows = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(f).alias("feature_id"), F.col(f)["severity"].alias("severity"), F.col(f)["available"].alias("available"), F.col(f)["evidence"].alias("evidence")) for i, f in enumerate(order)))
+    """Long form: ``key, ord, feature_id, severity, available, evidence, start, end``."""
+    names = ("severity", "available", "evidence", "start", "end")
+    rows = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(f).alias("feature_id"), *(F.col(f)[n].alias(n) for n in names)) for i, f in enumerate(order)))
     return wide.select(key, F.inline(rows))
 
 
+def vector_of(order: tuple[str, ...] = FEATURES) -> Column:
+    """Severities of a wide row in the fixed order; null where not assessed."""
+    return F.array(*(F.when(F.col(f)["available"], F.col(f)["severity"]) for f in order))
+
+
 def rule_vector(long: DataFrame, key: str, order: tuple[str, ...] = FEATURES) -> DataFrame:
     """``key, vector, mask``: severities in the fixed order (null: not assessed) and availability."""
     entries = F.sort_array(F.collect_list(F.struct("ord", F.when(F.col("available"), F.col("severity")).alias("s"), "available")))
     return long.groupBy(key).agg(entries.alias("e")).select(key, F.transform("e", lambda x: x["s"]).alias("vector"), F.transform("e", lambda x: x["available"]).alias("mask"))
 
 
-def rule_hits(long: DataFrame, key: str, advisory: bool = True, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """What fired, by contribution and severity; in advisory mode contributions are 0."""
-    table = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
-    share = F.lit(0.0) if advisory else F.round(F.col("severity") * F.try_element_at(table, F.col("feature_id")), 2)
-    tier = F.when(F.col("severity") >= 0.7, "high").when(F.col("severity") >= 0.4, "med").otherwise("low")
-    from pyspark.sql import Window
+def rule_hits(wide: DataFrame, key: str, advisory: bool = True, weights: dict[str, float] = PLACEHOLDER_POINTS, order: tuple[str, ...] = FEATURES) -> DataFrame:
+    """What fired on each wide row, by contribution and severity, with ``tier`` and ``rank``; in advisory mode contributions are 0.
 
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("contribution"), F.desc("severity"), "ord"))
-    return long.where("available AND severity > 0").withColumns({"contribution": share, "tier": tier}).withColumn("rank", rank)
+    The hits of a row are sorted inside the row; nothing is shuffled.
+    """
+    tier = lambda s: F.when(s >= 0.7, "high").when(s >= 0.4, "med").otherwise("low")
+    worth = lambda f: F.lit(0.0) if advisory else F.round(F.col(f)["severity"] * F.lit(float(weights.get(f, 0.0))), 2)
+    entry = lambda i, f: F.struct((-worth(f)).alias("minus"), (-F.col(f)["severity"]).alias("least"), F.lit(i).alias("ord"), F.lit(f).alias("feature_id"), worth(f).alias("contribution"), F.col(f)["severity"].alias("severity"), tier(F.col(f)["severity"]).alias("tier"), F.col(f)["evidence"].alias("evidence"))
+    fired = F.array_sort(F.array_compact(F.array(*(F.when(F.col(f)["available"] & (F.col(f)["severity"] > 0), entry(i, f)) for i, f in enumerate(order)))))
+    return wide.select(key, F.posexplode(fired).alias("at", "h")).select(key, "h.ord", "h.feature_id", "h.severity", "h.contribution", "h.tier", "h.evidence", (F.col("at") + 1).alias("rank"))
 
 
 def phrase_groups(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     return group_scores(match_phrases(df, key, text, lexicon), key)
+

@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.dims import FEATURES, MAX_SHIFT, WEIGHTS
+from plumbline.operators.fixed import FEATURES, MAX_SHIFT, WEIGHTS
 
 #: Bands that hold until thresholds are fitted.
 LOW, HIGH = 40, 70
 
 
-def contribution(long: DataFrame, key: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """``key, shift, contributions``: severity times weight of what fired, summed; the weights are a broadcast table."""
-    spark = long.sparkSession
-    table = spark.createDataFrame(list(weights.items()), "feature_id string, w double")  # a row per feature
-    fired = long.where("available AND severity > 0").join(F.broadcast(table), "feature_id").withColumn("c", F.col("severity") * F.col("w"))
-    parts = F.sort_array(F.collect_list(F.struct("ord", "feature_id", "c")))
-    return fired.groupBy(key).agg(F.sum("c").alias("shift"), F.map_from_arrays(F.transform(parts, lambda p: p["feature_id"]), F.transform(parts, lambda p: p["c"])).alias("contributions"))
+def contributions(weights: dict[str, float] = WEIGHTS, order: tuple[str, ...] = FEATURES) -> Column:
+    """``array<struct<feature_id,c>>`` of a wide row: severity times weight of what fired, in the fixed order."""
+    return F.array_compact(F.array(*(F.when(F.col(f)["available"] & (F.col(f)["severity"] > 0), F.struct(F.lit(f).alias("feature_id"), (F.col(f)["severity"] * weights[f]).alias("c"))) for f in order)))
+
+
+def contribution(wide: DataFrame, key: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """``key, shift, contributions`` of each wide row: the sum of what fired, and a map of it; nothing is shuffled."""
+    parts = contributions(weights)
+    return wide.select(key, total(parts).alias("shift"), F.map_from_arrays(F.transform(parts, lambda p: p["feature_id"]), F.transform(parts, lambda p: p["c"])).alias("contributions"))
+
+
+def total(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["c"])
 
 
 def clip_shift(shift: Column) -> Column:
@@ -61,20 +67,33 @@ def highlight(rule_spans: Column, sentence_spans: Column) -> Column:
     return F.array_sort(F.aggregate(ordered, empty, place), lambda a, b: a["start"] - b["start"])
 
 
-def score_documents(df: DataFrame, key: str, text: str, lexicon: DataFrame, scorer, settings=None, advisory: bool = True, thresholds: tuple[int, int] = (LOW, HIGH)) -> DataFrame:
-    """One record per document: cleaning, gate, mentions, rules, probability, score, band and summary.
+def score_documents(
+    df: DataFrame, key: str, text: str, lexicon: DataFrame, scorer, settings=None, advisory: bool = True, thresholds: tuple[int, int] = (LOW, HIGH), wages: DataFrame | None = None, requested: str | None = None, patterns=None, minimum: str | None = None
+) -> DataFrame:
+    """One record per document: cleaning, gate, locale, mentions, rules, probability, score, band and summary.
 
-    ``scorer`` maps a text column to a probability column. Rejected texts keep their reason and have no score.
+    ``scorer`` maps a text column to a probability column. With ``wages``, rules follow each text's locale: the ``requested`` column's if
+    it is usable, else the detected one; without, ``minimum`` may name a column. Rejected texts keep their reason, aren't analysed and have no score. Everything happens on the row:
+    dimensions are broadcast, and nothing is shuffled.
     """
     from plumbline.functions import text as tx
-    from plumbline.operators.extract import extract_mentions
-    from plumbline.operators.rules import Settings, evaluate_rules
-
-    clean = tx.sanitize(df.select(key, text), text).withColumn("reject", F.coalesce(tx.reject_reason(F.col(text)), F.when(~F.col("analysable"), "not_analysable")))
-    wide = evaluate_rules(extract_mentions(clean, "sanitized"), key, "sanitized", lexicon, settings or Settings())
-    shift = sum((F.col(f)["severity"] * w for f, w in WEIGHTS.items()), F.lit(0.0))
-    fired = F.filter(F.array(*(F.when(F.col(f)["severity"] > 0, F.lit(f)) for f in FEATURES)), lambda x: x.isNotNull())
-    out = wide.withColumns({"p_model": scorer(F.col("sanitized")), "shift": shift, "fired": fired})
-    out = out.withColumn("score", F.when(F.col("reject").isNull(), score(F.col("p_model"), F.col("shift"), advisory)))
+    from plumbline.operators.dims import detect_language, resolve_locale
+    from plumbline.operators.extract import Patterns, extract_mentions
+    from plumbline.operators.rules import SETTINGS, Settings, evaluate_rules
+
+    columns = [key, text, *([requested] if requested else [])] + ([F.col(minimum).alias("minimum")] if minimum else [])
+    clean = tx.sanitize(df.select(*columns), text).withColumn("reject", F.coalesce(tx.reject_reason(F.col(text)), F.when(~F.col("analysable"), "not_analysable")))
+    clean = clean.withColumn("sanitized", F.when(F.col("reject").isNull(), F.col("sanitized")).otherwise(""))
+    if wages is not None:
+        asked = F.col(requested) if requested else F.lit(None).cast("string")
+        clean = clean.withColumn("locale", resolve_locale(asked, detect_language(F.col("sanitized")), list(SETTINGS), "en"))
+        wide = evaluate_rules(extract_mentions(clean, "sanitized", patterns or Patterns()), key, "sanitized", lexicon, settings or SETTINGS, locale="locale", wages=wages)
+    else:
+        wide = evaluate_rules(extract_mentions(clean, "sanitized", patterns or Patterns()), key, "sanitized", lexicon, settings or Settings())
+    parts = contributions()
+    scored = F.col("reject").isNull()
+    out = wide.withColumns({"p_model": F.when(scored, scorer(F.col("sanitized"))), "shift": F.when(scored, total(parts)), "fired": F.when(scored, F.transform(parts, lambda p: p["feature_id"]))})
+    out = out.withColumn("score", F.when(scored, score(F.col("p_model"), F.col("shift"), advisory)))
     out = out.withColumn("band", F.when(F.col("score").isNotNull(), label(F.col("score"), *thresholds)))
-    return out.select(key, "reject", "p_model", "shift", "fired", "score", "band", F.when(F.col("band").isNotNull(), summary(F.col("band"), F.col("fired"))).alias("summary"), "emails", "urls", "phones", "title")
+    held = ["emails", "urls", "phones", "title"] + (["locale"] if wages is not None else [])
+    return out.select(key, "reject", "p_model", "shift", "fired", "score", "band", F.when(F.col("band").isNotNull(), summary(F.col("band"), F.col("fired"))).alias("summary"), *held)

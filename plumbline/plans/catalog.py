@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import spans as sp
 from plumbline.functions import text as tx
-from plumbline.operators import corpus, dims, evalset, explain, extract, features, metrics, models, phrases, rules, scoring
+from plumbline.operators import corpus, dims, evalset, explain, extract, features, fixed, metrics, models, phrases, rules, scoring
+from plumbline.sources.readers import scratch, spread
 from plumbline.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +21,13 @@ NAMES = [("base", 1300, True), ("the", 1500, False), ("and the", 1800, False), (
 PHONE = r"\+\d \(\d{3}\) \d{3}-\d{4}"
 SOURCES = ["src0", "src1", "src2", "src3"]
 AUDIT = ["idiot", "license", "token", "!!", "###", "table"]
+#: The rules' inputs, chosen to meet the tables' invented words.
+SETTINGS = rules.Settings(
+    free=("example",), disposable=(), shorteners=("blog.tionsh.example.net",), aggregators=("thther.example.org",), telegram=("thatin", "vonder"), whatsapp=("rewh", "quela"), chat_hiring=("ononst",), anonymous=("inoran", "derund"),
+    no_experience=("of the", "and the", "sur la", "de los"), years=r"(?i)\b(\d{1,2})\b", salary_words=r"(?i)\b(the|and|les|une|und|los)\b", cost_words=r"(?i)\b(of|by|des|der|que)\b", senior=("hethe",), entry=("with", "avec"),
+)
+COMPANY = r"\bThe[ \t]+[A-Z][A-Za-z]*"
+PATTERNS = extract.Patterns(phone=PHONE, company=COMPANY)
 
 
 def query(sql: str | None = None):
@@ -37,7 +45,11 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents")
+    return spread(read(spark, d, "documents"))
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return spread(read(spark, d, "pages"))
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +106,17 @@ def t4_clean_text(spark, d):
     return docs(spark, d).select("doc_id", tx.clean_text(F.col("text"), fused=False).alias("clean"))
 
 
-@query()
+def _seams_sql(x: str) -> str:
+    fused = "regexp_replace({}, '([a-z])([A-Z][a-z])', '\\1 \\2', 'g')"
+    x = fused.format(fused.format(x))  # twice: what a match took can begin the next
+    return f"regexp_replace(regexp_replace({x}, '([a-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Z][a-z])', '\\1 \\2', 'g')"
+
+
+_KEPT_SQL = "|".join([tx.REDACTION, *(f"(?i:{p})" for p in sorted(tx.PROTECTED, key=len, reverse=True))])
+
+
+@query(f"""WITH k AS (SELECT doc_id, string_split_regex(text, '{_KEPT_SQL}') AS ps, regexp_extract_all(text, '{_KEPT_SQL}') AS hs FROM documents)
+SELECT doc_id, array_to_string(list_transform(range(1, len(ps) + 1), lambda i: {_seams_sql("ps[i]")} || coalesce(hs[i], '')), '') AS parted FROM k""")
 def t6_desegment(spark, d):
     return docs(spark, d).select("doc_id", tx.desegment(F.col("text")).alias("parted"))
 
@@ -122,7 +144,7 @@ p AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(b,
 
 @query(_page_sql() + " SELECT * FROM p")
 def t9_extract_page_text(spark, d):
-    return read(spark, d, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("page_text"))
+    return pages(spark, d).select("page_id", tx.html_to_text(F.col("html")).alias("page_text"))
 
 
 @query(_page_sql() + f""", g AS (SELECT page_id, page_text AS t, list_filter(string_split(page_text, chr(10)), lambda x: x <> '') AS ls FROM p)
@@ -130,14 +152,14 @@ SELECT page_id, CASE WHEN length(t) < 200 THEN 'too_short' WHEN length(t) > 8000
  WHEN len(list_filter({sql_list(MARKER_WORDS)}, lambda m: contains(lower(t), m))) = 0 THEN 'no_job_ad_markers'
  WHEN list_sum(list_transform(ls, lambda x: length(x))) < 15 * len(ls) THEN 'looks_like_navigation' ELSE '' END AS reason FROM g""")
 def t10_page_gate(spark, d):
-    page = read(spark, d, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("t"))
+    page = pages(spark, d).select("page_id", tx.html_to_text(F.col("html")).alias("t"))
     return page.select("page_id", tx.page_gate(F.col("t"), MARKER_WORDS).alias("reason"))
 
 
 @query(r"SELECT page_id, trim(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/') <> '' AS redirected FROM pages")
 def t11_redirected_to_root(spark, d):
     root = F.regexp_replace("url", r"^([^:]+://[^/?#]*).*$", "$1/")
-    return read(spark, d, "pages").select("page_id", tx.redirected_to_root(F.col("url"), root).alias("redirected"))
+    return pages(spark, d).select("page_id", tx.redirected_to_root(F.col("url"), root).alias("redirected"))
 
 
 @query(r"SELECT doc_id, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS text_key FROM documents")
@@ -171,6 +193,9 @@ def _spans(spark, d, regex: str) -> DataFrame:
     return found.where(F.size("s") > 0).select("doc_id", sp.spelled(F.col("s")).alias("spans"))
 
 
+_URL_SQL = extract.URL.replace("'", "''").replace('\\"', '"')
+
+
 @query(_spans_sql(extract.EMAIL))
 def x0_email_spans(spark, d):
     return _spans(spark, d, extract.EMAIL)
@@ -181,6 +206,17 @@ def x3_phone_spans(spark, d):
     return _spans(spark, d, PHONE)
 
 
+@query(rf"""WITH m AS (SELECT page_id, 'See ' || url || '.' || chr(10) || html AS t FROM pages),
+h AS (SELECT page_id, regexp_extract_all(t, '{_URL_SQL}') AS us, string_split_regex(t, '{_URL_SQL}') AS ps FROM m),
+x AS (SELECT page_id, unnest(range(1, len(us) + 1)) AS i, us, ps FROM h),
+s AS (SELECT page_id, i, regexp_replace(us[i], '[.,;:!?)]+$', '') AS u, (list_sum(list_transform(ps[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(us[1:i - 1], lambda p: length(p))), 0))::BIGINT AS a FROM x)
+SELECT page_id, string_agg(a || ':' || (a + length(u)) || ':' || u, ' ' ORDER BY i) AS links FROM s GROUP BY page_id""")
+def x2_links(spark, d):
+    text = F.concat(F.lit("See "), F.col("url"), F.lit(".\n"), F.col("html"))
+    found = pages(spark, d).select("page_id", extract.urls(text).alias("u"))
+    return found.select("page_id", F.array_join(F.transform("u", lambda s: F.concat_ws(":", s["start"], s["end"], s["text"])), " ").alias("links"))
+
+
 @query(rf"SELECT doc_id, len(regexp_extract_all(text, '{extract.EMAIL}'))::INTEGER AS n_emails, len(regexp_extract_all(text, '(?i)(?:https?://|www\.)[^\s]+'))::INTEGER AS n_urls FROM documents")
 def x1_mentions(spark, d):
     found = extract.extract_mentions(docs(spark, d), "text")
@@ -192,9 +228,9 @@ def x5_redaction_spans(spark, d):
     return _spans(spark, d, tx.REDACTION)
 
 
-@query()
+@query(_spans_sql(COMPANY).replace("SELECT doc_id, string_agg", "SELECT doc_id, first(company) AS company, string_agg").replace("SELECT doc_id, i, (", "SELECT doc_id, i, h[1] AS company, ("))
 def x4_companies(spark, d):
-    found = extract.extract_mentions(docs(spark, d), "text", extract.Patterns(company=r"\bThe[ \t]+[A-Z][A-Za-z]*"))
+    found = extract.extract_mentions(docs(spark, d), "text", PATTERNS).where("company IS NOT NULL")
     return found.select("doc_id", sp.spelled(F.col("companies")).alias("spans"), "company")
 
 
@@ -212,16 +248,16 @@ r AS (SELECT page_id, host, CASE WHEN regexp_matches(host, '\.({_SUFFIX_SQL})$')
 SELECT page_id, host, string_split(rest, '.')[-1] AS label FROM r""")
 def x8_registrable_label(spark, d):
     host = tx.url_host(F.col("url"))
-    return read(spark, d, "pages").select("page_id", host.alias("host"), tx.registrable_label(host).alias("label"))
+    return pages(spark, d).select("page_id", host.alias("host"), tx.registrable_label(host).alias("label"))
 
 
 @query(rf"SELECT page_id, {HOST_SQL} AS host FROM pages")
 def x9_url_host(spark, d):
-    return read(spark, d, "pages").select("page_id", tx.url_host(F.col("url")).alias("host"))
+    return pages(spark, d).select("page_id", tx.url_host(F.col("url")).alias("host"))
 
 
 @query(r"""SELECT doc_id, regexp_replace(lower(source), '[^a-z0-9]', '', 'g') AS form,
-array_to_string(list_transform(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: w[1]), '') AS acronym FROM documents""")
+array_to_string(list_transform(string_split_regex(lower(text), '\s+'), lambda w: regexp_extract(w, '^\pL')), '') AS acronym FROM documents""")
 def x10_match_form(spark, d):
     return docs(spark, d).select("doc_id", tx.match_form(F.col("source")).alias("form"), tx.acronym(F.col("text")).alias("acronym"))
 
@@ -236,23 +272,23 @@ def x11_sentences(spark, d):
 
 
 def _votes_sql() -> str:
-    votes = ", ".join(f"len(list_filter({sql_list(f' {m} ' for m in ms)}, lambda m: contains(low, m))) AS {lang}" for lang, ms in dims.MARKERS.items())
+    votes = ", ".join(f"len(list_filter({sql_list(ms)}, lambda m: contains(low, m))) AS {lang}" for lang, ms in dims.MARKERS.items())
     case = " ".join(f"WHEN {lang} > greatest({', '.join(o for o in dims.MARKERS if o != lang)}) THEN '{lang}'" for lang in dims.MARKERS)
     return f"WITH t AS (SELECT doc_id, lang AS given, ' ' || lower(text) || ' ' AS low FROM documents), v AS (SELECT doc_id, given, {votes} FROM t), w AS (SELECT doc_id, given, CASE {case} ELSE 'en' END AS vote FROM v)"
 
 
 @query(_votes_sql() + " SELECT doc_id, vote FROM w")
 def l1_language_vote(spark, d):
-    return docs(spark, d).select("doc_id", dims.detect_language(F.col("text")).alias("vote"))
+    return docs(spark, d).select("doc_id", dims.detect_language(F.col("text"), dims.MARKERS).alias("vote"))
 
 
 @query(_votes_sql() + " SELECT doc_id, CASE WHEN given IN ('en', 'de') THEN given WHEN vote IN ('en', 'de') THEN vote ELSE 'en' END AS locale FROM w")
 def l2_resolve_locale(spark, d):
-    return docs(spark, d).select("doc_id", dims.resolve_locale(F.col("lang"), dims.detect_language(F.col("text")), ["en", "de"], "en").alias("locale"))
+    return docs(spark, d).select("doc_id", dims.resolve_locale(F.col("lang"), dims.detect_language(F.col("text"), dims.MARKERS), ["en", "de"], "en").alias("locale"))
 
 
 @query("""WITH n(name, amount) AS (VALUES ('the', 1500), ('and the', 1800), ('des', 1600), ('der', 1700)),
-h AS (SELECT doc_id, name, amount, row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, name DESC) AS r FROM documents JOIN n
+h AS (SELECT doc_id, name, amount, row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, name) AS r FROM documents JOIN n
   ON contains(lower(text), name) AND regexp_matches(lower(text), '(^|[^\\pL\\pN_])' || name || '([^\\pL\\pN_]|$)'))
 SELECT d.doc_id, coalesce(name, 'base') AS name, coalesce(amount, 1300)::BIGINT AS amount FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id AND r = 1""".replace("\\\\", "\\"))
 def l4_dimension_lookup(spark, d):
@@ -271,69 +307,120 @@ def l5_phrase_hits(spark, d):
     return hits.select("doc_id", "grp", "phrase", r6("weight").alias("weight"))
 
 
-@query()
+_BOUND = r"[^\pL\pN\pM\p{Pc}]"
+_SQ = lambda parts: "|".join(parts).replace("'", "''")
+
+
+def _framed_sql(table: str = "documents", text: str = "text") -> str:
+    """``hits``: each phrase of the lexicon once per document, at its first place without a benefit around it."""
+    rows = ", ".join(f"('{g}', '{p}', least({w}::DOUBLE * {m}::DOUBLE, 1.0::DOUBLE))" for _, g, m, p, w in dims.LEXICON)
+    return rf"""x(grp, phrase, weight) AS (VALUES {rows}),
+ph AS (SELECT doc_id, lower({text}) AS low, grp, phrase, weight, string_split(lower({text}), phrase) AS ps FROM {table} JOIN x ON contains(lower({text}), phrase)),
+po AS (SELECT doc_id, low, grp, phrase, weight, (list_sum(list_transform(ps[1:i], lambda p: length(p))) + (i - 1) * length(phrase))::BIGINT AS s FROM (SELECT *, unnest(range(1, len(ps))) AS i FROM ph)),
+pc AS (SELECT *, s + length(phrase) AS e, string_split_regex(substr(low, greatest(s - {fixed.BENEFIT_WINDOW}, 0) + 1, least(s, {fixed.BENEFIT_WINDOW})), '\b(?:{_SQ(fixed.CLAUSE_WORDS)})\b|[.;!?\n]')[-1] AS clause FROM po
+  WHERE (s = 0 OR regexp_matches(substr(low, s, 1), '{_BOUND}')) AND (s + length(phrase) = length(low) OR regexp_matches(substr(low, s + length(phrase) + 1, 1), '{_BOUND}'))),
+hits AS (SELECT doc_id, grp, phrase, weight, min(s) AS s, min(e) AS e FROM pc
+  WHERE NOT regexp_matches(clause, '(^|{_BOUND})(?:{_SQ(fixed.BENEFIT_BEFORE)})({_BOUND}|$)') AND NOT regexp_matches(substr(low, e + 1, {fixed.BENEFIT_WINDOW}), '^\s*(?:{_SQ(fixed.BENEFIT_AFTER)})({_BOUND}|$)') GROUP BY ALL)"""
+
+
+@query(f"WITH {_framed_sql()} SELECT doc_id, grp, phrase, s::INTEGER AS start, e::INTEGER AS \"end\" FROM hits")
 def l6_benefit_framing(spark, d):
     hits = phrases.match_phrases(docs(spark, d), "doc_id", "text", dims.lexicon(spark))
     return hits.select("doc_id", "grp", "phrase", "start", "end")
 
 
+@query(_lexicon_sql() + " SELECT doc_id, grp, phrase FROM h")
+def l5_large_lexicon(spark, d):
+    """The join by word n-grams that lexicons beyond the broadcast's bound take, on all documents."""
+    hits = phrases.match_phrases(docs(spark, d), "doc_id", "text", dims.lexicon(spark), framing=False, most=3)
+    return hits.select("doc_id", "grp", "phrase")
+
+
 @query(rf"""WITH h AS (SELECT page_id, {HOST_SQL} AS host FROM pages)
 SELECT page_id, CASE WHEN host = 'example.com' OR ends_with(host, '.example.com') THEN 'free' WHEN host = 'example.org' OR ends_with(host, '.example.org') THEN 'disposable'
  WHEN host = 'example.net' OR ends_with(host, '.example.net') THEN 'shortener' END AS class FROM h""")
 def l7_host_class(spark, d):
-    return read(spark, d, "pages").select("page_id", rules.domain_class(tx.url_host(F.col("url")), rules.Settings()).alias("class"))
+    return pages(spark, d).select("page_id", rules.domain_class(tx.url_host(F.col("url")), dict(dims.HOST_CLASSES)).alias("class"))
 
 
 # --- rules and scores -------------------------------------------------------------------------------------------
 
 
-def _evaluated(spark, d) -> DataFrame:
-    mentions = extract.extract_mentions(docs(spark, d).select("doc_id", "text"), "text", extract.Patterns(phone=PHONE))
-    return rules.evaluate_rules(mentions, "doc_id", "text", dims.lexicon(spark))
-
-
-EMAILS_SQL = rf"e AS (SELECT doc_id, unnest(regexp_extract_all(text, '{extract.EMAIL}')) AS a, generate_subscripts(regexp_extract_all(text, '{extract.EMAIL}'), 1) AS i FROM documents)"
-
-
-@query(f"""WITH {EMAILS_SQL}, c AS (SELECT doc_id, i, CASE WHEN regexp_matches(lower(a), '[@.]example\\.org$') THEN 0.95::DOUBLE WHEN regexp_matches(lower(a), '[@.]example\\.com$') THEN 0.55::DOUBLE END AS s FROM e),
-f AS (SELECT doc_id, arg_min(s, i) AS s FROM c WHERE s IS NOT NULL GROUP BY doc_id)
-SELECT doc_id, coalesce(s, 0.0::DOUBLE) AS severity FROM documents LEFT JOIN f USING (doc_id)""")
-def r1_free_provider(spark, d):
-    return _evaluated(spark, d).select("doc_id", F.col("email_free_provider.severity").alias("severity"))
-
-
-@query(rf"SELECT doc_id, CASE WHEN regexp_matches(text, '{extract.EMAIL}') OR regexp_matches(text, '(?i)(?:https?://|www\.)[^\s]') THEN 0.0::DOUBLE WHEN regexp_matches(text, '{PHONE}') THEN 0.35::DOUBLE ELSE 0.55::DOUBLE END AS severity FROM documents")
-def r2_email_absent(spark, d):
-    return _evaluated(spark, d).select("doc_id", F.col("email_absent.severity").alias("severity"))
-
-
-@query()
-def r3_domain_mismatch(spark, d):
-    return _evaluated(spark, d).select("doc_id", F.col("email_domain_mismatch.severity").alias("severity"))
-
-
-@query(rf"""SELECT doc_id, CASE WHEN regexp_matches(text, '{extract.EMAIL}') OR regexp_matches(text, '(?i)(?:https?://|www\.)[^\s]') THEN 0.0::DOUBLE
-WHEN contains(lower(text), 'telegram') OR contains(lower(text), 't.me') THEN 0.75::DOUBLE WHEN contains(lower(text), 'whatsapp') OR contains(lower(text), 'wa.me') THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END AS severity FROM documents""")
-def r4_messaging_only(spark, d):
-    return _evaluated(spark, d).select("doc_id", F.col("contact_messaging_only.severity").alias("severity"))
-
-
-@query(rf"""WITH h AS (SELECT page_id, {HOST_SQL} AS host FROM pages) SELECT page_id, CASE WHEN ends_with(host, '.example.net') OR host = 'example.net' THEN 0.65::DOUBLE ELSE 0.0::DOUBLE END AS severity FROM h""")
+def _evaluated(spark, d, keep: tuple[str, ...] = ()) -> DataFrame:
+    mentions = extract.extract_mentions(docs(spark, d).select("doc_id", "text", *keep), "text", PATTERNS).withColumn("minimum", F.lit(40).cast("bigint"))
+    return rules.evaluate_rules(mentions, "doc_id", "text", dims.lexicon(spark), SETTINGS)
+
+
+def _any_sql(low: str, values: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({low}, '{v}')" for v in values) + ")"
+
+
+def _java_sql(pattern: str) -> str:
+    return pattern.replace("(?iU)", "(?i)").replace("'", "''")
+
+
+_QUOTED = "|".join(f"[{t}]" if len(t) == 1 else t.replace("$", "[$]") for t in SETTINGS.currency)
+_UNITS = "|".join(sorted(fixed.UNITS, key=len, reverse=True))
+_MONEY = rf"(?:(?:{_QUOTED})\s*)?"
+_AMOUNTS = rf"(?i)(?:{_MONEY}(?:\d{{1,3}}(?:,\d{{3}})+(?:\.\d{{1,2}})?|\d{{1,4}}(?:\.\d{{1,3}})?)\s*(?:{_UNITS})\b|{_MONEY}\d{{1,3}}(?:,\d{{3}})+(?:\.\d{{1,2}})?|(?:{_QUOTED})\s*\d{{1,4}}(?:[.,]\d{{1,2}})?|\d{{4,}})"
+_UNIT_CASE = "CASE regexp_extract(lower(f), '(" + _UNITS + ")\\s*$', 1) " + " ".join(f"WHEN '{u}' THEN {v}::DOUBLE" for u, v in fixed.UNITS.items()) + " ELSE 1.0::DOUBLE END"
+#: Candidate salaries by the same fixed patterns: ``pay(doc_id, amount)``.
+PAY_SQL = rf"""am AS (SELECT doc_id, low, regexp_extract_all(low, '{_AMOUNTS}') AS h, string_split_regex(low, '{_AMOUNTS}') AS p FROM (SELECT doc_id, lower(text) AS low FROM documents) WHERE regexp_matches(low, '{_java_sql(SETTINGS.salary_words)}')),
+ax AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM am WHERE len(h) > 0),
+ay AS (SELECT doc_id, low, h[i] AS f, (list_sum(list_transform(p[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda s: length(s))), 0))::BIGINT AS s FROM ax),
+az AS (SELECT *, substr(low, greatest(s - 60, 0) + 1, s + length(f) - greatest(s - 60, 0)) AS w, substr(low, s + 1, length(f) + 25) AS tail FROM ay),
+aw AS (SELECT *, length(regexp_extract(w, '(?s)^.*?(?:{_java_sql(SETTINGS.salary_words)})')) - length(regexp_extract(w, '{_java_sql(SETTINGS.salary_words)}')) AS at_pay, regexp_matches(w, '{_java_sql(SETTINGS.salary_words)}') AS has_pay,
+  length(regexp_extract(w, '(?s)^.*?(?:{_java_sql(SETTINGS.cost_words)})')) - length(regexp_extract(w, '{_java_sql(SETTINGS.cost_words)}')) AS at_cost, regexp_matches(w, '{_java_sql(SETTINGS.cost_words)}') AS has_cost,
+  trunc(TRY_CAST(replace(trim(regexp_replace(regexp_replace(lower(trim(f)), '({_UNITS})\s*$', ''), '[^\d.,]', '', 'g'), ' .,'), ',', '') AS DOUBLE) * {_UNIT_CASE})::BIGINT AS raw FROM az),
+pay AS (SELECT doc_id, amount FROM (SELECT doc_id, CASE WHEN regexp_matches(tail, '{_java_sql(fixed.PER_HOUR)}') THEN trunc(raw * 173.33::DOUBLE)::BIGINT WHEN regexp_matches(tail, '{_java_sql(fixed.PER_DAY)}') THEN raw * 22
+  WHEN regexp_matches(tail, '{_java_sql(fixed.PER_WEEK)}') THEN raw * 4 WHEN regexp_matches(tail, '{_java_sql(fixed.PER_YEAR)}') THEN trunc(raw / 12.0::DOUBLE)::BIGINT ELSE raw END AS amount FROM aw WHERE has_pay AND (NOT has_cost OR at_cost <= at_pay)) WHERE amount BETWEEN 100 AND 100000)"""
+_LABEL_SQL = f"string_split(CASE WHEN regexp_matches(dom, '\\.({_SUFFIX_SQL})$') THEN regexp_replace(dom, '\\.({_SUFFIX_SQL})$', '') ELSE regexp_replace(dom, '\\.[^.]*$', '') END, '.')[-1]"
+#: The nine rules on documents, which hold no links: ``o(doc_id, ord, feature_id, severity, available)``. Severity is 0 where not available.
+OUTCOMES_SQL = rf"""{_framed_sql()}, {PAY_SQL},
+em AS (SELECT doc_id, i, {_LABEL_SQL} AS label FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{extract.EMAIL}')) AS a, generate_subscripts(regexp_extract_all(text, '{extract.EMAIL}'), 1) AS i, lower(string_split(a, '@')[-1]) AS dom FROM documents)),
+es AS (SELECT doc_id, count(*) AS n, bool_or(label NOT IN ('example')) AS formal, bool_or(label IN ('example')) AS free FROM em GROUP BY doc_id),
+co AS (SELECT doc_id, unnest(regexp_extract_all(text, '{COMPANY}')) AS c FROM documents),
+cb AS (SELECT doc_id, regexp_replace(c, '^\s*\S+\s+', '') AS b FROM co),
+mm AS (SELECT em.doc_id, em.i, bool_or(contains(regexp_replace(lower(b), '[^a-z0-9]', '', 'g'), label) OR contains(label, regexp_replace(lower(b), '[^a-z0-9]', '', 'g')) OR label = lower(b[1]) OR (length(b) >= 4 AND contains(label, lower(b)))) AS fits
+  FROM em JOIN cb ON cb.doc_id = em.doc_id WHERE label NOT IN ('example') GROUP BY ALL),
+ms AS (SELECT doc_id, bool_or(NOT fits) AS stranger FROM mm GROUP BY doc_id),
+q AS (SELECT doc_id, list_filter({sql_list(SETTINGS.no_experience)}, lambda p: contains(lower(text), p) AND NOT regexp_matches(substr(lower(text), greatest(strpos(lower(text), p) - 41, 0) + 1, least(strpos(lower(text), p) - 1, 40)), '\b(bukan|tidak|not|non)\s*$')) AS free,
+  list_max(list_filter(list_transform(regexp_extract_all(lower(text), '\b(\d{{1,2}})\b'), lambda y: y::INTEGER), lambda y: y >= 2)) AS years FROM documents),
+py AS (SELECT doc_id, min(amount) / 40.0::DOUBLE AS multiple FROM pay GROUP BY doc_id),
+gs AS (SELECT doc_id, round(1 - product(CASE WHEN grp = 'payment' THEN 1 - weight ELSE 1 END), 4) AS payment, round(1 - product(CASE WHEN grp <> 'payment' THEN 1 - weight ELSE 1 END), 4) AS other FROM hits GROUP BY doc_id),
+b AS (SELECT d.doc_id, regexp_matches(text, '{tx.REDACTION}') AS red, coalesce(es.n, 0) > 0 AS mail, coalesce(formal, false) AS formal, coalesce(es.free, false) AS free, coalesce(stranger, false) AS stranger, regexp_matches(text, '{PHONE}') AS phone, lower(text) AS low, q.free AS easy, years, multiple, payment, other,
+  CASE WHEN NOT {_any_sql("lower(text)", SETTINGS.senior)} AND {_any_sql("lower(text)", SETTINGS.entry)} THEN 2.5::DOUBLE ELSE 6.0::DOUBLE END AS bound
+  FROM documents d LEFT JOIN es ON es.doc_id = d.doc_id LEFT JOIN ms ON ms.doc_id = d.doc_id LEFT JOIN q ON q.doc_id = d.doc_id LEFT JOIN py ON py.doc_id = d.doc_id LEFT JOIN gs ON gs.doc_id = d.doc_id),
+w AS (SELECT doc_id, red, CASE WHEN free THEN 0.55::DOUBLE ELSE 0 END AS f0, CASE WHEN mail THEN 0.0::DOUBLE WHEN phone THEN 0.35 ELSE 0.55 END AS f1, CASE WHEN stranger THEN 0.6::DOUBLE ELSE 0 END AS f2,
+  CASE WHEN formal OR NOT ({_any_sql("low", SETTINGS.telegram)} OR {_any_sql("low", SETTINGS.whatsapp)}) THEN 0.0::DOUBLE ELSE least(CASE WHEN {_any_sql("low", SETTINGS.telegram)} THEN 0.75::DOUBLE ELSE 0.35::DOUBLE END
+    + (CASE WHEN {_any_sql("low", SETTINGS.chat_hiring)} THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN {_any_sql("low", SETTINGS.anonymous)} THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END), 1.0::DOUBLE) END AS f3,
+  CASE WHEN len(easy) > 0 AND years IS NOT NULL THEN round(least(0.35::DOUBLE + 0.1::DOUBLE * (years - 2), 0.85::DOUBLE), 4) ELSE 0 END AS f4, 0.0::DOUBLE AS f5,
+  CASE WHEN multiple >= bound THEN round(least(0.4::DOUBLE + 0.6::DOUBLE * (multiple - bound) / bound, 1.0::DOUBLE), 4) ELSE 0 END AS f6, coalesce(other, 0) AS f7, coalesce(payment, 0) AS f8 FROM b),
+o AS ({" UNION ALL ".join(f"SELECT doc_id, {i} AS ord, '{f}' AS feature_id, {f'CASE WHEN red THEN 0 ELSE f{i} END' if i in (0, 1, 2, 3, 5) else f'f{i}'}::DOUBLE AS severity, {'NOT red' if i in (0, 1, 2, 3, 5) else 'true'} AS available FROM w" for i, f in enumerate(fixed.FEATURES))})"""
+
+
+def _rule(name: str):
+    """One rule's severities on all documents."""
+    return lambda spark, d: _evaluated(spark, d).select("doc_id", F.col(f"{name}.severity").alias("severity"))
+
+
+for _name, _feature in (
+    ("r1_free_provider", "email_free_provider"), ("r2_email_absent", "email_absent"), ("r3_domain_mismatch", "email_domain_mismatch"), ("r4_messaging_only", "contact_messaging_only"), ("r6_qualification_conflict", "qualification_conflict"),
+    ("r7_salary", "salary_implausible_vs_umk"), ("r8_payment", "payment_request_id"), ("r9_risk_phrases", "risk_phrase_score_id"),
+):
+    QUERIES[_name], SQL[_name] = _rule(_feature), f"WITH {OUTCOMES_SQL} SELECT doc_id, severity FROM o WHERE feature_id = '{_feature}'"
+
+
+@query(rf"""WITH h AS (SELECT page_id, {HOST_SQL} AS host FROM pages) SELECT page_id, CASE WHEN host = 'blog.tionsh.example.net' THEN 0.65::DOUBLE ELSE 0.0::DOUBLE END AS severity FROM h""")
 def r5_url_shortener(spark, d):
-    pages = extract.extract_mentions(read(spark, d, "pages").select("page_id", "url"), "url")
-    return pages.select("page_id", rules.url_shortener(rules.Settings()).alias("o")).select("page_id", F.col("o.severity").alias("severity"))
-
+    found = extract.extract_mentions(pages(spark, d).select("page_id", "url"), "url")
+    return found.select("page_id", rules.url_shortener(SETTINGS).alias("o")).select("page_id", F.col("o.severity").alias("severity"))
 
-@query(r"""WITH q AS (SELECT doc_id, lower(text) AS low FROM documents)
-SELECT doc_id, CASE WHEN regexp_matches(low, 'no experience|without experience|entry level') AND regexp_matches(low, '\d{1,2}\s*\+?\s*years?\s*(?:of\s*)?(?:\w+\s+)?experience') THEN 1 ELSE 0 END AS fired FROM q""")
-def r6_qualification_conflict(spark, d):
-    return _evaluated(spark, d).select("doc_id", (F.col("qualification_conflict.severity") > 0).cast("int").alias("fired"))
 
-
-@query()
-def r7_salary(spark, d):
-    wide = extract.extract_mentions(docs(spark, d), "text").withColumns({"low": F.lower("text"), "minimum": F.lit(1300).cast("bigint")})
-    return wide.select("doc_id", F.size(rules.salaries(rules.Settings())).alias("candidates"), rules.salary_implausible(rules.Settings())["severity"].alias("severity"))
+@query(f"WITH {PAY_SQL} SELECT doc_id, count(*)::INTEGER AS candidates, min(amount)::BIGINT AS lowest FROM pay GROUP BY doc_id")
+def r7a_salary_candidates(spark, d):
+    found = docs(spark, d).select("doc_id", F.lower("text").alias("low")).select("doc_id", rules.salaries(SETTINGS).alias("s")).where(F.size("s") > 0)
+    return found.select("doc_id", F.size("s").alias("candidates"), F.array_min("s")["amount"].alias("lowest"))
 
 
 @query(_lexicon_sql() + " SELECT doc_id, grp, round(1 - product(1 - weight), 6) AS score, count(*) AS n FROM h GROUP BY doc_id, grp")
@@ -342,25 +429,26 @@ def r8_phrase_group(spark, d):
     return phrases.group_scores(hits, "doc_id").select("doc_id", "grp", r6("score").alias("score"), "n")
 
 
-@query()
-def r9_risk_phrases(spark, d):
-    return _evaluated(spark, d).select("doc_id", r6("risk_phrase_score.severity").alias("severity"))
+@query(f"WITH {OUTCOMES_SQL} SELECT doc_id, string_agg(CASE WHEN available THEN round(severity * 10000)::INTEGER::VARCHAR ELSE 'null' END, ',' ORDER BY ord) AS vector, string_agg(available::VARCHAR, ',' ORDER BY ord) AS mask FROM o GROUP BY doc_id")
+def r11_rule_vector(spark, d):
+    wide = _evaluated(spark, d)
+    mask = F.array(*(F.col(f)["available"].cast("string") for f in fixed.FEATURES))
+    return wide.select("doc_id", F.array_join(F.transform(rules.vector_of(), lambda x: F.round(x * 10000).cast("int").cast("string")), ",", "null").alias("vector"), F.array_join(mask, ",").alias("mask"))
 
 
-@query()
-def r11_rule_vector(spark, d):
-    vector = rules.rule_vector(rules.outcomes(_evaluated(spark, d), "doc_id"), "doc_id")
-    return vector.select("doc_id", F.array_join(F.transform("vector", lambda x: F.round(x, 4).cast("string")), ",", "null").alias("vector"), F.array_join(F.transform("mask", lambda x: x.cast("string")), ",").alias("mask"))
+_POINTS_SQL = "p(feature_id, points) AS (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in fixed.PLACEHOLDER_POINTS.items()) + ")"
+_WEIGHTS_SQL = "p(feature_id, weight) AS (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in fixed.WEIGHTS.items()) + ")"
 
 
-@query()
+@query(f"""WITH {OUTCOMES_SQL}, {_POINTS_SQL}, c AS (SELECT doc_id, ord, feature_id, severity, round(severity * points, 2) AS contribution FROM o JOIN p USING (feature_id) WHERE available AND severity > 0)
+SELECT doc_id, feature_id, contribution, CASE WHEN severity >= 0.7::DOUBLE THEN 'high' WHEN severity >= 0.4::DOUBLE THEN 'med' ELSE 'low' END AS tier, row_number() OVER (PARTITION BY doc_id ORDER BY contribution DESC, severity DESC, ord)::INTEGER AS rank FROM c""")
 def r12_rule_hits(spark, d):
-    return rules.rule_hits(rules.outcomes(_evaluated(spark, d), "doc_id"), "doc_id", advisory=False).select("doc_id", "feature_id", "contribution", "tier", "rank")
+    return rules.rule_hits(_evaluated(spark, d), "doc_id", advisory=False).select("doc_id", "feature_id", "contribution", "tier", "rank")
 
 
-@query()
+@query(f"WITH {OUTCOMES_SQL}, {_WEIGHTS_SQL} SELECT doc_id, round(coalesce(sum(severity * weight), 0), 6) AS shift, count(feature_id) FILTER (severity > 0)::INTEGER AS n_fired FROM o JOIN p USING (feature_id) GROUP BY doc_id")
 def c1_contributions(spark, d):
-    return scoring.contribution(rules.outcomes(_evaluated(spark, d), "doc_id"), "doc_id").select("doc_id", r6("shift").alias("shift"), F.size("contributions").alias("n_fired"))
+    return scoring.contribution(_evaluated(spark, d), "doc_id").select("doc_id", r6("shift").alias("shift"), F.size("contributions").alias("n_fired"))
 
 
 @query("SELECT doc_id, round_even((1 - least(n_chars / 8000.0::DOUBLE, 1.0::DOUBLE)) * 100, 0)::INTEGER AS score FROM documents")
@@ -380,16 +468,35 @@ def length_scorer(text: Column) -> Column:
     return F.least(F.length(text) / F.lit(8000.0), F.lit(1.0))
 
 
-@query()
+#: A record per document, from the rules' outcomes: ``rec(doc_id, reject, shift, score, band, summary)``.
+RECORD_SQL = f"""{OUTCOMES_SQL}, {_WEIGHTS_SQL},
+sh AS (SELECT doc_id, {" + ".join(["0.0::DOUBLE", *(f"sum(CASE WHEN ord = {i} THEN severity * weight ELSE 0 END)" for i in range(len(fixed.FEATURES)))])} AS shift, coalesce(string_agg(feature_id, '; ' ORDER BY ord) FILTER (severity > 0), '') AS names FROM o JOIN p USING (feature_id) GROUP BY doc_id),
+rj AS (SELECT doc_id, CASE WHEN length(text) < 30 THEN 'too_short' WHEN length(text) > 20000 THEN 'too_long' WHEN length(regexp_replace(text, '[^\\pL\\pN]', '', 'g')) < 20 THEN 'not_analysable' END AS reject, least(length(text) / 8000.0::DOUBLE, 1.0::DOUBLE) AS pm FROM documents),
+sc AS (SELECT doc_id, reject, CASE WHEN reject IS NULL THEN shift END AS shift, names, CASE WHEN reject IS NULL THEN round_even((1 - least(greatest(pm + least(greatest(shift, 0.0::DOUBLE), 0.45::DOUBLE), 0.0::DOUBLE), 1.0::DOUBLE)) * 100, 0)::INTEGER END AS score FROM rj JOIN sh USING (doc_id)),
+bd AS (SELECT *, CASE WHEN score < 40 THEN 'high_risk' WHEN score >= 70 THEN 'low_risk' WHEN score IS NOT NULL THEN 'medium_risk' END AS band FROM sc),
+rec AS (SELECT doc_id, reject, round(shift, 6) AS shift, score, band, CASE WHEN band IS NULL THEN NULL WHEN names = '' THEN 'Assessed as ' || band || '; no rule fired.' ELSE 'Assessed as ' || band || ': ' || names || '.' END AS summary FROM bd)"""
+
+
+def _scored(spark, d) -> DataFrame:
+    rows = docs(spark, d).withColumn("minimum", F.lit(40).cast("bigint"))
+    return scoring.score_documents(rows, "doc_id", "text", dims.lexicon(spark), length_scorer, SETTINGS, advisory=False, patterns=PATTERNS, minimum="minimum")
+
+
+@query(f"WITH {RECORD_SQL} SELECT * FROM rec")
 def c7_score_documents(spark, d):
-    out = scoring.score_documents(docs(spark, d), "doc_id", "text", dims.lexicon(spark), length_scorer, advisory=False)
-    return out.select("doc_id", "reject", r6("shift").alias("shift"), "score", "band", "summary")
+    return _scored(spark, d).select("doc_id", "reject", r6("shift").alias("shift"), "score", "band", "summary")
 
 
-@query()
+_IDIOT = r"(?i)\bidiot\b[^\n]*"
+
+
+@query(f"""WITH m AS ({_spans_sql(extract.EMAIL).replace("WITH m AS", "WITH m1 AS").replace("FROM m WHERE", "FROM m1 WHERE").replace("SELECT doc_id, string_agg(s || ':' || (s + n), ',' ORDER BY i) AS spans FROM y GROUP BY doc_id", "SELECT doc_id, 0 AS kind, i, s, s + n AS e FROM y")}),
+k AS ({_spans_sql(_IDIOT).replace("SELECT doc_id, string_agg(s || ':' || (s + n), ',' ORDER BY i) AS spans FROM y GROUP BY doc_id", "SELECT doc_id, 1 AS kind, i, s, s + n AS e FROM y")}),
+f AS (SELECT * FROM m UNION ALL SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = k.doc_id AND m.s < k.e AND k.s < m.e))
+SELECT doc_id, string_agg(s || ':' || e, ',' ORDER BY s) AS spans FROM f GROUP BY doc_id""")
 def c8_highlight(spark, d):
     raw = F.coalesce("text", F.lit(""))
-    spans = scoring.highlight(sp.find_spans(raw, extract.EMAIL), sp.find_spans(raw, r"(?i)\bidiot\b[^\n]*"))
+    spans = scoring.highlight(extract.emails(raw), sp.find_spans(raw, _IDIOT, F.contains(F.lower(raw), F.lit("idiot"))))
     return docs(spark, d).select("doc_id", spans.alias("s")).where(F.size("s") > 0).select("doc_id", sp.spelled(F.col("s")).alias("spans"))
 
 
@@ -398,23 +505,43 @@ def _lines(text: Column) -> Column:
     return sp.find_spans(text, r"[^\n]+")
 
 
+def _th_margin(t: Column) -> Column:
+    return (F.length(t) - F.length(F.replace(t, F.lit("th"), F.lit("")))) * F.lit(0.25)
+
+
 @query(r"""WITH m AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ps FROM documents),
 x AS (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS i, ps, length(text) - length(replace(text, 'th', '')) AS base FROM m WHERE len(ps) >= 2),
 z AS (SELECT doc_id, i, ps[i] AS s, length(ps[i]) >= 12 AS ok, sum(CASE WHEN length(ps[i]) >= 12 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM x),
-w AS (SELECT doc_id, i - 1 AS sent_no, CASE WHEN ok AND nth <= 12 THEN (length(s) - length(replace(s, 'th', ''))) * 0.25::DOUBLE ELSE 0.0::DOUBLE END AS delta FROM z)
+w AS (SELECT doc_id, i - 1 AS sent_no, CASE WHEN nth <= 12 THEN (length(s) - length(replace(s, 'th', ''))) * 0.25::DOUBLE ELSE 0.0::DOUBLE END AS delta FROM z WHERE ok)
 SELECT doc_id, sent_no::INTEGER AS sent_no, round(delta, 4) AS delta, CASE WHEN delta > 0 THEN 'risk' ELSE 'safe' END AS polarity FROM w
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY abs(delta) DESC, sent_no) <= 5""")
 def e1_occlusion(spark, d):
-    margin = lambda t: (F.length(t) - F.length(F.replace(t, F.lit("th"), F.lit("")))) * F.lit(0.25)
-    return explain.occlusion(docs(spark, d), "doc_id", "text", margin, split=_lines).select("doc_id", "sent_no", "delta", "polarity")
+    return explain.occlusion(docs(spark, d), "doc_id", "text", _th_margin, split=_lines).select("doc_id", "sent_no", "delta", "polarity")
+
+
+@query(SQL["e1_occlusion"])
+def e1_occlusion_rows(spark, d):
+    """The same with the variants as rows, the way that a Python scorer gets them."""
+    return explain.occlusion(docs(spark, d), "doc_id", "text", _th_margin, split=_lines, native=False).select("doc_id", "sent_no", "delta", "polarity")
 
 
 # --- corpus -----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT count(*) AS n_rows, sum(quality)::BIGINT AS n_positive, 0::BIGINT AS n_bad_label FROM labels")
+@query("""SELECT count(*) AS n_rows, count_if(quality + toxic = 1)::BIGINT AS n_positive, count_if(quality + toxic NOT IN (0, 1))::BIGINT AS n_bad_label,
+array_to_string(list_filter(['unknown columns: toxic', CASE WHEN count_if(quality + toxic NOT IN (0, 1)) > 0 THEN 'label outside 0 and 1' END, CASE WHEN count(*) <> 17880 THEN 'row count' END], lambda x: x IS NOT NULL), ';') AS problems FROM labels""")
 def p1_validate(spark, d):
-    return corpus.validate_source(read(spark, d, "labels"), ["doc_id", "quality", "toxic"], "quality").select("n_rows", F.col("n_positive").cast("bigint").alias("n_positive"), "n_bad_label")
+    rows = read(spark, d, "labels").withColumn("y", F.col("quality") + F.col("toxic")).select("doc_id", "y", "toxic")
+    out = corpus.validate_source(rows, ["doc_id", "y"], "y", rows=17_880)
+    return out.select("n_rows", F.col("n_positive").cast("bigint").alias("n_positive"), "n_bad_label", F.array_join("problems", ";").alias("problems"))
+
+
+@query(r"""WITH c AS (SELECT doc_id, quality, concat_ws(chr(10), nullif(trim(lang), ''), nullif(trim(regexp_replace(source, '([a-z])([0-9])', '\1 \2', 'g')), '')) AS text FROM documents JOIN labels USING (doc_id)),
+w AS (SELECT *, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))::INTEGER AS n_words FROM c) SELECT doc_id, text, quality::INTEGER AS quality, n_words, n_words >= 3 AS kept FROM w""")
+def p2_model_frame(spark, d):
+    rows = docs(spark, d).join(read(spark, d, "labels"), "doc_id")
+    kept, short = corpus.model_frame(rows, "doc_id", ["lang", "source"], "quality", {"toxic", "n_chars"}, min_words=3)
+    return kept.withColumn("kept", F.lit(True)).unionByName(short.withColumn("kept", F.lit(False)))
 
 
 SPLIT_SQL = """WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || doc_id), doc_id) AS rank, count(*) OVER (PARTITION BY quality) AS n FROM labels),
@@ -430,9 +557,14 @@ def p3_stratified_split(spark, d):
     return _split(spark, d).select("doc_id", "split")
 
 
-@query(SPLIT_SQL + " SELECT split, count(*) AS n, round(avg(quality::DOUBLE), 6) AS rate, 0::BIGINT AS overlap FROM s GROUP BY split")
+@query(SPLIT_SQL + """, t AS (SELECT * FROM s UNION ALL SELECT doc_id, quality, 'test' FROM s WHERE doc_id % 50 = 0)
+SELECT split, count(*) AS n, round(avg(quality::DOUBLE), 6) AS rate, (SELECT count(*) FROM (SELECT doc_id FROM t GROUP BY doc_id HAVING count(DISTINCT split) > 1)) AS overlap,
+abs(avg(quality::DOUBLE) - (SELECT avg(quality::DOUBLE) FROM t)) > 0.005::DOUBLE AS off FROM t GROUP BY split""")
 def p4_split_sound(spark, d):
-    return corpus.split_soundness(_split(spark, d), "doc_id", "quality").select("split", "n", r6("rate").alias("rate"), "overlap")
+    """Splits with a flaw on purpose: some rows are in the test split besides."""
+    split = _split(spark, d)
+    flawed = split.unionByName(split.where("doc_id % 50 = 0").withColumn("split", F.lit("test")))
+    return corpus.split_soundness(flawed, "doc_id", "quality").select("split", "n", r6("rate").alias("rate"), "overlap", "off")
 
 
 @query(SPLIT_SQL + " SELECT split, count(*) AS n, substr(sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)), 1, 16) AS checksum FROM s GROUP BY split")
@@ -440,6 +572,11 @@ def p5_checksum(spark, d):
     return corpus.split_checksum(_split(spark, d), "doc_id")
 
 
+@query(SPLIT_SQL + " SELECT split, count(*) AS n, bit_xor(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT) AS fingerprint FROM s GROUP BY split")
+def p5_fingerprint(spark, d):
+    return corpus.split_fingerprint(_split(spark, d), "doc_id")
+
+
 @query(LABELLED + r""", w AS (SELECT y, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n_words FROM l)
 SELECT count(*) AS n, round(avg(y::DOUBLE), 6) AS rate, floor(quantile_cont(n_words, 0.5))::BIGINT AS p50_words, floor(quantile_cont(n_words, 0.95))::BIGINT AS p95_words,
 floor(quantile_cont(n_words, 0.5) * 1.35::DOUBLE)::BIGINT AS p50_tokens, round((1 - avg(y::DOUBLE)) / avg(y::DOUBLE), 6) AS pos_weight FROM w""")
@@ -460,26 +597,26 @@ def p8_contact_rates(spark, d):
 
 # --- features and models ----------------------------------------------------------------------------------------
 
-TERMS = rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(lower(text), '{features._FROM}', '{features._TO}'), '[\pL\pN\pM_]{{2,}}')) AS term FROM documents),
+TERMS = rf"""WITH ws AS (SELECT doc_id, regexp_extract_all(translate(lower(text), '{features._FROM}', '{features._TO}'), '[\pL\pN\pM_]{{2,}}') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM ws),
 c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
-v AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM c GROUP BY term HAVING count(*) >= 3 ORDER BY cf DESC, term LIMIT 2000)"""
+v AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM c GROUP BY term HAVING count(*) >= 3 ORDER BY cf DESC, term LIMIT {features.MAX_TERMS})"""
 
 
 @query(TERMS + " SELECT doc_id, term, tf FROM c")
 def f1_term_counts(spark, d):
-    return features.term_counts(docs(spark, d), "doc_id", "text", 1).select("doc_id", "term", "tf")
+    return features.term_counts(docs(spark, d), "doc_id", "text").select("doc_id", "term", "tf")
 
 
 @query(TERMS + " SELECT term, df, cf FROM v")
 def f2_vocabulary(spark, d):
-    counts = features.term_counts(docs(spark, d), "doc_id", "text", 1)
-    return features.vocabulary(counts, "doc_id", 3, 2000)
+    return features.vocabulary(features.term_counts(docs(spark, d), "doc_id", "text"), "doc_id")
 
 
 @query(TERMS + """, w AS (SELECT doc_id, term, (1 + ln(tf::DOUBLE)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE) + 1) AS w FROM c JOIN v USING (term))
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
 def f3_tfidf(spark, d):
-    return features.tfidf(docs(spark, d), "doc_id", "text", 1, 3, 2000).select("doc_id", "term", r6("weight").alias("weight"))
+    return features.tfidf(docs(spark, d), "doc_id", "text").select("doc_id", "term", r6("weight").alias("weight"))
 
 
 @query("WITH p AS (SELECT quality AS label, count(*) AS n FROM labels GROUP BY quality) SELECT label, n, round((SELECT sum(n) FROM p) / (2 * n)::DOUBLE, 6) AS balanced FROM p")
@@ -495,26 +632,29 @@ def f11_term_audit(spark, d):
 
 def _model_rows(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = labelled(spark, d).select("doc_id", "text", F.col("y").cast("int").alias("y"))
-    rows = corpus.stratified_split(rows, "doc_id", "y").select("text", "y", "split").cache()
+    rows = corpus.stratified_split(rows, "doc_id", "y").select("text", "y", "split")
     return rows.where("split <> 'test'").drop("split"), rows.where("split = 'test'").drop("split")
 
 
-@query()
-def f4_logistic(spark, d):
-    train, test = _model_rows(spark, d)
-    return models.compare({"logistic": models.fit_logistic(train, "text", "y", 500)}, test, "y")
+def _fitted(name: str):
+    """One baseline at its production size, fitted on all but the test split and measured there."""
 
+    def run(spark, d):
+        train, test = _model_rows(spark, d)
+        return models.compare({name: models.FITS[name](train, "text", "y")}, test, "y")
 
-@query()
-def f5_svm(spark, d):
-    train, test = _model_rows(spark, d)
-    return models.compare({"svm": models.fit_svm(train, "text", "y", 500)}, test, "y")
+    return run
+
+
+for _name, _model in (("f4_logistic", "logistic"), ("f5_svm", "svm"), ("f6_boosting", "boosting"), ("f7_oversampled_logistic", "oversampled")):
+    QUERIES[_name] = _fitted(_model)
 
 
 @query()
-def f6_boosting(spark, d):
+def f10_comparison(spark, d):
+    """The linear baselines side by side, with the best and the gate; boosting, which takes minutes, is f6."""
     train, test = _model_rows(spark, d)
-    return models.compare({"boosting": models.fit_boosting(train, "text", "y", 100, 10)}, test, "y")
+    return models.compare(models.fit_baselines(train, "text", "y", ("logistic", "svm", "oversampled")), test, "y")
 
 
 @query()
@@ -523,6 +663,14 @@ def f7_oversample(spark, d):
     return models.oversample(rows, "vec_id", "embedding", "y").select("vec_id", "y", F.size("embedding").alias("dims"))
 
 
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label = 0),
+d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(range(1, len(a.e) + 1), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i]))) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b)::INTEGER AS rank FROM d QUALIFY rank <= 5""")
+def f7_nearest(spark, d):
+    rows = read(spark, d, "embeddings").where("label = 0")
+    return models.nearest(rows.select(F.col("vec_id").alias("a"), F.sequence(F.lit(0), F.size("embedding") - 1).alias("i"), F.col("embedding").cast("array<double>").alias("v")))
+
+
 # --- metrics and calibration ------------------------------------------------------------------------------------
 
 
@@ -530,9 +678,10 @@ def _curve(spark, d) -> DataFrame:
     return metrics.curve(labelled(spark, d), "p", "y")
 
 
-@query()
+@query(LABELLED + " SELECT round(avg(y::DOUBLE), 6) AS mean_p, round(avg(y::DOUBLE), 6) AS rate FROM l")
 def k1_platt(spark, d):
-    rows = labelled(spark, d).select(metrics.to_margin(F.col("p")).alias("m"), "y").cache()
+    """At the fit of a logistic curve with an intercept, probabilities and labels have the same mean."""
+    rows = labelled(spark, d).select(metrics.to_margin(F.col("p")).alias("m"), "y")
     a, b = metrics.platt_fit(rows, "m", "y")
     return rows.agg(F.round(F.avg(metrics.platt_apply(F.col("m"), a, b)), 6).alias("mean_p"), F.round(F.avg(F.col("y").cast("double")), 6).alias("rate"))
 
@@ -614,18 +763,49 @@ def m8_percentiles(spark, d):
     return metrics.percentiles(read(spark, d, "events"), "value", ["event_type"]).select("event_type", *(r6(c).alias(c) for c in ("p50", "p95", "p99", "mean")))
 
 
-@query()
+@query(f"""WITH {OUTCOMES_SQL} SELECT feature_id, count_if(severity > 0)::BIGINT AS fired, coalesce(sum(CASE WHEN severity > 0 THEN 1 - quality END), 0)::BIGINT AS fired_pos,
+round(sum(CASE WHEN severity > 0 THEN 1 - quality END) / nullif(count_if(severity > 0), 0)::DOUBLE, 6) AS precision FROM o JOIN labels USING (doc_id) GROUP BY feature_id""")
 def m11_rule_behaviour(spark, d):
     y = read(spark, d, "labels").select("doc_id", (1 - F.col("quality")).alias("y"))
     return metrics.rule_behaviour(rules.outcomes(_evaluated(spark, d), "doc_id"), y, "doc_id", "y").select("feature_id", "fired", "fired_pos", r6("precision").alias("precision"))
 
 
-@query()
+@query(f"""WITH {OUTCOMES_SQL}, {_WEIGHTS_SQL}, c AS (SELECT doc_id, count_if(severity > 0) AS n_fired, sum(severity * weight) AS shift FROM o JOIN p USING (feature_id) GROUP BY doc_id)
+SELECT (1 - quality)::BIGINT AS y, count(*) AS n, round(avg(n_fired::DOUBLE), 6) AS mean_fired, count_if(n_fired > 0)::BIGINT AS any_fired, round(avg(shift), 6) AS mean_shift FROM c JOIN labels USING (doc_id) GROUP BY 1""")
+def m11_class_behaviour(spark, d):
+    y = read(spark, d, "labels").select("doc_id", (1 - F.col("quality")).cast("bigint").alias("y"))
+    rows = scoring.contribution(_evaluated(spark, d), "doc_id").select("doc_id", F.size("contributions").alias("n_fired"), "shift")
+    return metrics.class_behaviour(rows, y, "doc_id", "y").select("y", "n", r6("mean_fired").alias("mean_fired"), "any_fired", r6("mean_shift").alias("mean_shift"))
+
+
+@query(f"""WITH {OUTCOMES_SQL}, g AS (SELECT feature_id, avg((severity > 0)::INTEGER::DOUBLE) AS fire_rate, abs(coalesce(avg(CASE WHEN quality = 0 THEN available::INTEGER::DOUBLE END) - avg(CASE WHEN quality = 1 THEN available::INTEGER::DOUBLE END), 0)) AS gap FROM o JOIN labels USING (doc_id) GROUP BY feature_id)
+SELECT feature_id, round(fire_rate, 6) AS fire_rate, CASE WHEN fire_rate < 0.05 THEN 'absent' WHEN fire_rate > 0.95 THEN 'constant' WHEN gap > 0.03 THEN 'unsafe' ELSE 'derivable' END AS verdict FROM g""")
 def m13_learnability(spark, d):
     y = read(spark, d, "labels").select("doc_id", (1 - F.col("quality")).alias("y"))
     return metrics.learnability(rules.outcomes(_evaluated(spark, d), "doc_id"), y, "doc_id", "y").select("feature_id", r6("fire_rate").alias("fire_rate"), "verdict")
 
 
+@query(LABELLED + """ SELECT 0.5::DOUBLE AS threshold, count_if(p >= 0.5 AND y = 1)::BIGINT AS tp, count_if(p >= 0.5 AND y = 0)::BIGINT AS fp, count_if(p < 0.5 AND y = 1)::BIGINT AS fn, count_if(p < 0.5 AND y = 0)::BIGINT AS tn,
+round(count_if(p >= 0.5 AND y = 1) / greatest(count_if(p >= 0.5), 1)::DOUBLE, 4) AS precision, round(count_if(p >= 0.5 AND y = 1) / greatest(count_if(y = 1), 1)::DOUBLE, 4) AS recall FROM l""")
+def k10_stats_at(spark, d):
+    return metrics.stats_at(labelled(spark, d), F.col("p"), F.col("y"), 0.5)
+
+
+@query(LABELLED + """, m AS (SELECT y, ln(greatest(least(p, 1 - 1e-7::DOUBLE), 1e-7::DOUBLE) / (1 - greatest(least(p, 1 - 1e-7::DOUBLE), 1e-7::DOUBLE))) AS m FROM l)
+SELECT 'given' AS fit, round(avg(1 / (1 + exp(-(0.5::DOUBLE * m - 1)))), 6) AS mean_p FROM m UNION ALL SELECT 'refit', round(avg(y::DOUBLE), 6) FROM m""")
+def k12_recalibrated(spark, d):
+    rows = labelled(spark, d).select(metrics.to_margin(F.col("p")).alias("m"), "y")
+    return metrics.recalibrated(rows, "m", "y", 0.5, -1.0).select("fit", r6("mean_p").alias("mean_p"))
+
+
+@query(SPLIT_SQL + ", c AS (SELECT split, substr(sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)), 1, 16) AS checksum FROM s GROUP BY split) SELECT split, split = 'val' AS refused FROM c")
+def m14_evaluated_once(spark, d):
+    """A ledger that knows the validation split refuses that one and no other."""
+    sums = corpus.split_checksum(_split(spark, d), "doc_id")
+    ledger = sums.where("split = 'val'").select(F.col("checksum").alias("split_checksum"))
+    return metrics.refused(sums, ledger)
+
+
 # --- evaluation data and appeals --------------------------------------------------------------------------------
 
 
@@ -635,6 +815,19 @@ def v1_row_problems(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(found, ";").alias("problems"))
 
 
+@query("""WITH k AS (SELECT event_id, list_sort(list_filter(json_keys(props), lambda k: k NOT IN ('page'))) AS unknown FROM events) SELECT event_id, array_to_string(unknown, ',') AS unknown FROM k WHERE len(unknown) > 0""")
+def v2_unknown_fields(spark, d):
+    found = read(spark, d, "events").select("event_id", evalset.unknown_fields(F.col("props"), ["page"]).alias("unknown")).where(F.size("unknown") > 0)
+    return found.select("event_id", F.array_join("unknown", ",").alias("unknown"))
+
+
+@query("SELECT 'id-' || lpad((row_number() OVER (ORDER BY source, lang) + (SELECT max(doc_id) FROM documents))::VARCHAR, 4, '0') AS id, source FROM (SELECT DISTINCT source, lang FROM documents)")
+def v9_next_ids(spark, d):
+    new = docs(spark, d).select("source", F.concat_ws(",", "source", "lang").alias("k")).distinct()
+    old = docs(spark, d).select(F.concat(F.lit("id-"), F.col("doc_id").cast("string")).alias("id"))
+    return evalset.next_ids(new, "k", old, "id", "id-").select("id", "source")
+
+
 @query("SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 1")
 def v3_repeated_ids(spark, d):
     return evalset.repeated_ids(read(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn")
@@ -688,7 +881,7 @@ def l3_capabilities(spark, d):
     return dims.capabilities(langs, dims.lexicon(spark), none).select("locale", "usable", F.array_join("missing", ",").alias("missing"))
 
 
-@query("WITH f AS (SELECT 9 AS n_features) SELECT doc_id, n_features::BIGINT AS n_features FROM documents, f")
+@query(f"WITH {OUTCOMES_SQL} SELECT doc_id, count(DISTINCT feature_id) AS n_features FROM o GROUP BY doc_id")
 def l9_one_outcome_per_feature(spark, d):
     return rules.outcomes(_evaluated(spark, d), "doc_id").groupBy("doc_id").agg(F.count_distinct("feature_id").alias("n_features"))
 
@@ -721,8 +914,16 @@ def k5_calibration_error(spark, d):
     return metrics.calibration_error(metrics.calibration_bins(labelled(spark, d), "p", "y")).select(F.round("ece", 4).alias("ece"), F.round("mce", 4).alias("mce"))
 
 
-@query()
+@query(LABELLED + """, b AS (SELECT CASE WHEN p = 0 THEN 0 ELSE ceil(p * 10)::INTEGER - 1 END AS bin, avg(p) AS mp, avg(y::DOUBLE) AS r, count(*) AS n FROM l GROUP BY 1)
+SELECT 'before' AS stage, (SELECT round(avg(pow(p - y, 2)), 6) FROM l) AS brier, round(sum(abs(mp - r) * n) / sum(n), 6) AS ece FROM b""")
 def k6_calibration_report(spark, d):
+    """The report's first row; the second is that of a fit, which tests hold against an independent one."""
+    out = metrics.calibration_report(labelled(spark, d).select("p", "y"), "p", "y")
+    return out.where("stage = 'before'").select("stage", r6("brier").alias("brier"), r6("ece").alias("ece"))
+
+
+@query()
+def k6_calibrated(spark, d):
     out = metrics.calibration_report(labelled(spark, d).select("p", "y"), "p", "y")
     return out.select("stage", r6("brier").alias("brier"), r6("ece").alias("ece"), "passed")
 
@@ -740,19 +941,21 @@ def c3_c5_points_and_shift(spark, d):
 @query(_lexicon_sql() + """, g AS (SELECT doc_id, string_agg(DISTINCT grp, '; ' ORDER BY grp) AS hits FROM h GROUP BY doc_id)
 SELECT doc_id, CASE WHEN hits IS NULL THEN 'Assessed as ' || lang || '; no rule fired.' ELSE 'Assessed as ' || lang || ': ' || hits || '.' END AS summary FROM documents LEFT JOIN g USING (doc_id)""")
 def c6_summary(spark, d):
-    hits = phrases.match_phrases(docs(spark, d), "doc_id", "text", dims.lexicon(spark), framing=False).groupBy("doc_id").agg(F.sort_array(F.collect_set("grp")).alias("hits"))
-    rows = docs(spark, d).select("doc_id", "lang").join(hits.hint("shuffle_hash"), "doc_id", "left")
-    return rows.select("doc_id", scoring.summary(F.col("lang"), F.coalesce("hits", F.array().cast("array<string>"))).alias("summary"))
+    rows = phrases.with_hits(docs(spark, d).select("doc_id", "lang", "text"), "text", dims.lexicon(spark), framing=False)
+    return rows.select("doc_id", scoring.summary(F.col("lang"), F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["grp"])))).alias("summary"))
 
 
 @query()
 def e4_top_terms(spark, d):
     train, _ = _model_rows(spark, d)
-    scorer = models.fit_logistic(train, "text", "y", 500)
+    scorer = models.fit_logistic(train, "text", "y")
     return explain.top_terms(scorer.model.stages[0].vocabulary, scorer.model.stages[-1].coefficients.toArray().tolist(), spark, 20)
 
 
-@query()
+@query(LABELLED + """, m AS (SELECT 'length' AS model, p AS score, y FROM l UNION ALL SELECT 'constant', 0.5::DOUBLE, y FROM l),
+t AS (SELECT model, score, sum(y)::BIGINT AS pos, count(*) AS n FROM m GROUP BY ALL), c AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS flagged, sum(pos) OVER q AS tot, sum(n) OVER q AS total FROM t WINDOW w AS (PARTITION BY model ORDER BY score DESC), q AS (PARTITION BY model)),
+r AS (SELECT model, sum(pos * (tp / flagged)) / max(tot) AS ap, sum(pos * (total - tot - ((flagged - n) - (tp - pos)) - (n - pos) / 2.0::DOUBLE)) / (max(tot) * max(total - tot)) AS auc FROM c GROUP BY model)
+SELECT printf('| %s | %.4f | %.4f |', model, ap, auc) AS line FROM r""")
 def s9_metrics_table(spark, d):
     from plumbline.sources.readers import metrics_table
 
@@ -760,7 +963,8 @@ def s9_metrics_table(spark, d):
     return metrics_table(metrics.ablation(rows, "y", ["length", "constant"]))
 
 
-@query()
+@query(SPLIT_SQL + """, c AS (SELECT split, count(*) AS n, sum(quality)::BIGINT AS positives, substr(sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)), 1, 16) AS checksum FROM s GROUP BY split)
+SELECT '{"seed":42,"splits":{' || string_agg('"' || split || '":{"n":' || n || ',"positives":' || positives || ',"checksum":"' || checksum || '"}', ',' ORDER BY split) || '}}' AS manifest FROM c""")
 def s3_manifest(spark, d):
     from plumbline.sources.readers import manifest
 
@@ -778,13 +982,11 @@ def s11_aligned(spark, d):
 # --- streaming --------------------------------------------------------------------------------------------------
 
 
-@query("SELECT count(*) AS n, count_if(length(text) BETWEEN 30 AND 20000)::BIGINT AS scored FROM conversations")
+@query("""WITH s AS (SELECT conv_id, turn, CASE WHEN length(text) < 30 THEN 'too_short' WHEN length(text) > 20000 THEN 'too_long' END AS reject, least(length(text) / 8000.0::DOUBLE, 1.0::DOUBLE) AS p FROM conversations)
+SELECT conv_id, turn, reject, round_even((1 - p) * 100, 0)::INTEGER AS score FROM s""")
 def g1_stream_scoring(spark, d):
     """Conversations scored as a stream; the result is read back from its two sinks."""
-    import tempfile
-    import uuid
-
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()}/plumbline-stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     table = read(spark, d, "conversations")
     stream = spark.readStream.schema(table.schema).parquet(f"{d}/conversations.parquet*")  # a file or a folder of them
 
@@ -793,8 +995,7 @@ def g1_stream_scoring(spark, d):
         return keyed.select("conv_id", "turn", "reject", scoring.score(length_scorer(F.col("text")), F.lit(0.0)).alias("score"))
 
     jobs.score_stream(stream, score, f"{root}/scored", f"{root}/rejects", f"{root}/state").awaitTermination()
-    out = spark.read.parquet(f"{root}/scored").unionByName(spark.read.parquet(f"{root}/rejects"))
-    return out.agg(F.count("*").alias("n"), F.count_if(F.col("reject").isNull()).alias("scored"))
+    return spark.read.parquet(f"{root}/scored").unionByName(spark.read.parquet(f"{root}/rejects")).select("conv_id", "turn", "reject", "score")
 
 
 # --- the flagship -----------------------------------------------------------------------------------------------
@@ -806,8 +1007,7 @@ SELECT lang, contact, CASE WHEN score < 40 THEN 'high_risk' WHEN score >= 70 THE
 def flagship(spark, d):
     """Which documents carry contact details or flagged phrases, and what band their score gives."""
     raw = F.coalesce("text", F.lit(""))
-    hits = phrases.match_phrases(docs(spark, d), "doc_id", "text", dims.lexicon(spark), framing=False)
-    p = hits.groupBy("doc_id").agg(phrases.saturating(F.col("weight")).alias("p"))
-    contact = F.regexp_like(raw, F.lit(extract.EMAIL)) | F.regexp_like(raw, F.lit(PHONE))
-    rows = docs(spark, d).select("doc_id", "lang", contact.alias("contact")).join(p.hint("shuffle_hash"), "doc_id", "left")
+    rows = phrases.with_hits(docs(spark, d).select("doc_id", "lang", "text"), "text", dims.lexicon(spark), framing=False)
+    contact = (F.contains(raw, F.lit("@")) & F.regexp_like(raw, F.lit(extract.EMAIL))) | F.regexp_like(raw, F.lit(PHONE))
+    rows = rows.select("lang", contact.alias("contact"), phrases.saturated(F.transform("hits", lambda h: h["weight"])).alias("p"))
     return rows.groupBy("lang", "contact", scoring.label(scoring.score(F.coalesce("p", F.lit(0.0)), F.lit(0.0))).alias("band")).agg(F.count("*").alias("n"))

@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes under which a table may be one row group, and so one task: it is dealt to all cores before dear expressions.
+ONE_SPLIT = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table, dealt to all cores; a larger one stays as its files are split. Spark's own estimate of a scan is its files' size."""
+    size = int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < ONE_SPLIT else df
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that all executors share, under ``spark.checkpoint.dir``; on one machine, in its temporary folder where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}"
+    return f"{root}/plumbline-{label}-{uuid.uuid4().hex}"
+
+
 def read_csv_corpus(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 

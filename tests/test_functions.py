@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import spans as sp
 from plumbline.functions import text as tx
-from plumbline.operators import dims, explain, extract, phrases, rules, scoring
+from plumbline.operators import dims, explain, extract, phrases, scoring
 
 
 def one(spark, value, *columns):
@@ -80,44 +80,6 @@ def test_benefit_framing(spark):
     assert sorted(r.k for r in phrases.match_phrases(df, "k", "t", lexicon).collect()) == [1, 2]
 
 
-def evaluated(spark, text, minimum=None):
-    df = spark.createDataFrame([(1, text, minimum)], "k int, t string, minimum bigint")
-    return rules.evaluate_rules(extract.extract_mentions(df, "t"), "k", "t", dims.lexicon(spark)).first()
-
-
-def test_rules_golden(spark):
-    row = evaluated(spark, "Write to a@mail.example.com or see http://x.example.net/a. Entry level, 4 years of experience. registration fee")
-    assert row.email_free_provider.severity == 0.55
-    assert row.email_absent.severity == 0.0
-    assert row.url_shortener.severity == 0.65
-    assert row.qualification_conflict.severity == pytest.approx(0.55)
-    assert row.payment_request.severity == pytest.approx(0.8)
-    assert not row.salary_implausible.available
-
-
-def test_redacted_is_not_clean(spark):
-    row = evaluated(spark, "Contact #EMAIL_ab12# on telegram")
-    for f in ("email_free_provider", "email_absent", "email_domain_mismatch", "contact_messaging_only", "url_shortener"):
-        assert row[f].available is False and row[f].severity == 0.0
-
-
-def test_messaging(spark):
-    assert evaluated(spark, "Only by Telegram, interview by chat with the HR team").contact_messaging_only.severity == pytest.approx(1.0)
-    assert evaluated(spark, "WhatsApp only").contact_messaging_only.severity == pytest.approx(0.35)
-    assert evaluated(spark, "WhatsApp or boss@acme.com").contact_messaging_only.severity == 0.0
-
-
-@pytest.mark.parametrize(("text", "value"), [("$4,500", 4500), ("5k", 5000), ("1.5 million", 1_500_000), ("9 juta", 9_000_000)])
-def test_amounts(spark, text, value):
-    assert one(spark, text, rules.amount(F.col("t"), False).alias("x")).x == value
-
-
-def test_salary(spark):
-    row = evaluated(spark, "Entry level. Salary $9,000 per month guaranteed", 1300)
-    assert row.salary_implausible.severity == 1.0
-    assert evaluated(spark, "Entry level. Salary $25 per hour", 1300).salary_implausible.severity == pytest.approx(0.4 + 0.6 * (4333 / 1300 - 2.5) / 2.5)
-
-
 def test_score_rounds_half_even_and_is_monotone(spark):
     df = spark.createDataFrame([(0.375,), (0.385,), (0.0,), (1.0,)], "p double")
     assert [r.s for r in df.select(scoring.score(F.col("p"), F.lit(0.0)).alias("s")).collect()][:1] == [62]
@@ -130,9 +92,10 @@ def test_score_rounds_half_even_and_is_monotone(spark):
 
 def test_occlusion_blames_the_trigger(spark):
     df = spark.createDataFrame([(1, "A good offer for all. Send the registration fee today. We wait for you."), (2, "Just one sentence here.")], "k int, t string")
-    rows = explain.occlusion(df, "k", "t", lambda t: F.contains(t, F.lit("fee")).cast("double")).collect()
-    assert {r.k for r in rows} == {1}
-    assert rows[0].sent_no == 1 and rows[0].delta == 1.0 and rows[0].polarity == "risk"
+    for native in (True, False):
+        rows = explain.occlusion(df, "k", "t", lambda t: F.contains(t, F.lit("fee")).cast("double"), native=native).collect()
+        assert {r.k for r in rows} == {1}
+        assert rows[0].sent_no == 1 and rows[0].delta == 1.0 and rows[0].polarity == "risk"
 
 
 def test_highlight_drops_overlaps(spark):
@@ -146,3 +109,37 @@ def test_lookup_prefers_the_longest(spark):
     names = spark.createDataFrame([("base", 1, True), ("north", 2, False), ("far north", 3, False)], "name string, amount bigint, fallback boolean")
     df = spark.createDataFrame([(1, "In the Far North."), (2, "northern"), (3, None)], "k int, t string")
     assert {r.k: r.amount for r in dims.lookup(df, "k", "t", names).collect()} == {1: 3, 2: 1, 3: 1}
+    assert {r.k: r.amount for r in dims.lookup(df, "k", "t", names.where("NOT fallback")).collect()} == {1: 3, 2: None, 3: None}
+    assert dims.lookup(df, "k", "t", names.limit(0)).count() == 3
+    with pytest.raises(ValueError):
+        dims.lookup(df, "k", "t", spark.range(dims.MAX_ROWS + 1).selectExpr("string(id) AS name", "id AS amount", "false AS fallback"))
+
+
+def test_sentences_equal_python(spark):
+    """Offsets of every document's sentences, by Python's own pattern engine."""
+    guards = "".join(rf"(?<!\b{re.escape(a)}\.)" for a in tx.ABBREVIATIONS)
+    boundary = re.compile(rf"(?i)(?:{guards}(?<=[.!?])\s+(?!\d))|\n+")
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", tx.sentences(F.col("text")).alias("s")).collect()
+    more = ["Call min. 3 times. Then 4. 5 left! \n\n End", "PT. Maju e.g. this. ok", " \n . ", "a.b. c"]
+    rows += spark.createDataFrame([(t,) for t in more], "text string").select("text", tx.sentences(F.col("text")).alias("s")).collect()
+    for r in rows:
+        want, at = [], 0
+        for m in [*boundary.finditer(r.text), None]:
+            piece = r.text[at : m.start() if m else len(r.text)]
+            if body := piece.strip():
+                start = at + len(piece) - len(piece.lstrip())
+                want.append((start, start + len(body)))
+            at = m.end() if m else 0
+        assert [(s.start, s.end) for s in r.s] == want
+
+
+def test_protected_terms(spark):
+    text = "goodjQueryskills BigQueryusers PowerShell7 TensorFlow2Keras endStart"
+    assert one(spark, text, tx.desegment(F.col("t")).alias("x")).x == "goodjQueryskills BigQueryusers PowerShell7 TensorFlow2 Keras end Start"
+
+
+def test_large_lexicon_equals_small(spark):
+    rows = [("en", "g", 1.0, p, 0.5) for p in ("alpha beta", "beta", "c-d e", "x.y", "gamma", "no such words")]
+    df = spark.createDataFrame([(1, "Alpha beta, C-D e; x.y"), (2, "alphabeta xbeta gamma."), (3, None), (4, "c d e beta beta")], "k int, t string")
+    hits = [sorted((r.k, r.phrase, r.start, r.end) for r in phrases.match_phrases(df, "k", "t", dims.lexicon(spark, rows), most=most).collect()) for most in (100, 2)]
+    assert hits[0] == hits[1] == [(1, "alpha beta", 0, 10), (1, "beta", 6, 10), (1, "c-d e", 12, 17), (1, "x.y", 19, 22), (2, "gamma", 16, 21), (4, "beta", 6, 10)]

@@ -133,15 +133,162 @@ def test_streams_equal_batches(spark, tmp_path):
     assert {(r.correction, r.n, r.unreviewed) for r in spark.table("queue").collect()} == {("unknown", 9, 6), ("fp", 6, 6)}
 
 
-def test_oversample_lies_between_neighbours(spark):
+def test_nearest_is_exact(spark, monkeypatch):
+    """Neighbours of sparse rows over several blocks, ties and equal rows included."""
+    monkeypatch.setattr(models, "BLOCK", 16)
     rng = np.random.default_rng(5)
-    rows = [(i, rng.normal(size=4).tolist(), int(i < 20)) for i in range(100)]
-    out = models.oversample(spark.createDataFrame(rows, "id long, v array<double>, y int"), "id", "v", "y").collect()
-    assert out and all(r.y == 1 and len(r.v) == 4 and all(map(math.isfinite, r.v)) for r in out)
+    dense = np.round(rng.normal(size=(70, 6)), 1) * (rng.random((70, 6)) < 0.6)
+    dense[3] = dense[4]
+    rows = [(n, np.flatnonzero(v).tolist(), v[np.flatnonzero(v)].tolist()) for n, v in enumerate(dense)]
+    got = models.nearest(spark.createDataFrame(rows, "a long, i array<int>, v array<double>"), 5).collect()
+    away = ((dense[:, None] - dense[None]) ** 2).sum(2)
+    near = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        near.setdefault(r.a, []).append(r.b)
+    assert len(near) == 70
+    for a, held in near.items():
+        others = sorted(away[a][b] for b in range(70) if b != a)[:5]
+        assert len(held) == 5 and a not in held and [away[a][b] for b in held] == pytest.approx(others)
 
 
-def test_logistic_separates(spark):
-    rows = [("good plain words here " * 2, 0), ("cheap win prize now " * 2, 1)] * 20
-    df = spark.createDataFrame(rows, "text string, y int")
-    scorer = models.fit_logistic(df, "text", "y", 50)
-    assert models.compare({"logistic": scorer}, df, "y").first().roc_auc == 1.0
+@pytest.mark.parametrize("small", [2, 20, 45])
+def test_oversample_balances_between_neighbours(spark, small):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist(), int(i < small)) for i in range(100)]
+    vector = {i: np.array(v) for i, v, _ in rows}
+    df = spark.createDataFrame(rows, "id long, v array<double>, y int")
+    out = models.oversample(df, "id", "v", "y").collect()
+    assert len(out) == 100 - 2 * small
+    each = [sum(r.id == i for r in out) for i in range(small)]
+    assert max(each) - min(each) <= 1
+    for r in out:
+        near = sorted((b for b in range(small) if b != r.id), key=lambda b: ((vector[r.id] - vector[b]) ** 2).sum())[:5]
+        on = []
+        for b in near:
+            line = vector[b] - vector[r.id]
+            t = float((np.array(r.v) - vector[r.id]) @ line / (line @ line))
+            on.append(-1e-9 <= t <= 1 and np.allclose(vector[r.id] + t * line, r.v))
+        assert r.y == 1 and any(on)
+    assert sorted(map(str, out)) == sorted(map(str, models.oversample(df, "id", "v", "y").collect()))
+    assert models.oversample(df.where("y = 0"), "id", "v", "y").count() == models.oversample(df.limit(0), "id", "v", "y").count() == 0
+
+
+def spam(n):
+    rng = np.random.default_rng(n)
+    good, bad, both = "calm river stone garden", "cheap prize winner now", "the and of to with it"
+    make = lambda words: " ".join(rng.choice((words + " " + both).split(), 12))
+    return [(make(bad if i % 4 == 0 else good), int(i % 4 == 0)) for i in range(n)]
+
+
+@pytest.mark.parametrize("name", ["logistic", "svm", "oversampled"])
+def test_baselines_separate(spark, name):
+    df = spark.createDataFrame(spam(160), "text string, y int")
+    scorer = models.FITS[name](df, "text", "y", 200)
+    row = models.compare({name: scorer}, df, "y").first()
+    assert row.roc_auc > 0.97 and row.best and row.passed
+    out = scorer.transform(df).select("margin", "p", "y").collect()
+    assert all(r.p == pytest.approx(1 / (1 + math.exp(-r.margin)), abs=1e-6) for r in out)
+    assert np.mean([(r.p >= 0.5) == (r.y == 1) for r in out]) > 0.9
+
+
+def test_logistic_equals_an_independent_fit(spark):
+    """The same penalised loss by plain gradient descent on the same features."""
+    df = spark.createDataFrame(spam(80), "text string, y int")
+    scorer = models.fit_logistic(df, "text", "y", 50, 1)
+    rows = scorer.model.transform(models.weighted(df.withColumn("_terms", models.tokens(F.col("text"), 1)), "y")).select("_x", "y", "_w").collect()
+    x, y, w = np.array([r["_x"].toArray() for r in rows]), np.array([r.y for r in rows]), np.array([r["_w"] for r in rows])
+    beta, b = np.zeros(x.shape[1]), 0.0
+    for _ in range(40_000):
+        error = w * (1 / (1 + np.exp(-(x @ beta + b))) - y) / w.sum()
+        beta, b = beta - 2.0 * (x.T @ error + beta / len(rows)), b - 2.0 * error.sum()
+    found = scorer.model.stages[-1]
+    assert found.coefficients.toArray() == pytest.approx(beta, abs=2e-3) and found.intercept == pytest.approx(b, abs=2e-3)
+
+
+def test_boosting_ranks(spark):
+    df = spark.createDataFrame(spam(120), "text string, y int")
+    assert models.compare({"boosting": models.fit_boosting(df, "text", "y", 50, 5)}, df, "y").first().roc_auc > 0.95
+
+
+def test_svm_averages_its_folds(spark):
+    df = spark.createDataFrame(spam(120), "text string, y int")
+    scorer = models.fit_svm(df, "text", "y", 100)
+    each = [{r.text: r.p for r in part.transform(df).collect()} for part in scorer.parts]
+    assert len(each) == 3
+    for r in scorer.transform(df).collect():
+        assert r.p == pytest.approx(np.mean([e[r.text] for e in each]))
+
+
+def test_scorer_of_ones_own(spark):
+    scorer = models.BatchScorer(lambda: lambda texts: [len(t) - 3.0 for t in texts], "text")
+    got = scorer.transform(spark.createDataFrame([("abc", 1), (None, 0)], "text string, y int")).collect()
+    assert [(r.margin, round(r.p, 6)) for r in got] == [(0.0, 0.5), (-3.0, round(1 / (1 + math.exp(3)), 6))]
+
+
+def test_appeals_never_train(spark):
+    appeals = spark.createDataFrame([("a", "t", "fp", 1)], "report_id string, text string, correction string, y int")
+    for fit in models.FITS.values():
+        with pytest.raises(ValueError, match="never train"):
+            fit(appeals, "text", "y")
+
+
+def test_model_frame_keeps_forbidden_columns_out(spark):
+    df = spark.createDataFrame([(1, "Title", "two words and more here", 1, "x"), (2, "A", None, 0, "y")], "id long, title string, body string, y int, secret string")
+    kept, short = corpus.model_frame(df, "id", ["title", "body"], "y", {"secret"})
+    assert [tuple(r) for r in kept.collect()] == [(1, "Title\ntwo words and more here", 1, 6)] and short.first().text == "A"
+    with pytest.raises(ValueError):
+        corpus.model_frame(df, "id", ["title", "secret"], "y", {"secret"})
+
+
+def test_splits_are_written_and_read(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "train"), (2, None, "train"), (3, "c", "test")], "id long, text string, split string")
+    readers.write_splits(df, f"{tmp_path}/s")
+    assert sorted((r.id, r.text) for r in readers.read_split(spark, f"{tmp_path}/s", "train", "text").collect()) == [(1, "a"), (2, "")]
+    assert readers.read_split(spark, f"{tmp_path}/s", "none", "text").count() == 0
+
+
+def test_recalibration_and_ledger(spark):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=1500)
+    y = (rng.random(1500) < 1 / (1 + np.exp(-(1.5 * m - 0.5)))).astype(int)
+    df = spark.createDataFrame(list(zip(m.tolist(), y.tolist())), "m double, y int")
+    rows = {r.fit: r for r in metrics.recalibrated(df, "m", "y", 1.0, 3.0).collect()}
+    assert rows["refit"].mean_p == pytest.approx(y.mean(), abs=1e-6) and rows["given"].mean_p == pytest.approx(np.mean(1 / (1 + np.exp(-(m + 3)))))
+    ledger = spark.createDataFrame([("abc",)], "split_checksum string")
+    metrics.evaluated_once(ledger, "other")
+    metrics.evaluated_once(ledger, "abc", force=True)
+    with pytest.raises(ValueError):
+        metrics.evaluated_once(ledger, "abc")
+
+
+def test_calibration_report(spark):
+    """After a fit, the error is that of an independent fit's bins."""
+    rng = np.random.default_rng(6)
+    p = rng.random(800)
+    y = (rng.random(800) < p**2).astype(int)
+    rows = {r.stage: r for r in metrics.calibration_report(spark.createDataFrame(list(zip(p.tolist(), y.tolist())), "p double, y int"), "p", "y").collect()}
+    m, a, b = np.log(p / (1 - p)), 1.0, 0.0
+    for _ in range(60):
+        q = 1 / (1 + np.exp(-(a * m + b)))
+        w = q * (1 - q)
+        h = np.array([[(w * m * m).sum(), (w * m).sum()], [(w * m).sum(), w.sum()]])
+        a, b = np.array([a, b]) - np.linalg.solve(h, [((q - y) * m).sum(), (q - y).sum()])
+    q = 1 / (1 + np.exp(-(a * m + b)))
+    bins = np.ceil(q * 10).astype(int)
+    ece = sum(abs(q[bins == k].mean() - y[bins == k].mean()) * (bins == k).mean() for k in set(bins))
+    assert rows["after"].ece == pytest.approx(ece) and rows["after"].brier == pytest.approx(((q - y) ** 2).mean()) and rows["before"].brier == pytest.approx(((p - y) ** 2).mean())
+
+
+def test_percentiles_equal_numpy(spark):
+    rng = np.random.default_rng(2)
+    values = {"a": np.round(rng.normal(size=300), 1), "b": np.array([1.0, 1.0, 5.0]), None: np.array([2.5])}
+    rows = [(k, float(v)) for k, held in values.items() for v in held] + [("a", None), ("c", None)]
+    got = {r.k: r for r in metrics.percentiles(spark.createDataFrame(rows, "k string, v double"), "v", ["k"]).collect()}
+    assert set(got) == set(values)
+    for k, held in values.items():
+        assert [got[k].p50, got[k].p95, got[k].p99] == pytest.approx(np.percentile(held, [50, 95, 99])) and got[k]["mean"] == pytest.approx(held.mean())
+
+
+def test_unknown_fields(spark):
+    df = spark.createDataFrame([('{"a": 1, "z": 2}',), ("{}",), ("broken",)], "line string")
+    assert [r.u for r in df.select(evalset.unknown_fields(F.col("line"), ["a"]).alias("u")).collect()] == [["z"], [], None]
