@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import embeddings, licenses, mixing, packing, quality, secrets, simhash, token_counts, topk, url_filter
 from plumbline.llm.common import session
+from plumbline.sources.readers import spread
 
 #: The rules (verdict, host, path).
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(session(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
