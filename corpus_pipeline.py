@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import mixing, packing, quality, secrets, simhash
 from plumbline.llm.common import session, written
+from plumbline.sources.readers import spread
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -86,7 +87,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; each one's result is written and read again by the next."""
-    docs = session(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(session(spark).read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
