@@ -22,6 +22,7 @@ from plumbline.operators.evalset import not_for_training
 from plumbline.operators.features import MAX_TERMS, MIN_DF, tokens
 from plumbline.operators.metrics import evaluate_models, platt_apply, platt_fit, to_margin
 from plumbline.operators.prefix import grouped_rank
+from plumbline.sources.readers import written
 
 #: The baselines, the terms and rounds of boosting, neighbours of a synthetic row, folds of a calibration, and the gate.
 NAMES = ("logistic", "svm", "boosting", "oversampled")
@@ -99,7 +100,8 @@ def vectors(terms: int, min_df: int = MIN_DF) -> list:
 
 
 def prepared(train: DataFrame, text: str, label: str, ngrams: int) -> DataFrame:
-    return weighted(not_for_training(train).withColumn("_terms", tokens(F.col(text), ngrams)), label)
+    """Rows with their terms and weights, as a written table: fits pass over them many times."""
+    return written(weighted(not_for_training(train).select(text, label).withColumn("_terms", tokens(F.col(text), ngrams)), label), "terms")
 
 
 def regression(label: str, n: int, weight: bool = True) -> LogisticRegression:
@@ -137,8 +139,8 @@ def fit_oversampled(train: DataFrame, text: str, label: str, terms: int = MAX_TE
     rows = prepared(train, text, label, ngrams).drop("_w")
     made = Pipeline(stages=vectors(terms)).fit(rows)
     parts = F.unwrap_udt(F.col("_x"))
-    keyed = made.transform(rows).select(F.md5(F.coalesce(text, F.lit(""))).alias("_key"), F.col(label).cast("int").alias(label), parts["size"].alias("_n"), parts["indices"].alias("_i"), parts["values"].alias("_v"), "_x")
-    extra = synthetic(keyed.select("_key", "_i", "_v", label), "_key", label, k)
+    keyed = written(made.transform(rows).select(F.md5(F.coalesce(text, F.lit(""))).alias("_key"), F.col(label).cast("int").alias(label), parts["size"].alias("_n"), parts["indices"].alias("_i"), parts["values"].alias("_v"), "_x"), "vectors")
+    extra = written(synthetic(keyed.select("_key", "_i", "_v", label), "_key", label, k), "synthetic")
     width = len(made.stages[0].vocabulary)
     vector = F.udf(lambda i, v: SparseVector(width, dict(zip(i, v))), VectorUDT())
     both = keyed.select("_x", F.col(label)).unionByName(extra.select(vector("_i", "_v").alias("_x"), F.col(label)))
@@ -197,6 +199,7 @@ def synthetic(vectors: DataFrame, key: str, label: str, k: int = NEIGHBOURS, see
     rows, wanted = once.count(), max(per.values(), default=0) - per.get(least, 0)
     if len(per) < 2 or rows < 2 or wanted <= 0:
         return vectors.limit(0).select(key, label, "_i", "_v")
+    once = written(once, "minority")
     ranked = grouped_rank(once.withColumn("_all", F.lit(1)).withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("a").cast("string")))), ["_all"], F.col("_h"), F.col("a"))
     copies = F.floor(F.col("rank") * wanted / rows) - F.floor((F.col("rank") - 1) * wanted / rows)
     near = nearest(once, k).groupBy("a").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "b"))), lambda n: n["b"]).alias("near"))
@@ -229,6 +232,6 @@ def fit_baselines(train: DataFrame, text: str, label: str, names: tuple[str, ...
 def compare(scorers: dict[str, Scorer], val: DataFrame, label: str, gate: float = GATE) -> DataFrame:
     """Ranking metrics of every scorer on one table, best average precision first, with ``best`` and ``passed`` (the gate)."""
     parts = [s.transform(val).select(F.lit(n).alias("model"), F.col("p").alias("score"), F.col(label).alias("y")) for n, s in scorers.items()]
-    metrics = evaluate_models(reduce(DataFrame.union, parts))
+    metrics = evaluate_models(written(reduce(DataFrame.union, parts), "scored"))
     first = metrics.agg(F.max_by("model", F.struct("average_precision", "model")).alias("_best"))
     return metrics.crossJoin(F.broadcast(first)).select(*metrics.columns, (F.col("model") == F.col("_best")).alias("best"), (F.col("average_precision") >= gate).alias("passed"))  # one row

@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` to a new shared folder and reads it back, so that several jobs don't each make it anew."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Bytes under which a table may be one row group, and so one task: it is dealt to all cores before dear expressions.
 ONE_SPLIT = 32 << 20
 
