@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -119,6 +120,8 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[
         inverse[others] -= np.outer(direction[others], inverse[row])
         columns.append(pattern)
         basis[row], cost[row] = len(columns) - 1, enters
+    else:
+        warnings.warn(f"the linear program stopped {50 * m} columns on, before it came within {GAP} of its bound", stacklevel=2)
     left, out = demand.astype(np.int64).copy(), []
     for row, times in zip(basis, x):
         pattern = columns[row]
@@ -220,7 +223,11 @@ def pack(documents: DataFrame, path: str | None = None, size: int = 2048, end_id
     """
     if size > 2048:
         raise ValueError("the histogram is made for sequences of up to 2048 tokens")
-    pieces = written(pieces_of(texts(documents, id_col, text_col), path or default_path(), size, end_id), "pieces")
+    return place(written(pieces_of(texts(documents, id_col, text_col), path or default_path(), size, end_id), "pieces"), size)
+
+
+def place(pieces: DataFrame, size: int) -> DataFrame:
+    """Sequences and offsets of cut pieces, a written table: full ones alone, remainders by patterns, fillers into the gaps."""
     columns = ["doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens"]
     whole = pieces.where("kind = 0").select(*columns, (F.col("slot") * 4).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     own = Window.partitionBy("sequence")

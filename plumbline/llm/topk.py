@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import written
+
 #: Rows of a block of candidates and of a block of queries: one pair of blocks is one task's dense score array.
-BLOCK, QUERIES = 1024, 1024
+BLOCK, QUERIES = 4096, 2048
 
 
 def finite(vector: Column) -> Column:
@@ -61,6 +63,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"), is_query.alias("asked")).where(finite(F.col("v")) & F.col("vec_id").isNotNull())
     ints = F.transform("v", lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("long"))
     rows = rows.select("vec_id", ints.alias("v"), F.coalesce("asked", F.lit(False)).alias("asked"))
+    # Written, so that the count and both sides don't each read the source, and row sizes are real.
+    rows = written(rows, "ints")
     n, asked = rows.agg(F.count("*"), F.count_if("asked")).first()
     blocks, parts = max(1, -(-n // BLOCK)), max(1, -(-asked // QUERIES))
     slot = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))

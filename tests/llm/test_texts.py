@@ -357,6 +357,31 @@ def test_fillers_of_groups_share_no_sequence(spark):
         assert at <= 2048
 
 
+@pytest.mark.parametrize("lengths", ["long", "any", "short"])
+def test_many_pieces_share_no_place(spark, lengths):
+    """20,000 remainders at the default settings: no sequence beyond its size, no gap, no piece lost, and nearly no padding."""
+    from plumbline.llm.common import written
+
+    draw = {"long": "2040 + pmod(xxhash64(id), 7)", "any": "1 + pmod(xxhash64(id), 2047)", "short": "1 + pmod(xxhash64(id), 60)"}[lengths]
+    rows = spark.range(20_000, numPartitions=4).selectExpr("id AS doc_id", "0L AS start", f"int({draw}) AS length")
+    rows = rows.selectExpr("*", "0L AS ids_crc32", "bigint(length) AS doc_tokens", f"IF(doc_id % {packing.FILLER} = 0, 2, 1) AS kind", "(doc_id % 4) * (1L << 33) + doc_id DIV 4 AS slot")
+    pieces = written(rows.withColumn("ids", F.when(F.col("kind") == 2, F.unhex(F.repeat(F.lit("00"), F.col("length") * 4)))), "pieces")
+    placed = packing.place(pieces, 2048).select("doc_id", "start", "length", "sequence_id", "offset").collect()
+    seqs, docs = defaultdict(list), defaultdict(list)
+    for r in placed:
+        seqs[r.sequence_id].append((r.offset, r.length))
+        docs[r.doc_id].append((r.start, r.length))
+    used = []
+    for held in (*seqs.values(), *docs.values()):
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+    used = [sum(n for _, n in held) for held in seqs.values()]
+    assert max(used) <= 2048 and sum(used) == sum(r.length for r in pieces.select("length").collect()) and len(docs) == 20_000
+    assert sum(2048 - u for u in used if u & (u - 1)) < 0.01 * sum(used)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_cutting_stock_is_exact_and_near_the_bound(seed):
     rng = np.random.default_rng(seed)
