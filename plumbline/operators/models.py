@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.corpus import class_weights
+from plumbline.operators.dims import small
 from plumbline.operators.evalset import not_for_training
 from plumbline.operators.features import MAX_TERMS, MIN_DF, tokens
 from plumbline.operators.metrics import evaluate_models, platt_apply, platt_fit, to_margin
@@ -92,7 +93,7 @@ class BatchScorer:
 
 def weighted(df: DataFrame, label: str) -> DataFrame:
     per = class_weights(df, label).select(F.col("label").alias(label), F.col("balanced").alias("_w"))
-    return df.join(F.broadcast(per.limit(100)), label)  # a row per class
+    return df.join(small(per, 1000), label)  # a row per class
 
 
 def vectors(terms: int, min_df: int = MIN_DF) -> list:
