@@ -43,7 +43,7 @@ def meaningful_chars(text: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Canonical composition, which Spark has no function for; use it behind a test for other than ASCII."""
+    """Canonical composition, which Spark has no function for; use it where a text holds other than ASCII, with nulls for the rest."""
     import unicodedata
 
     for part in parts:
@@ -59,6 +59,11 @@ def unescaped(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda t: None if t is None else html.unescape(t))
 
 
+def entities_of(text: Column) -> Column:
+    """All HTML entities decoded. Only texts with an ampersand go to Python: a worker gets nulls for the others."""
+    return F.coalesce(unescaped(F.when(F.contains(text, F.lit("&")), text)), text)
+
+
 def xml_entities(text: Column) -> Column:
     """The five entities of XML, decoded by replacement."""
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
@@ -74,7 +79,7 @@ def sanitize(df: DataFrame, text: str, compose: bool = False) -> DataFrame:
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     if compose:
-        raw = F.when(F.regexp_like(raw, F.lit(r"[^\x00-\x7f]")), nfc(raw)).otherwise(raw)
+        raw = F.coalesce(nfc(F.when(F.regexp_like(raw, F.lit(r"[^\x00-\x7f]")), raw)), raw)
     plain = F.regexp_replace(raw, CONTROL, " ")
     long_run = rf"(?s)([^\s])\1{{{LONGEST_RUN},}}"
     hits = F.regexp_extract_all(plain, F.lit(long_run), F.lit(0))
@@ -102,11 +107,11 @@ def desegment(text: Column, protected: tuple[str, ...] = PROTECTED) -> Column:
     return F.array_join(F.concat(woven, F.array(F.element_at(pieces, -1))), "")
 
 
-def clean_text(text: Column, entities: str = "xml", fused: bool = True) -> Column:
-    """The corpus cleaner: entities (twice), tags, broken apostrophes, invisible characters, seams, blanks, lines."""
+def clean_text(text: Column, entities: str = "all", fused: bool = True) -> Column:
+    """The corpus cleaner: entities (twice; ``entities`` "xml" takes five of them, natively), tags, broken apostrophes, invisible characters, seams, blanks, lines."""
     text = F.coalesce(text, F.lit(""))
     if entities == "all":
-        text = F.when(F.contains(text, F.lit("&")), unescaped(unescaped(text))).otherwise(text)
+        text = entities_of(entities_of(text))
     elif entities == "xml":
         text = xml_entities(xml_entities(text))
     text = F.regexp_replace(text, r"<[^>]{1,200}>", " ")
@@ -128,14 +133,14 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+", -1), lambda w: w != ""))
 
 
-def html_to_text(html: Column, entities: str = "xml") -> Column:
+def html_to_text(html: Column, entities: str = "all") -> Column:
     """A page as text: some elements go with their content, an article is preferred, blocks end in new lines."""
     body = F.coalesce(html, F.lit(""))
     body = F.regexp_replace(body, rf"(?is)<({'|'.join(DROPPED)})[^>]*>.*?</\1>", " ")
     body = F.coalesce(F.nullif(F.regexp_extract(body, r"(?is)<(article|main)[^>]*>(.*?)</\1>", 2), F.lit("")), body)
     body = F.regexp_replace(body, r"(?i)</(p|div|li|tr|h[1-6]|br|section|article)>|<br\s*/?>", "\n")
     body = F.regexp_replace(body, r"(?s)<[^>]+>", " ")
-    body = F.when(F.contains(body, F.lit("&")), unescaped(body)).otherwise(body) if entities == "all" else xml_entities(body)
+    body = entities_of(body) if entities == "all" else xml_entities(body)
     body = F.regexp_replace(body, r"[ \t\x{a0}]+", " ")
     lines = F.filter(F.transform(F.split(body, "\n", -1), lambda x: F.trim(x, F.lit(" \r"))), lambda x: x != "")
     return F.array_join(lines, "\n")
