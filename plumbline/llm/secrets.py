@@ -45,8 +45,9 @@ def frequent_words(documents: DataFrame, n: int = MAX_WORDS, text_col: str = "te
     taken by classes of frequency, sixteen to a doubling, and a class that would exceed ``n`` isn't begun; so what reaches the
     driver is bounded by ``n`` and by the number of classes, whatever the number of tasks. Null texts have no words.
     """
+    # Outer: else Spark would test the array's size first, and split each text twice.
     bare = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), rf"""(?i){_NAMES}[^\s"'<>]+""", " ")
-    words = documents.select(F.explode(F.split(F.lower(bare), r"[^\p{L}]+", -1)).alias("word")).where(F.length("word").between(SHORTEST, LONGEST))
+    words = documents.select(F.explode_outer(F.split(F.lower(bare), r"[^\p{L}]+", -1)).alias("word")).where(F.length("word").between(SHORTEST, LONGEST))
     counts = written(words.groupBy("word").agg(F.count("*").alias("n")).withColumn("class", F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")), "words")
     least, held = None, 0
     for row in sorted(counts.groupBy("class").agg(F.count("*").alias("words")).collect(), reverse=True):

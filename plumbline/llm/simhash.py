@@ -101,7 +101,7 @@ def meetings(nodes: DataFrame, tables: int, distance: int, segments: int | None
     # Only the side without the differing bit probes: it meets the other's entry in the table.
     ball = lambda t, n, fp, lo, hi: F.transform(segment_ball(fp, lo, hi, False), lambda k: entry(t, n, k, fp))
     table = nodes.select("node", F.inline(F.array(*(entry(t, n, segment(fp, lo, hi), fp) for t, n, fp, lo, hi in parts))))
-    probes = nodes.select(F.col("node").alias("other"), F.inline(F.concat(*(ball(*part) for part in parts)))).withColumnRenamed("fp", "code")
+    probes = nodes.select(F.col("node").alias("other"), F.inline_outer(F.concat(*(ball(*part) for part in parts)))).withColumnRenamed("fp", "code")
     near = F.bit_count(F.col("fp" if named else "node").bitwiseXOR(F.col("code" if named else "other"))) <= distance
     joined = table.hint("merge").join(probes.hint("merge"), ["segment", "key"]).where((F.col("node") != F.col("other")) & near)
     return joined.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
@@ -164,7 +164,7 @@ def bucket_leaders(nodes: DataFrame, distance: int) -> DataFrame:
     table = nodes.select("node", "fp", "rank", F.inline(F.array(*(entry(n, segment(F.col("fp"), lo, hi)) for n, lo, hi in parts))))
     leader = table.groupBy("segment", "key").agg(F.min_by(F.struct(F.col("node").alias("other"), F.col("fp").alias("code")), F.struct("rank", "node")).alias("leader"))
     ball = lambda n, lo, hi: F.transform(segment_ball(F.col("fp"), lo, hi), lambda k: entry(n, k))
-    probes = nodes.select("node", "fp", F.inline(F.concat(*(ball(*part) for part in parts))))
+    probes = nodes.select("node", "fp", F.inline_outer(F.concat(*(ball(*part) for part in parts))))
     met = probes.hint("merge").join(leader.hint("rebalance").hint("merge"), ["segment", "key"]).select("node", "fp", "leader.*")
     met = met.where((F.col("node") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("code"))) <= distance))
     return met.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
