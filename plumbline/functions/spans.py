@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once for the row, however often ``body`` asks for it, also for each element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 _EMPTY = "cast(array() as array<struct<text:string,start:int,end:int>>)"
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.spans import let
 from plumbline.operators.fixed import FEATURES, LOCALES, MAX_SHIFT, MAX_WEIGHT, WEIGHTS
 
 #: A dimension with more rows than this isn't broadcast; lookups that test each of its rows on each text then refuse it.
@@ -64,15 +65,13 @@ def padded(text: Column) -> Column:
 
 def detect_language(text: Column, table: dict[str, tuple[str, ...]] | None = None, fallback: str = "en") -> Column:
     """The language most of whose distinct markers the text holds, in lower case between two blanks; on a tie the fallback."""
-    low = padded(text)
     table = table or {code: known["markers"] for code, known in LOCALES.items()}
-    votes = {lang: F.size(F.filter(F.array(*map(F.lit, ms)), lambda m: F.contains(low, m))) for lang, ms in table.items()}
-    if len(votes) == 1:
-        return F.lit(next(iter(votes)))
-    best = F.greatest(*votes.values())
-    ties = reduce(lambda a, b: a + b, [(v == best).cast("int") for v in votes.values()])
-    named = reduce(lambda c, kv: c.when(kv[1] == best, kv[0]), list(votes.items())[1:], F.when(list(votes.values())[0] == best, next(iter(votes))))
-    return F.when(ties == 1, named).otherwise(F.lit(fallback))
+    if len(table) == 1:
+        return F.lit(next(iter(table)))
+    counts = let(padded(text), lambda low: F.array(*(F.size(F.filter(F.array(*map(F.lit, ms)), lambda m: F.contains(low, m))) for ms in table.values())))
+    most = lambda votes: F.filter(F.transform(votes, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda x: x["v"] == F.array_max(votes))
+    first = let(counts, most)
+    return let(first, lambda top: F.when(F.size(top) == 1, F.get(F.array(*map(F.lit, table)), F.get(top, F.lit(0))["i"])).otherwise(F.lit(fallback)))
 
 
 def resolve_locale(requested: Column, detected: Column, usable: list[str], fallback: str) -> Column:
@@ -104,7 +103,7 @@ def lookup(df: DataFrame, key: str, text: str, names: DataFrame, locale: Column
     rows = df.select(F.col(key).alias("_key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"), (F.lit(None).cast("string") if locale is None else locale).alias("_locale"))
     rows = beside(rows, names, "_names")
     mine = lambda n: n["locale"].isNull() | n["locale"].eqNullSafe(F.col("_locale"))
-    hits = F.filter("_names", lambda n: ~n["fallback"] & n["amount"].isNotNull() & mine(n) & held_word(F.col("_low"), n["name"]))
+    hits = let(F.col("_low"), lambda low: F.filter("_names", lambda n: ~n["fallback"] & n["amount"].isNotNull() & mine(n) & held_word(low, n["name"])))
     best = F.array_min(F.transform(hits, lambda n: F.struct(n["kind"].alias("kind"), (-F.length(n["name"])).alias("size"), n["name"].alias("name"), n["amount"].alias("amount"))))
     rest = F.get(F.filter("_names", lambda n: n["fallback"] & mine(n)), F.lit(0))
     return rows.select(F.col("_key").alias(key), F.coalesce(best["name"], rest["name"]).alias("name"), F.coalesce(best["amount"], rest["amount"]).alias("amount"))
@@ -115,7 +114,7 @@ def minimum_wage(df: DataFrame, text: str, wages: DataFrame, locale: str = "loca
     rows = beside(df, wages.select(F.col("locale").alias("locale"), F.lower("name").alias("name"), F.col("amount").cast("bigint").alias("amount"), F.coalesce("fallback", F.lit(False)).alias("fallback"), "kind"), "_wages")
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     mine = F.filter("_wages", lambda n: n["locale"] == F.col(locale))
-    hits = F.filter(mine, lambda n: ~n["fallback"] & n["amount"].isNotNull() & held_word(low, n["name"]))
+    hits = let(low, lambda text: F.filter(mine, lambda n: ~n["fallback"] & n["amount"].isNotNull() & held_word(text, n["name"])))
     best = F.array_min(F.transform(hits, lambda n: F.struct(n["kind"].alias("kind"), (-F.length(n["name"])).alias("size"), n["name"].alias("name"), n["amount"].alias("amount"))))
     rest = F.get(F.filter(mine, lambda n: n["fallback"]), F.lit(0))
     return rows.withColumns({"minimum": F.coalesce(best["amount"], rest["amount"]), "region": F.coalesce(best["name"], rest["name"])}).drop("_wages")

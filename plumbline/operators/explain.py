@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.spans import let
 from plumbline.functions.text import sentences
 
 #: Sentences that get a variant, sentences shown, and the shortest sentence that counts.
@@ -26,18 +27,23 @@ def occlusion(df: DataFrame, key: str, text: str, margin: Callable[[Column], Col
     each out; those after them are neutral. ``margin`` maps a text column to a number. If it is ``native``, an expression of Spark's own,
     all happens inside the row's array; a Python scorer gets the variants as rows, in one pass, and their deltas are put together by key.
     """
-    base = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("whole")).withColumn("parts", split(F.col("whole"))).where(F.size("parts") >= 2)
-    numbered = F.filter(F.transform("parts", lambda s, i: F.struct(i.alias("sent_no"), s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end"))), lambda s: F.length(s["text"]) >= SHORTEST)
-    base = base.select(key, "whole", numbered.alias("parts")).where(F.size("parts") > 0)
+    base = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("whole"))
+    numbered = lambda parts: F.filter(F.transform(parts, lambda s, i: F.struct(i.alias("sent_no"), s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end"))), lambda s: F.length(s["text"]) >= SHORTEST)
+    scorable = let(split(F.col("whole")), lambda parts: F.when(F.size(parts) >= 2, numbered(parts)))
     shown = lambda s, delta: F.struct((-F.abs(delta)).alias("order"), s["sent_no"].alias("sent_no"), s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end"), delta.alias("delta"))
-    rest = F.transform(F.slice("parts", F.lit(cap + 1), F.greatest(F.size("parts") - cap, F.lit(0))), lambda s: shown(s, F.lit(0.0).cast("double")))
+    after = lambda parts: F.transform(F.slice(parts, F.lit(cap + 1), F.greatest(F.size(parts) - cap, F.lit(0))), lambda s: shown(s, F.lit(0.0).cast("double")))
     without = lambda s, whole: variant(whole, s["start"], s["end"])
     if native:
-        base = base.withColumn("base", margin(F.col("whole")))
-        scored = F.transform(F.slice("parts", 1, cap), lambda s: shown(s, F.round(F.col("base") - margin(without(s, F.col("whole"))), 4).cast("double")))
-        evidence = base.select(key, F.slice(F.array_sort(F.concat(scored, rest)), 1, top).alias("e"))
+
+        def evidence_of(x: Column) -> Column:
+            """``x`` has the text, its sentences and its margin; whatever is asked for twice is bound, so that it is computed once."""
+            delta = lambda s: F.round(x["base"] - let(without(s, x["whole"]), margin), 4).cast("double")
+            scored = F.transform(F.slice(x["parts"], 1, cap), lambda s: let(delta(s), lambda d: shown(s, d)))
+            return F.slice(F.array_sort(F.concat(scored, after(x["parts"]))), 1, top)
+
+        evidence = base.select(key, let(F.struct("whole", scorable.alias("parts"), margin(F.col("whole")).alias("base")), evidence_of).alias("e"))
     else:
-        base = base.select(key, "whole", F.slice("parts", 1, cap).alias("parts"), rest.alias("rest"))
+        base = base.withColumn("parts", scorable).where(F.size("parts") > 0).select(key, "whole", F.slice("parts", 1, cap).alias("parts"), after(F.col("parts")).alias("rest"))
         # A row for the whole text (null) and for each variant; only these carry a text.
         forms = F.concat(F.array(F.struct(F.lit(None).cast("int").alias("n"), F.col("whole").alias("form"))), F.transform("parts", lambda s, n: F.struct(n.alias("n"), without(s, F.col("whole")).alias("form"))))
         rows = base.select(key, "parts", "rest", F.inline(forms))
@@ -45,7 +51,8 @@ def occlusion(df: DataFrame, key: str, text: str, margin: Callable[[Column], Col
         per = rows.groupBy(key).agg(F.max(F.when(F.col("n").isNull(), F.col("m"))).alias("base"), F.sort_array(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "m")))).alias("ms"), F.first("parts", True).alias("parts"), F.first("rest", True).alias("rest"))
         scored = F.zip_with("parts", "ms", lambda s, m: shown(s, F.round(F.col("base") - m["m"], 4)))
         evidence = per.select(key, F.slice(F.array_sort(F.concat(scored, F.col("rest"))), 1, top).alias("e"))
-    return evidence.select(key, F.inline("e")).select(key, F.col("sent_no").cast("int"), "text", "start", "end", "delta", F.when(F.col("delta") > 0, "risk").otherwise("safe").alias("polarity"))
+    # Outer, and then filtered: else Spark would test the array's size first, and make it twice.
+    return evidence.select(key, F.inline_outer("e")).where("sent_no IS NOT NULL").select(key, F.col("sent_no").cast("int"), "text", "start", "end", "delta", F.when(F.col("delta") > 0, "risk").otherwise("safe").alias("polarity"))
 
 
 def top_terms(vocabulary: list[str], coefficients: list[float], spark, k: int = 20) -> DataFrame:

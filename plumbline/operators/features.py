@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.spans import let
+
 #: Fewest documents of a term, and size of the vocabulary.
 MIN_DF, MAX_TERMS = 3, 50_000
 _FROM, _TO = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
@@ -15,13 +17,18 @@ def tokens(text: Column, ngrams: int = 2) -> Column:
     words = F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), _FROM, _TO), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     if ngrams == 1:
         return words
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, pairs)
+
+    def with_pairs(w: Column) -> Column:
+        last = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.concat(w, F.zip_with(F.slice(w, F.lit(1), last), F.slice(w, F.lit(2), last), lambda a, b: F.concat_ws(" ", a, b)))
+
+    return let(words, with_pairs)
 
 
 def term_counts(df: DataFrame, key: str, text: str, ngrams: int = 2) -> DataFrame:
     """``key, term, tf``; a document's terms are counted map-side before anything moves."""
-    return df.select(F.col(key), F.explode(tokens(F.col(text), ngrams)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    # Outer, and then filtered: else Spark would test the array's size first, and make it twice.
+    return df.select(F.col(key), F.explode_outer(tokens(F.col(text), ngrams)).alias("term")).where("term IS NOT NULL").groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, key: str, min_df: int = MIN_DF, max_terms: int = MAX_TERMS) -> DataFrame:

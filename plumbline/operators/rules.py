@@ -302,7 +302,7 @@ def rule_hits(wide: DataFrame, key: str, advisory: bool = True, weights: dict[st
     worth = lambda f: F.lit(0.0) if advisory else F.round(F.col(f)["severity"] * F.lit(float(weights.get(f, 0.0))), 2)
     entry = lambda i, f: F.struct((-worth(f)).alias("minus"), (-F.col(f)["severity"]).alias("least"), F.lit(i).alias("ord"), F.lit(f).alias("feature_id"), worth(f).alias("contribution"), F.col(f)["severity"].alias("severity"), tier(F.col(f)["severity"]).alias("tier"), F.col(f)["evidence"].alias("evidence"))
     fired = F.array_sort(F.array_compact(F.array(*(F.when(F.col(f)["available"] & (F.col(f)["severity"] > 0), entry(i, f)) for i, f in enumerate(order)))))
-    return wide.select(key, F.posexplode(fired).alias("at", "h")).select(key, "h.ord", "h.feature_id", "h.severity", "h.contribution", "h.tier", "h.evidence", (F.col("at") + 1).alias("rank"))
+    return wide.select(key, F.posexplode_outer(fired).alias("at", "h")).where("at IS NOT NULL").select(key, "h.ord", "h.feature_id", "h.severity", "h.contribution", "h.tier", "h.evidence", (F.col("at") + 1).alias("rank"))
 
 
 def phrase_groups(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
