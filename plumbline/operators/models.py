@@ -23,7 +23,7 @@ from plumbline.operators.evalset import not_for_training
 from plumbline.operators.features import MAX_TERMS, MIN_DF, tokens
 from plumbline.operators.metrics import evaluate_models, platt_apply, platt_fit, to_margin
 from plumbline.operators.prefix import grouped_rank
-from plumbline.sources.readers import written
+from plumbline.sources.readers import discard, written
 
 #: The baselines, the terms and rounds of boosting, neighbours of a synthetic row, folds of a calibration, and the gate.
 NAMES = ("logistic", "svm", "boosting", "oversampled")
@@ -113,7 +113,9 @@ def regression(label: str, n: int, weight: bool = True) -> LogisticRegression:
 def fit_logistic(train: DataFrame, text: str, label: str, terms: int = MAX_TERMS, ngrams: int = 2) -> FittedScorer:
     """Balanced logistic regression on words and pairs of words; margins are logits already."""
     rows = prepared(train, text, label, ngrams)
-    return FittedScorer(Pipeline(stages=[*vectors(terms), regression(label, rows.count())]).fit(rows), text, ngrams)
+    model = Pipeline(stages=[*vectors(terms), regression(label, rows.count())]).fit(rows)
+    discard(rows)
+    return FittedScorer(model, text, ngrams)
 
 
 def fit_svm(train: DataFrame, text: str, label: str, terms: int = MAX_TERMS, ngrams: int = 2, folds: int = FOLDS) -> AveragedScorer:
@@ -125,6 +127,7 @@ def fit_svm(train: DataFrame, text: str, label: str, terms: int = MAX_TERMS, ngr
         part = FittedScorer(Pipeline(stages=[*vectors(terms), svm]).fit(rows.where(fold != i)), text, ngrams)
         part.a, part.b = platt_fit(part.transform(rows.where(fold == i).drop("_terms", "_w")), "margin", label)
         parts.append(part)
+    discard(rows)
     return AveragedScorer(parts)
 
 
@@ -132,12 +135,14 @@ def fit_boosting(train: DataFrame, text: str, label: str, terms: int = BOOSTING_
     """Balanced boosted trees on single words; Spark's margins are half logits."""
     rows = prepared(train, text, label, 1)
     trees = GBTClassifier(featuresCol="_x", labelCol=label, weightCol="_w", maxIter=rounds, stepSize=0.1, maxDepth=3, seed=42)
-    return FittedScorer(Pipeline(stages=[*vectors(terms), trees]).fit(rows), text, 1, 2.0)
+    model = Pipeline(stages=[*vectors(terms), trees]).fit(rows)
+    discard(rows)
+    return FittedScorer(model, text, 1, 2.0)
 
 
 def fit_oversampled(train: DataFrame, text: str, label: str, terms: int = MAX_TERMS, ngrams: int = 2, k: int = NEIGHBOURS) -> FittedScorer:
     """Logistic regression on rows to which synthetic ones of the smaller class were added until classes are equal."""
-    rows = prepared(train, text, label, ngrams).drop("_w")
+    rows = prepared(train, text, label, ngrams)
     made = Pipeline(stages=vectors(terms)).fit(rows)
     parts = F.unwrap_udt(F.col("_x"))
     keyed = written(made.transform(rows).select(F.md5(F.coalesce(text, F.lit(""))).alias("_key"), F.col(label).cast("int").alias(label), parts["size"].alias("_n"), parts["indices"].alias("_i"), parts["values"].alias("_v"), "_x"), "vectors")
@@ -146,6 +151,7 @@ def fit_oversampled(train: DataFrame, text: str, label: str, terms: int = MAX_TE
     vector = F.udf(lambda i, v: SparseVector(width, dict(zip(i, v))), VectorUDT())
     both = keyed.select("_x", F.col(label)).unionByName(extra.select(vector("_i", "_v").alias("_x"), F.col(label)))
     model = regression(label, both.count(), weight=False).fit(both)
+    discard(rows, keyed, extra)
     return FittedScorer(PipelineModel(stages=[*made.stages, model]), text, ngrams)
 
 

@@ -15,7 +15,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to a new shared folder and reads it back, so that several jobs don't each make it anew."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._plumbline_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._plumbline_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Bytes under which a table may be one row group, and so one task: it is dealt to all cores before dear expressions.
