@@ -64,7 +64,7 @@ def test_digest_of_odd_rows(spark):
     assert {(r.n_hit, r.contaminated) for r in contamination.contamination_digest(d, b.limit(0)).collect()} == {(0, False)}
     # Several automata of few bytes find the same as one.
     whole = contamination.contamination(d, b).collect()
-    parted = contamination.contamination(d, b, max_bytes=400).collect()
+    parted = contamination.contamination(d, b, max_bytes=5000).collect()
     assert sorted(map(str, whole)) == sorted(map(str, parted))
 
 
