@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import alignment, contamination, embeddings, licenses, mixing, packing, quality, secrets, simhash, token_counts, topk, url_filter
+from plumbline.llm import alignment, contamination, conversations, embeddings, licenses, mixing, packing, quality, secrets, simhash, token_counts, topk, url_filter
 from plumbline.llm.common import session
 from plumbline.sources.readers import spread
 
@@ -60,6 +60,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignments(table(spark, sf_dir, "documents"))
 
@@ -86,9 +90,9 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_token_counts, op3_secret_scan, op4_source_mix, op5_embedding_groups, op6_exact_topk, op7_url_filter, op8_license_scan, op9_quality_classifier, op10_simhash, op12_alignment, op13_decontamination]
+    found = [op1_packing, op2_token_counts, op3_secret_scan, op4_source_mix, op5_embedding_groups, op6_exact_topk, op7_url_filter, op8_license_scan, op9_quality_classifier, op10_simhash, op11_prefix_trie, op12_alignment, op13_decontamination]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": mixing.SQL, "op5_embedding_groups": embeddings.SQL, "op6_exact_topk": topk.SQL, "op7_url_filter": OP7_SQL, "op13_decontamination": contamination.SQL}
+    return {"op4_source_mix": mixing.SQL, "op5_embedding_groups": embeddings.SQL, "op6_exact_topk": topk.SQL, "op7_url_filter": OP7_SQL, "op11_prefix_trie": conversations.SQL, "op13_decontamination": contamination.SQL}
