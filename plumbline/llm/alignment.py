@@ -23,13 +23,12 @@ from plumbline.llm.common import arrow_schema, texts, written
 from plumbline.llm.token_counts import _packed, _unpacked
 
 #: Characters of text from which a block of documents is closed; stretches cached in each of two generations, and the longest of them; stretches of one call to a library.
-BLOCK_CHARS, CACHED, CACHED_CHARS, JOINED = 8_000_000, 150_000, 100, 256
+BLOCK_CHARS, CACHED, CACHED_CHARS, JOINED = 8_000_000, 250_000, 100, 256
 #: A pair of ids is ``a << SHIFT | b``.
 SHIFT = 32
 # A blank between two characters that aren't white space: both tokenizers end a token before it, whatever the rest of the text.
 _CUT = re.compile(r"(?<=\S)(?=\x20\S)")
 _UNEVEN = re.compile(r"\s\x20|\x20\s|^\x20|\x20$")
-_SPACE = re.compile(r"\s")
 _BLOCKS = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, sizes array<long>, places binary, counts binary, widths binary, links binary, pairs array<long>, held array<long>"
 
 
@@ -43,26 +42,41 @@ def groups(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int, in
     todo = [(0, len(a_ends), 0, len(b_ends))] if a_ends else []
     while todo:
         a, a2, b, b2 = todo.pop()
-        few, some, lo, hi, lo2, hi2 = (a_ends, b_ends, a, a2 - 1, b, b2 - 1) if a2 - a <= b2 - b else (b_ends, a_ends, b, b2 - 1, a, a2 - 1)
-        middle, cut = (lo + hi) // 2, None
-        for away in range(max(middle - lo + 1, hi - middle)):
-            for i in (middle + away, middle - away - 1):
-                if lo <= i < hi and (j := bisect_left(some, few[i], lo2, hi2)) < hi2 and some[j] == few[i]:
-                    cut = (i + 1, j + 1)
-                    break
-            if cut:
-                break
+        cut = None
+        if a2 - a > 1 and b2 - b > 1:
+            fewer_a = a2 - a <= b2 - b
+            few, lo, hi, some, lo2, hi2 = (a_ends, a, a2 - 1, b_ends, b, b2 - 1) if fewer_a else (b_ends, b, b2 - 1, a_ends, a, a2 - 1)
+            right = (lo + hi) // 2
+            left = right - 1
+            while right < hi or left >= lo:
+                if right < hi:
+                    j = bisect_left(some, few[right], lo2, hi2)
+                    if j < hi2 and some[j] == few[right]:
+                        cut = right + 1, j + 1
+                        break
+                    right += 1
+                if left >= lo:
+                    j = bisect_left(some, few[left], lo2, hi2)
+                    if j < hi2 and some[j] == few[left]:
+                        cut = left + 1, j + 1
+                        break
+                    left -= 1
         if cut is None:
             out.append((a, a2, b, b2))
         else:
-            at, bt = cut if few is a_ends else cut[::-1]
-            todo += [(at, a2, bt, b2), (a, at, b, bt)]
+            at, bt = cut if fewer_a else (cut[1], cut[0])
+            todo.append((at, a2, bt, b2))
+            todo.append((a, at, b, bt))
     return out
 
 
 def overlaps(a_ends: list[int], b_ends: list[int], group: tuple[int, int, int, int]) -> list[tuple[int, int]]:
     """Places of all tokens of a group whose byte ranges overlap."""
     a, a2, b, b2 = group
+    if a2 - a == 1:
+        return [(a, j) for j in range(b, b2)]
+    if b2 - b == 1:
+        return [(i, b) for i in range(a, a2)]
     out = []
     while a < a2 and b < b2:
         out.append((a, b))
@@ -90,10 +104,12 @@ class Aligner:
             self.a_bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
         #: Whether texts may be parted at blanks: no piece of B goes on behind one.
         self.parted = not any("▁" in p.lstrip("▁") for p in pieces)
         self.a_first = {i for i, x in enumerate(self.a_bytes) if x.startswith(b" ")}
         self.b_first = {i for i, x in enumerate(self.b_bytes) if x.startswith(b" ")}
+        self.same: dict[int, tuple[int, str]] = {}  # groups of one token each, and how they are spelled; emptied with the cache
         self.new: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
@@ -107,19 +123,29 @@ class Aligner:
 
     def aligned(self, text: str, a: list[int], b: list[int]) -> tuple | None:
         """``(spelled groups, n_a, n_b, n_groups, pairs of ids)`` of one stretch; None where tokens' bytes differ from its own."""
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         whole = b" " + text.encode("utf-8", "surrogatepass")
-        if b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
+        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             return None
-        a_ends, b_ends = list(accumulate(map(len, a_bytes))), list(accumulate(map(len, b_bytes)))
-        parts = groups(a_ends, b_ends)
-        said = ";".join(f"{','.join(map(str, a[p[0] : p[1]]))}|{','.join(map(str, b[p[2] : p[3]]))}" for p in parts)
-        return said, len(a), len(b), len(parts), tuple(a[i] << SHIFT | b[j] for p in parts for i, j in overlaps(a_ends, b_ends, p))
+        a_ends, b_ends = list(accumulate(map(self.a_sizes.__getitem__, a))), list(accumulate(map(self.b_sizes.__getitem__, b)))
+        parts, said, pairs = groups(a_ends, b_ends), [], []
+        for part in parts:
+            i, i2, j, j2 = part
+            if i2 - i == 1 and j2 - j == 1:
+                pair = a[i] << SHIFT | b[j]
+                one = self.same.get(pair)
+                if one is None:
+                    one = self.same[pair] = pair, f"{a[i]}|{b[j]}"
+                pairs.append(one[0])
+                said.append(one[1])
+            else:
+                said.append(f"{','.join(map(str, a[i:i2]))}|{','.join(map(str, b[j:j2]))}")
+                pairs += [a[x] << SHIFT | b[y] for x, y in overlaps(a_ends, b_ends, part)]
+        return ";".join(said), len(a), len(b), len(parts), tuple(pairs)
 
     def entries(self, stretches: set[str]) -> dict[str, tuple | None]:
         """What ``aligned`` gives, of each stretch; those met lately are kept, bounded in number and length."""
         if len(self.new) > CACHED:
-            self.old, self.new = self.new, {}
+            self.old, self.new, self.same = self.new, {}, {}
         out: dict[str, tuple | None] = {}
         missing = []
         for s in stretches:
@@ -127,7 +153,7 @@ class Aligner:
                 missing.append(s)
             else:
                 out[s] = x
-        plain = [s for s in missing if s and self.parted and not _SPACE.search(s) and "▁" not in s]
+        plain = [s for s in missing if self.parted and " " not in s and "▁" not in s and s and not s[0].isspace() and not s[-1].isspace()]
         ids: dict[str, tuple[list[int], list[int]]] = {}
         for at in range(0, len(plain), JOINED):
             some = plain[at : at + JOINED]
@@ -169,50 +195,58 @@ class _Block:
         self.tools, self.chars = tools, 0
         self.place: dict[str, int] = {}
         self.said: list[str] = []
-        self.numbers: list[tuple[int, int, int, int]] = []
+        self.numbers = np.zeros((0, 4), np.int64)
         self.links: list[int] = []
         self.pair_at: dict[int, int] = {}
         self.docs: list[tuple] = []
         self.at: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
 
-    def add(self, doc_id: int | None, text: str) -> None:
-        order = self.tools.stretches(text) if text else []
-        found = Counter(order)
-        if order and not self._known(found):
-            order = [text]  # a stretch's bytes differ: the text as a whole decides
-            found = Counter(order)
-            if not self._known(found):
-                order, found = [], Counter()
-        self.chars += len(text)
-        at = np.fromiter((self.place[s] for s in found), np.int64, len(found))
+    def add(self, ids: list[int | None], texts: list[str]) -> None:
+        orders = [self.tools.stretches(t) if t else [] for t in texts]
+        found = [Counter(order) for order in orders]
+        wrong = self._place(found)
+        for i in [i for i, f in enumerate(found) if wrong and not wrong.isdisjoint(f)]:  # a stretch's bytes differ: the text as a whole decides
+            orders[i], found[i] = [texts[i]], Counter([texts[i]])
+            if self._place([found[i]]):
+                orders[i], found[i] = [], Counter()
+        for doc_id, text, order, times in zip(ids, texts, orders, found):
+            self._add(doc_id, order, times)
+            self.chars += len(text)
+
+    def _place(self, found: list[Counter]) -> set[str]:
+        """Gives places to stretches that have none yet; returns those whose bytes differ."""
+        entries = self.tools.entries({s for f in found for s in f if s not in self.place})
+        numbers, wrong = [], set()
+        for s, entry in entries.items():
+            if entry is None:
+                wrong.add(s)
+                continue
+            said, n_a, n_b, n_groups, pairs = entry
+            self.place[s] = len(self.said)
+            self.said.append(said)
+            numbers.append((n_a, n_b, n_groups, len(pairs)))
+            self.links += [self.pair_at.setdefault(p, len(self.pair_at)) for p in pairs]
+        self.numbers = np.concatenate([self.numbers, np.array(numbers, np.int64).reshape(-1, 4)])
+        return wrong
+
+    def _add(self, doc_id: int | None, order: list[str], found: Counter) -> None:
+        at = np.fromiter(map(self.place.__getitem__, found), np.int64, len(found))
         times = np.fromiter(found.values(), np.int64, len(found))
-        n = np.array([self.numbers[i] for i in at], np.int64).reshape(-1, 4)
         sha = ""
         if order:
             hashed = hashlib.sha256()
             for i in range(0, len(order), 10_000):
-                hashed.update((";" * bool(i) + ";".join([self.said[self.place[s]] for s in order[i : i + 10_000]])).encode())
+                places = map(self.place.__getitem__, order[i : i + 10_000])
+                hashed.update((";" * bool(i) + ";".join(map(self.said.__getitem__, places))).encode())
             sha = hashed.hexdigest()
-        self.docs.append((doc_id, *(n * times[:, None]).sum(0).tolist(), sha, len(at)))
+        self.docs.append((doc_id, *(times @ self.numbers[at]).tolist(), sha, len(at)))
         rank = np.argsort(at)
         self.at.append(np.diff(at[rank], prepend=0))
         self.times.append(times[rank])
 
-    def _known(self, found: Counter) -> bool:
-        """Gives places to stretches that have none yet; False if the bytes of one differ."""
-        entries = self.tools.entries(found.keys() - self.place.keys())
-        if None in entries.values():
-            return False
-        for s, (said, n_a, n_b, n_groups, pairs) in entries.items():
-            self.place[s] = len(self.said)
-            self.said.append(said)
-            self.numbers.append((n_a, n_b, n_groups, len(pairs)))
-            self.links += [self.pair_at.setdefault(p, len(self.pair_at)) for p in pairs]
-        return True
-
     def row(self, number: int) -> list:
-        widths = np.array([n[3] for n in self.numbers], np.int64)
+        widths = self.numbers[:, 3]
         links = np.array(self.links, np.int64)
         uses = np.zeros(len(self.numbers), np.int64)
         for at, times in zip(self.at, self.times):
@@ -235,12 +269,11 @@ def aligned_blocks(rows: DataFrame, a_path: str, b_path: str, block_chars: int =
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(block.row(number), schema)], schema=schema)
 
         for batch in source:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                block.add(doc_id, text)
-                if block.chars >= block_chars:
-                    yield closed()
-                    number += 1
-                    block = _Block(tools)
+            block.add(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            if block.chars >= block_chars:
+                yield closed()
+                number += 1
+                block = _Block(tools)
         if block.docs:
             yield closed()
 

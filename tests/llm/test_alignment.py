@@ -77,7 +77,7 @@ def test_groups_and_overlaps(a, b):
 @given(st.text(st.sampled_from("ab thing'sé\n\t\x00 ​　<0x41>|endoftext▁ 12ü漢😀."), max_size=40))
 def test_stretches_give_the_whole_texts_tokens(tools, text):
     block = alignment._Block(tools)
-    block.add(1, text)
+    block.add([1], [text])
     want = plain(tools, text)
     got = block.docs[0]
     assert got[1:6] == ((0, 0, 0, 0, "") if want is None else (want[0], want[1], len(want[2]), len(want[3]), hashlib.sha256(";".join(want[2]).encode()).hexdigest()))
