@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import html
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from plumbline.functions.spans import find_spans
+from plumbline.functions.spans import find_spans, scan
 
 #: Limits and character sets that results depend on.
 MIN_CHARS, MAX_CHARS, MIN_MEANINGFUL, LONGEST_RUN = 30, 20_000, 20, 200
@@ -35,6 +37,11 @@ PROTECTED = (
     "eCommerce", "eBay", "eLearning", "eMail", "DevOps", "PhD", "MBA", "CPA", "JavaScripts", "WiFi", "PowerShell", "TensorFlow", "PyTorch",
 )
 
+#: Tags that end a line, all tags, what a page's own text stands in, and blanks.
+_BLOCK_END = re.compile(r"(?ai)</(?:p|div|li|tr|h[1-6]|br|section|article)>|<br\s*/?>")
+_TAG, _ARTICLE, _BLANKS = re.compile(r"<[^>]+>"), re.compile(r"(?ai)<(article|main)"), re.compile("[ \t\xa0]+")
+_XML = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+
 
 def meaningful_chars(text: Column) -> Column:
     """Letters and digits of a text."""
@@ -53,8 +60,6 @@ def nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 @F.pandas_udf(StringType())
 def unescaped(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """All HTML entities decoded; use it behind a test for an ampersand."""
-    import html
-
     for part in parts:
         yield part.map(lambda t: None if t is None else html.unescape(t))
 
@@ -66,7 +71,7 @@ def entities_of(text: Column) -> Column:
 
 def xml_entities(text: Column) -> Column:
     """The five entities of XML, decoded by replacement."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+    for name, char in _XML:
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
 
@@ -133,17 +138,85 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+", -1), lambda w: w != ""))
 
 
-def html_to_text(html: Column, entities: str = "all") -> Column:
-    """A page as text: some elements go with their content, an article is preferred, blocks end in new lines."""
-    body = F.coalesce(html, F.lit(""))
-    body = F.regexp_replace(body, rf"(?is)<({'|'.join(DROPPED)})[^>]*>.*?</\1>", " ")
-    body = F.coalesce(F.nullif(F.regexp_extract(body, r"(?is)<(article|main)[^>]*>(.*?)</\1>", 2), F.lit("")), body)
-    body = F.regexp_replace(body, r"(?i)</(p|div|li|tr|h[1-6]|br|section|article)>|<br\s*/?>", "\n")
-    body = F.regexp_replace(body, r"(?s)<[^>]+>", " ")
-    body = entities_of(body) if entities == "all" else xml_entities(body)
-    body = F.regexp_replace(body, r"[ \t\x{a0}]+", " ")
-    lines = F.filter(F.transform(F.split(body, "\n", -1), lambda x: F.trim(x, F.lit(" \r"))), lambda x: x != "")
-    return F.array_join(lines, "\n")
+def without_elements(page: str, names: tuple[str, ...] = DROPPED) -> str:
+    """The page with a blank for each of the elements, from its opening tag to the first closing tag of its kind; one without a closing tag stays.
+
+    One pass: opening tags are met from the left, and for each kind the closing tags are gone through once.
+    """
+    kinds = "|".join(names)
+    closing: dict[str, list[tuple[int, int]]] = {n: [] for n in names}
+    for m in re.finditer(rf"(?ai)</({kinds})>", page):
+        closing[m[1].lower()].append(m.span())
+    at = dict.fromkeys(names, 0)
+    out, done, bracket = [], 0, -1
+    opening = re.compile(rf"(?ai)<({kinds})")
+    m = opening.search(page)
+    while m:
+        if bracket < m.end():
+            bracket = page.find(">", m.end())
+        if bracket < 0:
+            break
+        kind = m[1].lower()
+        ends, i = closing[kind], at[kind]
+        while i < len(ends) and ends[i][0] <= bracket:
+            i += 1
+        at[kind] = i
+        start = m.end()
+        if i < len(ends):
+            out += [page[done : m.start()], " "]
+            done = start = ends[i][1]
+        m = opening.search(page, start)
+    return "".join(out) + page[done:]
+
+
+def page_text(page: str, entities: Callable[[str], str]) -> str:
+    """A page as text: some elements go with their content, an article is preferred, blocks end in new lines. Linear in the page."""
+    page = without_elements(page)
+    if m := _first_article(page):
+        page = m
+    page = _BLOCK_END.sub("\n", page)
+    last = page.rfind(">") + 1  # behind it no tag ends, so none is looked for
+    page = entities(_TAG.sub(" ", page[:last]) + page[last:])
+    lines = (x.strip(" \r") for x in _BLANKS.sub(" ", page).split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
+def _first_article(page: str) -> str:
+    """What the first article or main element that is closed holds."""
+    ends = {"article": 0, "main": 0}
+    low_ends = {k: [m.start() for m in re.finditer(rf"(?ai)</{k}>", page)] for k in ends}
+    bracket = -1
+    for m in _ARTICLE.finditer(page):
+        if bracket < m.end():
+            bracket = page.find(">", m.end())
+        if bracket < 0:
+            break
+        kind = m[1].lower()
+        i = ends[kind]
+        while i < len(low_ends[kind]) and low_ends[kind][i] <= bracket:
+            i += 1
+        ends[kind] = i
+        if i < len(low_ends[kind]):
+            return page[bracket + 1 : low_ends[kind][i]]
+    return ""
+
+
+def html_to_text(html_page: Column, entities: str = "all") -> Column:
+    """A page as text (see ``page_text``), in Arrow batches; null is empty. ``entities`` "xml" decodes XML's five alone."""
+    decode = html.unescape if entities == "all" else _five
+
+    @F.pandas_udf(StringType())
+    def reduced(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(lambda t: page_text(t, decode))
+
+    return reduced(F.coalesce(html_page, F.lit("")))
+
+
+def _five(text: str) -> str:
+    for name, char in _XML:
+        text = text.replace(name, char)
+    return text
 
 
 def page_gate(text: Column, markers: list[str]) -> Column:
@@ -211,18 +284,16 @@ def sentence_boundary(abbreviations: tuple[str, ...] = ABBREVIATIONS) -> str:
 def sentences(text: Column) -> Column:
     """``array<struct<text,start,end>>`` of trimmed sentences, with offsets into the text."""
     boundary = sentence_boundary()
-    pieces = F.split(text, boundary, -1)
     breaks = F.concat(F.transform(F.regexp_extract_all(text, F.lit(boundary), F.lit(0)), F.length), F.array(F.lit(0)))
-    pairs = F.zip_with(pieces, breaks, lambda p, b: F.struct(p.alias("piece"), F.coalesce(b, F.lit(0)).alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<text:string,start:int,end:int>>)").alias("out"))
+    pairs = F.zip_with(F.split(text, boundary, -1), breaks, lambda p, b: F.struct(p.alias("piece"), F.coalesce(b, F.lit(0)).alias("gap")))
 
-    def step(acc: Column, x: Column) -> Column:
-        body = F.regexp_replace(x["piece"], r"^\s+|\s+$", "")
-        begin = acc["at"] + F.length(x["piece"]) - F.length(F.regexp_replace(x["piece"], r"^\s+", ""))
-        held = F.struct(body.alias("text"), begin.alias("start"), (begin + F.length(body)).alias("end"))
-        return F.struct((acc["at"] + F.length(x["piece"]) + x["gap"]).alias("at"), F.when(body != "", F.concat(acc["out"], F.array(held))).otherwise(acc["out"]).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        left = F.regexp_replace(x["piece"], r"^\s+", "")
+        begin = at + F.length(x["piece"]) - F.length(left)
+        body = F.regexp_replace(left, r"(?<!\s)\s++$", "")
+        return at + F.length(x["piece"]) + x["gap"], F.struct(body.alias("text"), begin.alias("start"), (begin + F.length(body)).alias("end"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return F.filter(scan(pairs, F.lit(0), step, "struct<text:string,start:int,end:int>"), lambda s: s["text"] != "")
 
 
 def has_redaction(text: Column) -> Column:

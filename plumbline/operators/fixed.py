@@ -133,7 +133,8 @@ LOCALES = {
 }
 
 #: What a mention looks like.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: Possessive and begun only where a run of such characters begins or the last address ended: so it neither recurses nor looks at a run again.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 URL = r"(?i)(?:https?://|www\.)[^\s<>\"'\[\]{}|\\^`]+"
 PHONE = r"(?<![\d.])(?:\+62|62|0)[\s-]?8[1-9][\d\s-]{6,14}\d(?![\d.])"
 COMPANY = r"(?U)\b(PT|CV|UD|PD|Perum|Perumda|Yayasan|Koperasi)\.?[ \t]+([A-Z][A-Za-z0-9&]*(?:[ \t]+[A-Z][A-Za-z0-9&]*){0,4})"

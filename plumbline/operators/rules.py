@@ -171,7 +171,7 @@ def amount_pattern(s: Settings) -> str:
     quoted = "|".join(rf"\Q{t}\E" for t in s.currency) or "rp"
     units = "|".join(sorted(fixed.UNITS, key=len, reverse=True))
     group, point = (r"\.", ",") if s.dot_is_thousands else (",", r"\.")
-    grouped, bare = rf"\d{{1,3}}(?:{group}\d{{3}})+(?:{point}\d{{1,2}})?", rf"\d{{1,4}}(?:{point}\d{{1,3}})?"
+    grouped, bare = rf"\d{{1,3}}(?:{group}\d{{3}})++(?:{point}\d{{1,2}})?", rf"\d{{1,4}}(?:{point}\d{{1,3}})?"
     money = rf"(?:(?:{quoted})\s*)?"
     return rf"(?iU)(?:{money}(?:{grouped}|{bare})\s*(?:{units})\b|{money}{grouped}|(?:{quoted})\s*\d{{1,4}}(?:[.,]\d{{1,2}})?|\d{{4,}})"
 
@@ -255,7 +255,7 @@ def evaluate_rules(
     With ``locale``, a column, phrases are those of the row's locale, ``settings`` may differ by locale, and ``wages`` gives each row its
     minimum; without, all phrases count, and a ``minimum`` column is used if there is one. Rows are extended in place: no shuffle.
     """
-    out = with_hits(df, text, lexicon, locale=locale, key=key).withColumn("low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    out = with_hits(df, text, lexicon, locale=locale).withColumn("low", F.lower(F.coalesce(F.col(text), F.lit(""))))
     if wages is not None:
         if locale is None:
             raise ValueError("wages are looked up by locale")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.spans import scan
 from plumbline.operators.fixed import FEATURES, MAX_SHIFT, WEIGHTS
 
 #: Bands that hold until thresholds are fitted.
@@ -55,16 +56,34 @@ def summary(band: Column, hits: Column) -> Column:
 
 
 def highlight(rule_spans: Column, sentence_spans: Column) -> Column:
-    """Spans to show: rule spans by start (longer first), then sentence spans; what is empty or overlaps is left out."""
-    tagged = lambda spans, kind: F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), (-s["end"]).alias("neg_end")))
-    ordered = F.array_sort(F.filter(F.concat(tagged(rule_spans, 0), tagged(sentence_spans, 1)), lambda s: -s["neg_end"] > s["start"]))
-    empty = F.expr("cast(array() as array<struct<kind:int,start:int,end:int>>)")
+    """Spans to show: rule spans by start (longer first), then sentence spans; what is empty or overlaps is left out.
 
-    def place(acc: Column, s: Column) -> Column:
-        clash = F.exists(acc, lambda o: (o["start"] < -s["neg_end"]) & (s["start"] < o["end"]))
-        return F.when(clash, acc).otherwise(F.concat(acc, F.array(F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (-s["neg_end"]).alias("end")))))
-
-    return F.array_sort(F.aggregate(ordered, empty, place), lambda a, b: a["start"] - b["start"])
+    Three sweeps over sorted spans, each with one number in hand: rule spans against the last one kept, then from the right where the next rule span begins, then
+    sentences against both sides.
+    """
+    kind = "struct<start:int,neg_end:int,kind:int,next:int,stays:boolean>"
+    tagged = lambda spans, n: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg_end"), F.lit(n).alias("kind"), F.lit(2**31 - 1).alias("next"), F.lit(True).alias("stays")))
+    ordered = lambda spans: F.array_sort(F.filter(spans, lambda s: -s["neg_end"] > s["start"]))
+    marked = lambda s, **now: F.struct(*(now.get(c, s[c]).alias(c) for c in ("start", "neg_end", "kind", "next", "stays")))
+
+    def fits(last: Column, s: Column) -> tuple[Column, Column]:
+        ok = (s["kind"] == 0) & s["stays"] | (s["start"] >= last) & (-s["neg_end"] <= s["next"])
+        return F.when(ok, F.greatest(last, -s["neg_end"])).otherwise(last), marked(s, stays=ok)
+
+    def rule(last: Column, s: Column) -> tuple[Column, Column]:
+        ok = s["start"] >= last
+        return F.when(ok, -s["neg_end"]).otherwise(last), marked(s, stays=ok)
+
+    def ahead(first: Column, s: Column) -> tuple[Column, Column]:
+        return F.when(s["kind"] == 0, s["start"]).otherwise(first), marked(s, next=first)
+
+    kept = lambda spans: F.filter(spans, lambda s: s["stays"])
+    rules = kept(scan(ordered(tagged(rule_spans, 0)), F.lit(0), rule, kind))
+    # From the right, rule spans come before sentences that begin at the same place, which they overlap.
+    both = F.array_sort(F.concat(rules, ordered(tagged(sentence_spans, 1))), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["kind"] != b["kind"], b["kind"] - a["kind"]).otherwise(a["neg_end"] - b["neg_end"]))
+    nexts = F.reverse(scan(F.reverse(both), F.lit(2**31 - 1), ahead, kind))
+    shown = kept(scan(nexts, F.lit(0), fits, kind))
+    return F.transform(shown, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (-s["neg_end"]).alias("end")))
 
 
 def score_documents(

@@ -26,6 +26,8 @@ SETTINGS = rules.Settings(
     free=("example",), disposable=(), shorteners=("blog.tionsh.example.net",), aggregators=("thther.example.org",), telegram=("thatin", "vonder"), whatsapp=("rewh", "quela"), chat_hiring=("ononst",), anonymous=("inoran", "derund"),
     no_experience=("of the", "and the", "sur la", "de los"), years=r"(?i)\b(\d{1,2})\b", salary_words=r"(?i)\b(the|and|les|une|und|los)\b", cost_words=r"(?i)\b(of|by|des|der|que)\b", senior=("hethe",), entry=("with", "avec"),
 )
+#: Addresses, in SQL.
+_EMAIL_SQL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 COMPANY = r"\bThe[ \t]+[A-Z][A-Za-z]*"
 PATTERNS = extract.Patterns(phone=PHONE, company=COMPANY)
 
@@ -197,7 +199,7 @@ def _spans(spark, d, regex: str) -> DataFrame:
 _URL_SQL = extract.URL.replace("'", "''").replace('\\"', '"')
 
 
-@query(_spans_sql(extract.EMAIL))
+@query(_spans_sql(_EMAIL_SQL))
 def x0_email_spans(spark, d):
     return _spans(spark, d, extract.EMAIL)
 
@@ -218,7 +220,7 @@ def x2_links(spark, d):
     return found.select("page_id", F.array_join(F.transform("u", lambda s: F.concat_ws(":", s["start"], s["end"], s["text"])), " ").alias("links"))
 
 
-@query(rf"SELECT doc_id, len(regexp_extract_all(text, '{extract.EMAIL}'))::INTEGER AS n_emails, len(regexp_extract_all(text, '(?i)(?:https?://|www\.)[^\s]+'))::INTEGER AS n_urls FROM documents")
+@query(rf"SELECT doc_id, len(regexp_extract_all(text, '{_EMAIL_SQL}'))::INTEGER AS n_emails, len(regexp_extract_all(text, '(?i)(?:https?://|www\.)[^\s]+'))::INTEGER AS n_urls FROM documents")
 def x1_mentions(spark, d):
     found = extract.extract_mentions(docs(spark, d), "text")
     return found.select("doc_id", F.size("emails").alias("n_emails"), F.size("urls").alias("n_urls"))
@@ -332,8 +334,9 @@ def l6_benefit_framing(spark, d):
 
 @query(_lexicon_sql() + " SELECT doc_id, grp, phrase FROM h")
 def l5_large_lexicon(spark, d):
-    """The join by word n-grams that lexicons beyond the broadcast's bound take, on all documents."""
-    hits = phrases.match_phrases(docs(spark, d), "doc_id", "text", dims.lexicon(spark), framing=False, most=3)
+    """A lexicon of 50,000 phrases more, of which no text holds any: the plan and the result are those of a small one."""
+    many = spark.range(50_000).select(F.lit("en").alias("locale"), F.lit("many").alias("grp"), F.concat(F.lit("zq "), F.md5(F.col("id").cast("string"))).alias("phrase"), F.lit(0.1).alias("weight"))
+    hits = phrases.match_phrases(docs(spark, d), "doc_id", "text", dims.lexicon(spark).unionByName(many), framing=False)
     return hits.select("doc_id", "grp", "phrase")
 
 
@@ -378,7 +381,7 @@ pay AS (SELECT doc_id, amount FROM (SELECT doc_id, CASE WHEN regexp_matches(tail
 _LABEL_SQL = f"string_split(CASE WHEN regexp_matches(dom, '\\.({_SUFFIX_SQL})$') THEN regexp_replace(dom, '\\.({_SUFFIX_SQL})$', '') ELSE regexp_replace(dom, '\\.[^.]*$', '') END, '.')[-1]"
 #: The nine rules on documents, which hold no links: ``o(doc_id, ord, feature_id, severity, available)``. Severity is 0 where not available.
 OUTCOMES_SQL = rf"""{_framed_sql()}, {PAY_SQL},
-em AS (SELECT doc_id, i, {_LABEL_SQL} AS label FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{extract.EMAIL}')) AS a, generate_subscripts(regexp_extract_all(text, '{extract.EMAIL}'), 1) AS i, lower(string_split(a, '@')[-1]) AS dom FROM documents)),
+em AS (SELECT doc_id, i, {_LABEL_SQL} AS label FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_EMAIL_SQL}')) AS a, generate_subscripts(regexp_extract_all(text, '{_EMAIL_SQL}'), 1) AS i, lower(string_split(a, '@')[-1]) AS dom FROM documents)),
 es AS (SELECT doc_id, count(*) AS n, bool_or(label NOT IN ('example')) AS formal, bool_or(label IN ('example')) AS free FROM em GROUP BY doc_id),
 co AS (SELECT doc_id, unnest(regexp_extract_all(text, '{COMPANY}')) AS c FROM documents),
 cb AS (SELECT doc_id, regexp_replace(c, '^\s*\S+\s+', '') AS b FROM co),
@@ -491,7 +494,7 @@ def c7_score_documents(spark, d):
 _IDIOT = r"(?i)\bidiot\b[^\n]*"
 
 
-@query(f"""WITH m AS ({_spans_sql(extract.EMAIL).replace("WITH m AS", "WITH m1 AS").replace("FROM m WHERE", "FROM m1 WHERE").replace("SELECT doc_id, string_agg(s || ':' || (s + n), ',' ORDER BY i) AS spans FROM y GROUP BY doc_id", "SELECT doc_id, 0 AS kind, i, s, s + n AS e FROM y")}),
+@query(f"""WITH m AS ({_spans_sql(_EMAIL_SQL).replace("WITH m AS", "WITH m1 AS").replace("FROM m WHERE", "FROM m1 WHERE").replace("SELECT doc_id, string_agg(s || ':' || (s + n), ',' ORDER BY i) AS spans FROM y GROUP BY doc_id", "SELECT doc_id, 0 AS kind, i, s, s + n AS e FROM y")}),
 k AS ({_spans_sql(_IDIOT).replace("SELECT doc_id, string_agg(s || ':' || (s + n), ',' ORDER BY i) AS spans FROM y GROUP BY doc_id", "SELECT doc_id, 1 AS kind, i, s, s + n AS e FROM y")}),
 f AS (SELECT * FROM m UNION ALL SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = k.doc_id AND m.s < k.e AND k.s < m.e))
 SELECT doc_id, string_agg(s || ':' || e, ',' ORDER BY s) AS spans FROM f GROUP BY doc_id""")
@@ -591,7 +594,7 @@ def p7_sample(spark, d):
     return corpus.sample_rows(docs(spark, d).select("doc_id"), "doc_id", 100)
 
 
-@query(rf"SELECT count(*) AS n, round(avg(regexp_matches(text, '{extract.EMAIL}')::INTEGER::DOUBLE), 6) AS with_email, round(avg(regexp_matches(text, '{tx.REDACTION}')::INTEGER::DOUBLE), 6) AS with_redaction FROM documents")
+@query(rf"SELECT count(*) AS n, round(avg(regexp_matches(text, '{_EMAIL_SQL}')::INTEGER::DOUBLE), 6) AS with_email, round(avg(regexp_matches(text, '{tx.REDACTION}')::INTEGER::DOUBLE), 6) AS with_redaction FROM documents")
 def p8_contact_rates(spark, d):
     return extract.contact_rates(docs(spark, d), "text").select("n", r6("with_email").alias("with_email"), r6("with_redaction").alias("with_redaction"))
 
@@ -1003,7 +1006,7 @@ def g1_stream_scoring(spark, d):
 
 
 @query(_lexicon_sql() + rf""", s AS (SELECT doc_id, 1 - product(1 - weight) AS p FROM h GROUP BY doc_id),
-c AS (SELECT lang, regexp_matches(text, '{extract.EMAIL}') OR regexp_matches(text, '{PHONE}') AS contact, round_even((1 - coalesce(p, 0)) * 100, 0) AS score FROM documents LEFT JOIN s USING (doc_id))
+c AS (SELECT lang, regexp_matches(text, '{_EMAIL_SQL}') OR regexp_matches(text, '{PHONE}') AS contact, round_even((1 - coalesce(p, 0)) * 100, 0) AS score FROM documents LEFT JOIN s USING (doc_id))
 SELECT lang, contact, CASE WHEN score < 40 THEN 'high_risk' WHEN score >= 70 THEN 'low_risk' ELSE 'medium_risk' END AS band, count(*) AS n FROM c GROUP BY ALL""")
 def flagship(spark, d):
     """Which documents carry contact details or flagged phrases, and what band their score gives."""

@@ -1,14 +1,18 @@
 """Golden rows and invariants of text, mention, phrase and rule operators."""
 
 import html
+import random
 import re
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.functions import spans as sp
 from plumbline.functions import text as tx
-from plumbline.operators import dims, explain, extract, phrases, scoring
+from plumbline.operators import dims, explain, extract, fixed, phrases, rules, scoring
 
 
 def one(spark, value, *columns):
@@ -18,7 +22,7 @@ def one(spark, value, *columns):
 @pytest.mark.parametrize("text", ["a@b.co and x.y@z.org", "😀 a@b.co", "", "none here", "a@b.co"])
 def test_spans_match_python(spark, text):
     got = one(spark, text, sp.find_spans(F.col("t"), extract.EMAIL).alias("s"))["s"]
-    assert [(s.text, s.start, s.end) for s in got] == [(m[0], m.start(), m.end()) for m in re.finditer(extract.EMAIL, text)]
+    assert [(s.text, s.start, s.end) for s in got] == [(m[0], m.start(), m.end()) for m in re.finditer(r"[a-z.]+@[a-z]+(?:\.[a-z]+)+", text)]
     assert all(text[s.start : s.end] == s.text for s in got)
 
 
@@ -139,7 +143,94 @@ def test_protected_terms(spark):
 
 
 def test_large_lexicon_equals_small(spark):
-    rows = [("en", "g", 1.0, p, 0.5) for p in ("alpha beta", "beta", "c-d e", "x.y", "gamma", "no such words")]
-    df = spark.createDataFrame([(1, "Alpha beta, C-D e; x.y"), (2, "alphabeta xbeta gamma."), (3, None), (4, "c d e beta beta")], "k int, t string")
-    hits = [sorted((r.k, r.phrase, r.start, r.end) for r in phrases.match_phrases(df, "k", "t", dims.lexicon(spark, rows), most=most).collect()) for most in (100, 2)]
-    assert hits[0] == hits[1] == [(1, "alpha beta", 0, 10), (1, "beta", 6, 10), (1, "c-d e", 12, 17), (1, "x.y", 19, 22), (2, "gamma", 16, 21), (4, "beta", 6, 10)]
+    rows = [("en", "g", 1.0, p, 0.5) for p in ("alpha beta", "beta", "c-d e", "x.y", "gamma", "no such words", "!?", "a a")]
+    texts = [(1, "Alpha beta, C-D e; x.y"), (2, "alphabeta xbeta gamma."), (3, None), (4, "c d e beta beta"), (None, "beta"), (None, "gamma, really !? a a a"), (5, "xa a")]
+    df = spark.createDataFrame(texts, "k int, t string")
+    many = rows + [("en", "m", 1.0, f"zq {i}", 0.1) for i in range(20_000)]
+    hits = [sorted(map(str, ((r.k, r.phrase, r.start, r.end) for r in phrases.match_phrases(df, "k", "t", dims.lexicon(spark, held)).collect()))) for held in (rows, many)]
+    want = [(1, "alpha beta", 0, 10), (1, "beta", 6, 10), (1, "c-d e", 12, 17), (1, "x.y", 19, 22), (2, "gamma", 16, 21), (4, "beta", 6, 10), (None, "beta", 0, 4), (None, "gamma", 0, 5), (None, "!?", 14, 16), (None, "a a", 17, 20)]
+    assert hits[0] == hits[1] == sorted(map(str, want))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab .,_é", max_size=30), st.lists(st.text("ab .é", min_size=1, max_size=5), min_size=1, max_size=5, unique=True))
+def test_phrase_automaton_equals_patterns(text, wanted):
+    """The first match of each phrase between characters that aren't part of a word."""
+    got = {h["phrase"]: h["start"] for h in phrases.PhraseBook([("en", "g", p, 1.0) for p in wanted], framing=False).hits(text, None, False)}
+    want = {p: m.start() for p in wanted if (m := re.search(rf"(?<!\w){re.escape(p)}(?!\w)", text))}
+    assert got == want
+
+
+def by_pattern(page):
+    """The page's text by patterns alone, as it is defined."""
+    page = re.sub(rf"(?ais)<({'|'.join(tx.DROPPED)})[^>]*>.*?</\1>", " ", page)
+    if (m := re.search(r"(?ais)<(article|main)[^>]*>(.*?)</\1>", page)) and m[2]:
+        page = m[2]
+    page = re.sub(r"(?ai)</(p|div|li|tr|h[1-6]|br|section|article)>|<br\s*/?>", "\n", page)
+    page = re.sub(r"[ \t\xa0]+", " ", html.unescape(re.sub(r"(?s)<[^>]+>", " ", page)))
+    return "\n".join(x for x in (y.strip(" \r") for y in page.split("\n")) if x)
+
+
+_BITS = st.sampled_from(["<script>", "</script>", "<SCRIPT src='a>b'>", "<nav", "<navx>", "</nav>", "<article class=x>", "</article>", "<main>", "</MAIN>", "<p>", "</p>", "<br >", "<", ">", "text ", "&amp;", "&nbsp", "\n", " \r\n", "<style>", "</style >", "é", "<>", "<header>", "</header>"])
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(_BITS, max_size=25).map("".join))
+def test_page_text_equals_patterns(page):
+    assert tx.page_text(page, html.unescape) == by_pattern(page)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("a@b. _-c", max_size=40))
+def test_addresses_equal_the_plain_pattern(text):
+    plain = [m[0] for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text)]
+    local = r"[A-Za-z0-9._%+-]"
+    assert fixed.EMAIL.startswith(rf"(?:(?<!{local})|\G){local}++@")
+    found, at = [], 0  # Python has no \G: the place where the last match ended is tried first
+    held = re.compile(fixed.EMAIL.replace(rf"(?:(?<!{local})|\G)", ""))
+    started = re.compile(fixed.EMAIL.replace(r"|\G", ""))
+    while m := held.match(text, at) or started.search(text, at):
+        found.append(m[0])
+        at = m.end()
+    assert found == plain
+
+
+@pytest.mark.parametrize("n", [1, 7, 40])
+def test_highlight_and_outside_of_equal_loops(spark, n):
+    rng = random.Random(n)
+    rows = []
+    for k in range(60):
+        spans = [[(a, a + rng.randint(0, 9)) for a in (rng.randint(0, 3 * n) for _ in range(rng.randint(0, n)))] for _ in range(2)]
+        rows.append((k, *([("x", a, b) for a, b in s] for s in spans)))
+    kind = "array<struct<text:string,start:int,end:int>>"
+    df = spark.createDataFrame(rows, f"k int, a {kind}, b {kind}")
+    got = {r.k: r for r in df.select("k", scoring.highlight(F.col("a"), F.col("b")).alias("h"), sp.outside_of(F.col("a"), F.col("b")).alias("o")).collect()}
+    for k, a, b in rows:
+        kept = []
+        for held in (a, b):
+            for _, start, end in sorted(held, key=lambda s: (s[1], -s[2])):
+                if end > start and not any(o[0] < end and start < o[1] for o in kept):
+                    kept.append((start, end))
+        assert [(s.start, s.end) for s in got[k].h] == sorted(kept)
+        outside = [(s, e) for _, s, e in a if not any(c <= s and e <= d for _, c, d in b)]
+        assert sorted((s.start, s.end) for s in got[k].o) == sorted(outside)
+
+
+def test_hostile_texts_take_seconds(spark):
+    """A domain of 50,000 labels; 100,000 matches, sentences, phrases, amounts; unclosed tags; runs without an end."""
+    many = 100_000
+    rows = [
+        ("domain", "x@a" + ".a" * 50_000), ("mails", "a@b.co " * many), ("run", "a" * 1_000_000), ("sentences", "So it is. " * many), ("blanks", "a" + " " * many + "b. " + " " * many + "."), ("phrases", "idiot token password " * (many // 3)),
+        ("amounts", "gaji rp 1.000.000 " * (many // 10)), ("long amount", "1" + ",000" * 100_000), ("tags", "<script>" * many), ("brackets", "<" * 1_000_000), ("opened", "<script" * many), ("main", "<main>" * many + "<nav>"),
+    ]
+    df = spark.createDataFrame(rows, "k string, t string")
+    began = time.time()
+    text = F.col("t")
+    found = df.select("k", F.size(extract.emails(text)).alias("mails"), F.size(tx.sentences(text)).alias("sentences"), F.length(tx.html_to_text(text)).alias("page"), F.size(extract.urls(text)).alias("urls"), F.size(sp.find_spans(text, rules.amount_pattern(rules.Settings()))).alias("amounts"))
+    got = {r.k: r for r in found.collect()}
+    assert got["domain"].mails == 1 and got["mails"].mails == many and got["sentences"].sentences == many and got["run"].mails == 0
+    hits = {r.k for r in phrases.match_phrases(df, "k", "t", dims.lexicon(spark)).select("k").distinct().collect()}
+    assert hits == {"phrases"}
+    scored = scoring.score_documents(df, "k", "t", dims.lexicon(spark), lambda t: F.lit(0.5)).collect()
+    assert {r.reject for r in scored} == {"too_long"}
+    assert time.time() - began < 120
