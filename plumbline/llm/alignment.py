@@ -6,7 +6,6 @@ import hashlib
 import os
 import re
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -23,7 +22,7 @@ from plumbline.llm.common import arrow_schema, texts, written
 from plumbline.llm.token_counts import _packed, _unpacked
 
 #: Characters of text from which a block of documents is closed; stretches cached in each of two generations, and the longest of them; stretches of one call to a library.
-BLOCK_CHARS, CACHED, CACHED_CHARS, JOINED = 8_000_000, 250_000, 100, 256
+BLOCK_CHARS, CACHED, CACHED_CHARS, JOINED = 8_000_000, 250_000, 100, 1024
 #: A pair of ids is ``a << SHIFT | b``.
 SHIFT = 32
 # A blank between two characters that aren't white space: both tokenizers end a token before it, whatever the rest of the text.
@@ -158,12 +157,12 @@ class Aligner:
         for at in range(0, len(plain), JOINED):
             some = plain[at : at + JOINED]
             joined = " ".join(some)
-            a = _split(self.a.encode(" " + joined, add_special_tokens=False).ids, self.a_first)
+            a = _split(self.a.encode_batch_fast([" " + joined], add_special_tokens=False)[0].ids, self.a_first)
             b = _split(self.b.encode(joined), self.b_first)
             if len(a) == len(b) == len(some):
                 ids.update(zip(some, zip(a, b)))
         for s in missing:
-            a, b = ids.get(s) or (self.a.encode(" " + s, add_special_tokens=False).ids, self.b.encode(s))
+            a, b = ids.get(s) or (self.a.encode_batch_fast([" " + s], add_special_tokens=False)[0].ids, self.b.encode(s))
             out[s] = self.aligned(s, a, b)
             if len(s) <= CACHED_CHARS:
                 self.new[s] = out[s]
@@ -204,19 +203,16 @@ class _Block:
 
     def add(self, ids: list[int | None], texts: list[str]) -> None:
         orders = [self.tools.stretches(t) if t else [] for t in texts]
-        found = [Counter(order) for order in orders]
-        wrong = self._place(found)
-        for i in [i for i, f in enumerate(found) if wrong and not wrong.isdisjoint(f)]:  # a stretch's bytes differ: the text as a whole decides
-            orders[i], found[i] = [texts[i]], Counter([texts[i]])
-            if self._place([found[i]]):
-                orders[i], found[i] = [], Counter()
-        for doc_id, text, order, times in zip(ids, texts, orders, found):
-            self._add(doc_id, order, times)
+        wrong = self._place(set().union(*orders))
+        for i in [i for i, order in enumerate(orders) if wrong and not wrong.isdisjoint(order)]:  # a stretch's bytes differ: the text as a whole decides
+            orders[i] = [] if self._place({texts[i]}) else [texts[i]]
+        for doc_id, text, order in zip(ids, texts, orders):
+            self._add(doc_id, order)
             self.chars += len(text)
 
-    def _place(self, found: list[Counter]) -> set[str]:
+    def _place(self, found: set[str]) -> set[str]:
         """Gives places to stretches that have none yet; returns those whose bytes differ."""
-        entries = self.tools.entries({s for f in found for s in f if s not in self.place})
+        entries = self.tools.entries({s for s in found if s not in self.place})
         numbers, wrong = [], set()
         for s, entry in entries.items():
             if entry is None:
@@ -230,20 +226,18 @@ class _Block:
         self.numbers = np.concatenate([self.numbers, np.array(numbers, np.int64).reshape(-1, 4)])
         return wrong
 
-    def _add(self, doc_id: int | None, order: list[str], found: Counter) -> None:
-        at = np.fromiter(map(self.place.__getitem__, found), np.int64, len(found))
-        times = np.fromiter(found.values(), np.int64, len(found))
+    def _add(self, doc_id: int | None, order: list[str]) -> None:
         sha = ""
-        if order:
+        places = list(map(self.place.__getitem__, order))
+        if places:
             hashed = hashlib.sha256()
-            for i in range(0, len(order), 10_000):
-                places = map(self.place.__getitem__, order[i : i + 10_000])
-                hashed.update((";" * bool(i) + ";".join(map(self.said.__getitem__, places))).encode())
+            for i in range(0, len(places), 10_000):
+                hashed.update((";" * bool(i) + ";".join(map(self.said.__getitem__, places[i : i + 10_000]))).encode())
             sha = hashed.hexdigest()
+        at, times = np.unique(np.array(places, np.int64), return_counts=True)
         self.docs.append((doc_id, *(times @ self.numbers[at]).tolist(), sha, len(at)))
-        rank = np.argsort(at)
-        self.at.append(np.diff(at[rank], prepend=0))
-        self.times.append(times[rank])
+        self.at.append(np.diff(at, prepend=0))
+        self.times.append(times)
 
     def row(self, number: int) -> list:
         widths = self.numbers[:, 3]
