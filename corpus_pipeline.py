@@ -6,9 +6,6 @@ before it kept. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +17,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject; it learns from the labelled ones that aren't held out."""
+    """Documents that the classifier doesn't reject; it learns from the labelled ones that aren't held out.
+
+    Null and empty texts are scored as empty ones; ids may be null or repeat (such rows are no labelled ones); an empty table stays empty.
+    """
     model = quality.fit(docs, session(spark).read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.select(*COLUMNS).where(quality.score(model, F.col("text"), spark) >= 0.5)
 
@@ -49,15 +49,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A null text stays null and keeps its ``n_chars``; other columns are as they were, null or not.
     """
-
-    known = spark.sparkContext.broadcast(secrets.dictionary(secrets.frequent_words(session_docs(spark, docs))))
-
-    @F.pandas_udf("string")
-    def redacted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield pd.Series([t if t is None else secrets.redact(t, secrets.find_secrets(t, known.value)) for t in part], dtype=object)
-
-    clean = session_docs(spark, docs).select("doc_id", redacted("text").alias("text"), "lang", "source", "n_chars")
+    docs = session_docs(spark, docs).withColumn("had", F.col("text").isNotNull())
+    clean = secrets.secret_spans(docs, redacted=True, keep=("lang", "source", "n_chars", "had"))
+    clean = clean.select("doc_id", F.when(F.col("had"), F.col("text")).alias("text"), "lang", "source", "n_chars")
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 

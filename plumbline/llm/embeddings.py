@@ -14,6 +14,8 @@ from plumbline.llm.topk import finite
 
 #: Vectors from which a cell is split, pivots of one split at most, and points from which a node is a leaf.
 CELL, FAN, LEAF = 2048, 16, 24
+#: Points of a large cell that one group gets, on average.
+LOT = 4096
 #: Rounds without a change of the large cells after which splitting gives up, loudly.
 STUCK = 8
 #: Rounding that bounds allow for.
@@ -98,46 +100,45 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 def cells(points: DataFrame) -> DataFrame:
     """Adds ``cell`` to ``(uid, root, v, n_rows)``: a path of nested cells of the nearest of some pivots, until none is large.
 
-    Pivots of a round are joined to the points of their cell; their side is dealt anew, so that Spark can split the points of a
-    large cell among tasks. Points that are as near to several pivots fall to one of them by hash, so that even points of one
-    direction come apart.
+    ``root`` holds no dot. A large cell's points are dealt to lots of bounded size, by hash; a lot gets its cell's pivots once. Points that are as near
+    to several pivots fall to one of them by hash, so that even points of one direction come apart. Points of small cells aren't written again.
     """
-    points = written(points.withColumn("cell", F.col("root")), "cells")
     columns = ["uid", "root", "v", "n_rows", "cell"]
-    largest, stuck, depth = None, 0, 0
+    points = points.withColumn("cell", F.col("root").cast("string")).select(*columns)
+    points = written(points, "cells")
+    done, largest, stuck, depth = [], None, 0, 0
     while True:
         sizes = points.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
         now = tuple(sizes.agg(F.max("n"), F.count("*")).first())
         if not now[1]:
-            return points
+            return reduce(DataFrame.unionByName, done, points)
         stuck = stuck + 1 if largest == now else 0
         if stuck >= STUCK:
             raise RuntimeError(f"{now[1]} cells of up to {now[0]} vectors don't come apart")
         largest = now
+        sized = written(points.hint("merge").join(sizes.hint("rebalance").hint("merge"), "cell", "left").select(*columns, "n"), "sized")
+        discard(points)
+        done.append(sized.where("n IS NULL").select(*columns))
+        lots = F.ceil(F.col("n") / LOT)
+        large = sized.where("n IS NOT NULL").withColumn("lot", F.pmod(F.xxhash64("uid", F.lit(~depth)), lots))
         share = F.least(F.lit(FAN), F.ceil(F.col("n") * 2 / CELL)) / F.col("n")
         drawn = F.pmod(F.xxhash64("uid", F.lit(depth)), F.lit(1 << 30)) < share * (1 << 30)
-        pivots = points.hint("merge").join(sizes.hint("rebalance").hint("merge"), "cell").where(drawn).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("uid", "v"))).alias("pivots"))
-
-        def nearest(source, depth=depth):
-            for batch in source:
-                batch["cell"] = batch["cell"] + pd.Series("", index=batch.index)
-                for _, rows in batch[batch["pivots"].notna()].groupby("cell", sort=False):
-                    held = rows["pivots"].iloc[0]
-                    if len(held) < 2:
-                        continue
-                    m = _matrix(pd.Series([p["v"] for p in held]))
-                    close = (_matrix(rows["v"]) / np.sqrt((_matrix(rows["v"]) ** 2).sum(1))[:, None]) @ (m / np.sqrt((m * m).sum(1))[:, None]).T
-                    tied = close >= close.max(1)[:, None] - SLACK
-                    turn = (rows["uid"].to_numpy(np.int64) * 0x9E3779B1 >> 7) + depth
-                    pick = turn % tied.sum(1)
-                    at = (np.cumsum(tied, 1) > pick[:, None]).argmax(1)
-                    batch.loc[rows.index, "cell"] = rows["cell"] + pd.Series([f".{i}" for i in at], index=rows.index)
-                yield batch[columns]
-
-        last = points
-        joined = last.hint("merge").join(pivots.hint("rebalance").hint("merge"), "cell", "left")
-        points = written(joined.select(*columns, "pivots").mapInPandas(nearest, last.select(*columns).schema), "cells")
-        discard(last)
+        pivots = large.where(drawn).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("uid", "v"))).alias("pivots"), F.first(lots).alias("lots"))
+        pivots = pivots.select(F.col("cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "pivots")
+
+        def nearest(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:  # noqa: B023  run before the next round
+            chosen = held["pivots"].iloc[0] if len(held) else []
+            if len(chosen) >= 2 and len(rows):
+                m, own = _matrix(pd.Series([p["v"] for p in chosen])), _matrix(rows["v"])
+                close = (own / np.sqrt((own * own).sum(1))[:, None]) @ (m / np.sqrt((m * m).sum(1))[:, None]).T
+                tied = close >= close.max(1)[:, None] - SLACK
+                pick = ((rows["uid"].to_numpy(np.int64) * 0x9E3779B1 >> 7) + depth) % tied.sum(1)
+                at = (np.cumsum(tied, 1) > pick[:, None]).argmax(1)
+                rows = rows.assign(cell=[f"{c}.{i}" for c, i in zip(rows["cell"], at)])
+            return rows[columns]
+
+        split = large.select(*(F.col(c).alias(c) for c in (*columns, "lot"))).groupBy("cell", "lot").cogroup(pivots.groupBy("cell", "lot"))
+        points = written(split.applyInPandas(nearest, sized.select(*columns).schema), "cells")
         depth += 1
 
 
@@ -226,7 +227,7 @@ def links(points: DataFrame, threshold: float) -> DataFrame:
 def embedding_groups(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row; rows link where labels are equal and cosine >= threshold.
 
-    Equal vectors of one label are one point that counts for all its rows. Points of one label (and length) fall
+    Equal vectors of one label are one point that counts for all its rows. Labels (with lengths) are numbered. Points of one number fall
     into nested cells, split at pivots until none is large, with a centre and a covering radius each. The nested cells are descended
     pair by pair, level by level, as tables; only cells that the triangle inequality can't rule out on the way meet, in groups of
     bounded size, where two cover trees with halving radii are traversed together and what is left is compared exactly. A group sends back counts and one link per point, never
@@ -241,8 +242,9 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.93, id_col: str =
     valid = F.col("label").isNotNull() & finite(F.col("v")) & F.coalesce(F.exists("v", lambda c: c != 0), F.lit(False))
     rows = rows.withColumn("valid", valid)
     classes = rows.where("valid").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n_rows"))
-    classes = written(classes.withColumn("uid", F.monotonically_increasing_id()), "classes")
-    points = cells(classes.select("uid", F.concat_ws("/", F.col("label").cast("string"), F.size("v")).alias("root"), "v", "n_rows"))
+    classes = written(classes.withColumns({"uid": F.monotonically_increasing_id(), "length": F.size("v")}), "classes")
+    roots = written(classes.select(F.col("label").alias("label"), F.col("length").alias("length")).distinct().withColumn("root", F.monotonically_increasing_id()), "roots")
+    points = cells(classes.hint("merge").join(roots.hint("rebalance").hint("merge"), ["label", "length"]).select("uid", "root", "v", "n_rows"))
     found = written(links(points, threshold), "links")
     counts = found.groupBy("uid").agg(F.sum("n").alias("n"))
     reached = components(found.select(F.col("uid").alias("u"), F.col("other").alias("v")), "veclinks")

@@ -102,6 +102,22 @@ def test_embeddings_of_one_direction_come_apart(spark, monkeypatch):
     assert all(got[i] == (59, 1) for i in range(1, 61)) and got[100] == (0, 100)
 
 
+@pytest.mark.parametrize("kind, labels", [("string", ["a.b", "a.c", "a", "", "0.1.2"]), ("double", [0.5, 0.25, 0.125, -1.5, 1e300]), ("int", [1, 2, 3, 12, 123])])
+def test_labels_of_any_kind_stay_apart(spark, monkeypatch, kind, labels):
+    """Equal and near vectors under labels that hold dots, and under a null label."""
+    monkeypatch.setattr(embeddings, "CELL", 6)
+    monkeypatch.setattr(embeddings, "LOT", 4)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(3, 4))
+    rows = [(i, [float(x) for x in base[rng.integers(3)] + rng.integers(0, 2) * rng.normal(0, 0.05, 4)], [*labels, None][rng.integers(6)]) for i in range(150)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_groups(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows}
+    linked = [(i, j) for i, _, a in rows for j, _, b in rows if i < j and a is not None and a == b and unit[i] @ unit[j] >= 0.93]
+    root = groups_of(150, linked)
+    n = Counter(x for pair in linked for x in pair)
+    assert got == {i: (n[i], root[i]) for i in range(150)}
+
+
 def test_nested_cells_cover_their_points(spark, monkeypatch):
     """Radii cover all points below a node, and the descent drops no pair of cells that holds a link."""
     monkeypatch.setattr(embeddings, "CELL", 6)

@@ -1,6 +1,7 @@
 """Secrets, licences, URL rules, token counts and packing against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -113,10 +114,28 @@ def test_secrets_of_long_texts_take_linear_time():
     assert time.time() - took < 8
 
 
-def test_frequent_words(spark):
+def test_word_ranks(spark):
     rows = spark.createDataFrame([("the cat sat; pwd: zzzzqqqq zzzzqqqq",), ("The cat. password=\"zzzzqqqq\" pwd: zzzzqqqq",), (None,), ("",)], "text string")
-    assert secrets.frequent_words(rows, 4) == ["cat", "the", "sat", "zzzzqqqq"]
-    assert secrets.frequent_words(rows, 3) == secrets.frequent_words(rows, 2) == ["cat", "the"] and secrets.frequent_words(rows, 1) == []
+    n = len(secrets.PASSWORDS)
+    got = {r.word: round(10**r.cost) - n for r in secrets.word_ranks(rows).collect()}
+    assert got == {"cat": 1, "the": 1, "sat": 3, "zzzzqqqq": 3}
+
+
+def test_every_word_of_a_large_dictionary_counts(spark):
+    """More than 100,000 words; values of rare and of long words, in letters and digits, against one dictionary of all words."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choices("bcdfghklmnprstvw", k=n))
+    words = list({letters(rng.randint(6, 12)) for _ in range(120_000)}) + ["k" + letters(24)]
+    texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)] + ["often " * 50]
+    values = [rng.choice(words) + rng.choice(["", "1", "2019", "often", "Often"]) for _ in range(60)] + [words[-1], words[-1].replace("s", "5"), letters(14), letters(30), "often" * 4, words[5] + words[9] + words[77]]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(10_000 + i, f"pwd: {v} and pwd: {v}") for i, v in enumerate(values)] + [(None, f"pwd: {values[0]}"), (7, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    known = {r.word: r.cost for r in secrets.word_ranks(df).collect()} | secrets._OWN
+    assert len(known) > 110_000
+    want = sorted((str(i), secrets.spelled(secrets.find_secrets(t or "", known))) for i, t in docs)
+    got = sorted((str(r.doc_id), r.spans) for r in secrets.secret_digest(df).collect())
+    assert got == want and len({x for _, x in want}) > 2
+    assert any(secrets.verdict(v) is None for v in values)
 
 
 def test_redaction():
