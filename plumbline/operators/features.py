@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import Estimator, Model
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +55,50 @@ def tfidf(df: DataFrame, key: str, text: str, ngrams: int = 2, min_df: int = MIN
     return raw.hint("merge").join(norms.hint("merge"), key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+class TermWeights(Estimator):
+    """Learns the vocabulary and the weights of ``tfidf`` from a text column; ``fit`` gives a ``TermWeightsModel``."""
+
+    def __init__(self, text: str, ngrams: int = 2, min_df: int = MIN_DF, max_terms: int = MAX_TERMS):
+        super().__init__()
+        self.text, self.ngrams, self.min_df, self.max_terms = text, ngrams, min_df, max_terms
+
+    def _fit(self, dataset: DataFrame) -> TermWeightsModel:
+        rows = dataset.select(F.monotonically_increasing_id().alias("_row"), F.col(self.text))
+        known = vocabulary(term_counts(rows, "_row", self.text, self.ngrams), "_row", self.min_df, self.max_terms).collect()  # at most max_terms rows
+        n = dataset.count()
+        known.sort(key=lambda r: (-r["cf"], r["term"]))
+        return TermWeightsModel(self.text, self.ngrams, [r["term"] for r in known], [math.log((1 + n) / (1 + r["df"])) + 1 for r in known])
+
+
+class TermWeightsModel(Model):
+    """Adds ``_i array<int>`` and ``_v array<double>``: places in the vocabulary and weights of each text's terms, as rows of ``tfidf`` have them.
+
+    Terms are counted in the JVM; a worker gets places and counts, not texts. Null and empty texts have no terms.
+    """
+
+    def __init__(self, text: str, ngrams: int, terms: list[str], idf: list[float]):
+        super().__init__()
+        self.text, self.ngrams, self.terms, self.idf = text, ngrams, terms, idf
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        counted = dataset.withColumn("_terms", tokens(F.col(self.text), self.ngrams))
+        counted = CountVectorizerModel.from_vocabulary(self.terms or [""], "_terms", "_tf").transform(counted)
+        scale = dataset.sparkSession.sparkContext.broadcast(np.array(self.idf or [0.0]))
+
+        @F.pandas_udf("array<double>")
+        def weights(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for places, counts in parts:
+                out = []
+                for i, tf in zip(places, counts):
+                    w = (1 + np.log(tf)) * scale.value[i] if len(i) else np.zeros(0)
+                    norm = math.sqrt(float(w @ w))
+                    out.append(w / norm if norm else w)
+                yield pd.Series(out, index=places.index, dtype=object)
+
+        held = F.unwrap_udt(F.col("_tf"))
+        return counted.withColumns({"_i": held["indices"], "_v": weights(held["indices"], held["values"])}).drop("_terms", "_tf")
+
+
 def term_audit(df: DataFrame, key: str, text: str, labels: DataFrame, y: str, terms: list[str]) -> DataFrame:
     """``term, docs, rate``: how many labelled documents hold a term, and their share of positives."""
     low = df.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))

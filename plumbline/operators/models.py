@@ -9,18 +9,18 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
+import pyarrow as pa
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.operators.corpus import class_weights
 from plumbline.operators.dims import small
 from plumbline.operators.evalset import not_for_training
-from plumbline.operators.features import MAX_TERMS, MIN_DF, tokens
+from plumbline.operators.features import MAX_TERMS, TermWeights, TermWeightsModel
 from plumbline.operators.metrics import evaluate_models, platt_apply, platt_fit, to_margin
 from plumbline.operators.prefix import grouped_rank
 from plumbline.sources.readers import discard, written
@@ -28,6 +28,10 @@ from plumbline.sources.readers import discard, written
 #: The baselines, the terms and rounds of boosting, neighbours of a synthetic row, folds of a calibration, and the gate.
 NAMES = ("logistic", "svm", "boosting", "oversampled")
 BOOSTING_TERMS, ROUNDS, NEIGHBOURS, FOLDS, GATE = 3_000, 300, 5, 3, 0.80
+#: What a row's loss costs against the coefficients, by model.
+LOGISTIC_COST, SVM_COST = 1.0, 0.5
+#: Parts of a gradient that are added up by tasks of their own.
+SLICES = 16
 #: Rows of a block where nearest rows are looked for.
 BLOCK = 256
 
@@ -39,26 +43,45 @@ class Scorer(Protocol):
 
 
 @dataclass
-class FittedScorer:
-    """A fitted pipeline on the terms of a text column."""
+class LinearScorer:
+    """Coefficients on the weighted terms of a text column; a margin is ``a`` times their sum, plus ``b``."""
 
-    model: PipelineModel
-    text: str
-    ngrams: int = 2
+    terms: TermWeightsModel
+    coefficients: np.ndarray
+    intercept: float
     a: float = 1.0
     b: float = 0.0
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(df.withColumn("_terms", tokens(F.col(self.text), self.ngrams)))
-        out = out.withColumn("margin", self.a * vector_to_array("rawPrediction")[1] + self.b)
-        return out.withColumn("p", platt_apply(F.col("margin"), 1.0, 0.0)).drop("_terms", "_tf", "_idf", "_x", "rawPrediction", "probability", "prediction")
+        known, intercept = df.sparkSession.sparkContext.broadcast(self.coefficients), self.intercept
+
+        @F.pandas_udf("double")
+        def raw(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for places, values in parts:
+                yield pd.Series([float(known.value[i] @ v) + intercept if len(i) else intercept for i, v in zip(places, values)], index=places.index, dtype=float)
+
+        out = self.terms.transform(df).withColumn("margin", self.a * raw("_i", "_v") + self.b)
+        return out.withColumn("p", platt_apply(F.col("margin"), 1.0, 0.0)).drop("_i", "_v")
+
+
+@dataclass
+class TreeScorer:
+    """Boosted trees on the weighted terms of a text column; Spark's margins are half logits."""
+
+    terms: TermWeightsModel
+    model: GBTClassificationModel
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.model.transform(with_vectors(self.terms.transform(df), len(self.terms.terms)))
+        out = out.withColumn("margin", 2.0 * vector_to_array("rawPrediction")[1])
+        return out.withColumn("p", platt_apply(F.col("margin"), 1.0, 0.0)).drop("_i", "_v", "_x", "rawPrediction", "probability", "prediction")
 
 
 @dataclass
 class AveragedScorer:
     """The mean probability of several scorers, each of which was calibrated on rows of its own."""
 
-    parts: list[FittedScorer]
+    parts: list[LinearScorer]
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = df
@@ -96,63 +119,162 @@ def weighted(df: DataFrame, label: str) -> DataFrame:
     return df.join(small(per, 1000), label)  # a row per class
 
 
-def vectors(terms: int, min_df: int = MIN_DF) -> list:
-    return [CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=min_df, vocabSize=terms), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_x")]
+def with_vectors(rows: DataFrame, width: int) -> DataFrame:
+    """``_i`` and ``_v`` as the vector ``_x``, which Spark's trees take: Arrow batches pass through as they are."""
+    held = rows.withColumn("_x", F.struct(F.lit(0).cast("byte").alias("type"), F.lit(max(1, width)).alias("size"), F.col("_i").alias("indices"), F.col("_v").alias("values")))
+    schema = T.StructType([T.StructField(f.name, VectorUDT() if f.name == "_x" else f.dataType) for f in held.schema])
+    return held.mapInArrow(lambda batches: batches, schema)
+
 
+def prepared(train: DataFrame, label: str, terms: TermWeightsModel) -> DataFrame:
+    """Rows with their weighted terms and class weights, as a written table: fits pass over them many times."""
+    rows = terms.transform(weighted(not_for_training(train).select(terms.text, label), label))
+    return written(rows.select(terms.text, label, "_w", "_i", "_v"), "terms")
 
-def prepared(train: DataFrame, text: str, label: str, ngrams: int) -> DataFrame:
-    """Rows with their terms and weights, as a written table: fits pass over them many times."""
-    return written(weighted(not_for_training(train).select(text, label).withColumn("_terms", tokens(F.col(text), ngrams)), label), "terms")
 
+def term_weights(train: DataFrame, text: str, terms: int = MAX_TERMS, ngrams: int = 2) -> TermWeightsModel:
+    return TermWeights(text, ngrams, max_terms=terms).fit(not_for_training(train))
 
-def regression(label: str, n: int, weight: bool = True) -> LogisticRegression:
-    out = LogisticRegression(featuresCol="_x", labelCol=label, regParam=1 / max(1, n), standardization=False, maxIter=100)
-    return out.setWeightCol("_w") if weight else out
 
+#: Loss and its slope for margins ``m``, signs ``z`` and weights ``w``.
+LOSSES: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]] = {
+    "logistic": lambda m, z, w: (w * np.logaddexp(0, -z * m), -w * z * np.exp(-np.logaddexp(0, z * m))),
+    "squared_hinge": lambda m, z, w: (w * np.maximum(0, 1 - z * m) ** 2, -2 * w * z * np.maximum(0, 1 - z * m)),
+}
 
-def fit_logistic(train: DataFrame, text: str, label: str, terms: int = MAX_TERMS, ngrams: int = 2) -> FittedScorer:
-    """Balanced logistic regression on words and pairs of words; margins are logits already."""
-    rows = prepared(train, text, label, ngrams)
-    model = Pipeline(stages=[*vectors(terms), regression(label, rows.count())]).fit(rows)
+
+def sums_of(rows: DataFrame, label: str, loss: str, x: np.ndarray) -> tuple[float, np.ndarray]:
+    """The loss of ``rows(label, _w, _i, _v)`` and its gradient at coefficients ``x``, whose last is the intercept.
+
+    Each task sums its rows, and sends its gradient on in SLICES; a slice's parts meet in one task, which adds them up as they come. The driver
+    gets one gradient, whatever the number of tasks.
+    """
+    known = rows.sparkSession.sparkContext.broadcast(x)
+    width, size = len(x), -(-len(x) // SLICES)
+    struct = T.StructType([T.StructField("slice", T.IntegerType()), T.StructField("loss", T.DoubleType()), T.StructField("part", T.BinaryType())])
+
+    def out(total: float, parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([total if s == 0 else 0.0 for s in parts], pa.float64()), pa.array([p.tobytes() for p in parts.values()], pa.binary())], ["slice", "loss", "part"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, gradient, x = 0.0, np.zeros(width), known.value
+        for batch in batches:
+            y, w = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (0, 1))
+            places, values = batch.column(2), batch.column(3)
+            counts = np.diff(places.offsets.to_numpy())
+            first, last = places.offsets[0].as_py(), places.offsets[-1].as_py()
+            i, v = places.values.to_numpy()[first:last], values.values.to_numpy()[values.offsets[0].as_py() : values.offsets[-1].as_py()]
+            row = np.repeat(np.arange(len(y)), counts)
+            lost, slope = LOSSES[loss](np.bincount(row, v * x[i], len(y)) + x[-1], np.where(y > 0, 1.0, -1.0), w)
+            total += float(lost.sum())
+            gradient[:-1] += np.bincount(i, v * slope[row], width - 1)
+            gradient[-1] += slope.sum()
+        yield out(total, {s: gradient[s * size : (s + 1) * size] for s in range(SLICES) if s * size < width})
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, parts = 0.0, {}
+        for batch in batches:
+            for s, lost, part in zip(*(c.to_pylist() for c in batch.columns)):
+                total += lost
+                parts[s] = parts.get(s, 0.0) + np.frombuffer(part)
+        if parts:
+            yield out(total, parts)
+
+    held = rows.select(F.col(label).cast("int"), "_w", "_i", "_v").mapInArrow(partial, struct).repartition(min(SLICES, width), "slice").mapInArrow(added, struct).collect()
+    known.unpersist()
+    gradient = np.zeros(width)
+    for r in held:
+        gradient[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["part"])
+    return sum(r["loss"] for r in held), gradient
+
+
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, most: int = 100, exact: float = 1e-4, memory: int = 10) -> np.ndarray:
+    """Limited-memory BFGS with halved steps, until the gradient is ``exact`` times what it was, or ``most`` steps are done."""
+    value, g = f(x)
+    start, steps = float(np.linalg.norm(g)), []
+    for _ in range(most):
+        if np.linalg.norm(g) <= exact * start:
+            break
+        q, kept = g.copy(), []
+        for s, y in reversed(steps):
+            a = (s @ q) / (s @ y)
+            q -= a * y
+            kept.append(a)
+        if steps:
+            q *= (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1])
+        else:
+            q /= max(1.0, start)
+        for (s, y), a in zip(steps, reversed(kept)):
+            q += s * (a - (y @ q) / (s @ y))
+        step = 1.0
+        while True:
+            new = x - step * q
+            new_value, new_g = f(new)
+            if new_value <= value - 1e-4 * step * (g @ q) or step < 1e-8:
+                break
+            step /= 2
+        s, y = new - x, new_g - g
+        if s @ y > 1e-12 * (y @ y):
+            steps = [*steps, (s, y)][-memory:]
+        x, value, g = new, new_value, new_g
+    return x
+
+
+def linear(rows: DataFrame, label: str, terms: TermWeightsModel, loss: str, cost: float) -> LinearScorer:
+    """Least half the square of the coefficients (not the intercept) plus ``cost`` times the rows' loss."""
+    width = max(1, len(terms.terms))
+
+    def f(x: np.ndarray) -> tuple[float, np.ndarray]:
+        value, gradient = sums_of(rows, label, loss, x)
+        kept = np.append(x[:-1], 0.0)
+        return cost * value + float(kept @ kept) / 2, cost * gradient + kept
+
+    x = minimise(f, np.zeros(width + 1))
+    return LinearScorer(terms, x[:-1], float(x[-1]))
+
+
+def fit_logistic(train: DataFrame, text: str, label: str, terms: int = MAX_TERMS, ngrams: int = 2, known: TermWeightsModel | None = None) -> LinearScorer:
+    """Balanced logistic regression on words and pairs of words, weighted as in ``tfidf``; margins are logits already."""
+    known = known or term_weights(train, text, terms, ngrams)
+    rows = prepared(train, label, known)
+    model = linear(rows, label, known, "logistic", LOGISTIC_COST)
     discard(rows)
-    return FittedScorer(model, text, ngrams)
+    return model
 
 
-def fit_svm(train: DataFrame, text: str, label: str, terms: int = MAX_TERMS, ngrams: int = 2, folds: int = FOLDS) -> AveragedScorer:
-    """Balanced linear SVM: for each fold one fitted on the others and calibrated on the fold; their probabilities are averaged."""
-    rows = prepared(train, text, label, ngrams)
-    svm = LinearSVC(featuresCol="_x", labelCol=label, weightCol="_w", regParam=1e-3, maxIter=30, standardization=False)
+def fit_svm(train: DataFrame, text: str, label: str, terms: int = MAX_TERMS, ngrams: int = 2, folds: int = FOLDS, known: TermWeightsModel | None = None) -> AveragedScorer:
+    """Balanced linear SVM with squared hinge loss: for each fold one fitted on the others and calibrated on the fold; their probabilities are averaged."""
+    known = known or term_weights(train, text, terms, ngrams)
+    rows = prepared(train, label, known)
     fold, parts = F.pmod(F.xxhash64(text), F.lit(folds)), []
     for i in range(folds):
-        part = FittedScorer(Pipeline(stages=[*vectors(terms), svm]).fit(rows.where(fold != i)), text, ngrams)
-        part.a, part.b = platt_fit(part.transform(rows.where(fold == i).drop("_terms", "_w")), "margin", label)
+        part = linear(rows.where(fold != i), label, known, "squared_hinge", SVM_COST)
+        part.a, part.b = platt_fit(part.transform(rows.where(fold == i).select(text, label)), "margin", label)
         parts.append(part)
     discard(rows)
     return AveragedScorer(parts)
 
 
-def fit_boosting(train: DataFrame, text: str, label: str, terms: int = BOOSTING_TERMS, rounds: int = ROUNDS) -> FittedScorer:
-    """Balanced boosted trees on single words; Spark's margins are half logits."""
-    rows = prepared(train, text, label, 1)
+def fit_boosting(train: DataFrame, text: str, label: str, terms: int = BOOSTING_TERMS, rounds: int = ROUNDS, known: TermWeightsModel | None = None) -> TreeScorer:
+    """Balanced boosted trees on single words, weighted as in ``tfidf``: Spark's, which bin features and sum histograms by tasks."""
+    known = known or term_weights(train, text, terms, 1)
+    rows = prepared(train, label, known)
     trees = GBTClassifier(featuresCol="_x", labelCol=label, weightCol="_w", maxIter=rounds, stepSize=0.1, maxDepth=3, seed=42)
-    model = Pipeline(stages=[*vectors(terms), trees]).fit(rows)
+    model = trees.fit(with_vectors(rows, len(known.terms)))
     discard(rows)
-    return FittedScorer(model, text, 1, 2.0)
+    return TreeScorer(known, model)
 
 
-def fit_oversampled(train: DataFrame, text: str, label: str, terms: int = MAX_TERMS, ngrams: int = 2, k: int = NEIGHBOURS) -> FittedScorer:
+def fit_oversampled(train: DataFrame, text: str, label: str, terms: int = MAX_TERMS, ngrams: int = 2, k: int = NEIGHBOURS, known: TermWeightsModel | None = None) -> LinearScorer:
     """Logistic regression on rows to which synthetic ones of the smaller class were added until classes are equal."""
-    rows = prepared(train, text, label, ngrams)
-    made = Pipeline(stages=vectors(terms)).fit(rows)
-    parts = F.unwrap_udt(F.col("_x"))
-    keyed = written(made.transform(rows).select(F.md5(F.coalesce(text, F.lit(""))).alias("_key"), F.col(label).cast("int").alias(label), parts["size"].alias("_n"), parts["indices"].alias("_i"), parts["values"].alias("_v"), "_x"), "vectors")
-    extra = written(synthetic(keyed.select("_key", "_i", "_v", label), "_key", label, k), "synthetic")
-    width = len(made.stages[0].vocabulary)
-    vector = F.udf(lambda i, v: SparseVector(width, dict(zip(i, v))), VectorUDT())
-    both = keyed.select("_x", F.col(label)).unionByName(extra.select(vector("_i", "_v").alias("_x"), F.col(label)))
-    model = regression(label, both.count(), weight=False).fit(both)
-    discard(rows, keyed, extra)
-    return FittedScorer(PipelineModel(stages=[*made.stages, model]), text, ngrams)
+    known = known or term_weights(train, text, terms, ngrams)
+    rows = prepared(train, label, known)
+    keyed = rows.select(F.md5(F.coalesce(text, F.lit(""))).alias("_key"), F.col(label).cast("int").alias(label), "_i", "_v")
+    extra = written(synthetic(keyed, "_key", label, k), "synthetic")
+    both = written(keyed.unionByName(extra).select(label, F.lit(1.0).alias("_w"), "_i", "_v"), "both")
+    model = linear(both, label, known, "logistic", LOGISTIC_COST)
+    discard(rows, extra, both)
+    return model
 
 
 def nearest(rows: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
@@ -233,7 +355,9 @@ FITS: dict[str, Callable] = {"logistic": fit_logistic, "svm": fit_svm, "boosting
 
 
 def fit_baselines(train: DataFrame, text: str, label: str, names: tuple[str, ...] = NAMES) -> dict[str, Scorer]:
-    return {n: FITS[n](train, text, label) for n in names}
+    """Each baseline by name; those on the same terms share one vocabulary."""
+    shared = term_weights(train, text) if set(names) - {"boosting"} else None
+    return {n: FITS[n](train, text, label, **({} if n == "boosting" else {"known": shared})) for n in names}
 
 
 def compare(scorers: dict[str, Scorer], val: DataFrame, label: str, gate: float = GATE) -> DataFrame:

@@ -623,6 +623,15 @@ def f3_tfidf(spark, d):
     return features.tfidf(docs(spark, d), "doc_id", "text").select("doc_id", "term", r6("weight").alias("weight"))
 
 
+@query(SQL["f3_tfidf"])
+def f4_term_weights(spark, d):
+    """What the fits are given: the weights of ``f3_tfidf``, by the fitted model's own state."""
+    model = features.TermWeights("text").fit(docs(spark, d))
+    rows = model.transform(docs(spark, d)).select("doc_id", F.explode(F.arrays_zip("_i", "_v")).alias("x"))
+    terms = spark.createDataFrame(list(enumerate(model.terms)), "i int, term string")  # MAX_TERMS rows at most
+    return rows.join(F.broadcast(terms), rows["x._i"] == terms["i"]).select("doc_id", "term", r6("x._v").alias("weight"))
+
+
 @query("WITH p AS (SELECT quality AS label, count(*) AS n FROM labels GROUP BY quality) SELECT label, n, round((SELECT sum(n) FROM p) / (2 * n)::DOUBLE, 6) AS balanced FROM p")
 def f9_class_weights(spark, d):
     return corpus.class_weights(read(spark, d, "labels"), "quality").select("label", "n", r6("balanced").alias("balanced"))
@@ -656,9 +665,9 @@ for _name, _model in (("f4_logistic", "logistic"), ("f5_svm", "svm"), ("f6_boost
 
 @query()
 def f10_comparison(spark, d):
-    """The linear baselines side by side, with the best and the gate; boosting, which takes minutes, is f6."""
+    """The four baselines at their production size side by side, with the best and the gate."""
     train, test = _model_rows(spark, d)
-    return models.compare(models.fit_baselines(train, "text", "y", ("logistic", "svm", "oversampled")), test, "y")
+    return models.compare(models.fit_baselines(train, "text", "y"), test, "y")
 
 
 @query()
@@ -953,7 +962,7 @@ def c6_summary(spark, d):
 def e4_top_terms(spark, d):
     train, _ = _model_rows(spark, d)
     scorer = models.fit_logistic(train, "text", "y")
-    return explain.top_terms(scorer.model.stages[0].vocabulary, scorer.model.stages[-1].coefficients.toArray().tolist(), spark, 20)
+    return explain.top_terms(scorer.terms.terms, scorer.coefficients.tolist(), spark, 20)
 
 
 @query(LABELLED + """, m AS (SELECT 'length' AS model, p AS score, y FROM l UNION ALL SELECT 'constant', 0.5::DOUBLE, y FROM l),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.operators import corpus, evalset, metrics, models, prefix
+from plumbline.operators import corpus, evalset, features, metrics, models, prefix
 from plumbline.sources import readers
 from plumbline.streaming import jobs
 
@@ -191,18 +191,26 @@ def test_baselines_separate(spark, name):
     assert np.mean([(r.p >= 0.5) == (r.y == 1) for r in out]) > 0.9
 
 
-def test_logistic_equals_an_independent_fit(spark):
-    """The same penalised loss by plain gradient descent on the same features."""
-    df = spark.createDataFrame(spam(80), "text string, y int")
-    scorer = models.fit_logistic(df, "text", "y", 50, 1)
-    rows = scorer.model.transform(models.weighted(df.withColumn("_terms", models.tokens(F.col("text"), 1)), "y")).select("_x", "y", "_w").collect()
-    x, y, w = np.array([r["_x"].toArray() for r in rows]), np.array([r.y for r in rows]), np.array([r["_w"] for r in rows])
-    beta, b = np.zeros(x.shape[1]), 0.0
-    for _ in range(40_000):
-        error = w * (1 / (1 + np.exp(-(x @ beta + b))) - y) / w.sum()
-        beta, b = beta - 2.0 * (x.T @ error + beta / len(rows)), b - 2.0 * error.sum()
-    found = scorer.model.stages[-1]
-    assert found.coefficients.toArray() == pytest.approx(beta, abs=2e-3) and found.intercept == pytest.approx(b, abs=2e-3)
+@pytest.mark.parametrize("loss, cost", [("logistic", 1.0), ("squared_hinge", 0.5)])
+def test_linear_fits_equal_independent_ones(spark, loss, cost):
+    """The same penalised loss by plain gradient descent on the weights of ``tfidf``."""
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate([*spam(80), (None, 0), ("", 1)])], "id int, text string, y int")
+    known = models.term_weights(df.drop("id"), "text", 50, 1)
+    rows = models.prepared(df, "y", known)
+    scorer = models.linear(rows, "y", known, loss, cost)
+    weights = {(r.id, r.term): r.weight for r in features.tfidf(df, "id", "text", 1, max_terms=50).collect()}
+    x = np.array([[weights.get((i, t), 0.0) for t in known.terms] for i in range(82)])
+    y = np.array([r.y for r in df.orderBy("id").collect()])
+    w = np.where(y == 1, 82 / (2 * y.sum()), 82 / (2 * (82 - y.sum())))
+    z, beta, b = 2.0 * y - 1, np.zeros(x.shape[1]), 0.0
+    for _ in range(30_000):
+        m = z * (x @ beta + b)
+        slope = cost * w * z * (-1 / (1 + np.exp(m)) if loss == "logistic" else -2 * np.maximum(0, 1 - m))
+        beta, b = beta - 0.01 * (x.T @ slope + beta), b - 0.01 * slope.sum()
+    assert scorer.coefficients == pytest.approx(beta, abs=3e-3) and scorer.intercept == pytest.approx(b, abs=3e-3)
+    margins = {r.text: r.margin for r in scorer.transform(df).collect()}
+    assert margins[None] == margins[""] == pytest.approx(scorer.intercept)
+    assert all(margins[r.text] == pytest.approx(x[r.id] @ scorer.coefficients + scorer.intercept) for r in df.collect())
 
 
 def test_boosting_ranks(spark):
