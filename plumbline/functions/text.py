@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from plumbline.functions.spans import find_spans, scan
 
@@ -48,13 +50,30 @@ def meaningful_chars(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
 
 
-@F.pandas_udf(StringType())
-def nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Canonical composition, which Spark has no function for; use it where a text holds other than ASCII, with nulls for the rest."""
-    import unicodedata
+_CONTROL = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: rf"\u{int(m[1], 16):04x}", CONTROL))
+_LONG_RUN = re.compile(rf"([^ \t\n\x0b\x0c\r])\1{{{LONGEST_RUN},}}")
 
-    for part in parts:
-        yield part.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+def clean_one(text: str) -> tuple[str, int, int]:
+    """A text in canonical composition, without control characters and long runs; how many of the former there were, and of the latter."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+    text, removed = _CONTROL.subn(" ", text)
+    return *_LONG_RUN.subn(lambda m: m[0][:LONGEST_RUN] + " " * (len(m[0]) - LONGEST_RUN), text), removed
+
+
+def composed(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``sanitized``, ``removed`` and ``runs`` of ``clean_one``: a pass over Arrow batches of the rows as they are, since Spark has no function for composition."""
+    at, names = df.columns.index(text), [*df.columns, "sanitized", "removed", "runs"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [clean_one(t or "") for t in batch.column(at).to_pylist()]
+            made = [pa.array([f[0] for f in found], pa.string()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names)
+
+    added = [StructField("sanitized", StringType()), StructField("removed", IntegerType()), StructField("runs", IntegerType())]
+    return df.mapInArrow(run, StructType([*df.schema.fields, *added]))
 
 
 @F.pandas_udf(StringType())
@@ -84,7 +103,7 @@ def sanitize(df: DataFrame, text: str, compose: bool = False) -> DataFrame:
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     if compose:
-        raw = F.coalesce(nfc(F.when(F.regexp_like(raw, F.lit(r"[^\x00-\x7f]")), raw)), raw)
+        return composed(df, text).withColumn("meaningful", meaningful_chars(F.col("sanitized"))).withColumn("analysable", F.col("meaningful") >= MIN_MEANINGFUL)
     plain = F.regexp_replace(raw, CONTROL, " ")
     long_run = rf"(?s)([^\s])\1{{{LONGEST_RUN},}}"
     hits = F.regexp_extract_all(plain, F.lit(long_run), F.lit(0))

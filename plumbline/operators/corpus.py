@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import build_document, word_count
 from plumbline.operators.dims import check_columns
 from plumbline.operators.metrics import percentiles
-from plumbline.operators.prefix import grouped_rank
+from plumbline.operators.prefix import grouped_rank, ordered_hash
 
 #: Shares of the splits, and how far a split's rate may be from the corpus's.
 SPLITS = (("train", 0.7), ("val", 0.1), ("calib", 0.1), ("test", 0.1))
@@ -56,13 +56,8 @@ def split_soundness(df: DataFrame, key: str, label: str, tolerance: float = RATE
 
 
 def split_checksum(df: DataFrame, key: str) -> DataFrame:
-    """``split, n, checksum``: the hash of ascending ids, 16 digits.
-
-    One hash over all ids of a split can't be parted, so a split's ids meet in one row: for manifests, whose ids fit there.
-    ``split_fingerprint`` tells splits apart at any size.
-    """
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.col(key).cast("bigint"))), lambda x: x.cast("string")), ",")
-    return df.groupBy("split").agg(F.count("*").alias("n"), F.substring(F.sha2(ids, 256), 1, 16).alias("checksum"))
+    """``split, n, checksum``: the hash of ascending ids, 16 digits, at any size of a split; see ``ordered_hash``."""
+    return ordered_hash(df, "split", key).select("split", "n", F.substring("hash", 1, 16).alias("checksum"))
 
 
 def split_fingerprint(df: DataFrame, key: str) -> DataFrame:

@@ -75,6 +75,62 @@ def advice(df: DataFrame, label: str, rows: int, rate: float) -> DataFrame:
     return out.withColumn("advice", F.array_compact(F.array(F.when(F.col("n") < rows, "too few items"), F.when(F.abs(F.col("rate") - rate) > TARGET_GAP, "unbalanced"))))
 
 
+def validate_eval_set(
+    df: DataFrame, key: str, text: str, label: str, required: list[str], vocabularies: dict[str, list[str]], rows: int, rate: float, gap: float = TARGET_GAP
+) -> DataFrame:
+    """``level, problem, item, n``: all that is wrong with an evaluation set (``error``) and what it still needs (``advice``), one row each.
+
+    Errors: a required field without a value, an id that several rows have (``n`` of them), a label other than 0 and 1. Advice: short texts, texts that an
+    item with a smaller id has but for case and white space, values outside a field's vocabulary (nulls are no values), fewer than ``rows`` items (``n``
+    are lacking), a share of positives that is farther than ``gap`` from ``rate``. Items without an id are named by null. Rows are looked at once for all that
+    they show by themselves; ids and texts are counted map-side.
+    """
+    one = lambda level, problem, when: F.when(when, F.struct(F.lit(level).alias("level"), problem.alias("problem")))
+    y, body = F.col(label), F.coalesce(F.col(text), F.lit(""))
+    checks = [one("error", F.lit(f"missing required field {f}"), F.col(f).isNull()) for f in required]
+    checks += [one("error", F.lit("label is not 0 or 1"), y.isNull() | ~y.isin(0, 1)), one("advice", F.lit("text too short"), F.length(F.trim(body)) < MIN_TEXT)]
+    checks += [one("advice", F.concat(F.lit(f"{f} outside its vocabulary: "), F.col(f).cast("string")), F.col(f).isNotNull() & ~F.col(f).isin(*words)) for f, words in vocabularies.items()]
+    item = F.col(key).cast("string").alias("item")
+    out = df.select(item, F.inline(F.array_compact(F.array(*checks)))).select("level", "problem", "item", F.lit(1).cast("bigint").alias("n"))
+    repeated = df.groupBy(item).agg(F.count("*").alias("n")).where("item IS NOT NULL AND n > 1")
+    copies = duplicate_texts(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(text).alias(text)), key, text)
+    whole = df.agg(F.count("*").alias("n"), F.count_if(y == 1).alias("positive"))
+    lacking = whole.where(F.col("n") < rows).select(F.lit("advice"), F.lit("more items are needed"), F.lit(None).cast("string"), rows - F.col("n"))
+    uneven = whole.where((F.col("n") > 0) & (F.abs(F.try_divide("positive", "n") - rate) > gap)).select(F.lit("advice"), F.lit("share of positives is far from its target"), F.lit(None).cast("string"), F.col("positive"))
+    for more in (repeated.select(F.lit("error"), F.lit("repeated id"), "item", "n"), copies.select(F.lit("advice"), F.concat(F.lit("text of "), F.col("first_id").cast("string")), item, F.lit(1).cast("bigint")), lacking, uneven):
+        out = out.union(more)
+    return out
+
+
+def passes(problems: DataFrame, lenient: bool = False) -> bool:
+    """Whether a validated set may be used: without errors, or in any case if ``lenient``."""
+    return lenient or problems.where("level = 'error'").isEmpty()
+
+
+def annotation_report(df: DataFrame, label: str, a: str, b: str, synthetic: str, histograms_of: list[str]) -> DataFrame:
+    """One row: items, positives, negatives and their share, items that two raters judged and where they differ, kappa, and a map of counts for each of ``histograms_of``.
+
+    One pass: grouping sets give the whole and each histogram. Synthetic items count as items, but not for the raters' agreement; kappa is null where it is undefined. Values of null are counted as ``null``.
+    """
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(f"_h{i}") for i, c in enumerate(histograms_of)]
+    made = F.coalesce(F.col(synthetic), F.lit(False))
+    both = ~made & F.col(a).isNotNull() & F.col(b).isNotNull()
+    rows = df.select(F.col(label).alias("_y"), both.alias("_both"), F.col(a).alias("_a"), F.col(b).alias("_b"), made.alias("_made"), *fields)
+    names = [f"_h{i}" for i in range(len(histograms_of))]
+    sums = [F.count("*").alias("n"), F.count_if(F.col("_y") == 1).alias("positive"), F.count_if(F.col("_y") == 0).alias("negative"), F.count_if("_both").alias("twice"), F.bool_or("_made").alias("made")]
+    sums += [F.count_if(F.col("_both") & cond).alias(n) for n, cond in (("same", F.col("_a") == F.col("_b")), ("a1", F.col("_a") == 1), ("b1", F.col("_b") == 1))]
+    sets = rows.groupingSets([[], *([n] for n in names)], *names).agg(F.grouping_id().alias("set"), *sums)
+    alone = [(1 << len(names)) - 1 - (1 << (len(names) - 1 - i)) for i in range(len(names))]
+    whole = lambda c: F.coalesce(F.max(F.when(F.col("set") == (1 << len(names)) - 1, F.col(c))), F.lit(0))
+    maps = [F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("set") == bit, F.struct(F.col(n).alias("value"), F.col("n").alias("n")))))).alias(c) for n, bit, c in zip(names, alone, histograms_of)]
+    out = sets.agg(F.coalesce(F.max(F.when(F.col("set") == (1 << len(names)) - 1, F.col("made"))), F.lit(False)).alias("is_synthetic"), *(whole(c).alias(c) for c in ("n", "positive", "negative", "twice", "same", "a1", "b1")), *maps)
+    share = lambda c: F.try_divide(F.col(c), F.col("twice"))
+    pa, pb = share("a1"), share("b1")
+    chance, seen = pa * pb + (1 - pa) * (1 - pb), share("same")
+    kappa = F.when((F.col("twice") > 0) & (chance < 1), F.try_divide(seen - chance, 1 - chance))
+    return out.select("is_synthetic", F.col("n").alias("n_items"), F.col("positive").alias("n_positive"), F.col("negative").alias("n_negative"), F.coalesce(F.try_divide("positive", "n"), F.lit(0.0)).alias("rate"), F.col("twice").alias("n_double"), (F.col("twice") - F.col("same")).alias("n_disagreements"), kappa.alias("kappa"), *histograms_of)
+
+
 def next_ids(new: DataFrame, order: str, existing: DataFrame, key: str, prefix: str) -> DataFrame:
     """Adds sequential ids after the largest one, in the order of ``order``, then of its hash; ranks come from parts of bounded size."""
     top = existing.agg(F.coalesce(F.max(F.regexp_extract(key, r"(\d+)$", 1).try_cast("int")), F.lit(0)).alias("top"))

@@ -293,16 +293,23 @@ def rule_vector(long: DataFrame, key: str, order: tuple[str, ...] = FEATURES) ->
     return long.groupBy(key).agg(entries.alias("e")).select(key, F.transform("e", lambda x: x["s"]).alias("vector"), F.transform("e", lambda x: x["available"]).alias("mask"))
 
 
-def rule_hits(wide: DataFrame, key: str, advisory: bool = True, weights: dict[str, float] = PLACEHOLDER_POINTS, order: tuple[str, ...] = FEATURES) -> DataFrame:
-    """What fired on each wide row, by contribution and severity, with ``tier`` and ``rank``; in advisory mode contributions are 0.
-
-    The hits of a row are sorted inside the row; nothing is shuffled.
-    """
+def hits_of(advisory: bool = True, weights: dict[str, float] = PLACEHOLDER_POINTS, order: tuple[str, ...] = FEATURES) -> Column:
+    """What fired on a wide row, as an array by contribution and severity, with ``tier``, evidence and span; in advisory mode contributions are 0."""
     tier = lambda s: F.when(s >= 0.7, "high").when(s >= 0.4, "med").otherwise("low")
     worth = lambda f: F.lit(0.0) if advisory else F.round(F.col(f)["severity"] * F.lit(float(weights.get(f, 0.0))), 2)
-    entry = lambda i, f: F.struct((-worth(f)).alias("minus"), (-F.col(f)["severity"]).alias("least"), F.lit(i).alias("ord"), F.lit(f).alias("feature_id"), worth(f).alias("contribution"), F.col(f)["severity"].alias("severity"), tier(F.col(f)["severity"]).alias("tier"), F.col(f)["evidence"].alias("evidence"))
-    fired = F.array_sort(F.array_compact(F.array(*(F.when(F.col(f)["available"] & (F.col(f)["severity"] > 0), entry(i, f)) for i, f in enumerate(order)))))
-    return wide.select(key, F.posexplode_outer(fired).alias("at", "h")).where("at IS NOT NULL").select(key, "h.ord", "h.feature_id", "h.severity", "h.contribution", "h.tier", "h.evidence", (F.col("at") + 1).alias("rank"))
+
+    def entry(i: int, f: str) -> Column:
+        held = F.col(f)
+        fields = [(-worth(f)).alias("minus"), (-held["severity"]).alias("least"), F.lit(i).alias("ord"), F.lit(f).alias("feature_id"), worth(f).alias("contribution"), held["severity"].alias("severity"), tier(held["severity"]).alias("tier")]
+        return F.struct(*fields, *(held[n].alias(n) for n in ("evidence", "start", "end")))
+
+    return F.array_sort(F.array_compact(F.array(*(F.when(F.col(f)["available"] & (F.col(f)["severity"] > 0), entry(i, f)) for i, f in enumerate(order)))))
+
+
+def rule_hits(wide: DataFrame, key: str, advisory: bool = True, weights: dict[str, float] = PLACEHOLDER_POINTS, order: tuple[str, ...] = FEATURES) -> DataFrame:
+    """``hits_of`` each wide row as rows, with ``rank``. The hits of a row are sorted inside the row; nothing is shuffled."""
+    fired = F.posexplode_outer(hits_of(advisory, weights, order)).alias("at", "h")
+    return wide.select(key, fired).where("at IS NOT NULL").select(key, "h.ord", "h.feature_id", "h.severity", "h.contribution", "h.tier", "h.evidence", (F.col("at") + 1).alias("rank"))
 
 
 def phrase_groups(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:

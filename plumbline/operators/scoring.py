@@ -87,21 +87,28 @@ def highlight(rule_spans: Column, sentence_spans: Column) -> Column:
 
 
 def score_documents(
-    df: DataFrame, key: str, text: str, lexicon: DataFrame, scorer, settings=None, advisory: bool = True, thresholds: tuple[int, int] = (LOW, HIGH), wages: DataFrame | None = None, requested: str | None = None, patterns=None, minimum: str | None = None
-) -> DataFrame:
-    """One record per document: cleaning, gate, locale, mentions, rules, probability, score, band and summary.
+    df: DataFrame, key: str, text: str, lexicon: DataFrame, scorer, settings=None, advisory: bool = True, thresholds: tuple[int, int] = (LOW, HIGH), wages: DataFrame | None = None, requested: str | None = None, patterns=None, minimum: str | None = None,
+    margin=None, split=None, compose: bool = True,
+) -> DataFrame:
+    """One record per document: cleaning, gate, locale, mentions, rules, probability, score, band and summary, and what they rest on.
 
     ``scorer`` maps a text column to a probability column. With ``wages``, rules follow each text's locale: the ``requested`` column's if
-    it is usable, else the detected one; without, ``minimum`` may name a column. Rejected texts keep their reason, aren't analysed and have no score. Everything happens on the row:
-    dimensions are broadcast, and nothing is shuffled.
+    it is usable, else the detected one; without, ``minimum`` may name a column. Rejected texts keep their reason, aren't analysed and have no score. Texts are
+    composed first (``compose``), and offsets are those of ``analysed``, the text as it was read.
+
+    ``hits`` are the rules that fired, by contribution, ``unassessed`` those that couldn't be judged, ``evidence`` the sentences by effect on ``margin`` (a column of a text column, of Spark's own; empty
+    without one), ``spans`` the places of both to show. Everything happens on the row: dimensions are broadcast, and nothing is shuffled, so it runs alike on a stream.
     """
     from plumbline.functions import text as tx
+    from plumbline.operators import explain
     from plumbline.operators.dims import detect_language, resolve_locale
     from plumbline.operators.extract import Patterns, extract_mentions
-    from plumbline.operators.rules import SETTINGS, Settings, evaluate_rules
+    from plumbline.operators.rules import SETTINGS, Settings, evaluate_rules, hits_of
 
     columns = [key, text, *([requested] if requested else [])] + ([F.col(minimum).alias("minimum")] if minimum else [])
-    clean = tx.sanitize(df.select(*columns), text).withColumn("reject", F.coalesce(tx.reject_reason(F.col(text)), F.when(~F.col("analysable"), "not_analysable")))
+    ready = df.select(*columns).withColumn("_reason", tx.reject_reason(F.col(text)))
+    clean = tx.sanitize(ready.withColumn("_text", F.when(F.col("_reason").isNull(), F.col(text))), "_text", compose)
+    clean = clean.withColumn("reject", F.coalesce("_reason", F.when(~F.col("analysable"), "not_analysable")))
     clean = clean.withColumn("sanitized", F.when(F.col("reject").isNull(), F.col("sanitized")).otherwise(""))
     if wages is not None:
         asked = F.col(requested) if requested else F.lit(None).cast("string")
@@ -114,5 +121,15 @@ def score_documents(
     out = wide.withColumns({"p_model": F.when(scored, scorer(F.col("sanitized"))), "shift": F.when(scored, total(parts)), "fired": F.when(scored, F.transform(parts, lambda p: p["feature_id"]))})
     out = out.withColumn("score", F.when(scored, score(F.col("p_model"), F.col("shift"), advisory)))
     out = out.withColumn("band", F.when(F.col("score").isNotNull(), label(F.col("score"), *thresholds)))
+    none = F.expr("cast(array() as array<struct<order:double,sent_no:int,text:string,start:int,end:int,delta:double>>)")
+    shown = none if margin is None else F.coalesce(F.when(scored, explain.evidence(F.col("sanitized"), margin, split=split or tx.sentences)), none)
+    out = out.withColumns({"fired_rules": F.when(scored, hits_of(advisory)), "evidence": shown})
+    places = lambda spans: F.transform(F.filter(spans, lambda s: s["start"].isNotNull()), lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))
+    risky = F.filter("evidence", lambda s: s["delta"] != 0)
+    out = out.withColumn("spans", F.when(scored, highlight(places(F.col("fired_rules")), places(risky))))
+    unassessed = F.when(scored, F.array_compact(F.array(*(F.when(~F.col(f)["available"], F.lit(f)) for f in FEATURES))))
     held = ["emails", "urls", "phones", "title"] + (["locale"] if wages is not None else [])
-    return out.select(key, "reject", "p_model", "shift", "fired", "score", "band", F.when(F.col("band").isNotNull(), summary(F.col("band"), F.col("fired"))).alias("summary"), *held)
+    return out.select(
+        key, "reject", "p_model", "shift", "fired", "score", "band", F.when(F.col("band").isNotNull(), summary(F.col("band"), F.col("fired"))).alias("summary"), *held,
+        F.when(scored, F.col("sanitized")).alias("analysed"), F.col("fired_rules").alias("hits"), unassessed.alias("unassessed"), "evidence", "spans",
+    )

@@ -481,14 +481,22 @@ bd AS (SELECT *, CASE WHEN score < 40 THEN 'high_risk' WHEN score >= 70 THEN 'lo
 rec AS (SELECT doc_id, reject, round(shift, 6) AS shift, score, band, CASE WHEN band IS NULL THEN NULL WHEN names = '' THEN 'Assessed as ' || band || '; no rule fired.' ELSE 'Assessed as ' || band || ': ' || names || '.' END AS summary FROM bd)"""
 
 
+def _scored_rows(rows: DataFrame, spark: SparkSession) -> DataFrame:
+    rows = rows.withColumn("minimum", F.lit(40).cast("bigint"))
+    return scoring.score_documents(rows, "doc_id", "text", dims.lexicon(spark), length_scorer, SETTINGS, advisory=False, patterns=PATTERNS, minimum="minimum", margin=_th_margin, split=_lines)
+
+
 def _scored(spark, d) -> DataFrame:
-    rows = docs(spark, d).withColumn("minimum", F.lit(40).cast("bigint"))
-    return scoring.score_documents(rows, "doc_id", "text", dims.lexicon(spark), length_scorer, SETTINGS, advisory=False, patterns=PATTERNS, minimum="minimum")
+    return _scored_rows(docs(spark, d), spark)
+
+
+def _records(scored: DataFrame) -> DataFrame:
+    return scored.select("doc_id", "reject", r6("shift").alias("shift"), "score", "band", "summary")
 
 
 @query(f"WITH {RECORD_SQL} SELECT * FROM rec")
 def c7_score_documents(spark, d):
-    return _scored(spark, d).select("doc_id", "reject", r6("shift").alias("shift"), "score", "band", "summary")
+    return _records(_scored(spark, d))
 
 
 _IDIOT = r"(?i)\bidiot\b[^\n]*"
@@ -529,6 +537,21 @@ def e1_occlusion_rows(spark, d):
     return explain.occlusion(docs(spark, d), "doc_id", "text", _th_margin, split=_lines, native=False).select("doc_id", "sent_no", "delta", "polarity")
 
 
+@query(f"""WITH {OUTCOMES_SQL}, {_POINTS_SQL}, rj AS (SELECT doc_id, length(text) BETWEEN 30 AND 20000 AND length(regexp_replace(text, '[^\\pL\\pN]', '', 'g')) >= 20 AS ok FROM documents),
+hc AS (SELECT doc_id, ord, feature_id, severity, round(severity * points, 2) AS contribution FROM o JOIN p USING (feature_id) WHERE available AND severity > 0),
+hs AS (SELECT doc_id, string_agg(feature_id || ':' || CASE WHEN severity >= 0.7::DOUBLE THEN 'high' WHEN severity >= 0.4::DOUBLE THEN 'med' ELSE 'low' END, ',' ORDER BY contribution DESC, severity DESC, ord) AS hits FROM hc GROUP BY doc_id),
+un AS (SELECT doc_id, string_agg(feature_id, ',' ORDER BY ord) FILTER (NOT available) AS unassessed FROM o GROUP BY doc_id),
+ev AS (SELECT doc_id, string_agg(sent_no || ':' || round(delta * 100)::INTEGER, ',' ORDER BY abs(delta) DESC, sent_no) AS evidence FROM ({SQL["e1_occlusion"]}) GROUP BY doc_id)
+SELECT rj.doc_id, CASE WHEN ok THEN coalesce(hits, '') END AS hits, CASE WHEN ok THEN coalesce(unassessed, '') END AS unassessed, CASE WHEN ok THEN coalesce(evidence, '') ELSE '' END AS evidence
+FROM rj LEFT JOIN hs USING (doc_id) LEFT JOIN un USING (doc_id) LEFT JOIN ev USING (doc_id)""")
+def c7_record(spark, d):
+    """What each record rests on: rules that fired, rules that couldn't be judged, sentences by effect."""
+    rows = _scored(spark, d)
+    hits = F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["feature_id"], h["tier"])), ",")
+    evidence = F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["sent_no"], F.round(e["delta"] * 100).cast("int"))), ",")
+    return rows.select("doc_id", hits.alias("hits"), F.array_join("unassessed", ",").alias("unassessed"), evidence.alias("evidence"))
+
+
 # --- corpus -----------------------------------------------------------------------------------------------------
 
 
@@ -879,6 +902,44 @@ def v8_advice(spark, d):
     return evalset.advice(read(spark, d, "labels"), "quality", 100_000_000, 0.5).select("n", r6("rate").alias("rate"), F.array_join("advice", ";").alias("advice"))
 
 
+_ITEMS_SQL = "i AS (SELECT documents.doc_id, text, source, lang, quality, toxic, contains(text, '###') AS synthetic FROM documents LEFT JOIN labels USING (doc_id))"
+
+
+def _items(spark, d) -> DataFrame:
+    y = read(spark, d, "labels").select("doc_id", "quality", "toxic")
+    rows = docs(spark, d).hint("merge").join(y.hint("merge"), "doc_id", "left")
+    return rows.select("doc_id", "text", "source", "lang", "quality", "toxic", F.contains("text", F.lit("###")).alias("synthetic"))
+
+
+@query(rf"""WITH {_ITEMS_SQL}, u AS (SELECT doc_id, min(text) AS text FROM i GROUP BY doc_id),
+k AS (SELECT doc_id, lower(trim(regexp_replace(text, '[\s\x{{85}}\x{{a0}}\p{{Z}}]+', ' ', 'g'))) AS key FROM u), m AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key), n AS (SELECT count(*) AS n, count_if(quality = 1)::BIGINT AS positive FROM i),
+p AS (SELECT 'error' AS level, 'missing required field quality' AS problem, doc_id::VARCHAR AS item, 1::BIGINT AS n FROM i WHERE quality IS NULL
+UNION ALL SELECT 'error', 'label is not 0 or 1', doc_id::VARCHAR, 1 FROM i WHERE quality IS NULL OR quality NOT IN (0, 1)
+UNION ALL SELECT 'advice', 'text too short', doc_id::VARCHAR, 1 FROM i WHERE length(trim(text)) < 30
+UNION ALL SELECT 'advice', 'source outside its vocabulary: ' || source, doc_id::VARCHAR, 1 FROM i WHERE source NOT IN ('src0', 'src1', 'src2')
+UNION ALL SELECT 'advice', 'lang outside its vocabulary: ' || lang, doc_id::VARCHAR, 1 FROM i WHERE lang NOT IN ('en', 'de')
+UNION ALL SELECT 'error', 'repeated id', doc_id::VARCHAR, count(*) FROM i GROUP BY doc_id HAVING count(*) > 1
+UNION ALL SELECT 'advice', 'text of ' || first, doc_id::VARCHAR, 1 FROM k JOIN m USING (key) WHERE doc_id > first
+UNION ALL SELECT 'advice', 'more items are needed', NULL, 100000000 - n FROM n WHERE n < 100000000
+UNION ALL SELECT 'advice', 'share of positives is far from its target', NULL, positive FROM n WHERE n > 0 AND abs(positive / n::DOUBLE - 0.01) > 0.15)
+SELECT * FROM p""")
+def v8_validate(spark, d):
+    """All problems and advice of the documents as an evaluation set."""
+    return evalset.validate_eval_set(_items(spark, d), "doc_id", "text", "quality", ["doc_id", "text", "quality"], {"source": ["src0", "src1", "src2"], "lang": ["en", "de"]}, 100_000_000, 0.01)
+
+
+@query(rf"""WITH {_ITEMS_SQL}, b AS (SELECT * FROM i WHERE NOT synthetic AND quality IS NOT NULL AND toxic IS NOT NULL),
+g AS (SELECT count(*) AS n_double, count_if(quality <> toxic)::BIGINT AS n_disagreements, avg((quality = toxic)::INTEGER::DOUBLE) AS seen, avg((quality = 1)::INTEGER::DOUBLE) AS pa, avg((toxic = 1)::INTEGER::DOUBLE) AS pb FROM b),
+x AS (SELECT bool_or(synthetic) AS is_synthetic, count(*) AS n_items, count_if(quality = 1)::BIGINT AS n_positive, count_if(quality = 0)::BIGINT AS n_negative FROM i)
+SELECT is_synthetic, n_items, n_positive, n_negative, round(n_positive / n_items::DOUBLE, 6) AS rate, n_double, n_disagreements, round((seen - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))), 6) AS kappa,
+  (SELECT string_agg(v || ':' || n, ',' ORDER BY v) FROM (SELECT coalesce(source, 'null') AS v, count(*) AS n FROM i GROUP BY v)) AS sources, (SELECT string_agg(v || ':' || n, ',' ORDER BY v) FROM (SELECT coalesce(lang, 'null') AS v, count(*) AS n FROM i GROUP BY v)) AS langs
+FROM x, g""")
+def v7_annotation_report(spark, d):
+    found = evalset.annotation_report(_items(spark, d), "quality", "quality", "toxic", "synthetic", ["source", "lang"])
+    said = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+    return found.select("is_synthetic", "n_items", "n_positive", "n_negative", r6("rate").alias("rate"), "n_double", "n_disagreements", r6("kappa").alias("kappa"), said("source").alias("sources"), said("lang").alias("langs"))
+
+
 @query(r"""SELECT doc_id, length(text) AS n, substr(text, 1, 2000) AS comment, nullif(trim(substr(source, 1, 200)), '') AS contact, false AS reviewed FROM documents""")
 def a1_appeals(spark, d):
     raw = docs(spark, d).select("doc_id", F.col("text").alias("body"), F.col("text").alias("comment"), F.col("source").alias("contact"))
@@ -995,20 +1056,14 @@ def s11_aligned(spark, d):
 # --- streaming --------------------------------------------------------------------------------------------------
 
 
-@query("""WITH s AS (SELECT conv_id, turn, CASE WHEN length(text) < 30 THEN 'too_short' WHEN length(text) > 20000 THEN 'too_long' END AS reject, least(length(text) / 8000.0::DOUBLE, 1.0::DOUBLE) AS p FROM conversations)
-SELECT conv_id, turn, reject, round_even((1 - p) * 100, 0)::INTEGER AS score FROM s""")
+@query(SQL["c7_score_documents"])
 def g1_stream_scoring(spark, d):
-    """Conversations scored as a stream; the result is read back from its two sinks."""
+    """All documents scored as a stream; the records are read back from its sink."""
     root = scratch(spark, "stream")
-    table = read(spark, d, "conversations")
-    stream = spark.readStream.schema(table.schema).parquet(f"{d}/conversations.parquet*")  # a file or a folder of them
-
-    def score(batch: DataFrame) -> DataFrame:
-        keyed = batch.withColumn("reject", tx.reject_reason(F.col("text")))
-        return keyed.select("conv_id", "turn", "reject", scoring.score(length_scorer(F.col("text")), F.lit(0.0)).alias("score"))
-
-    jobs.score_stream(stream, score, f"{root}/scored", f"{root}/rejects", f"{root}/state").awaitTermination()
-    return spark.read.parquet(f"{root}/scored").unionByName(spark.read.parquet(f"{root}/rejects")).select("conv_id", "turn", "reject", "score")
+    table = read(spark, d, "documents")
+    stream = spark.readStream.schema(table.schema).parquet(f"{d}/documents.parquet*")  # a file or a folder of them
+    jobs.score_stream(stream, lambda rows: _records(_scored_rows(rows, spark)), f"{root}/scored", f"{root}/state").awaitTermination()
+    return spark.read.schema("doc_id long, reject string, shift double, score int, band string, summary string").parquet(f"{root}/scored").drop("rejected")
 
 
 # --- the flagship -----------------------------------------------------------------------------------------------

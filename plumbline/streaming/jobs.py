@@ -11,19 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 from plumbline.operators.evalset import review_queue
 
 
-def score_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, rejects: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Scores each micro-batch as a whole plan, so per-document ranks need no state.
+def score_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Scores a stream by a plain projection: ``score`` shuffles nothing and needs no state.
 
-    Each batch overwrites its own folder, so a replayed batch leaves the same rows; rejects go to a sink of their own.
+    The sink's log commits each batch's files once, so a restart after a failure neither loses nor repeats rows. Records fall into folders by ``rejected``, so readers of
+    either kind pass over the other.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        scored = score(batch).persist()
-        scored.where("reject IS NULL").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        scored.where("reject IS NOT NULL").write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
-        scored.unpersist()
-
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = score(stream).withColumn("rejected", F.col("reject").isNotNull()).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).partitionBy("rejected")
     return writer.trigger(availableNow=True).start() if once else writer.start()
 
 

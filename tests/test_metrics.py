@@ -123,10 +123,16 @@ def test_streams_equal_batches(spark, tmp_path):
     schema = "id string, text string, correction string, reviewed boolean"
     stream = spark.readStream.schema(schema).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", 1).json(str(source))
     score = lambda df: df.select("id", F.when(F.length("text") < 30, "too_short").alias("reject"), F.length("text").alias("score"))
-    jobs.score_stream(stream, score, f"{tmp_path}/out", f"{tmp_path}/rejects", f"{tmp_path}/state").awaitTermination()
-    got = {r.id: r.score for d in ("out", "rejects") for r in spark.read.parquet(f"{tmp_path}/{d}").collect()}
-    batch = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(str(source))
-    assert got == {r.id: r.score for r in score(batch).collect()} and len(got) == 15
+    run = lambda: jobs.score_stream(stream, score, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    for n in (15, 15, 20):  # a restart without new files repeats nothing, one with a new file adds its rows
+        if n == 20:
+            (source / "9.json").write_text("\n".join(json.dumps({"id": f"9-{j}", "text": "x" * 40}) for j in range(5)))
+        run()
+        batch = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(str(source))
+        rows = spark.read.parquet(f"{tmp_path}/out").collect()
+        assert {r.id: r.score for r in rows} == {r.id: r.score for r in score(batch).collect()} and len(rows) == n
+        assert all(str(r.rejected).lower() == str(r.reject is not None).lower() for r in rows)
+    (source / "9.json").unlink()
     jobs.append_stream(stream, f"{tmp_path}/appeals", f"{tmp_path}/state2").awaitTermination()
     assert readers.read_appeals(spark, f"{tmp_path}/appeals", T._parse_datatype_string(schema)).count() == 15
     jobs.queue_stream(stream, "queue", f"{tmp_path}/state3").awaitTermination()
@@ -300,3 +306,58 @@ def test_percentiles_equal_numpy(spark):
 def test_unknown_fields(spark):
     df = spark.createDataFrame([('{"a": 1, "z": 2}',), ("{}",), ("broken",)], "line string")
     assert [r.u for r in df.select(evalset.unknown_fields(F.col("line"), ["a"]).alias("u")).collect()] == [["z"], [], None]
+
+
+def test_a_full_record_on_a_stream_equals_the_batch(spark, tmp_path):
+    """Composition, evidence, hits and spans; a text with a decomposed letter, a rejected one, null."""
+    from plumbline.operators import dims, scoring
+
+    rows = [(1, "Pay the registration fee now, cafe\u0301 job.\nNo salary of the kind is told here.\nWrite to a@gmail.com today please."), (2, "short"), (3, None), (4, "Plain words about an honest job in the town.\nNothing else is asked of you at all.")]
+    spark.createDataFrame(rows, "k int, t string").write.parquet(f"{tmp_path}/in")
+    schema = "k int, t string"
+    margin = lambda t: F.length(t) - F.length(F.replace(t, F.lit("fee"), F.lit("")))
+    score = lambda df: scoring.score_documents(df, "k", "t", dims.lexicon(spark), lambda t: F.lit(0.3), advisory=False, margin=margin)
+    jobs.score_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), score, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    batch = {r.k: r for r in score(spark.read.schema(schema).parquet(f"{tmp_path}/in")).collect()}
+    names = [c for c in next(iter(batch.values())).asDict()]
+    assert {r.k: str([r[c] for c in names]) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {k: str([r[c] for c in names]) for k, r in batch.items()}
+    first = batch[1]
+    assert "caf\u00e9" in first.analysed and {h.feature_id for h in first.hits} == {"email_free_provider", "payment_request_id"}
+    for h in first.hits:
+        assert first.analysed[h.start : h.end] in ("a@gmail.com", "registration fee")
+    assert first.evidence[0].text.startswith("Pay the") and first.evidence[0].delta == 3.0
+    assert [first.analysed[s.start : s.end] for s in first.spans] == ["registration fee", "a@gmail.com"]
+    assert batch[2].reject == "too_short" and batch[2].hits is None and batch[3].reject == "nothing_given" and [h.feature_id for h in batch[4].hits] == ["email_absent"]
+
+
+def test_ordered_hash_is_that_of_the_whole_list(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "PIECE", 7)
+    rows = [("a", i) for i in range(100, 0, -1)] + [("b", None), ("c", 5), ("c", None), ("c", 5), (None, 3), (None, 12), ("a", -4)]
+    got = {r.split: (r.n, r.hash) for r in prefix.ordered_hash(spark.createDataFrame(rows, "split string, id long"), "split", "id").collect()}
+    import hashlib
+
+    for k in ("a", "b", "c", None):
+        mine = [i for s, i in rows if s == k]
+        text = ",".join(str(i) for i in sorted(i for i in mine if i is not None))
+        assert got[k] == (len(mine), hashlib.sha256(text.encode()).hexdigest())
+    assert prefix.ordered_hash(spark.createDataFrame([], "split string, id long"), "split", "id").count() == 0
+
+
+def test_eval_set_gate_and_report(spark):
+    schema = "id string, text string, label int, channel string, a int, b int, synthetic boolean"
+    body = "A text that is long enough to be judged by two."
+    rows = [("1", body, 1, "chat", 1, 1, False), ("2", body.upper(), 0, "mail", 0, 1, False), ("2", "short", 2, None, None, 1, False), (None, body + "!", None, "pigeon", 0, 0, None), ("5", body + "?", 1, "chat", 1, 1, True)]
+    df = spark.createDataFrame(rows, schema)
+    found = evalset.validate_eval_set(df, "id", "text", "label", ["id", "label"], {"channel": ["chat", "mail"]}, 7, 0.9)
+    got = sorted((r.level, r.problem, r.item, r.n) for r in found.where("item IS NOT NULL").collect())
+    assert got == [("advice", "text of 1", "2", 1), ("advice", "text too short", "2", 1), ("error", "label is not 0 or 1", "2", 1), ("error", "repeated id", "2", 2)]
+    loose = {(r.level, r.problem, r.n) for r in found.where("item IS NULL").collect()}
+    assert loose == {("error", "missing required field id", 1), ("error", "missing required field label", 1), ("error", "label is not 0 or 1", 1), ("advice", "channel outside its vocabulary: pigeon", 1), ("advice", "more items are needed", 2), ("advice", "share of positives is far from its target", 2)}
+    assert not evalset.passes(found) and evalset.passes(found, lenient=True)
+    assert evalset.passes(evalset.validate_eval_set(df.where("id = '1'"), "id", "text", "label", ["id"], {}, 1, 1.0))
+    report = evalset.annotation_report(df, "label", "a", "b", "synthetic", ["channel"]).first()
+    assert (report.is_synthetic, report.n_items, report.n_positive, report.n_negative, report.n_double, report.n_disagreements) == (True, 5, 2, 1, 3, 1)
+    assert report.channel == {"chat": 2, "mail": 1, "null": 1, "pigeon": 1} and report.rate == pytest.approx(0.4)
+    assert report.kappa == evalset.cohens_kappa(df.where("NOT coalesce(synthetic, false)"), "a", "b").first().kappa
+    none = evalset.annotation_report(df.limit(0), "label", "a", "b", "synthetic", ["channel"]).first()
+    assert none.n_items == 0 and none.kappa is None and none.channel == {}
