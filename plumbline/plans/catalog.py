@@ -1062,6 +1062,7 @@ def g1_stream_scoring(spark, d):
     root = scratch(spark, "stream")
     table = read(spark, d, "documents")
     stream = spark.readStream.schema(table.schema).parquet(f"{d}/documents.parquet*")  # a file or a folder of them
+    stream = stream.repartition(spark.sparkContext.defaultParallelism)  # the table may be one row group, and so one task
     jobs.score_stream(stream, lambda rows: _records(_scored_rows(rows, spark)), f"{root}/scored", f"{root}/state").awaitTermination()
     return spark.read.schema("doc_id long, reject string, shift double, score int, band string, summary string").parquet(f"{root}/scored").drop("rejected")
 
