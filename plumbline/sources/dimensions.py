@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.dims import weighed
@@ -24,27 +28,74 @@ def whole(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def loaded(text: str) -> object:
+    """A YAML document's value. Without a YAML library only ``lines`` is understood; other shapes are errors, never passed over."""
+    try:
+        import yaml
+    except ImportError:
+        return lines(text)
+    return yaml.safe_load(text)
+
+
+def lines(text: str) -> dict:
+    """A lexicon that has ``groups:``, names of groups, ``weight_multiplier: n``, ``phrases:`` and ``- {text: "...", weight: n}``, each on a line of its own."""
+    groups, name = {}, None
+    for n, line in enumerate(text.splitlines(), 1):
+        bare = line.strip()
+        phrase = re.fullmatch(r"""-\s*\{\s*text:\s*(["'])([^"'\\]*)\1\s*(?:,\s*weight:\s*(\d*\.?\d+)\s*)?\}\s*(?:#.*)?""", bare)
+        key = re.fullmatch(r"""([\w-]+):(?:\s+(["']?)([\w.]+)\2)?\s*(?:#.*)?""", bare)
+        if not bare or bare.startswith("#"):
+            continue
+        if phrase and name is not None:
+            groups[name]["phrases"].append({"text": phrase[2], **({"weight": float(phrase[3])} if phrase[3] else {})})
+        elif key and name is not None and key[1] == "weight_multiplier" and key[3]:
+            groups[name]["weight_multiplier"] = float(key[3])
+        elif key and line[0].isspace() and not key[3]:
+            if key[1] != "phrases":
+                name = key[1]
+                groups[name] = {"phrases": []}
+        elif not (key and not line[0].isspace() and (key[3] or key[1] == "groups")):
+            raise ValueError(f"line {n} of a lexicon isn't understood without a YAML library: {bare}")
+    return {"groups": groups}
+
+
+def entries(value: object) -> Iterator[tuple[str, float, str, float]]:
+    """``group, multiplier, phrase, weight`` of a lexicon's value. An empty file, no groups and no phrases are none; other shapes raise."""
+
+    def held(x: object, kind: type, where: str):
+        if x is not None and not isinstance(x, kind):
+            raise ValueError(f"{where} of a lexicon should be a {kind.__name__}, not {x!r:.80}")
+        return x or kind()
+
+    def number(x: object, default: float, where: str) -> float:
+        if isinstance(x, bool) or not isinstance(x, int | float | None):
+            raise ValueError(f"{where} of a lexicon should be a number, not {x!r:.80}")
+        return default if x is None else float(x)
+
+    for name, group in held(held(value, dict, "the whole").get("groups"), dict, "groups").items():
+        group = held(group, dict, f"group {name}")
+        for phrase in held(group.get("phrases"), list, f"phrases in {name}"):
+            if not isinstance(phrase, dict) or not isinstance(phrase.get("text"), str):
+                raise ValueError(f"a phrase of group {name} should have a text: {phrase!r:.80}")
+            yield str(name), number(group.get("weight_multiplier"), MULTIPLIER, f"weight_multiplier of {name}"), phrase["text"], number(phrase.get("weight"), WEIGHT, f"weight of {phrase['text']}")
+
+
 def read_lexicon(spark: SparkSession, path: str, locale: str) -> DataFrame:
-    """``locale, grp, phrase, weight`` of a lexicon file.
+    """``locale, grp, phrase, weight`` of a YAML lexicon of any valid shape (blocks, flows, quotes, anchors, comments).
 
-    The file has ``groups:``, under it a name and a colon for each group, in it ``weight_multiplier:`` and ``phrases:``, and these are
-    ``- {text: "...", weight: n}``, one to a line. Lines of other shapes and comments are passed over.
+    ``groups`` maps names to groups; one has ``weight_multiplier`` (1 if there is none) and ``phrases``, a list of ``text`` and ``weight`` (0.5 if there is
+    none). Spark reads the file, so the path may be remote, and a worker parses it. What isn't a lexicon raises.
     """
     file = whole(spark, path)
     if file is None:
         return spark.createDataFrame([], LEXICON)
-    lines = file.select(F.posexplode(F.split("value", r"\r?\n", -1)).alias("at", "line"))
-    group = F.nullif(F.regexp_extract("line", r"^\s{1,4}([\w-]+):\s*(?:#.*)?$", 1), F.lit(""))
-    named = lines.select("at", "line", F.when(group != "phrases", group).alias("named"))
-    # One file's lines: a lexicon is a dimension, small by nature, and checked where it is broadcast.
-    so_far = Window.partitionBy(F.lit("file")).orderBy("at")
-    held = named.withColumn("grp", F.last("named", True).over(so_far)).where("grp IS NOT NULL")
-    factor = F.regexp_extract("line", r"^\s*weight_multiplier:\s*([\d.]+)", 1).try_cast("double")
-    held = held.withColumn("multiplier", F.coalesce(F.max(factor).over(Window.partitionBy("grp")), F.lit(MULTIPLIER)))
-    quoted = r"""^\s*-\s*\{\s*text:\s*(["'])(.*?)\1"""
-    found = held.where(F.regexp_like("line", F.lit(quoted)))
-    weight = F.coalesce(F.regexp_extract("line", r"weight:\s*([\d.]+)\s*\}", 1).try_cast("double"), F.lit(WEIGHT))
-    return weighed(found.select(F.lit(locale).alias("locale"), "grp", "multiplier", F.regexp_extract("line", quoted, 2).alias("phrase"), weight.alias("weight")))
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([x for text in batch["value"] for x in entries(loaded(text))], columns=["grp", "multiplier", "phrase", "weight"])
+
+    found = file.mapInPandas(parsed, "grp string, multiplier double, phrase string, weight double")
+    return weighed(found.select(F.lit(locale).alias("locale"), "grp", "multiplier", "phrase", "weight"))
 
 
 def read_wages(spark: SparkSession, path: str, locale: str) -> DataFrame:

@@ -56,6 +56,43 @@ def test_readers_of_locales(spark, locales):
     assert dimensions.read_lexicon(spark, f"{root}/none.yaml", "en").count() == dimensions.read_wages(spark, f"{root}/none.json", "en").count() == 0
 
 
+BLOCKS = """
+groups:
+  payment:
+    phrases:
+    - text: registration fee
+      weight: 0.90
+    - text: "Starter Kit"
+      weight: .5
+    weight_multiplier: 1
+  "urgency": {weight_multiplier: 0.5, phrases: [{text: act now, weight: 0.8}, {text: today
+      only}]}
+"""
+
+
+def test_lexicons_of_any_shape(spark, locales, tmp_path):
+    """Blocks, flows and lines hold the same; what isn't a lexicon is an error, not an empty one."""
+    pytest.importorskip("yaml")
+    (tmp_path / "blocks.yaml").write_text(BLOCKS)
+    want = {tuple(r) for r in locales[0].where("locale = 'en'").collect()}
+    assert {tuple(r) for r in dimensions.read_lexicon(spark, str(tmp_path / "blocks.yaml"), "en").collect()} == want
+    for text in ("", "version: 1", "groups:", "groups: {a: {phrases: []}}", "groups: {a: }"):
+        assert list(dimensions.entries(dimensions.loaded(text))) == []
+    for text in ("- a", "groups: [a]", "groups: {a: [b]}", "groups: {a: {phrases: b}}", "groups: {a: {phrases: [b]}}", "groups: {a: {phrases: [{weight: 1}]}}", "groups: {a: {phrases: [{text: b, weight: much}]}}", "groups: {a: {weight_multiplier: true, phrases: [{text: b}]}}"):
+        with pytest.raises(ValueError, match="lexicon|phrase"):
+            list(dimensions.entries(dimensions.loaded(text)))
+
+
+def test_lines_of_a_lexicon():
+    """Without a YAML library: the same from lines, and an error for any other shape."""
+    yaml = pytest.importorskip("yaml")
+    for text in (LEXICON_EN, LEXICON_ID):
+        assert list(dimensions.entries(dimensions.lines(text))) == list(dimensions.entries(yaml.safe_load(text)))
+    for text in (BLOCKS, "groups:\n  a:\n    phrases: [b]", "- a", "groups: {}", "groups:\n  a:\n    phrases:\n      - b"):
+        with pytest.raises(ValueError, match="isn't understood"):
+            dimensions.lines(text)
+
+
 def scored(spark, locales, texts):
     lexicon, wages, _ = locales
     df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").withColumn("locale", dims.detect_language(F.col("t")))
