@@ -34,6 +34,8 @@ LOGISTIC_COST, SVM_COST = 1.0, 0.5
 SLICES = 16
 #: Rows of a block where nearest rows are looked for.
 BLOCK = 256
+#: Heavy terms of a row, whose other rows bound its distances; and the part of all rows (one in so many) above which postings aren't worth their joins.
+LEADS, INDEX_SHARE = 8, 64
 
 
 class Scorer(Protocol):
@@ -277,33 +279,37 @@ def fit_oversampled(train: DataFrame, text: str, label: str, terms: int = MAX_TE
     return model
 
 
-def nearest(rows: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """``a, b, rank``: the ``k`` nearest others of each of ``rows(a, i, v)``, sparse vectors, by Euclidean distance, ties to the smaller key.
+def densely(*sides: pd.DataFrame) -> list[np.ndarray]:
+    """Sparse rows ``i, v`` of several tables as matrices over the terms that occur in any."""
+    terms = np.unique(np.concatenate([np.asarray(i, int) for side in sides for i in side["i"]] or [np.zeros(0, int)]))
+    out = []
+    for side in sides:
+        held = np.zeros((len(side), len(terms)))
+        for n, (i, v) in enumerate(zip(side["i"], side["v"])):
+            held[n, np.searchsorted(terms, np.asarray(i, int))] = np.asarray(v, float)
+        out.append(held)
+    return out
 
-    Blocks of rows meet blocks in groups of bounded size, each of which keeps the ``k`` best of its own; a window merges these. Every pair of
-    blocks is looked at, so the result is exact; the work is that of all pairs of the rows given.
-    """
-    blocks = max(1, -(-rows.count() // BLOCK))
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int"))
+
+def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared distances of rows, rounded, so that equal ones are equal whatever the order of their sums."""
+    return np.round(np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * p @ q.T, 0.0), 9)
+
+
+def scanned(asked: DataFrame, rows: DataFrame, k: int, n: int) -> DataFrame:
+    """``a, b, d``: candidates of each of ``asked`` from all ``rows``. Blocks meet blocks in groups of bounded size, and each keeps the ``k`` best of its own."""
+    blocks = max(1, -(-n // BLOCK))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    at = F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int")
     # Both sides are of one table, so each gets columns of its own.
-    left = placed.select(*(F.col(c).alias(c) for c in ("a", "i", "v")), F.col("block").alias("mine"), every.alias("other"))
-    right = placed.select(*(F.col(c).alias(c) for c in ("a", "i", "v")), F.col("block").alias("other"), every.alias("mine"))
+    left = asked.select(*(F.col(c).alias(c) for c in ("a", "i", "v")), at.alias("mine"), every.alias("other"))
+    right = rows.select(*(F.col(c).alias(c) for c in ("a", "i", "v")), at.alias("other"), every.alias("mine"))
 
     def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({"a": [], "b": [], "d": []})
-        terms = np.unique(np.concatenate([*map(np.asarray, x["i"]), *map(np.asarray, y["i"])]))
-
-        def dense(side: pd.DataFrame) -> np.ndarray:
-            out = np.zeros((len(side), len(terms)))
-            for n, (i, v) in enumerate(zip(side["i"], side["v"])):
-                out[n, np.searchsorted(terms, np.asarray(i))] = np.asarray(v, float)
-            return out
-
         y = y.sort_values("a")
-        p, q = dense(x), dense(y)
-        away = np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * p @ q.T, 0.0)
+        away = distances(*densely(x, y))
         keys, out = y["a"].to_numpy(), []
         for n, key in enumerate(x["a"]):
             order = [j for j in np.argsort(away[n], kind="stable")[: k + 1] if keys[j] != key][:k]
@@ -311,9 +317,78 @@ def nearest(rows: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "d": []})
 
     kind = dict(rows.dtypes)["a"]
-    found = left.groupBy("mine", "other").cogroup(right.groupBy("mine", "other")).applyInPandas(best, f"a {kind}, b {kind}, d double")
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("a", "b", "rank")
+    return left.groupBy("mine", "other").cogroup(right.groupBy("mine", "other")).applyInPandas(best, f"a {kind}, b {kind}, d double")
+
+
+def prefixes(rows: DataFrame, k: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """``(a, t)``: terms of rows of which every row among the ``k`` nearest, ties included, holds one; and the postings ``(t, b)``.
+
+    A row's k-th distance is at most ``u``, the k-th among some rows with which it shares a heavy term. Its terms are taken from the rarest on.
+    A row ``b`` without any of those taken lies at least as far off as their squares sum up to, and as |a|^2 + |b|^2 less twice what the
+    terms left can give with the greatest weights they have anywhere. Once either is above ``u``, the terms taken are enough.
+    Rows that never get there, or whose postings are long, are left out.
+    """
+    kind = dict(rows.dtypes)["a"]
+    terms = rows.select("a", F.explode(F.arrays_zip("i", "v")).alias("e")).select("a", F.col("e.i").alias("t"), F.col("e.v").alias("x")).where("x <> 0")
+    per = terms.groupBy("t").agg(F.count("*").alias("df"), F.max(F.abs("x")).alias("most"))
+    known = written(terms.hint("merge").join(per.hint("merge"), "t"), "postings")
+
+    heavy = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.abs("x")), "t"))
+    leads = known.where(F.col("df") > k).select("a", "t", heavy.alias("lead")).where(F.col("lead") <= LEADS).drop("lead")
+    parts = leads.groupBy("t").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    dealt = leads.hint("merge").join(parts.hint("merge"), "t").select("a", "t", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
+
+    def bound(group: pd.DataFrame) -> pd.DataFrame:
+        if len(group) <= k:
+            return pd.DataFrame({"a": [], "u": []})
+        held = densely(group)[0]
+        away = distances(held, held)
+        np.fill_diagonal(away, np.inf)
+        return pd.DataFrame({"a": group["a"], "u": np.partition(away, k - 1, axis=1)[:, k - 1]})
+
+    bounds = dealt.hint("merge").join(rows.hint("merge"), "a").groupBy("t", "part").applyInPandas(bound, f"a {kind}, u double")
+    bounds = bounds.groupBy("a").agg((F.min("u") + 1e-6).alias("u"))  # far more than rounding
+
+    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    least = F.broadcast(rows.agg(F.min(squares).alias("least")))  # one row
+    rarest = Window.partitionBy("a").orderBy("df", "t")
+    whole, before = Window.partitionBy("a"), rarest.rowsBetween(Window.unboundedPreceding, -1)
+    square, reach = F.col("x") * F.col("x"), F.abs("x") * F.col("most")
+    taken = known.hint("merge").join(bounds.hint("merge"), "a").crossJoin(least).select(
+        "a", "t", "df", "u", "least", F.sum(square).over(whole).alias("norm"), F.sum(reach).over(whole).alias("reach"), F.coalesce(F.sum(square).over(before), F.lit(0.0)).alias("gone"), F.coalesce(F.sum(reach).over(before), F.lit(0.0)).alias("used")
+    )
+    # Sums in different orders differ a little: what decides keeps clear of that by the margin in ``u``.
+    far = lambda gone, left: (gone > F.col("u")) | (F.col("norm") + F.col("least") - 2 * left > F.col("u"))
+    taken = taken.where(far(F.col("norm"), F.lit(0.0)) & ~far(F.col("gone"), F.col("reach") - F.col("used")))
+    taken = taken.withColumn("cost", F.sum("df").over(whole)).where(F.col("cost") * INDEX_SHARE <= n)
+    return taken.select("a", "t"), known.select("t", F.col("a").alias("b"))
+
+
+@F.pandas_udf(T.DoubleType())
+def _apart(i: pd.Series, v: pd.Series, j: pd.Series, u: pd.Series) -> pd.Series:
+    out = []
+    for a, x, b, y in zip(i, v, j, u):
+        _, m, o = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        out.append(round(max(float(x @ x) + float(y @ y) - 2 * float(x[m] @ y[o]), 0.0), 9))
+    return pd.Series(out, index=i.index, dtype=float)
+
+
+def nearest(rows: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+    """``a, b, rank, compared``: the ``k`` nearest others of each of ``rows(a, i, v)``, sparse vectors, by Euclidean distance, ties to the smaller key.
+
+    An inverted index gives candidates: see ``prefixes``. Rows that it can't serve with less work are compared with all others, block by
+    block. Either way the result is exact; ``compared`` is how many others a row was compared with. Keys are unique; rows are read several times.
+    """
+    n = rows.count()
+    prefix, postings = prefixes(rows, k, n)
+    pairs = prefix.hint("merge").join(postings.hint("merge"), "t").where("a <> b").select("a", "b").distinct()
+    pairs = written(pairs, "candidates")
+    mine, theirs = rows.select("a", "i", "v"), rows.select(F.col("a").alias("b"), F.col("i").alias("j"), F.col("v").alias("u"))
+    met = pairs.hint("merge").join(mine.hint("merge"), "a").hint("merge").join(theirs.hint("merge"), "b").select("a", "b", _apart("i", "v", "j", "u").alias("d"))
+    rest = rows.hint("merge").join(pairs.select("a").distinct().hint("merge"), "a", "left_anti")
+    best = Window.partitionBy("a").orderBy("d", "b")
+    found = met.select("*", F.count("*").over(Window.partitionBy("a")).alias("compared")).unionByName(scanned(rest, rows, k, n).select("*", F.lit(n - 1).cast("bigint").alias("compared")))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("a", "b", "rank", "compared")
 
 
 def synthetic(vectors: DataFrame, key: str, label: str, k: int = NEIGHBOURS, seed: int = 42) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import spans as sp
 from plumbline.functions import text as tx
 from plumbline.operators import corpus, dims, evalset, explain, extract, features, fixed, metrics, models, phrases, rules, scoring
-from plumbline.sources.readers import scratch, spread
+from plumbline.sources.readers import scratch, spread, written
 from plumbline.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -740,7 +740,21 @@ def f7_nearest(spark, d):
     rows = read(spark, d, "embeddings")
     least = rows.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n")).orderBy("n", "label").select("label").limit(1)
     rows = rows.join(F.broadcast(least), "label")  # one row
-    return models.nearest(rows.select(F.col("vec_id").alias("a"), F.sequence(F.lit(0), F.size("embedding") - 1).alias("i"), F.col("embedding").cast("array<double>").alias("v")))
+    return models.nearest(rows.select(F.col("vec_id").alias("a"), F.sequence(F.lit(0), F.size("embedding") - 1).alias("i"), F.col("embedding").cast("array<double>").alias("v"))).select("a", "b", "rank")
+
+
+@query(TERMS + """, w AS (SELECT doc_id, term, (1 + ln(tf::DOUBLE)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE) + 1) AS w FROM c JOIN v USING (term)),
+x AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)),
+k AS (SELECT doc_id, coalesce(sum(w * w), 0) AS s FROM documents JOIN (SELECT doc_id FROM labels WHERE quality = 0) USING (doc_id) LEFT JOIN x USING (doc_id) GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.w * y.w) AS dot FROM x JOIN x AS y USING (term) GROUP BY ALL),
+d AS (SELECT k.doc_id AS a, o.doc_id AS b, round(greatest(k.s + o.s - 2 * coalesce(dot, 0), 0), 9) AS d FROM k JOIN k AS o ON k.doc_id <> o.doc_id LEFT JOIN p ON p.a = k.doc_id AND p.b = o.doc_id)
+SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY d, b)::INTEGER AS rank FROM d QUALIFY rank <= 5""")
+def f7_text_neighbours(spark, d):
+    """Neighbours of poor documents among themselves by the weights of ``f3_tfidf``, as synthetic rows of texts take them."""
+    poor = docs(spark, d).hint("merge").join(read(spark, d, "labels").where("quality = 0").select("doc_id").hint("merge"), "doc_id")
+    weights = features.TermWeights("text").fit(docs(spark, d)).transform(poor)
+    rows = written(weights.select(F.col("doc_id").alias("a"), F.col("_i").alias("i"), F.col("_v").alias("v")), "poor")
+    return models.nearest(rows).select("a", "b", "rank")
 
 
 # --- metrics and calibration ------------------------------------------------------------------------------------

@@ -157,6 +157,29 @@ def test_nearest_is_exact(spark, monkeypatch):
         assert len(held) == 5 and a not in held and [away[a][b] for b in held] == pytest.approx(others)
 
 
+@pytest.mark.parametrize("unit", [True, False])
+def test_indexed_neighbours_are_exact(spark, monkeypatch, unit):
+    """Rows like texts: an index serves most of them with few comparisons, negative weights, rows without terms, copies and ties included."""
+    monkeypatch.setattr(models, "BLOCK", 64)
+    monkeypatch.setattr(models, "INDEX_SHARE", 2)
+    rng = np.random.default_rng(11)
+    dense = np.zeros((300, 400))
+    for n in range(300):
+        own = rng.choice(8, 3) if n % 5 else rng.choice(400, 6)  # common terms
+        topic = 8 + 12 * (n % 30) + rng.choice(12, 8, replace=False)
+        dense[n, own], dense[n, topic] = 0.2, rng.integers(1, 4, 8) / 2
+    dense[7], dense[8], dense[9] = dense[6], 0.0, -dense[6]
+    if unit:
+        dense /= np.maximum(np.sqrt((dense * dense).sum(1)), 1e-12)[:, None]
+    rows = [(n, np.flatnonzero(v).tolist(), v[np.flatnonzero(v)].tolist()) for n, v in enumerate(dense)]
+    got = models.nearest(spark.createDataFrame(rows, "a long, i array<int>, v array<double>"), 5).collect()
+    away = np.round(((dense[:, None] - dense[None]) ** 2).sum(2), 9)
+    want = {(a, b, rank) for a in range(300) for rank, b in enumerate([b for b in np.argsort(away[a], kind="stable") if b != a][:5], 1)}
+    assert {(r.a, r.b, r["rank"]) for r in got} == want
+    compared = {r.a: r.compared for r in got}
+    assert len(compared) == 300 and sum(c < 299 for c in compared.values()) > 150 and max(compared.values()) == 299
+
+
 @pytest.mark.parametrize("small", [2, 20, 45])
 def test_oversample_balances_between_neighbours(spark, small):
     rng = np.random.default_rng(5)
