@@ -36,6 +36,8 @@ SLICES = 16
 BLOCK = 256
 #: Heavy terms of a row, whose other rows bound its distances; and the part of all rows (one in so many) above which postings aren't worth their joins.
 LEADS, INDEX_SHARE = 8, 64
+#: Rows from which an index is tried: below, comparing all pairs takes seconds, and less than the index's own passes.
+INDEX_FROM = 50_000
 
 
 class Scorer(Protocol):
@@ -373,22 +375,26 @@ def _apart(i: pd.Series, v: pd.Series, j: pd.Series, u: pd.Series) -> pd.Series:
     return pd.Series(out, index=i.index, dtype=float)
 
 
-def nearest(rows: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+def nearest(rows: DataFrame, k: int = NEIGHBOURS, index_from: int = INDEX_FROM) -> DataFrame:
     """``a, b, rank, compared``: the ``k`` nearest others of each of ``rows(a, i, v)``, sparse vectors, by Euclidean distance, ties to the smaller key.
 
-    An inverted index gives candidates: see ``prefixes``. Rows that it can't serve with less work are compared with all others, block by
-    block. Either way the result is exact; ``compared`` is how many others a row was compared with. Keys are unique; rows are read several times.
+    From ``index_from`` rows on an inverted index gives candidates: see ``prefixes``. Rows that it can't serve with less work are compared with all
+    others, block by block. Either way the result is exact; ``compared`` is how many others a row was compared with. Keys are unique; rows are read
+    several times.
     """
     n = rows.count()
+    best = Window.partitionBy("a").orderBy("d", "b")
+    every = lambda asked: scanned(asked, rows, k, n).select("*", F.lit(n - 1).cast("bigint").alias("compared"))
+    first = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("a", "b", "rank", "compared")
+    if n < index_from:
+        return first(every(rows))
     prefix, postings = prefixes(rows, k, n)
     pairs = prefix.hint("merge").join(postings.hint("merge"), "t").where("a <> b").select("a", "b").distinct()
     pairs = written(pairs, "candidates")
     mine, theirs = rows.select("a", "i", "v"), rows.select(F.col("a").alias("b"), F.col("i").alias("j"), F.col("v").alias("u"))
     met = pairs.hint("merge").join(mine.hint("merge"), "a").hint("merge").join(theirs.hint("merge"), "b").select("a", "b", _apart("i", "v", "j", "u").alias("d"))
     rest = rows.hint("merge").join(pairs.select("a").distinct().hint("merge"), "a", "left_anti")
-    best = Window.partitionBy("a").orderBy("d", "b")
-    found = met.select("*", F.count("*").over(Window.partitionBy("a")).alias("compared")).unionByName(scanned(rest, rows, k, n).select("*", F.lit(n - 1).cast("bigint").alias("compared")))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("a", "b", "rank", "compared")
+    return first(met.select("*", F.count("*").over(Window.partitionBy("a")).alias("compared")).unionByName(every(rest)))
 
 
 def synthetic(vectors: DataFrame, key: str, label: str, k: int = NEIGHBOURS, seed: int = 42) -> DataFrame:

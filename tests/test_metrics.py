@@ -172,7 +172,7 @@ def test_indexed_neighbours_are_exact(spark, monkeypatch, unit):
     if unit:
         dense /= np.maximum(np.sqrt((dense * dense).sum(1)), 1e-12)[:, None]
     rows = [(n, np.flatnonzero(v).tolist(), v[np.flatnonzero(v)].tolist()) for n, v in enumerate(dense)]
-    got = models.nearest(spark.createDataFrame(rows, "a long, i array<int>, v array<double>"), 5).collect()
+    got = models.nearest(spark.createDataFrame(rows, "a long, i array<int>, v array<double>"), 5, index_from=0).collect()
     away = np.round(((dense[:, None] - dense[None]) ** 2).sum(2), 9)
     want = {(a, b, rank) for a in range(300) for rank, b in enumerate([b for b in np.argsort(away[a], kind="stable") if b != a][:5], 1)}
     assert {(r.a, r.b, r["rank"]) for r in got} == want
