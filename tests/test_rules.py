@@ -252,3 +252,10 @@ def test_salaries_equal_python(spark, code):
     assert sum(len(r.s) for r in rows) > 150
     for r in rows:
         assert [(c.amount, c.start, c.end) for c in r.s] == python_salaries(r.t, rules.SETTINGS[code]), r.t
+
+
+def test_amounts_beyond_a_bigint_are_none(spark):
+    """Long runs of digits are no salaries, and stop nothing: neither as they are, nor by hour, day or week."""
+    texts = ["salary " + "9" * 30, "salary 123,456,789,012,345,678,901", "salary " + "9" * 400, *("salary " + "9" * 18 + per for per in (" per hour", " daily", " weekly", " per year"))]
+    rows = spark.createDataFrame([(t,) for t in texts], "low string").select(F.size(rules.salaries(rules.SETTINGS["en"])).alias("n"))
+    assert [r.n for r in rows.collect()] == [0] * len(texts)
