@@ -1,5 +1,7 @@
 """Every registered query of the library: parity with DuckDB, or rows."""
 
+import shutil
+
 import pytest
 
 from plumbline.plans.catalog import QUERIES, SQL
@@ -48,3 +50,13 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["r7a_salary_candidates", "r12_rule_hits"])
+def test_parity_at_word_boundaries(spark, tmp_path, name):
+    """Letters with accents belong to words on both sides: after an amount, before a salary word, a number of years or a negation."""
+    texts = ["the 4886 paè x", "the 4886 pa x", "é the 4886", "éthe 4886", "the 4886 /\xa0year x", "the of the x5 é7 and 12", "nonà of the 8", "the " + "9" * 30, "the " + "9" * 18 + " daily", "thé 5000k", "the 50ké"]
+    spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/made")
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    shutil.rmtree(tmp_path / "made")
+    compare(spark, QUERIES[name], SQL[name], str(tmp_path))
