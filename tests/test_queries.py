@@ -60,3 +60,12 @@ def test_parity_at_word_boundaries(spark, tmp_path, name):
     next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "documents.parquet")
     shutil.rmtree(tmp_path / "made")
     compare(spark, QUERIES[name], SQL[name], str(tmp_path))
+
+
+def test_parity_of_references(spark, tmp_path):
+    """Names without a semicolon, numbers and names that aren't among the tables' common ones are decoded on both sides."""
+    texts = ["a &amp b &amp", "&ampx &copy2024", "&notit; &notin; &nosuch;", "&#65;&#x42 &#128; &#0; &#xffff; &#99999999999999999999;", "&hellip;&CounterClockwiseContourIntegral;", "&amp;lt; &&& &;"]
+    spark.createDataFrame([(i, "http://a", t) for i, t in enumerate(texts)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/made")
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    shutil.rmtree(tmp_path / "made")
+    compare(spark, QUERIES["t9_extract_page_text"], SQL["t9_extract_page_text"], str(tmp_path))
