@@ -69,3 +69,10 @@ def test_parity_of_references(spark, tmp_path):
     next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "pages.parquet")
     shutil.rmtree(tmp_path / "made")
     compare(spark, QUERIES["t9_extract_page_text"], SQL["t9_extract_page_text"], str(tmp_path))
+
+
+def test_nearest_has_all_classes(spark):
+    """Each labelled vector has its neighbours, not those of one class alone."""
+    labels = {r.vec_id: r.label for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect() if r.label is not None}
+    rows = QUERIES["f7_nearest"](spark, SF).collect()
+    assert {r.a for r in rows} == {v for v, n in labels.items() if list(labels.values()).count(n) > 1} and all(labels[r.a] == labels[r.b] for r in rows)
