@@ -384,3 +384,20 @@ def test_eval_set_gate_and_report(spark):
     assert report.kappa == evalset.cohens_kappa(df.where("NOT coalesce(synthetic, false)"), "a", "b").first().kappa
     none = evalset.annotation_report(df.limit(0), "label", "a", "b", "synthetic", ["channel"]).first()
     assert none.n_items == 0 and none.kappa is None and none.channel == {}
+
+
+def test_folds_are_fitted_in_shared_passes(spark, monkeypatch):
+    """Each fold's model is the one that its own rows alone give, and all folds are asked for at once."""
+    df = spark.createDataFrame(spam(90), "text string, y int")
+    known = models.term_weights(df, "text", 40, 1)
+    rows = models.prepared(df, "y", known)
+    fold = F.pmod(F.xxhash64("text"), F.lit(3))
+    rng, width = np.random.default_rng(1), len(known.terms) + 1
+    points = {m: rng.normal(size=width) for m in range(3)}
+    for m, (value, gradient) in models.sums_at(rows, "y", "squared_hinge", points, fold).items():
+        alone, slope = models.sums_of(rows.where(fold != m), "y", "squared_hinge", points[m])
+        assert value == pytest.approx(alone) and gradient == pytest.approx(slope)
+    passes, asked = [], models.sums_at
+    monkeypatch.setattr(models, "sums_at", lambda *a: passes.append(set(a[3])) or asked(*a))
+    models.linear_folds(rows, "y", known, "squared_hinge", 0.5, 3, fold)
+    assert passes[0] == {0, 1, 2} and len(passes) < sum(map(len, passes))
