@@ -2,8 +2,10 @@
 
 import json
 import math
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -401,3 +403,43 @@ def test_folds_are_fitted_in_shared_passes(spark, monkeypatch):
     monkeypatch.setattr(models, "sums_at", lambda *a: passes.append(set(a[3])) or asked(*a))
     models.linear_folds(rows, "y", known, "squared_hinge", 0.5, 3, fold)
     assert passes[0] == {0, 1, 2} and len(passes) < sum(map(len, passes))
+
+
+def test_terms_of_rows_are_counted_without_moving(spark):
+    """A row's terms are counted where it is read; repeated keys, null keys and marks change nothing."""
+    rows = [(1, "Été été x ÉTÉ_2 naïve"), (1, "été naïve"), (2, None), (3, "..."), (None, "a bb cc"), (None, "bb cc"), (4, "ab " * 200_000), (5, "été \U0001d4d0\U0001d4d1 b‍c")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    want = {}
+    for key, text in rows:
+        words = [w.translate(str.maketrans(features._FROM, features._TO)) for w in re.findall("[\\ẃ‍]+", (text or "").lower()) if len(w) > 1]
+        for term in words + [f"{a} {b}" for a, b in zip(words, words[1:])]:
+            want[key, term] = want.get((key, term), 0) + 1
+    got = features.term_counts(df, "id", "text").collect()
+    assert {(r.id, r.term): r.tf for r in got} == want and len(got) == len(want)
+    per = {}
+    for (_, term), tf in want.items():
+        df_, cf = per.get(term, (0, 0))
+        per[term] = df_ + 1, cf + tf
+    for key, n in (("id", None), ("id", 3)):
+        known = features.vocabulary(df, "text", key, min_df=1, max_terms=n or 100).collect()
+        assert [(r.term, r.df, r.cf) for r in known] == [(t, *per[t]) for t in sorted(per, key=lambda t: (-per[t][1], t))][:n]
+    unique = df.where("id > 1")
+    for frame in (features.row_counts(unique, "id", "text"), features.TermWeights("text", min_df=1).fit(unique).transform(unique)):
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_hold_bounded_texts(monkeypatch):
+    monkeypatch.setattr(features, "CHUNK", 10)
+    assert list(features.chunks(pa.array(["aaaa", "bbbb", "cccc", "d" * 50, "e", ""]))) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    assert list(features.chunks(pa.array([], pa.string()))) == []
+
+
+def test_weights_of_repeated_keys_are_those_of_their_texts_together(spark):
+    df = spark.createDataFrame([(1, "aa bb aa"), (1, "bb cc"), (2, "aa cc"), (None, "bb"), (None, "cc cc"), (3, None)], "id int, text string")
+    together = {1: ["aa", "bb", "aa", "aa bb", "bb aa", "bb", "cc", "bb cc"], 2: ["aa", "cc", "aa cc"], None: ["bb", "cc", "cc", "cc cc"]}
+    held = {t for terms in together.values() for t in terms}
+    idf = {t: math.log(7 / (1 + sum(t in terms for terms in together.values()))) + 1 for t in held}
+    raw = {(k, t): (1 + math.log(terms.count(t))) * idf[t] for k, terms in together.items() for t in set(terms)}
+    norm = {k: math.sqrt(sum(w * w for (o, _), w in raw.items() if o == k)) for k in together}
+    got = {(r.id, r.term): r.weight for r in features.tfidf(df, "id", "text", min_df=1).collect()}
+    assert got == pytest.approx({(k, t): w / norm[k] for (k, t), w in raw.items()})
