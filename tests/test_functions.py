@@ -234,3 +234,19 @@ def test_hostile_texts_take_seconds(spark):
     scored = scoring.score_documents(df, "k", "t", dims.lexicon(spark), lambda t: F.lit(0.5)).collect()
     assert {r.reject for r in scored} == {"too_long"}
     assert time.time() - began < 120
+
+
+def test_plain_prose_is_cheap(spark):
+    """Places without a seam or a sentence's end aren't tried against every protected term or abbreviation."""
+    df = spark.createDataFrame([("quite plain words of prose " * 250_000,)], "t string")
+    one(spark, "warm", tx.desegment(F.col("t")).alias("x"))
+    began = time.time()
+    assert df.select((tx.desegment(F.col("t")) == F.col("t")).alias("same")).first().same
+    parted = time.time()
+    assert df.select(F.size(F.split("t", tx.sentence_boundary(), -1)).alias("n")).first().n == 1
+    assert parted - began < 8 and time.time() - parted < 4
+
+
+@pytest.mark.parametrize("text,parted", [("fooBar JavaScriptFoo iPhone7Plus", "foo Bar JavaScriptFoo iPhone7 Plus"), ("#EMAIL_a1B2#x1 a1\tB2b\nPhDmySQLServer9", "#EMAIL_a1B2#x 1 a 1\tB2b\nPhDmySQLServer 9"), ("", ""), ("ab", "ab")])
+def test_seams_in_words_with_terms(spark, text, parted):
+    assert one(spark, text, tx.desegment(F.col("t")).alias("x")).x == parted
