@@ -3,8 +3,10 @@
 import json
 import math
 import re
+import time
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -443,3 +445,36 @@ def test_weights_of_repeated_keys_are_those_of_their_texts_together(spark):
     norm = {k: math.sqrt(sum(w * w for (o, _), w in raw.items() if o == k)) for k in together}
     got = {(r.id, r.term): r.weight for r in features.tfidf(df, "id", "text", min_df=1).collect()}
     assert got == pytest.approx({(k, t): w / norm[k] for (k, t), w in raw.items()})
+
+
+def test_blocks_of_many_rows_are_large(spark):
+    """A row is copied once for each block, so their number bounds what is shuffled."""
+    got = [r.n for r in spark.createDataFrame([(n,) for n in (1, 600, 5000, 25_000, 200_000)], "of long").select(models.blocks_of(F.col("of")).alias("n")).collect()]
+    assert got == [1, 3, 8, 13, 98]
+
+
+def test_distances_of_pieces_are_those_of_whole_rows(monkeypatch):
+    rng = np.random.default_rng(5)
+    side = lambda n: pd.DataFrame([{"i": np.sort(rng.choice(40, m, replace=False)), "v": rng.random(m)} for m in rng.integers(0, 20, n)])
+    x, y = side(17), side(23)
+    monkeypatch.setattr(models, "DENSE", 5)
+    assert np.abs(models.dots(x, y) - models.distances(*models.densely(x, y))).max() <= 1e-9
+
+
+def test_synthetic_rows_of_many_terms(spark):
+    """The work on a synthetic row is that of its terms, not of their square."""
+    rng = np.random.default_rng(6)
+    rows = [(n, sorted(rng.choice(20_000, 4000, replace=False).tolist()), rng.random(4000).tolist(), int(n < 20)) for n in range(320)]
+    df = spark.createDataFrame(rows, "a long, _i array<int>, _v array<double>, y int").repartition(4)
+    began = time.time()
+    out = models.synthetic(df, "a", "y", 3).collect()
+    assert len(out) == 280 and all(r.y == 1 and list(r._i) == sorted(set(r._i)) and len(r._i) == len(r._v) for r in out)
+    assert time.time() - began < 30
+
+
+def test_model_rows_are_made_once(spark):
+    from plumbline.plans.catalog import _model_rows
+
+    for rows in _model_rows(spark, "/root/testdata/sf0.001"):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Window" not in plan
