@@ -461,6 +461,39 @@ def test_distances_of_pieces_are_those_of_whole_rows(monkeypatch):
     assert np.abs(models.dots(x, y) - models.distances(*models.densely(x, y))).max() <= 1e-9
 
 
+def test_closest_rows_are_those_of_whole_distances(monkeypatch):
+    """Terms of many rows and of few, ties, copies, rows without terms, and sides of which one row is on both, in small pieces."""
+    rng = np.random.default_rng(8)
+    made = lambda n, at: pd.DataFrame([{"a": at + j, "i": i, "v": np.round(rng.random(len(i)), 1)} for j, m in enumerate(rng.integers(0, 9, n)) for i in [np.unique(np.concatenate([rng.integers(0, 4, m), rng.integers(4, 300, m)]))]])
+    x, y = made(40, 0), made(60, 100)
+    y = pd.concat([y, x[10:30], y[:7].assign(a=range(200, 207))]).sort_values("a", ignore_index=True)
+    for cells, products in ((100_000, 100_000), (200, 7)):
+        monkeypatch.setattr(models, "CELLS", cells)
+        monkeypatch.setattr(models, "PRODUCTS", products)
+        for k in (1, 5, 500):
+            away, want = models.distances(*models.densely(x, y)), set()
+            for r, key in enumerate(x["a"]):
+                want |= {(r, int(c), away[r, c]) for c in [c for c in np.argsort(away[r], kind="stable") if y["a"][c] != key][:k]}
+            got = {(int(r), int(c), float(d)) for part in models.closest(x, y, k) for r, c, d in zip(*part)}
+            assert {g[:2] for g in got} == {w[:2] for w in want} and sorted(g[2] for g in got) == pytest.approx(sorted(w[2] for w in want), abs=2e-9)
+
+
+def test_closest_rows_work_on_shared_terms_only():
+    """Rows of 50 of 50,000 terms: nearly no pair shares one, and terms that rows don't share cost nothing."""
+    rng = np.random.default_rng(9)
+    side = lambda at: pd.DataFrame({"a": range(at, at + 3000), "i": [np.sort(rng.choice(50_000, 50, replace=False)) for _ in range(3000)], "v": [rng.random(50) for _ in range(3000)]})
+    x, y = side(0), side(3000)
+    began = time.time()
+    assert sum(len(part[0]) for part in models.closest(x, y, 5)) == 15_000
+    assert time.time() - began < 8
+
+
+def test_blocks_hold_so_many_entries(spark):
+    rows = [(1000, 10), (100_000, 14_000_000), (20_000, 80_000_000), (600, 0)]
+    got = [r.n for r in spark.createDataFrame(rows, "of long, held long").select(models.blocks_of(F.col("of"), F.col("held")).alias("n")).collect()]
+    assert got == [4, 8, 40, 3]
+
+
 def test_synthetic_rows_of_many_terms(spark):
     """The work on a synthetic row is that of its terms, not of their square."""
     rng = np.random.default_rng(6)
