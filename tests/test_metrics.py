@@ -251,6 +251,36 @@ def test_boosting_ranks(spark):
     assert models.compare({"boosting": models.fit_boosting(df, "text", "y", 50, 5)}, df, "y").first().roc_auc > 0.95
 
 
+def test_boosting_equals_sparks_trees(spark, n=700, rounds=22):
+    """Margins of Spark's own gradient-boosted trees, which take dense time, on rows with noise (so many that no two splits are equally good); rows without terms included. Rows take up their margins on the way."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(n)
+    noisy = [(t if rng.random() > 0.05 else None, y if rng.random() > 0.1 else 1 - y) for t, y in spam(n)]
+    df = spark.createDataFrame(noisy, "text string, y int")
+    known = models.term_weights(df, "text", 50, 1)
+    rows = models.prepared(df, "y", known)
+    held = spark.createDataFrame([(Vectors.sparse(len(known.terms), list(zip(r._i, r._v))), r.y, r._w, r.text) for r in rows.collect()], ["x", "y", "w", "text"])
+    want = GBTClassifier(featuresCol="x", labelCol="y", weightCol="w", maxIter=rounds, stepSize=0.1, maxDepth=3, seed=42).fit(held).transform(held)
+    got = models.fit_boosting(df, "text", "y", 50, rounds).transform(df).collect()
+    margins = {r.text: r.margin for r in got}
+    assert all(margins[r.text] == pytest.approx(2 * r.rawPrediction[1], abs=1e-5) for r in want.collect()) and len({round(m, 6) for m in margins.values()}) > 20
+
+
+def test_boosting_sums_the_same_in_any_order(spark):
+    df = spark.createDataFrame(spam(300), "text string, y int")
+    trees = [models.fit_boosting(df.repartition(p, "text"), "text", "y", 50, 4).trees for p in (1, 5)]
+    assert all(np.array_equal(a.term, b.term) and np.array_equal(a.leaf, b.leaf) for a, b in zip(*trees))
+
+
+def test_boosting_of_one_class_and_of_no_terms(spark):
+    for rows in ([("aa bb", 1)] * 5, [("aa", 1), ("bb", 0), (None, 0), ("", 1)]):
+        df = spark.createDataFrame(rows, "text string, y int")
+        out = models.fit_boosting(df, "text", "y", 50, 3).transform(df).collect()
+        assert len({r.margin for r in out}) == 1 and (out[0].p > 0.5) == (rows[0][0] == "aa bb")
+
+
 def test_svm_averages_its_folds(spark):
     df = spark.createDataFrame(spam(120), "text string, y int")
     scorer = models.fit_svm(df, "text", "y", 100)
