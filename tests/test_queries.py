@@ -71,6 +71,18 @@ def test_parity_of_references(spark, tmp_path):
     compare(spark, QUERIES["t9_extract_page_text"], SQL["t9_extract_page_text"], str(tmp_path))
 
 
+def test_records_weigh_all_sentences(spark, tmp_path):
+    """What a sentence adds counts wherever it stands in its text, on both sides; a sentence of no effect doesn't stand before it."""
+    plain = [f"A plain line, number {i}, on a job." for i in range(40)]
+    texts = ["\n".join([*plain, "With the truth of the month.", "Then pay it.", *plain[:3]]), "\n".join(["In this line stands one.", *plain, "Here are three: this, that, then."]), "\n".join(plain), "One line of more than thirty characters alone."]
+    spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/made")
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    shutil.rmtree(tmp_path / "made")
+    got = {r.doc_id: r.evidence for r in QUERIES["c7_record"](spark, str(tmp_path)).collect()}
+    assert got == {0: "40:250,0:0,1:0,2:0,3:0", 1: "41:200,0:50,1:0,2:0,3:0", 2: "0:0,1:0,2:0,3:0,4:0", 3: ""}
+    compare(spark, QUERIES["c7_record"], SQL["c7_record"], str(tmp_path))
+
+
 def test_nearest_has_all_classes(spark):
     """Each labelled vector has its neighbours, not those of one class alone."""
     labels = {r.vec_id: r.label for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect() if r.label is not None}
