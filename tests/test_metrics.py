@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.operators import corpus, evalset, features, metrics, models, prefix
+from plumbline.operators import boosting, corpus, evalset, features, metrics, models, prefix
 from plumbline.sources import readers
 from plumbline.streaming import jobs
 
@@ -535,6 +535,77 @@ def test_synthetic_rows_of_many_terms(spark):
     assert time.time() - began < 30
 
 
+def jobs_of(spark, name, run):
+    """What ``run`` gives, and how many jobs it took."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setJobGroup("tests", "tests")
+
+
+def test_one_task_grows_the_trees_of_many_jobs(spark, monkeypatch):
+    """To the last digit, without a job for each level of a tree; with several blocks, and rows and terms that are in none."""
+    rng = np.random.default_rng(3)
+    texts = [(None if rng.random() < 0.05 else t, y if rng.random() > 0.2 else 1 - y) for t, y in spam(400)]
+    df = spark.createDataFrame(texts, "text string, y int").repartition(3)
+    known = models.term_weights(df, "text", 60, 1)
+    rows = models.prepared(df, "y", known)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 90)
+    monkeypatch.setattr(boosting, "PIECE", 50)
+    grow = lambda: boosting.boosted(rows, "y", len(known.terms) + 2, 12)
+    trees, jobs = jobs_of(spark, "one task", grow)
+    assert jobs < 12
+    monkeypatch.setattr(boosting, "ONE_TASK", 0)
+    others = grow()
+    assert len(trees) == len(others) == 12 and any((t.term >= 0).all() for t in trees)
+    assert all(np.array_equal(getattr(a, c), getattr(b, c)) for a, b in zip(trees, others) for c in ("term", "bin", "most", "leaf"))
+
+
+def test_sums_of_splits_are_exact():
+    """Sums of many terms together are beyond a double's whole numbers; those of each term aren't."""
+    n, width = 2**15, 400
+    ends = {t: np.array([0.5]) for t in range(width)}
+    bins = boosting.Bins(ends, width)
+    total = np.array([2.0**50 + 1, 2.0**51 + 1])
+    g, w = np.zeros(2 * width), np.zeros(2 * width)
+    g[1::2], w[1::2] = 1 + np.arange(width), 2.0**30 + n
+    g[2 * 390 + 1] = -(2.0**49) + 3
+    gain, term, at, gl, wl, *_ = boosting.split(bins, 0, width, total, g, w)
+    assert (term, at, gl, wl) == (390, 0, 2.0**50 + 1 + 2.0**49 - 3, 2.0**51 + 1 - 2.0**30 - n)
+
+
+@pytest.mark.parametrize("loss, folds", [("logistic", 1), ("squared_hinge", 3)])
+def test_one_task_fits_what_many_jobs_do(spark, monkeypatch, loss, folds):
+    rows = [*spam(150), (None, 0), ("", 1)]
+    df = spark.createDataFrame(rows, "text string, y int").repartition(3)
+    known = models.term_weights(df, "text", 60, 1)
+    rows = models.prepared(df, "y", known)
+    fold = F.pmod(F.xxhash64("text"), F.lit(folds)) if folds > 1 else None
+    monkeypatch.setattr(models, "PIECE", 40)
+    fit = lambda: models.fit_folds(rows, "y", known, loss, 1.0, folds, fold)
+    one, jobs = jobs_of(spark, f"one task {loss}", fit)
+    assert jobs < 6
+    monkeypatch.setattr(models, "ONE_TASK", 0)
+    many = fit()
+    assert len(one) == len(many) == folds
+    for a, b in zip(one, many):
+        assert a.coefficients == pytest.approx(b.coefficients, abs=2e-3) and a.intercept == pytest.approx(b.intercept, abs=2e-3)
+    assert models.fit_folds(rows.limit(0), "y", known, loss, 1.0, folds, fold)[0].intercept == 0
+
+
+def test_baselines_weigh_their_rows_once(spark, monkeypatch):
+    """Side by side, those on the same terms read one table; each is the model that it is alone."""
+    df = spark.createDataFrame(spam(120), "text string, y int")
+    made, prepared = [], models.prepared
+    monkeypatch.setattr(models, "prepared", lambda *a: made.append(a) or prepared(*a))
+    monkeypatch.setitem(models.FITS, "boosting", lambda *a, **b: models.fit_boosting(*a, rounds=4, **b))
+    both = models.fit_baselines(df, "text", "y")
+    assert list(both) == list(models.NAMES) and len(made) == 2
+    alone = models.fit_logistic(df, "text", "y")
+    assert both["logistic"].coefficients == pytest.approx(alone.coefficients, abs=2e-3) and len(both["boosting"].trees) == 4
+
+
 def test_model_rows_are_made_once(spark):
     from plumbline.plans.catalog import _model_rows
 
