@@ -594,8 +594,10 @@ def test_one_task_fits_what_many_jobs_do(spark, monkeypatch, loss, folds):
     assert models.fit_folds(rows.limit(0), "y", known, loss, 1.0, folds, fold)[0].intercept == 0
 
 
-def test_baselines_weigh_their_rows_once(spark, monkeypatch):
-    """Side by side, those on the same terms read one table; each is the model that it is alone."""
+@pytest.mark.parametrize("most", [models.ONE_TASK, 0])
+def test_baselines_weigh_their_rows_once(spark, monkeypatch, most):
+    """Side by side or one by one, those on the same terms read one table; each is the model that it is alone."""
+    monkeypatch.setattr(models, "ONE_TASK", most)
     df = spark.createDataFrame(spam(120), "text string, y int")
     made, prepared = [], models.prepared
     monkeypatch.setattr(models, "prepared", lambda *a: made.append(a) or prepared(*a))
